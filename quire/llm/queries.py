@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 from quire.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from quire.llm.html_extract import op5_html_extract
 from quire.llm.licenses import op10_license_scan
 from quire.llm.mixing import op9_mixing
+from quire.llm.pieces import op6_sentencepiece
+from quire.llm.quality_model import op3_quality_model
+from quire.llm.quality_rules import op2_quality_rules
 from quire.llm.sharding import op1_sharding
+from quire.llm.simhash import op4_simhash
+from quire.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_quality_model": op3_quality_model,
+    "op4_simhash": op4_simhash,
+    "op5_html_extract": op5_html_extract,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
 }
 
 ORACLES = {
     "op7_exact_dedup": OP7_SQL,
+    "op8_warc": OP8_SQL,
 }
