@@ -65,6 +65,16 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once a row and named once in the plan."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def whole(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """A row as struct _doc, so that its columns cannot clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)]).alias("_doc")
+
+
 def row_hash(df: DataFrame) -> Column:
     """One long over all columns, to tell apart rows that share a doc_id. Columns of types without a hash go as JSON."""
     cols = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
@@ -80,16 +90,14 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     by_key = staged(decided.groupBy("doc_id", "row_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "decided")
     gone = small(by_key.filter(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h")))
     twins = by_key.filter(F.col("kept") & (F.col("n") > 1)).select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h"))
-    cols = docs.columns
-    keyed = docs.withColumn("_rh", row_hash(docs))
-    on = lambda t: keyed["doc_id"].eqNullSafe(t["_d"]) & (keyed["_rh"] == t["_h"])
-    out = keyed.join(gone, on(gone), "left_anti")
+    keyed = docs.select(whole(docs), F.col("doc_id").alias("_did"), row_hash(docs).alias("_rh"))
+    on = lambda left, right: left["_did"].eqNullSafe(right["_d"]) & (left["_rh"] == right["_h"])
+    out = keyed.join(gone, on(keyed, gone), "left_anti")
     if twins.isEmpty():
-        return out.select(*cols)
+        return out.select("_doc.*")
     twins = small(twins)
-    on2 = out["doc_id"].eqNullSafe(twins["_d"]) & (out["_rh"] == twins["_h"])
-    once = out.join(twins, on2, "left_semi").select(*cols).dropDuplicates()
-    return out.join(twins, on2, "left_anti").select(*cols).unionByName(once)
+    once = out.join(twins, on(out, twins), "left_semi").select("_doc.*").dropDuplicates()
+    return out.join(twins, on(out, twins), "left_anti").select("_doc.*").unionByName(once)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, keep_rows, row_hash, staged, table, text_or_empty
+from quire.llm.common import SPACES, keep_rows, let, row_hash, staged, table, text_or_empty
 
 BLOCK = 4096
 HASH_BITS = 60
@@ -67,6 +67,14 @@ def _pairs(names: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), ((F.size(names) - 1) / 2).cast("int")), lambda i: F.concat_ws(":", F.get(names, 2 * i).cast("string"), F.get(names, 2 * i + 1).cast("string")))
 
 
+def _pairs_or_none(names: Column) -> Column:
+    return F.when(F.size(names) > 1, _pairs(names)).otherwise(F.array().cast("array<string>"))
+
+
+def _next_level(shared: dict[int, list[str]], bits: int):
+    return lambda names: F.when(F.size(names) > 1, F.transform(_pairs(names), _namer(shared, bits))).otherwise(names)
+
+
 def identities(docs: DataFrame, text: str = "text", block: int = BLOCK, bits: int = HASH_BITS) -> DataFrame:
     """A staged table: doc_id, row_hash, rid (unique), n_chars, text_sha256 and identity of every row of docs."""
     source = docs.select(F.col("doc_id"), row_hash(docs).alias("row_hash"), F.length(text_or_empty(text)).cast("long").alias("n_chars"), normalised(text).alias("norm"))
@@ -78,10 +86,9 @@ def identities(docs: DataFrame, text: str = "text", block: int = BLOCK, bits: in
     ).withColumn("n_blocks", F.size("names"))
     most = at.agg(F.max("n_blocks")).first()[0] or 1
     while most > 1:
-        # Documents that are down to one name keep it.
-        pairs = F.when(F.size("names") > 1, _pairs(F.col("names"))).otherwise(F.array().cast("array<string>"))
-        shared = shared_buckets(at.filter(F.size("names") > 1).select(F.explode(pairs).alias("member")), bits)
-        at = at.withColumn("names", F.when(F.size("names") > 1, F.transform(_pairs(F.col("names")), _namer(shared, bits))).otherwise(F.col("names")))
+        # Documents that are down to one name keep it. Each level refers to the one below once, so plans stay small.
+        shared = shared_buckets(at.select(F.explode(let(F.col("names"), _pairs_or_none)).alias("member")), bits)
+        at = at.withColumn("names", let(F.col("names"), _next_level(shared, bits)))
         most = (most + 1) // 2
     top = F.concat_ws(":", F.col("n_blocks").cast("string"), F.get(F.col("names"), F.lit(0)).cast("string"))
     shared = shared_buckets(at.select(top.alias("member")), bits)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, table, text_or_empty
+from quire.llm.common import SPACES, let, table, text_or_empty
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -83,11 +83,6 @@ def _key(low: Column, size: int, band: int) -> Column:
     return F.xxhash64(low, F.lit(size), F.lit(band))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once a row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _window_keys(cells: Column, band: int, size: int, step: int) -> Column:
     """Keys of one band of a document's windows of size shingles: minima over cells, then over windows of cells."""
     per, hop = size // CELL, step // CELL
@@ -110,7 +105,7 @@ def _all_keys(h: Column) -> Column:
     """Keys of all windows of all sizes of a document with shingle hashes h."""
 
     def of(band: int, mask: int) -> Column:
-        return _let(_cells(h, mask), lambda c: F.concat(*[_window_keys(c, band, size, step) for size, step in WINDOWS if size > 1]))
+        return let(_cells(h, mask), lambda c: F.concat(*[_window_keys(c, band, size, step) for size, step in WINDOWS if size > 1]))
 
     keys = F.concat(h, *[of(k, m) for k, m in enumerate(MASKS)])
     return F.when(F.size(h) > 0, keys).otherwise(F.array().cast("array<bigint>"))
@@ -146,7 +141,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
     known = sorted(set(keys))
     hit = lambda x: x.isin(known) if known else F.lit(False)
     d = docs.select("doc_id", words_of(text_or_empty("text")).alias("words"))
-    found = _let(_hashes(F.col("words")), lambda h: F.array_distinct(F.filter(_all_keys(h), hit)))
+    found = let(_hashes(F.col("words")), lambda h: F.array_distinct(F.filter(_all_keys(h), hit)))
     # The row number keeps the optimizer from computing found twice, once for the filter and once for its use.
     d = d.select("doc_id", "words", found.alias("found"), F.monotonically_increasing_id().alias("_row"))
     d = d.filter((F.size("found") > 0) & (F.col("_row") >= 0))

@@ -15,7 +15,8 @@ reruns agree, and lost tasks redo the same draws.
 
 Nulls: a null text has no words; a null source is a source of its own, last in order; a null doc_id has a place like
 any other. Documents without words are taken with their place (0 words). Rows equal in every column share a place and
-are taken together. An empty table gives no rows. Further columns are kept by mix() and never read.
+are taken together. An empty table gives no rows. Further columns are kept by
+deal() and read only to tell rows apart.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, row_hash, small, staged, table, text_or_empty
+from quire.llm.common import WORD, row_hash, small, staged, table, text_or_empty, whole
 
 BLOCK_BITS = 10
 BLOCKS = 1 << BLOCK_BITS
@@ -141,31 +142,30 @@ def plan(items: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     return per, blocks.select("source", "block", "rank")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int = SHARDS, seed: int = 42) -> DataFrame:
-    """docs with size, source_size, target, copies, taken and shards (the output shard of each copy)."""
-    own = docs.columns
-    keyed = docs.withColumn("_u", place(seed)).withColumn("_rh", row_hash(docs)).withColumn("_block", block_of(F.col("_u"))).withColumn("_size", n_words("text"))
-    items = staged(keyed.select("source", F.col("_size").alias("size"), F.col("_u").alias("u"), F.col("_rh").alias("row_hash")), "mix_items")
+def taken(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int = SHARDS, seed: int = 42) -> DataFrame:
+    """_doc (docs' columns) with _size, _source_size, _target, _copies and _shards (the output shard of each copy)."""
+    u = place(seed)
+    keyed = docs.select(whole(docs), F.col("source").alias("_source"), u.alias("_u"), row_hash(docs).alias("_rh"), block_of(u).alias("_block"), n_words("text").alias("_size"))
+    items = staged(keyed.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_u").alias("u"), F.col("_rh").alias("row_hash")), "mix_items")
     per, blocks = plan(items, weights, share, cap, shards, seed)
     p = small(per.select(F.col("source").alias("p_source"), F.struct("source_size", "target", "passes", "n_blocks", "cut", "ends").alias("_p")))
     b = small(blocks.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), F.col("rank").alias("_rank")))
-    out = keyed.join(p, keyed["source"].eqNullSafe(p["p_source"])).join(b, keyed["source"].eqNullSafe(b["b_source"]) & (keyed["_block"] == b["b_block"]))
+    out = keyed.join(p, keyed["_source"].eqNullSafe(p["p_source"])).join(b, keyed["_source"].eqNullSafe(b["b_source"]) & (keyed["_block"] == b["b_block"]))
     part = F.struct(F.col("_u").alias("u"), F.col("_rh").alias("row_hash")) <= F.col("_p.cut")
     copies = (F.col("_p.passes") + part.cast("int")).cast("int")
     of_pass = lambda k: F.size(F.filter(F.col("_p.ends"), lambda e: e <= F.col("_rank") + F.col("_p.n_blocks") * k)).cast("int")
-    rounds = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
+    rounds = F.when(F.col("_copies") > 0, F.sequence(F.lit(0), F.col("_copies") - 1)).otherwise(F.array().cast("array<int>"))
     out = out.withColumn("_copies", copies).withColumn("_shards", F.transform(rounds, of_pass))
-    added = [F.col("_size").alias("size"), F.col("_p.source_size").alias("source_size"), F.col("_p.target").alias("target"), F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"), F.col("_shards").alias("shards")]
-    names = ("size", "source_size", "target", "copies", "taken", "shards")
-    return out.select(*[c for c in own if c not in names], *added)
+    return out.select("_doc", "_size", F.col("_p.source_size").alias("_source_size"), F.col("_p.target").alias("_target"), "_copies", "_shards")
 
 
 def deal(docs: DataFrame, shards: int = SHARDS, seed: int = 42, **how) -> DataFrame:
-    """The mix itself: a row for each copy, with its output shard, shuffled inside it."""
-    out = mix(docs, shards=shards, seed=seed, **how).select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards", "copies")
-    return out.repartition(F.col("shard"), F.pmod(F.xxhash64("doc_id", "copy"), F.lit(64))).sortWithinPartitions("shard", F.xxhash64("doc_id", "copy", "shard", F.lit(seed)))
+    """The mix itself: docs' columns, a row for each copy, by output shard and shuffled inside it."""
+    out = taken(docs, shards=shards, seed=seed, **how).select("_doc", F.posexplode("_shards").alias("_copy", "_shard"))
+    return out.repartition(F.col("_shard"), F.pmod(F.xxhash64("_doc.doc_id", "_copy"), F.lit(64))).sortWithinPartitions("_shard", F.xxhash64("_doc.doc_id", "_copy", "_shard", F.lit(seed))).select("_doc.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
+    words = (F.col("_copies") * F.col("_size")).cast("long").alias("taken")
+    return taken(docs).select("_doc.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), words, F.col("_copies").alias("copies"), F.col("_shards").alias("shards"))

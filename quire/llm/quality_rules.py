@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, small, staged, table
+from quire.llm.common import SPACES, small, staged, table, whole
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -194,12 +194,11 @@ def estimates(points: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, text: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
-    """docs (or keep_columns of it) with _q (counts), _base_failed, _distance (null: no estimate) and _kept."""
-    cols = docs.columns if keep_columns is None else keep_columns
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    rows = docs.withColumn("_q", counts_column(text)).withColumn("_lang", lang).withColumn("_source", source)
-    rows = staged(rows.select(*cols, "_q", "_lang", "_source"), "quality_counts")
+    """_doc (docs' columns, or keep_columns of them) with _q (counts), _base_failed, _distance (null: no estimate), _kept."""
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    source = F.col("source") if "source" in docs.columns else F.lit(None)
+    rows = docs.select(whole(docs, keep_columns), counts_column(text).alias("_q"), lang.cast("string").alias("_lang"), source.cast("string").alias("_source"))
+    rows = staged(rows, "quality_counts")
     keys = rows.select("*", base_failed().alias("_base_failed"), _key("own", "_lang", "_source").alias("_own"), _key("lang", "_lang").alias("_by_lang"), F.lit("all").alias("_all"))
     x = [c.alias(n) for c, n in zip(vector(), _names(), strict=True)]
     good = keys.filter(~F.col("_base_failed"))
@@ -216,14 +215,14 @@ def score(docs: DataFrame, text: str = "text", keep_columns: list[str] | None =
     judged = keys.join(own, keys["_own"] == own["l_own"], "left").drop("l_own")
     judged = _with(judged, best, "left").withColumn("_distance", _distance(vector()))
     kept = ~F.col("_base_failed") & (F.coalesce(F.col("_distance"), F.lit(0.0)) <= CUT)
-    return judged.withColumn("_kept", kept).select(*cols, "_q", "_base_failed", "_distance", "_kept")
+    return judged.withColumn("_kept", kept).select("_doc", "_q", "_base_failed", "_distance", "_kept")
 
 
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with their columns as they were."""
-    return score(docs, text).filter("_kept").select(*docs.columns)
+    return score(docs, text).filter("_kept").select("_doc.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return score(docs, keep_columns=["doc_id"]).select("doc_id", "_q.*", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_distance").alias("distance"))
+    return score(docs, keep_columns=["doc_id"]).select("_doc.doc_id", "_q.*", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_distance").alias("distance"))

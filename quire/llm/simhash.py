@@ -216,8 +216,7 @@ def _is_small(df: DataFrame) -> bool:
 
 def grouped(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, row_hash, fp, component_id and kept (one row, of the smallest doc_id) of every row of docs."""
-    rows = docs.withColumn("_rh", row_hash(docs)).withColumn("_fp", fingerprint_column(text))
-    rows = staged(rows.select("doc_id", F.col("_rh").alias("row_hash"), F.col("_fp").alias("fp")), "fingerprints")
+    rows = staged(docs.select("doc_id", row_hash(docs).alias("row_hash"), fingerprint_column(text).alias("fp")), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_hash")).alias("first")
     points = staged(rows.groupBy("fp").agg(first), "points")
     found = components(links(points.select("fp"), points.count()))
