@@ -18,19 +18,25 @@ BLOCK_OF_SIZE, BLOCK_LEAST, SHIFT = 1.5, 4.0, 40.0
 
 
 def _merged(groups: DataFrame, keys: list[str], pos: str, sep: str) -> DataFrame:
-    """Box, ordered text, dominant font (first seen on a tie), mean size, first colour of each group of rows."""
-    fonts = groups.groupBy(*keys, "fontname").agg(F.count("*").alias("_n"), F.min(pos).alias("_first"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("size").alias("_size"), F.min_by("color", pos).alias("color"), F.collect_list(F.struct(F.col(pos).alias("p"), F.col("text").alias("t"))).alias("_parts"))
-    all_ = fonts.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("_parts"))), lambda x: x["t"]), sep).alias("text"),
+    """Box, ordered text, dominant font (first seen on a tie), mean size, first colour of each group of rows.
+
+    One aggregation; fonts are counted in the group's own array, of which most groups have one.
+    """
+    rows = groups.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("text").alias("t"), F.col("fontname").alias("f")))).alias("_rows"),
         F.min("x0").alias("x0"),
         F.min("y0").alias("y0"),
         F.max("x1").alias("x1"),
         F.max("y1").alias("y1"),
-        F.max_by("fontname", F.struct(F.col("_n"), -F.col("_first"))).alias("fontname"),
-        F.bround(F.sum("_size") / F.sum("_n"), 2).alias("size"),
-        F.min_by("color", "_first").alias("color"),
+        F.sum("size").alias("_size"),
+        F.min(F.struct(F.col(pos).alias("p"), F.col("color").alias("c"))).alias("_color"),
     )
-    return all_
+    fonts = F.col("_rows")["f"]
+    # Distinct keeps the order of first sight, so among equal counts the largest negated place is the first seen.
+    kinds = F.array_distinct(fonts)
+    counted = F.transform(kinds, lambda f, i: F.struct(F.size(F.filter(fonts, lambda g: g.eqNullSafe(f))).alias("n"), (-i).alias("i"), f.alias("f")))
+    font = F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).otherwise(F.array_max(counted)["f"])
+    return rows.select(*keys, F.array_join(F.col("_rows")["t"], sep).alias("text"), "x0", "y0", "x1", "y1", font.alias("fontname"), F.bround(F.col("_size") / F.size("_rows"), 2).alias("size"), F.col("_color")["c"].alias("color"))
 
 
 def filter_chars(chars: DataFrame) -> DataFrame:
