@@ -40,7 +40,7 @@ SCOPES = frozenset("ul ol dl table article main section div body html nav aside
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。、，！？；：]")
-SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
+SPACE = re.compile(r"\s+")
 SIGMA = 1.0
 SHARE = 0.5
 REGION = 0.9
@@ -128,7 +128,7 @@ def blocks(page: str) -> list[_Block]:
 
 
 def _clean(parts: list[str]) -> str:
-    return SPACE.sub(" ", html.unescape("".join(parts))).strip(" ")
+    return SPACE.sub(" ", html.unescape("".join(parts))).strip()
 
 
 def _smooth(values: list[float]) -> list[float]:

@@ -26,7 +26,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_main_text():
-    assert html_extract.main_text(PAGE) == "The & title\nFirst line, with a link.\nSecond <one>.\none\ntwo\nc1\nc2"
+    assert html_extract.main_text(PAGE) == "The & title\nFirst line, with a link.\nSecond <one>.\none\ntwo\nc1\nc2"
 
 
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("  ", ""), ("<p></p>", ""), ("plain text", "plain text"), ("<article><p>cut of", "cut of"), ("<article><p>a &am", "a &am"), ("<article><p>a</p><p cla", "a"), ("<nav>x</nav>", ""), ("<article><p>1 < 2</p></article>", "1 < 2"), ('<article><p title="a>b">q</p></article>', "q")])
