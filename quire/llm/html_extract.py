@@ -37,7 +37,7 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article main section div body html nav aside header footer td th".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。、，！？；：]")
 SPACE = re.compile(r"\s+")
@@ -58,9 +58,10 @@ def _names(attrs: str) -> list[str]:
 
 
 def _is_furniture(tag: str, names: list[str], within: tuple[str, ...]) -> bool:
-    if tag == "header" and any(p.startswith(("article", "main")) for p in within):
-        return False  # an article's own heading
-    return tag in FURNITURE or not NAMES.isdisjoint(names)
+    own = FURNITURE, NAMES
+    if any(p.split(".")[0] in ("article", "main") for p in within):
+        own = FURNITURE - {"header"}, NAMES - {"header"}  # an article's own heading
+    return tag in own[0] or not own[1].isdisjoint(names)
 
 
 def blocks(page: str) -> list[_Block]:
