@@ -33,9 +33,16 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, STRIP, "")
 
 
+def rounded(c: Column, places: int) -> Column:
+    """Half-way values to even; values that have no further places are left alone, which is much cheaper."""
+    scaled = c * float(10**places)
+    return F.when(scaled == F.floor(scaled), c).otherwise(F.bround(c, places))
+
+
 def visible_char(text: Column) -> Column:
     """Non-empty, and no white space but the plain space."""
-    return (F.length(text) > 0) & ((text == " ") | ~text.rlike(r"(?U)^\s+$"))
+    plain = text.between("!", "~")  # most characters, without a pattern
+    return (F.length(text) > 0) & (plain | (text == " ") | ~text.rlike(r"(?U)^\s+$"))
 
 
 def font_family(font: Column) -> Column:

@@ -65,10 +65,10 @@ def rendered(blocks: DataFrame) -> DataFrame:
 
 def document_json(pages: DataFrame, blocks: DataFrame, edges: DataFrame, source: str, pretty: bool = False) -> DataFrame:
     """doc_id and the document as JSON: pages, blocks, styles, spans, reading graph; empty parts are left out."""
-    p = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "width", "height", F.lit(0).alias("rotation"), F.lit("pt").alias("unit")))).alias("pages"))
+    p = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "width", "height", F.lit(0).alias("rotation"), F.lit("pt").alias("unit")))).alias("pages"))
     fields = F.struct("page_number", "reading_order", "block_idx", F.struct("id", F.col("block_type").alias("type"), "role", F.col("page_number").alias("page"), "bbox", "bbox_norm", "reading_order", F.lit(0).alias("z_index"), "text", "style_id", "html", "html_template").alias("b"), F.struct(F.concat(F.lit("s-"), "id").alias("id"), F.col("id").alias("block_id"), "text", "bbox", "bbox_norm", "style_id").alias("s"), F.struct("style_id", "_style").alias("y"))
-    b = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(fields)).alias("rows"))
-    e = edges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("from", "to", "relation"))).alias("reading_graph"))
+    b = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(fields)).alias("rows"))
+    e = edges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("from", "to", "relation"))).alias("reading_graph"))
     j = p.join(b, "doc_id", "left").join(e, "doc_id", "left")
     part = lambda f: F.transform("rows", lambda r: r[f])
     doc = F.struct(

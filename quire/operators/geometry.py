@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.layout import font_family, stable_id, visible_char
+from quire.functions.layout import font_family, rounded, stable_id, visible_char
 
 PAGE = ("doc_id", "page_number")
 # Gap and tolerance factors of the document format.
@@ -23,7 +23,7 @@ def _merged(groups: DataFrame, keys: list[str], pos: str, sep: str) -> DataFrame
     One aggregation; fonts are counted in the group's own array, of which most groups have one.
     """
     rows = groups.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("text").alias("t"), F.col("fontname").alias("f")))).alias("_rows"),
+        F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("text").alias("t"), F.col("fontname").alias("f")))).alias("_rows"),
         F.min("x0").alias("x0"),
         F.min("y0").alias("y0"),
         F.max("x1").alias("x1"),
@@ -36,12 +36,12 @@ def _merged(groups: DataFrame, keys: list[str], pos: str, sep: str) -> DataFrame
     kinds = F.array_distinct(fonts)
     counted = F.transform(kinds, lambda f, i: F.struct(F.size(F.filter(fonts, lambda g: g.eqNullSafe(f))).alias("n"), (-i).alias("i"), f.alias("f")))
     font = F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).otherwise(F.array_max(counted)["f"])
-    return rows.select(*keys, F.array_join(F.col("_rows")["t"], sep).alias("text"), "x0", "y0", "x1", "y1", font.alias("fontname"), F.bround(F.col("_size") / F.size("_rows"), 2).alias("size"), F.col("_color")["c"].alias("color"))
+    return rows.select(*keys, F.array_join(F.col("_rows")["t"], sep).alias("text"), "x0", "y0", "x1", "y1", font.alias("fontname"), rounded(F.col("_size") / F.size("_rows"), 2).alias("size"), F.col("_color")["c"].alias("color"))
 
 
 def filter_chars(chars: DataFrame) -> DataFrame:
     """Without empty characters and white space other than the plain space; sizes to two places."""
-    return chars.filter(visible_char(F.col("text"))).withColumn("size", F.bround("size", 2))
+    return chars.filter(visible_char(F.col("text"))).withColumn("size", rounded(F.col("size"), 2))
 
 
 def build_words(chars: DataFrame) -> DataFrame:
@@ -49,16 +49,17 @@ def build_words(chars: DataFrame) -> DataFrame:
 
     Only the previous character matters, so a lag finds the breaks and a running sum numbers the words.
     """
-    order = Window.partitionBy(*PAGE).orderBy(F.bround("y0", 1), "x0", "char_idx")
-    prev = F.lag(F.struct("x0", "y0", "x1", "y1", "size")).over(order)
-    c = chars.withColumn("_prev", prev).withColumn("_pos", F.row_number().over(order))
-    p = F.col("_prev")
+    order = Window.partitionBy(*PAGE).orderBy("_row", "x0", "char_idx")
+    c = chars.withColumn("_row", rounded(F.col("y0"), 1))
+    names = ("x0", "y0", "x1", "y1", "size")
+    c = c.withColumns({f"_p_{n}": F.lag(n).over(order) for n in names} | {"_pos": F.row_number().over(order)})
+    p = {n: F.col(f"_p_{n}") for n in names}
     overlap = F.least(p["y1"], F.col("y1")) - F.greatest(p["y0"], F.col("y0"))
     least = F.least(p["y1"] - p["y0"], F.col("y1") - F.col("y0"))
     same = (overlap > 0) & (overlap / F.greatest(least, F.lit(0.1)) > 0.5)
     mean = (p["x1"] - p["x0"] + F.col("x1") - F.col("x0")) / 2.0
     near = F.col("x0") - p["x1"] <= F.greatest(mean * GAP_OF_WIDTH, p["size"] * GAP_OF_SIZE)
-    start = F.when(p.isNotNull() & same & near, 0).otherwise(1)
+    start = F.when((F.col("_pos") > 1) & same & near, 0).otherwise(1)
     c = c.withColumn("_start", start).withColumn("word_idx", (F.sum("_start").over(order) - 1).cast("int"))
     return _merged(c, [*PAGE, "word_idx"], "_pos", "")
 
@@ -82,7 +83,7 @@ def assign_lines(words: DataFrame) -> DataFrame:
     """words with line_idx."""
     order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "word_idx")
     w = words.withColumn("_n", F.row_number().over(order))
-    pages = w.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), ((F.col("y0") + F.col("y1")) / 2.0).alias("mid"), F.col("size")))).alias("_rows"))
+    pages = w.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), ((F.col("y0") + F.col("y1")) / 2.0).alias("mid"), F.col("size")))).alias("_rows"))
     starts = pages.select(*PAGE, F.posexplode(_breaks(F.col("_rows"), LINE_OF_SIZE, LINE_LEAST)).alias("_line", "_n"))
     marked = w.join(starts, [*PAGE, "_n"], "left")
     return marked.withColumn("line_idx", F.last("_line", ignorenulls=True).over(Window.partitionBy(*PAGE).orderBy("_n")).cast("int")).drop("_line", "_n")

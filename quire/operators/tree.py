@@ -59,7 +59,7 @@ def type_counts(blocks: DataFrame) -> DataFrame:
 
 
 def type_count_maps(blocks: DataFrame) -> DataFrame:
-    return type_counts(blocks).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("block_type", "n")))).alias("block_type_counts"))
+    return type_counts(blocks).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("block_type", "n")))).alias("block_type_counts"))
 
 
 def metrics(blocks: DataFrame) -> DataFrame:
@@ -155,10 +155,10 @@ def export_html(blocks: DataFrame, titles: DataFrame) -> DataFrame:
     """doc_id and the whole page as one text; titles (doc_id, title)."""
     pieces = html_pieces(blocks)
     pages = blocks.select("doc_id", "page_number").distinct()
-    body = pages.join(pieces, ["doc_id", "page_number"], "left").groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("key", "piece")))), lambda x: x["piece"]), "\n").alias("inner"))
+    body = pages.join(pieces, ["doc_id", "page_number"], "left").groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("key", "piece")))), lambda x: x["piece"]), "\n").alias("inner"))
     inner = F.when(F.col("inner") == "", F.lit("")).otherwise(F.concat(F.col("inner"), F.lit("\n")))
     page = F.concat(F.lit("<div class='page' id='page-"), F.col("page_number").cast("string"), F.lit("'>\n"), inner, F.lit("</div>"))
-    docs = body.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", page.alias("h")))), lambda x: x["h"]), "\n" + PAGE_BREAK + "\n").alias("pages"))
+    docs = body.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", page.alias("h")))), lambda x: x["h"]), "\n" + PAGE_BREAK + "\n").alias("pages"))
     title = escaped(F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise("Document"))
     top = F.concat(F.lit("<!DOCTYPE html>\n<html>\n<head>\n  <title>"), title, F.lit("</title>\n" + HEAD_STYLE + "\n</head>\n<body>\n"))
     return titles.join(docs, "doc_id").select("doc_id", F.concat(top, F.col("pages"), F.lit("\n</body>\n</html>")).alias("html"))

@@ -11,10 +11,10 @@ DEPTH = 3
 def as_marker_json(blocks: DataFrame) -> DataFrame:
     """tree rows as converter JSON, two levels of children: doc_id, json."""
     cell = F.struct("id", "block_type", "html", "bbox")
-    kids = blocks.filter(F.size("path") == 2).groupBy("doc_id", "page_number", F.slice("path", 1, 1).alias("root")).agg(F.transform(F.array_sort(F.collect_list(F.struct("path", cell.alias("b")))), lambda x: x["b"]).alias("children"))
+    kids = blocks.filter(F.size("path") == 2).groupBy("doc_id", "page_number", F.slice("path", 1, 1).alias("root")).agg(F.transform(F.sort_array(F.collect_list(F.struct("path", cell.alias("b")))), lambda x: x["b"]).alias("children"))
     top = blocks.filter(F.size("path") == 1).withColumn("root", F.col("path")).join(kids, ["doc_id", "page_number", "root"], "left")
-    page = top.groupBy("doc_id", "page_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", F.struct("id", "block_type", "html", "bbox", "children").alias("b")))), lambda x: x["b"]).alias("children"))
-    pages = page.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", F.struct(F.array(F.lit(0), F.lit(0), F.lit(612), F.lit(792)).alias("bbox"), "children").alias("p")))).alias("pages"))
+    page = top.groupBy("doc_id", "page_number").agg(F.transform(F.sort_array(F.collect_list(F.struct("path", F.struct("id", "block_type", "html", "bbox", "children").alias("b")))), lambda x: x["b"]).alias("children"))
+    pages = page.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", F.struct(F.array(F.lit(0), F.lit(0), F.lit(612), F.lit(792)).alias("bbox"), "children").alias("p")))).alias("pages"))
     return pages.select("doc_id", F.to_json(F.struct(F.transform("pages", lambda p: p["p"]).alias("children"))).alias("json"))
 
 
