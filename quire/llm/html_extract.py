@@ -3,9 +3,10 @@
 A page is read as text nodes in order, each with its root-to-leaf path of block tags (with their class and id; inline
 tags are no part of a path). Nodes of one path are aggregated: mean text length per node, and punctuation marks per
 node. Both ratios are smoothed along the page with a Gaussian window over the nodes and fused (geometric mean), and
-paths over a share of the page's spread are content paths. The content region is the deepest element that holds nearly
-all of the content paths' text (an article or main element if one holds it); from it every block is
-taken in page order, short ones too, except in menus, headers, footers, sidebars, notices, adverts, forms, comments.
+paths over a share of the page's spread are content paths. The content region is an article, else a main element, if
+one holds all of the content paths' text; else it is the deepest element that holds nearly all of it, with every article
+that has some. From it every block is taken in page order, short ones too, except in menus, headers, footers, sidebars,
+notices, adverts, forms, comments.
 
 Nulls and pages without text give an empty text; a null page_id is reported as null; repeated rows repeatedly; very
 long pages are read whole. Markup that breaks off is closed at its end. Further columns are not read.
@@ -164,8 +165,8 @@ def fused_ratios(nodes: list[tuple[tuple[str, ...], str]]) -> dict[tuple[str, ..
     return {p: sum(v) / len(v) for p, v in top.items()}
 
 
-def _region(nodes: list[tuple[tuple[str, ...], str]]) -> tuple[str, ...]:
-    """The path of the element that holds the content."""
+def _regions(nodes: list[tuple[tuple[str, ...], str]]) -> list[tuple[str, ...]]:
+    """The paths of the elements that hold the content."""
     ratios = fused_ratios(nodes)
     values = [ratios[p] for p, _ in nodes]
     mean = sum(values) / len(values)
@@ -179,14 +180,14 @@ def _region(nodes: list[tuple[tuple[str, ...], str]]) -> tuple[str, ...]:
             for d in range(len(path) + 1):
                 weight[path[:d]] += len(text)
     for name in ("article", "main"):
-        own = [p for p in weight if p and re.split(r"[.]", p[-1])[0] == name]
+        own = [p for p in weight if p and p[-1].split(".")[0] == name and weight[p] >= total]
         if own:
-            return max(own, key=lambda p: (weight[p], -len(p)))
+            return [min(own, key=len)]
     deepest: tuple[str, ...] = ()
     for p, w in weight.items():
         if w >= REGION * total and len(p) > len(deepest) and (not p or p[-1].split(".")[0] not in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "dd", "dt")):
             deepest = p
-    return deepest
+    return [deepest, *(p for p in weight if p and p[-1].split(".")[0] == "article")]
 
 
 def main_text(page: str | None) -> str:
@@ -196,8 +197,8 @@ def main_text(page: str | None) -> str:
     nodes = [(b.path, t) for b in blocks(page) if not b.furniture and (t := _clean(b.parts))]
     if not nodes:
         return ""
-    region = _region(nodes)
-    return "\n".join(t for p, t in nodes if p[: len(region)] == region)
+    regions = _regions(nodes)
+    return "\n".join(t for p, t in nodes if any(p[: len(r)] == r for r in regions))
 
 
 def main_text_column(page: str = "html") -> Column:

@@ -41,6 +41,20 @@ def test_main_text_without_article():
     assert got.startswith("Head\nThis is paragraph 0") and got.endswith("and on.") and "Home" not in got and "Imprint" not in got
 
 
+def sentences(n, word="text"):
+    return "".join(f"<p>Sentence {i} of the {word}, long enough to be told from menus, goes on here. And it ends.</p>" for i in range(n))
+
+
+def test_main_text_beside_an_article():
+    """An article that does not hold the content does not stand for the page."""
+    page = f"<html><body><main><div class='story'>{sentences(90, 'story')}</div><article class='card'><p>A teaser, short, but with marks.</p></article></main></body></html>"
+    got = html_extract.main_text(page)
+    assert got.count("of the story") == 90 and "teaser" in got
+    page = f"<html><body><article class='post-1'>{sentences(9, 'first')}</article><article class='post-2'>{sentences(4, 'second')}</article><article class='post-3'>{sentences(60, 'third')}<p>End</p></article></body></html>"
+    got = html_extract.main_text(page)
+    assert [got.count(f"of the {w}") for w in ("first", "second", "third")] == [9, 4, 60] and got.endswith("\nEnd")
+
+
 def test_main_text_of_pages(spark):
     """The tables' pages have one article of h1 and p: brute force by pattern."""
     import html as h
