@@ -5,8 +5,8 @@ tags are no part of a path). Nodes of one path are aggregated: mean text length
 node. Both ratios are smoothed along the page with a Gaussian window over the nodes and fused (geometric mean), and
 paths over a share of the page's spread are content paths. The content region is an article, else a main element, if
 one holds all of the content paths' text; else it is the deepest element that holds nearly all of it, with every article
-that has some. From it every block is taken in page order, short ones too, except in menus, headers, footers, sidebars,
-notices, adverts, forms, comments.
+that has some, and with each element beside it (or beside what it is in) that has some. From it every block is taken in
+page order, short ones too, except in menus, headers, footers, sidebars, notices, adverts, forms, comments.
 
 Nulls and pages without text give an empty text; a null page_id is reported as null; repeated rows repeatedly; very
 long pages are read whole. Markup that breaks off is closed at its end. Further columns are not read.
@@ -45,6 +45,8 @@ SPACE = re.compile(r"\s+")
 SIGMA = 1.0
 SHARE = 0.5
 REGION = 0.9
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = HEADINGS | frozenset("p li td pre blockquote dd dt".split())
 
 
 class _Block:
@@ -165,17 +167,38 @@ def fused_ratios(nodes: list[tuple[tuple[str, ...], str]]) -> dict[tuple[str, ..
     return {p: sum(v) / len(v) for p, v in top.items()}
 
 
-def _regions(nodes: list[tuple[tuple[str, ...], str]]) -> list[tuple[str, ...]]:
-    """The paths of the elements that hold the content."""
+def _content(nodes: list[tuple[tuple[str, ...], str]]) -> set[tuple[str, ...]]:
+    """The content paths: those over the cut.
+
+    Smoothing also lifts short paths beside long ones, and on even pages the cut is low. So a path without punctuation
+    counts only if it is a heading of what follows, or if its own ratio is over SHARE of the mean too.
+    """
     ratios = fused_ratios(nodes)
     values = [ratios[p] for p, _ in nodes]
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     cut = min(SHARE * spread, max(values))
+    over = {p for p in ratios if ratios[p] >= cut}
+    chars: dict[tuple[str, ...], int] = defaultdict(int)
+    marks: dict[tuple[str, ...], int] = defaultdict(int)
+    count: dict[tuple[str, ...], int] = defaultdict(int)
+    for path, text in nodes:
+        chars[path] += len(text)
+        marks[path] += len(PUNCTUATION.findall(text))
+        count[path] += 1
+    out = {p for p in over if marks[p] or math.sqrt(chars[p] * 0.5) / count[p] >= max(cut, SHARE * mean)}
+    for (path, _), (after, _) in zip(nodes[-2::-1], nodes[::-1], strict=False):
+        if after in out and path in over and path and path[-1].split(".")[0] in HEADINGS:
+            out.add(path)
+    return out or over
+
+
+def _regions(nodes: list[tuple[tuple[str, ...], str]], content: set[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """The paths of the elements that hold the content; all of content is in them."""
     weight: dict[tuple[str, ...], float] = defaultdict(float)
     total = 0.0
     for path, text in nodes:
-        if ratios[path] >= cut:
+        if path in content:
             total += len(text)
             for d in range(len(path) + 1):
                 weight[path[:d]] += len(text)
@@ -185,9 +208,14 @@ def _regions(nodes: list[tuple[tuple[str, ...], str]]) -> list[tuple[str, ...]]:
             return [min(own, key=len)]
     deepest: tuple[str, ...] = ()
     for p, w in weight.items():
-        if w >= REGION * total and len(p) > len(deepest) and (not p or p[-1].split(".")[0] not in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "dd", "dt")):
+        if w >= REGION * total and len(p) > len(deepest) and (not p or p[-1].split(".")[0] not in LEAVES):
             deepest = p
-    return [deepest, *(p for p in weight if p and p[-1].split(".")[0] == "article")]
+    out = {deepest, *(p for p in weight if p and p[-1].split(".")[0] == "article")}
+    for p in content:
+        d = next((d for d, (a, b) in enumerate(zip(p, deepest, strict=False)) if a != b), min(len(p), len(deepest)))
+        if d < min(len(p), len(deepest)):
+            out.add(p[: d + 1])
+    return list(out)
 
 
 def main_text(page: str | None) -> str:
@@ -197,8 +225,9 @@ def main_text(page: str | None) -> str:
     nodes = [(b.path, t) for b in blocks(page) if not b.furniture and (t := _clean(b.parts))]
     if not nodes:
         return ""
-    regions = _regions(nodes)
-    return "\n".join(t for p, t in nodes if any(p[: len(r)] == r for r in regions))
+    content = _content(nodes)
+    regions = _regions(nodes, content)
+    return "\n".join(t for p, t in nodes if p in content or any(p[: len(r)] == r for r in regions))
 
 
 def main_text_column(page: str = "html") -> Column:

@@ -55,6 +55,16 @@ def test_main_text_beside_an_article():
     assert [got.count(f"of the {w}") for w in ("first", "second", "third")] == [9, 4, 60] and got.endswith("\nEnd")
 
 
+@pytest.mark.parametrize("n", [20, 300])
+def test_main_text_beside_the_body(n):
+    """Content beside the longest element is kept, however long that is; menus beside a long one are not."""
+    lead = "<div class='lead'><p>The lead, of two hundred characters or so, says what the story is about, and who wrote it. It is a paragraph like others, only in an element of its own.</p><ul><li>x</li></ul></div>"
+    page = f"<html><body><div class='top'><a>Home</a> <a>News</a></div><div class='links'><p>One</p><p>Two</p></div><h1>The title of the story</h1>{lead}<div class='story'>{sentences(n)}</div><section><p>The last section, short.</p></section><div class='foot'>Imprint</div></body></html>"
+    got = html_extract.main_text(page)
+    assert "The title of the story\nThe lead, of" in got and "And it ends.\nThe last section, short." in got
+    assert got.count("of the text") == n and "\nx\n" in got and (n == 20 or "Home" not in got and "Imprint" not in got)
+
+
 def test_main_text_of_pages(spark):
     """The tables' pages have one article of h1 and p: brute force by pattern."""
     import html as h
