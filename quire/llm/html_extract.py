@@ -6,7 +6,10 @@ node. Both ratios are smoothed along the page with a Gaussian window over the no
 paths over a share of the page's spread are content paths. The content region is an article, else a main element, if
 one holds all of the content paths' text; else it is the deepest element that holds nearly all of it, with every article
 that has some, and with each element beside it (or beside what it is in) that has some. From it every block is taken in
-page order, short ones too, except in menus, headers, footers, sidebars, notices, adverts, forms, comments.
+page order, short ones too, except in menus, headers, footers, sidebars, notices, adverts, forms, comments. Those are
+told by tags and by words of class, id and role. The path ratios overrule words and forms: an element that holds most of
+the content paths' text is no furniture (for comments, nearly all; and, beside an article or main element with content,
+only forms and names like has-sidebar), and body, main and article elements never are by name.
 
 Nulls and pages without text give an empty text; a null page_id is reported as null; repeated rows repeatedly; very
 long pages are read whole. Markup that breaks off is closed at its end. Further columns are not read.
@@ -42,35 +45,57 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。、，！？；：]")
 SPACE = re.compile(r"\s+")
+#: Elements that no name makes furniture, names of readers' replies, and words by which a name tells of something inside.
+CONTAINERS = frozenset("html body main article".split())
+REPLIES = frozenset("comment comments commentlist disqus reply replies respond".split())
+MODIFIERS = frozenset("with without has have no open opened closed enabled disabled".split())
 SIGMA = 1.0
 SHARE = 0.5
 REGION = 0.9
+#: The share of the content paths' text over which a named element is no furniture; replies often outweigh an article.
+MOST = 0.5
+MOST_REPLIES = 0.95
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVES = HEADINGS | frozenset("p li td pre blockquote dd dt".split())
 
 
 class _Block:
-    __slots__ = ("path", "parts", "furniture")
+    __slots__ = ("path", "parts", "kinds")
 
-    def __init__(self, path: tuple[str, ...], furniture: bool) -> None:
-        self.path, self.parts, self.furniture = path, [], furniture
+    def __init__(self, path: tuple[str, ...], kinds: tuple[str, ...]) -> None:
+        self.path, self.parts, self.kinds = path, [], kinds
 
+    @property
+    def furniture(self) -> bool:
+        """Whether it is furniture by tags, which nothing overrules."""
+        return "tag" in self.kinds
 
-def _names(attrs: str) -> list[str]:
-    return [w for _, v in ATTR.findall(attrs) for w in re.split(r"[^a-z0-9]+", v.strip("\"'").lower()) if w]
 
+def _names(attrs: str) -> list[list[str]]:
+    """The words of each class, id and role."""
+    return [w for _, v in ATTR.findall(attrs) for x in v.strip("\"'").lower().split() if (w := [y for y in re.split(r"[^a-z0-9]+", x) if y])]
 
-def _is_furniture(tag: str, names: list[str], within: tuple[str, ...]) -> bool:
+
+def _kind(tag: str, names: list[list[str]], within: tuple[str, ...]) -> str:
+    """What makes an element furniture: its tag, a name of replies, another name, a weak hint (form, has-sidebar), or nothing."""
     own = FURNITURE, NAMES
     if any(p.split(".")[0] in ("article", "main") for p in within):
         own = FURNITURE - {"header"}, NAMES - {"header"}  # an article's own heading
-    return tag in own[0] or not own[1].isdisjoint(names)
+    if tag in own[0] and tag != "form":
+        return "tag"
+    if tag in CONTAINERS:
+        return ""
+    hits = [w for w in names if not own[1].isdisjoint(w)]
+    strong = [w for w in hits if MODIFIERS.isdisjoint(w)]
+    if any(not REPLIES.isdisjoint(w) for w in strong):
+        return "replies"
+    return "name" if strong else "hint" if hits or tag == "form" else ""
 
 
 def blocks(page: str) -> list[_Block]:
     """Text blocks in page order with their paths."""
     out: list[_Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path step, furniture
+    stack: list[tuple[str, str, str]] = []  # tag, path step, kind of furniture
     current: _Block | None = None
     at, n = 0, len(page)
 
@@ -81,7 +106,7 @@ def blocks(page: str) -> list[_Block]:
         if current is None:
             if not raw.strip(" \t\n\x0b\x0c\r"):
                 return
-            current = _Block(tuple(s for _, s, _ in stack), any(f for _, _, f in stack))
+            current = _Block(tuple(s for _, s, _ in stack), tuple(k for _, _, k in stack))
             out.append(current)
         current.parts.append(raw)
 
@@ -127,7 +152,7 @@ def blocks(page: str) -> list[_Block]:
                 break
         names = _names(attrs)
         within = tuple(s for _, s, _ in stack)
-        stack.append((tag, ".".join([tag, *sorted(set(names))]), _is_furniture(tag, names, within)))
+        stack.append((tag, ".".join([tag, *sorted({x for w in names for x in w})]), _kind(tag, names, within)))
     return out
 
 
@@ -218,11 +243,48 @@ def _regions(nodes: list[tuple[tuple[str, ...], str]], content: set[tuple[str, .
     return list(out)
 
 
+def _without_named(found: list[tuple[_Block, str]]) -> list[tuple[tuple[str, ...], str]]:
+    """Nodes that are in no furniture by name. Names do not count for an element that holds most of the content."""
+    nodes = [(b.path, t) for b, t in found]
+    if not any(any(b.kinds) for b, _ in found):
+        return nodes
+    content = _content(nodes)
+    held: dict[tuple[str, ...], int] = defaultdict(int)
+    proper: dict[tuple[str, ...], int] = defaultdict(int)  # without replies
+    marked: list[tuple[str, ...]] = []  # content of an article or main element that is in nothing named
+    for b, t in found:
+        if b.path not in content:
+            continue
+        replies = "replies" in b.kinds
+        for d in range(len(b.path) + 1):
+            held[b.path[:d]] += len(t)
+            proper[b.path[:d]] += 0 if replies else len(t)
+        if not any(b.kinds) and any(p.split(".")[0] in ("article", "main") for p in b.path):
+            marked.append(b.path)
+
+    def spared(path: tuple[str, ...], kind: str) -> bool:
+        if kind == "replies":
+            return held[path] >= MOST_REPLIES * held[()]
+        if proper[path] <= MOST * proper[()]:
+            return False
+        return kind == "hint" or not marked or any(p.split(".")[0] in ("article", "main") for p in path)
+
+    known: dict[tuple[str, ...], bool] = {}
+    out = []
+    for b, t in found:
+        for d, kind in enumerate(b.kinds):
+            if kind and (p := b.path[: d + 1]) not in known:
+                known[p] = spared(p, kind)
+        if all(not kind or known[b.path[: d + 1]] for d, kind in enumerate(b.kinds)):
+            out.append((b.path, t))
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, blocks joined by a line feed."""
     if not page:
         return ""
-    nodes = [(b.path, t) for b in blocks(page) if not b.furniture and (t := _clean(b.parts))]
+    nodes = _without_named([(b, t) for b in blocks(page) if not b.furniture and (t := _clean(b.parts))])
     if not nodes:
         return ""
     content = _content(nodes)

@@ -65,6 +65,28 @@ def test_main_text_beside_the_body(n):
     assert got.count("of the text") == n and "\nx\n" in got and (n == 20 or "Home" not in got and "Imprint" not in got)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='single comments-open'><h1>Head</h1>{}</body>",
+        "<body><h1>Head</h1><div id=content class='with-sidebar'>{}</div></body>",
+        "<body><article class='tag-social related'><h1>Head</h1>{}</article></body>",
+        "<body><form action=x><div class=top><a>Home</a></div><h1>Head</h1>{}</form></body>",
+        "<body><div class='widget'><h1>Head</h1>{}</div><div>Imprint</div></body>",
+        "<body><main class='search'><h1>Head</h1><div class='promo'>{}</div></main></body>",
+        "<body><div class='reply'><h1>Head</h1>{}</div></body>",
+        "<body><div class='has-sidebar'><h1>Head</h1>{}</div><div class='sidebar'><p>Links, a lot of them.</p></div><div id=comments><p>Nice, but long, so long. It says a lot, and more than the page. Really, it does, it does.</p></div></body>",
+    ],
+)
+def test_main_text_of_named_containers(page):
+    """No name makes furniture of what holds the content; menus, sidebars and comments beside it still are."""
+    got = html_extract.main_text(page.format(sentences(6)))
+    assert got.count("of the text") == 6 and "Head" in got and "Links" not in got and "Nice" not in got
+    rest = "".join(f"<p>Comment {i}, which is longer than the page, by far, and goes on and on. Yes, it does, on and on.</p>" for i in range(20))
+    assert "Comment" not in html_extract.main_text(f"<body><article>{sentences(6)}</article><div class='related'>{rest}</div></body>")
+    assert "Comment" not in html_extract.main_text(f"<body><div class='story'>{sentences(6)}</div><div id='comments'>{rest}</div></body>")
+
+
 def test_main_text_of_pages(spark):
     """The tables' pages have one article of h1 and p: brute force by pattern."""
     import html as h
