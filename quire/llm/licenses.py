@@ -16,6 +16,9 @@ reported repeatedly. Very long texts are scanned whole. Further columns are not
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ CELL = 4
 MASKS = [((0x9E3779B97F4A7C15 ** (k + 1)) % 2**64) - 2**63 for k in range(BANDS)]
 
 #: Fixed texts: short statements and notices of common licences.
-TEMPLATES = (
+NOTICES = (
     ("mit-line", "Released under the MIT License."),
     ("apache-2.0-line", "Licensed under the Apache License, Version 2.0."),
     ("gpl-3.0-line", "This work is licensed under the GNU General Public License, version 3."),
@@ -53,12 +56,94 @@ TEMPLATES = (
         "isc-notice",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    (
+        "gpl-2.0-notice",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "lgpl-2.1-notice",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "lgpl-3.0-notice",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "agpl-3.0-notice",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    ("mpl-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("epl-2.0-notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("bsd-notice", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("unlicense-notice", "This is free and unencumbered software released into the public domain."),
+    ("public-domain-notice", "This work has been released into the public domain by its author."),
 )
 
+#: Names by which statements call a licence. The full texts are the files of TEXTS.
+SPOKEN = {
+    "mit": ("MIT License", "Expat License", "X11 License"),
+    "isc": ("ISC License",),
+    "zlib": ("zlib License",),
+    "unlicense": ("The Unlicense", "Unlicense License"),
+    "bsd": ("BSD License",),
+    "bsd-2-clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause License"),
+    "bsd-3-clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD-3-Clause License"),
+    "apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License", "Apache-2.0 License", "Apache Software License"),
+    "gpl": ("GNU General Public License", "GPL License"),
+    "gpl-2.0": ("GNU General Public License v2.0", "GNU General Public License, version 2", "GNU GPL v2", "GNU GPL version 2", "GPL version 2", "GPL v2 License", "GPL-2.0 License", "GPLv2 License"),
+    "gpl-3.0": ("GNU General Public License v3.0", "GNU General Public License, version 3", "GNU GPL v3", "GNU GPL version 3", "GPL version 3", "GPL v3 License", "GPL-3.0 License", "GPLv3 License"),
+    "lgpl": ("GNU Lesser General Public License", "LGPL License"),
+    "lgpl-2.1": ("GNU Lesser General Public License v2.1", "GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPL version 2.1", "LGPL-2.1 License", "LGPLv2.1 License"),
+    "lgpl-3.0": ("GNU Lesser General Public License v3.0", "GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPL version 3", "LGPL-3.0 License", "LGPLv3 License"),
+    "agpl-3.0": ("GNU Affero General Public License", "GNU AGPL v3", "AGPL version 3", "AGPL-3.0 License", "AGPLv3 License"),
+    "mpl-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0 License", "MPL-2.0 License"),
+    "epl-1.0": ("Eclipse Public License 1.0", "Eclipse Public License v1.0", "EPL-1.0 License"),
+    "epl-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License, version 2.0", "EPL-2.0 License"),
+    "bsl-1.0": ("Boost Software License",),
+    "artistic": ("Artistic License",),
+    "wtfpl": ("WTFPL License",),
+    "ofl-1.1": ("SIL Open Font License", "OFL-1.1 License"),
+    "gfdl": ("GNU Free Documentation License",),
+    "psf-2.0": ("Python Software Foundation License", "PSF License"),
+    "cc0-1.0": ("Creative Commons Zero", "Creative Commons CC0", "CC0 1.0 Universal", "CC0 1.0 license", "CC0 license"),
+    **{
+        f"cc-{k}-{v}": (f"Creative Commons {long} {v}", f"CC {k.upper()} {v}", f"CC-{k.upper()} {v} license")
+        for k, long in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc", "Attribution-NonCommercial"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"))
+        for v in ("3.0", "4.0")
+    },
+}
+VERBS = ("licensed", "released", "distributed", "available", "provided")
+TEXTS = Path(__file__).parent / "license_texts"
+
+
+def _plain(text: str) -> tuple[str, ...]:
+    """Words of a fixed text, as words_of has them."""
+    return tuple(x for w in text.lower().split() if (x := w.strip(OUTER)))
+
+
+def _statements() -> list[tuple[str, str]]:
+    """One-line forms. Forms of five words have one shingle; a name of more needs no verb."""
+    seen, out = {_plain(t) for _, t in NOTICES}, []
+    for license_id, names in SPOKEN.items():
+        n = 0
+        for name in names:
+            the = name if name.startswith("The ") else f"the {name}"
+            forms = [f"terms of {the}", f"under {the}", f"under {name}", *([f"under a {name}"] if name.startswith("Creative") else [])]
+            forms = [x for f in forms for x in ([f] if len(_plain(f)) >= SHINGLE else [f"the {f}"] if f.startswith("terms") else [f"{v} {f}" for v in VERBS])]
+            for form in forms:
+                words = _plain(form)
+                if len(words) >= SHINGLE and words not in seen:
+                    seen.add(words)
+                    n += 1
+                    out.append((f"{license_id}-line-{n}", form))
+    return out
+
 
 #: Outer punctuation of a word that does not count.
 OUTER = "[]().,;:!?'\"`*_<>{}"
 
+TEMPLATES = (*NOTICES, *_statements(), *((f"{p.stem}-text", p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))))
+
 
 def words_of(text: Column) -> Column:
     """Words in lower case without outer punctuation; words of punctuation only are dropped."""
@@ -111,23 +196,24 @@ def _all_keys(h: Column) -> Column:
     return F.when(F.size(h) > 0, keys).otherwise(F.array().cast("array<bigint>"))
 
 
-def _signatures(h: Column, size: int) -> Column:
-    """Band keys of the windows of size shingles at every shingle."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(h) - size + 1, F.lit(1)))
-    return F.flatten(F.transform(starts, lambda j: F.array(*[_key(_lowest(F.slice(h, j, size), m), size, k) for k, m in enumerate(MASKS)])))
-
-
 def _template_bands(templates: DataFrame) -> DataFrame:
-    """template_id and key of every band of every window of its size class."""
-    t = templates.withColumn("h", _hashes(words_of(text_or_empty("text"))))
-    out = None
-    for at, (size, _) in enumerate(WINDOWS):
-        above = WINDOWS[at + 1][0] if at + 1 < len(WINDOWS) else 1 << 30
-        own = t.filter((F.size("h") >= size) & (F.size("h") < above))
-        keys = F.col("h") if size == 1 else _signatures(F.col("h"), size)
-        one = own.select("template_id", F.explode(keys).alias("key"))
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    """template_id and key of every band of every window of its size class.
+
+    Templates are few and bounded: the windows' minima are taken on the driver, from hashes that Spark made.
+    """
+    spark = templates.sparkSession
+    exact, lows = [], set()
+    for r in templates.select("template_id", let(words_of(text_or_empty("text")), _hashes).alias("h")).collect():
+        h = np.array(r["h"], np.int64)
+        size = max((size for size, _ in WINDOWS if size <= len(h)), default=0)
+        if size == 1:
+            exact += [(r["template_id"], int(x)) for x in set(r["h"])]
+        elif size:
+            for k, m in enumerate(MASKS):
+                low = np.lib.stride_tricks.sliding_window_view(h ^ np.int64(m), size).min(1)
+                lows |= {(r["template_id"], int(x), size, k) for x in np.unique(low)}
+    keys = spark.createDataFrame(sorted(lows), "template_id string, low bigint, size int, band int").select("template_id", F.xxhash64("low", "size", "band").alias("key"))
+    return keys.unionByName(spark.createDataFrame(sorted(exact), "template_id string, key bigint")).distinct()
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float = CONTAINMENT) -> DataFrame:
@@ -135,10 +221,10 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
     spark = docs.sparkSession
     t = templates if templates is not None else spark.createDataFrame(list(TEMPLATES), "template_id string, text string")
     bands = _template_bands(t)
-    keys = [r["key"] for r in bands.limit(MAX_BANDS + 1).collect()]
-    if len(keys) > MAX_BANDS:
+    rows = bands.limit(MAX_BANDS + 1).collect()
+    if len(rows) > MAX_BANDS:
         raise ValueError("more template bands than MAX_BANDS: scan with the templates in parts")
-    known = sorted(set(keys))
+    known = sorted({r["key"] for r in rows})
     hit = lambda x: x.isin(known) if known else F.lit(False)
     d = docs.select("doc_id", words_of(text_or_empty("text")).alias("words"))
     found = let(_hashes(F.col("words")), lambda h: F.array_distinct(F.filter(_all_keys(h), hit)))
@@ -146,12 +232,17 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
     d = d.select("doc_id", "words", found.alias("found"), F.monotonically_increasing_id().alias("_row"))
     d = d.filter((F.size("found") > 0) & (F.col("_row") >= 0))
     d = d.withColumn("_have", shingles_of(F.col("words"))).drop("words")
-    t = t.select("template_id", F.array_distinct(shingles_of(words_of(text_or_empty("text")))).alias("_want"))
-    by_key = bands.groupBy("key").agg(F.array_sort(F.collect_set("template_id")).alias("ids")).collect()
+    t = t.select("template_id", let(words_of(text_or_empty("text")), lambda w: F.array_distinct(shingles_of(w))).alias("_want"))
+    # Places of the templates, not ids: an id may hold any character. Foldable, so the map is made once.
+    place = {r["template_id"]: i for i, r in enumerate(t.select("template_id").distinct().orderBy("template_id").collect())}
+    by_key: dict[int, set[int]] = {}
+    for r in rows:
+        by_key.setdefault(r["key"], set()).add(place[r["template_id"]])
     if not by_key:
         return d.select("doc_id", F.lit("").alias("template_id"), F.lit(0.0).alias("containment"), F.lit(0).alias("n_shingles")).filter(F.lit(False))
-    ids = F.create_map(*[x for r in by_key for x in (F.lit(r["key"]), F.array(*[F.lit(i) for i in r["ids"]]))])
-    candidates = F.array_distinct(F.flatten(F.transform("found", lambda x: F.element_at(ids, x))))
+    places = F.map_from_arrays(F.split(F.lit(",".join(map(str, by_key))), ",").cast("array<bigint>"), F.split(F.lit(",".join(" ".join(map(str, sorted(p))) for p in by_key.values())), ","))
+    ids = F.array(*[F.lit(i) for i in place])
+    candidates = F.array_distinct(F.flatten(F.transform("found", lambda x: F.transform(F.split(F.element_at(places, x), " "), lambda p: F.element_at(ids, p.cast("int") + 1)))))
     pairs = d.select("doc_id", "_have", F.explode(candidates).alias("template_id")).join(F.broadcast(t), "template_id")
     share = F.size(F.array_intersect("_want", "_have")) / F.size("_want")
     return pairs.select("doc_id", "template_id", share.alias("containment"), F.size("_want").alias("n_shingles")).filter(F.col("containment") >= containment)

@@ -202,6 +202,26 @@ def test_license_scan(spark):
     assert licenses.scan(docs, own.limit(0)).count() == 0
 
 
+def test_common_licenses_are_found(spark):
+    texts = dict(licenses.TEMPLATES)
+    assert len(texts) == len(licenses.TEMPLATES)
+    lines = {
+        "mit": "This work is licensed under the MIT License",
+        "cc-by-4.0": "Text is available under a Creative Commons Attribution 4.0 International License.",
+        "cc-by-sa-3.0": "Released under CC BY-SA 3.0, see below.",
+        "agpl-3.0": "It is free under the terms of the GNU Affero General Public License.",
+        "apache-2.0": "Distributed under the Apache License 2.0 as it is.",
+        "bsd-3-clause": "Available under the 3-Clause BSD License.",
+        "epl-2.0": "It is under the Eclipse Public License 2.0 now.",
+        "mpl-2.0": "See the terms of the Mozilla Public License, v. 2.0, please.",
+    }
+    whole = ["apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "mpl-2.0", "bsd-2-clause", "bsd-3-clause", "cc0-1.0", "cc-by-sa-4.0", "epl-1.0", "unlicense"]
+    rows = [*((f"{k}-line", t) for k, t in lines.items()), *((f"{k}-text", f"Some words before. {texts[f'{k}-text']} And after.") for k in whole)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    found = {i: {r.template_id for r in got if r.doc_id == i} for i, _ in rows}
+    assert all(any(t.startswith(i) for t in found[i]) for i, _ in rows), found
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
