@@ -4,7 +4,8 @@ Each text's counts are transformed to a vector (STATS). Per group of language an
 from the minimum-covariance-determinant estimator: the mean and covariance of the KEEP share of points whose
 covariance has the least determinant, found by concentration steps from two deterministic starts (classical and
 tanh-squashed moments). A document goes if its squared Mahalanobis distance exceeds CUT. Scales are floored (FLOORS),
-so that a statistic that is constant in a group does not reject documents for one symbol.
+so that a statistic that is (nearly) constant in a group does not reject documents for one symbol. The floors are wide:
+where the estimated scales are smaller, as in most groups, only location and correlation are the group's own.
 
 One concentration step is one map-side combined aggregation: moments per (group, distance bin), of which a group has
 at most BINS. The cut at the KEEP share and the matrix work see only those sums, so no group meets in one task.
