@@ -6,8 +6,8 @@ through a dense tanh layer. Gated attention, learned from document labels, weigh
 scored by a logistic layer. Neither labels nor lang, source or doc_id are inputs of a score.
 
 Training uses TRAIN_DOCS labelled documents at most (those of least hash of doc_id among the rows that are not held
-out), with TRAIN_PASSAGES passages each at most, evenly spaced; that bounds what the driver holds. Scoring reads every
-passage of every text: texts are encoded in pieces of PIECE bytes and attention sums run along, so memory is bounded.
+out), with every passage of each; what the driver holds grows with their length only, 88 bytes a passage. Scoring reads
+every passage of every text: texts are encoded in pieces of PIECE bytes and attention sums run along, so memory is bounded.
 
 Nulls: a null text is an empty one: one empty passage, scored like any other; a null doc_id counts as held out (its
 text is ''). Labels that are null do not count; a document with several labels has the least. Repeated rows get equal
@@ -29,7 +29,6 @@ PASSAGE = 64
 PIECE = 1 << 20
 HASHED = 8
 TRAIN_DOCS = 4000
-TRAIN_PASSAGES = 64
 HIDDEN = 16
 GATE = 8
 EPOCHS = 40
@@ -222,8 +221,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
         out = []
         for t in text.to_pylist():
             parts = np.concatenate([encode_piece(x) for x in pieces((t or "").encode())])
-            if len(parts) > TRAIN_PASSAGES:
-                parts = parts[np.linspace(0, len(parts) - 1, TRAIN_PASSAGES).astype(int)]
             out.append(np.round(parts.ravel(), 6))
         return pa.array(out, pa.list_(pa.float32()))
 

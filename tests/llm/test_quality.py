@@ -135,6 +135,14 @@ def test_held_out_accuracy(spark):
     assert hits / len(rows) >= 0.93, hits / len(rows)
 
 
+def test_training_reads_every_passage(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(M.AttentionModel, "train", lambda self, bags, labels: seen.extend(map(len, bags)))
+    docs = spark.createDataFrame([(i, "word " * (M.PASSAGE * 150 + i)) for i in range(1, 9)], "doc_id long, text string")
+    M.train(docs, docs.selectExpr("doc_id", "1 quality"))
+    assert seen and set(seen) == {151}
+
+
 def test_no_labels_and_null_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
