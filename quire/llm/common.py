@@ -6,15 +6,16 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
-#: Rows up to which a table is broadcast, once it is written and its rows are counted. Beyond, both sides are shuffled.
+#: Rows, and bytes as written, up to which a staged table is broadcast. Beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 _made: dict[str, str] = {}
 
@@ -40,12 +41,27 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: cuts lineage, survives lost executors, has known sizes."""
     path = f"{shared_dir(df.sparkSession)}/quire/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     atexit.register(_forget, df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at, out._staged_rows = path, seen.get.get("rows")
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes staged tables that later ones have taken the place of."""
+    for t in tables:
+        if path := getattr(t, "_staged_at", None):
+            _forget(t.sparkSession, path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -55,9 +71,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A staged table, marked for broadcast if its counted rows are few; otherwise as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame) -> bool:
+    """Whether a table has few rows: as counted when it was staged (then its bytes count too), else counted now."""
+    rows = getattr(df, "_staged_rows", None)
+    if rows is None:
+        return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows <= BROADCAST_ROWS and _bytes(df.sparkSession, df._staged_at) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table marked for broadcast if it is small; otherwise as it is, to be shuffled."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def text_or_empty(col: str | Column) -> Column:

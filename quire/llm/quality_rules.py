@@ -1,15 +1,19 @@
 """Quality rules: base counts, then robust multivariate outliers per language and source.
 
-Each text's counts are transformed to a vector (STATS). Per group of language and source, location and scatter come
-from the minimum-covariance-determinant estimator: the mean and covariance of the KEEP share of points whose
-covariance has the least determinant, found by concentration steps from two deterministic starts (classical and
-tanh-squashed moments). A document goes if its squared Mahalanobis distance exceeds CUT. Scales are floored (FLOORS),
-so that a statistic that is (nearly) constant in a group does not reject documents for one symbol. The floors are wide:
-where the estimated scales are smaller, as in most groups, only location and correlation are the group's own.
+A text's counts become a vector (STATS) of rates. Each has a sampling variance that follows from its count alone (a
+mean over n words, a Poisson count's root, the logarithm of a count), so short texts are given more room; no scale is set
+by hand. Location and scatter of every group of language and source come from minimum-covariance-determinant
+concentration steps: the moments of the KEEP share of documents that are nearest, again and again, from two
+deterministic starts (classical and tanh-squashed moments), of which the one with the lesser determinant counts.
 
-One concentration step is one map-side combined aggregation: moments per (group, distance bin), of which a group has
-at most BINS. The cut at the KEEP share and the matrix work see only those sums, so no group meets in one task.
-Groups of under LEAST documents use the estimate of their language, then of all documents; under LEAST in all, none.
+The estimate is the regularised one: a group's moments are drawn towards its language's with the weight of PRIOR
+documents, and a language's towards those of all documents. That is continuous in the group's size, so every group has
+its own estimate, small ones too. A document goes if its squared Mahalanobis distance, under the group's scatter plus
+its own sampling variances, exceeds CUT, the 0.9999 quantile of chi-square.
+
+A concentration step of all three levels and both starts is one map-side combined aggregation: moments per (group,
+start, distance bin), of which a group has at most BINS. The cut at the KEEP share and the matrix work see only those
+sums, so no group meets in one task. The nearest share is taken by whole bins.
 
 Nulls: a null text has no words and fails the base rules; null lang and source are groups of their own; a null doc_id
 is reported as null. Repeated rows count repeatedly. Very long texts are read whole. Further columns pass through
@@ -19,41 +23,40 @@ score() and filter_documents(); an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, small, staged, table, whole
+from quire.llm.common import SPACES, dropped, small, staged, table, whole
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-#: The vector: log of words, mean word length, root of symbols per word, log of repeated lines, share of repeated words.
-STATS = ("log_words", "word_length", "symbols", "dup_lines", "repeats")
-#: The least standard deviation of each statistic.
-FLOORS = (1.0, 0.25, 0.1, 0.7, 0.1)
+#: The vector: mean word length, log of distinct words by log of words, root of symbols per word, root of repeated lines.
+STATS = ("word_length", "variety", "symbols", "dup_lines")
 KEEP = 0.75
-#: 0.9999 quantile of chi-square with 5 degrees of freedom, and the consistency factor of KEEP = 0.75 there.
-CUT = 25.745
-CONSISTENCY = 1.4573
-LEAST = 100
+#: 0.9999 quantile of chi-square with 4 degrees of freedom, and the consistency factor of KEEP = 0.75 there.
+CUT = 23.513
+CONSISTENCY = 1.4864
+#: Documents whose weight the estimate of the level above has.
+PRIOR = 10
 STEPS = 5
-#: Distance bins: 16 per doubling, from 2^-20 to 2^40.
-BINS = 960
+STARTS = 2
+#: Distance bins: 32 per doubling, from 2^-10 to 2^30.
+BINS = 1280
 
-_TYPE = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint>"
-_ARROW = pa.struct([(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sq_chars", "n_distinct")
+_TYPE = "struct<" + ",".join(f"{n}:bigint" for n in COUNTS) + ">"
 
 
-def repeat_words(words: list[bytes]) -> int:
-    """Words in 3-word windows that are found twice or more."""
+def _repeats(words: list[bytes]) -> tuple[int, int]:
+    """Words in 3-word windows that are found twice or more; distinct words."""
     n = len(words)
-    if n < 4:
-        return 0
     ids: dict[bytes, int] = {}
     a = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, n)
     v = len(ids)
+    if n < 4:
+        return 0, v
     pairs = a[:-1] * v + a[1:]
     if v > 2_000_000:  # else v^3 would not fit
         pairs = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
@@ -62,14 +65,24 @@ def repeat_words(words: list[bytes]) -> int:
     inside = np.zeros(n, bool)
     for k in range(3):
         inside[k : n - 2 + k] |= twice
-    return int(inside.sum())
+    return int(inside.sum()), v
+
+
+def _squares(data: bytes) -> int:
+    """Sum of the squared word lengths, in code points, of UTF-8 text."""
+    b = np.frombuffer(data, np.uint8)
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    points = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+    return int(((points[edge == 1] - points[edge == -1]) ** 2).sum()) if len(b) else 0
 
 
-def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+def counts_of(text: str | None) -> tuple[int, ...]:
+    """COUNTS of a text."""
     if not text:
-        return 0, 0, 0, 0, 0
-    words = text.encode().split()  # bytes split at ASCII white space only
+        return (0,) * len(COUNTS)
+    data = text.encode()
+    words = data.split()  # bytes split at ASCII white space only
     chars = len(text) - sum(map(text.count, SPACES))
     symbols = sum(map(text.count, SYMBOLS))
     seen: set[str] = set()
@@ -79,16 +92,14 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
             dup += bool(line.strip(SPACES))
         else:
             seen.add(line)
-    return len(words), chars, symbols, dup, repeat_words(words)
-
-
-def _counts(text: pa.Array) -> pa.Array:
-    return pa.array([dict(zip(_ARROW.names, base_counts(t), strict=True)) for t in text.to_pylist()], _ARROW)
+    repeated, distinct = _repeats(words)
+    return len(words), chars, symbols, dup, repeated, _squares(data), distinct
 
 
 def counts_column(text: str = "text") -> Column:
     def counts(text: pa.Array) -> pa.Array:
-        return _counts(text)
+        found = [counts_of(t.as_py()) for t in text]
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)] or [pa.array([], pa.int64())] * len(COUNTS), list(COUNTS))
 
     return F.arrow_udf(counts, _TYPE)(F.col(text).cast("string"))
 
@@ -98,100 +109,110 @@ def base_failed(c: str = "_q") -> Column:
     return (n < MIN_WORDS) | (100 * F.col(f"{c}.n_repeat_words") > MAX_REPEAT_PERCENT * n)
 
 
-def vector(c: str = "_q") -> list[Column]:
-    n = F.greatest(F.col(f"{c}.n_words"), F.lit(1)).cast("double")
-    return [F.log(n), F.col(f"{c}.word_chars") / n, F.sqrt(F.col(f"{c}.n_symbols") / n), F.log1p(F.col(f"{c}.n_dup_lines").cast("double")), F.col(f"{c}.n_repeat_words") / n]
-
-
-def _key(level: str, *cols: str) -> Column:
-    """A text for a group; null and empty differ."""
-    return F.concat(F.lit(level), *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("!")) for c in cols])
-
-
 P = len(STATS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+X, V = [f"x{i}" for i in range(P)], [f"v{i}" for i in range(P)]
+SUMS = ["n", *[f"s{i}" for i in range(P)], *[f"s{i}_{j}" for i, j in PAIRS], *[f"t{i}" for i in range(P)]]
+#: An estimate: mean, covariance (upper triangle) and mean sampling variances.
+FIELDS = [*[f"m{i}" for i in range(P)], *[f"c{i}_{j}" for i, j in PAIRS], *[f"u{i}" for i in range(P)]]
 
 
-def _moments(x: list[Column]) -> list[Column]:
-    return [F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in PAIRS]]
-
-
-def _estimate(m: pd.Series, scale: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Mean, precision and log-determinant from summed moments, with floored scales."""
-    n = float(m["n"])
-    mean = np.array([m[f"s{i}"] for i in range(P)]) / n
-    cov = np.zeros((P, P))
-    for i, j in PAIRS:
-        cov[i, j] = cov[j, i] = (m[f"s{i}_{j}"] / n - mean[i] * mean[j]) * scale
-    sd = np.sqrt(np.maximum(np.diag(cov), 0))
-    floor = np.maximum(sd, FLOORS)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        corr = np.where(np.outer(sd, sd) > 1e-12, cov / np.outer(sd, sd), 0.0)
-    corr = np.clip(corr, -0.99, 0.99) * 0.99
-    np.fill_diagonal(corr, 1.0)
-    full = corr * np.outer(floor, floor)
-    low = np.linalg.eigvalsh(full)[0]
-    if low < 1e-6:
-        full += np.eye(P) * (1e-6 - low)
-    return mean, np.linalg.inv(full), float(np.linalg.slogdet(full)[1])
-
-
-_PARAMS = "key string, mean array<double>, prec array<double>, logdet double"
-
-
-def _row(key: str, est: tuple[np.ndarray, np.ndarray, float]) -> pd.DataFrame:
-    return pd.DataFrame({"key": [key], "mean": [np.round(est[0], 9).tolist()], "prec": [np.round(est[1], 9).ravel().tolist()], "logdet": [round(est[2], 9)]})
-
-
-def _start(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.concat([_row(m["key"], _estimate(m, 1.0)) for _, m in pdf.iterrows()])
-
-
-def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The moments of the nearest KEEP share of one group, by whole distance bins."""
-    pdf = pdf.sort_values("bin")
-    sums = pdf.drop(columns=["key", "bin"]).cumsum()
-    at = int(np.searchsorted(sums["n"].to_numpy(), KEEP * sums["n"].iloc[-1] - 1e-9))
-    return _row(pdf["key"].iloc[0], _estimate(sums.iloc[min(at, len(sums) - 1)], CONSISTENCY))
-
-
-def _distance(x: list[Column], params: str = "p") -> Column:
-    d = [x[i] - F.col(f"{params}.mean")[i] for i in range(P)]
-    out = F.lit(0.0)
-    for i, j in PAIRS:
-        out = out + (1.0 if i == j else 2.0) * d[i] * d[j] * F.col(f"{params}.prec")[i * P + j]
-    return F.greatest(out, F.lit(0.0))
-
-
-def _with(points: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
-    p = small(params).select(F.col("key").alias("p_key"), F.struct("mean", "prec", "logdet").alias("p"))
-    return points.join(p, points["key"] == p["p_key"], how).drop("p_key")
-
-
-def _names(n: int = P) -> list[str]:
-    return [f"x{i}" for i in range(n)]
+def vector(c: str = "_q") -> list[Column]:
+    """The statistics and their sampling variances."""
+    q = {k: F.col(f"{c}.{k}").cast("double") for k in COUNTS}
+    n, distinct = F.greatest(q["n_words"], F.lit(2.0)), F.greatest(q["n_distinct"], F.lit(1.0))
+    mean = q["word_chars"] / n
+    x = [mean, F.log(distinct) / F.log(n), F.sqrt(q["n_symbols"] / n), F.sqrt(q["n_dup_lines"] + 0.375)]
+    # Of a mean (lengths are whole numbers: 1/12), of a logarithm, and of the root of a Poisson count.
+    v = [(F.greatest(q["sq_chars"] / n - mean * mean, F.lit(0.0)) + 1 / 12) / n, 1 / (distinct * F.log(n) * F.log(n)), 0.25 / n, F.lit(0.25)]
+    return [*[e.alias(k) for e, k in zip(x, X, strict=True)], *[e.alias(k) for e, k in zip(v, V, strict=True)]]
 
 
-def estimates(points: DataFrame) -> DataFrame:
-    """points (key, x0..) to a staged table of the best estimate of each key."""
-    x = [F.col(c) for c in _names()]
-    best = None
-    classical = staged(points.groupBy("key").agg(*_moments(x)).mapInPandas(lambda it: map(_start, it), _PARAMS), "mcd_start")
-    for start in ("classical", "tanh"):
-        params = classical
-        if start == "tanh":
-            near = _with(points, classical)
-            y = [F.tanh((x[i] - F.col("p.mean")[i]) * F.sqrt(F.col("p.prec")[i * P + i])) / F.sqrt(F.col("p.prec")[i * P + i]) + F.col("p.mean")[i] for i in range(P)]
-            squashed = near.select("key", *[c.alias(n) for c, n in zip(y, _names(), strict=True)])
-            params = staged(squashed.groupBy("key").agg(*_moments(x)).mapInPandas(lambda it: map(_start, it), _PARAMS), "mcd_start")
-        for _ in range(STEPS):
-            d2 = _distance(x)
-            bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(F.log2(F.greatest(d2, F.lit(2.0**-20))) * 16 + 320))).cast("int")
-            binned = _with(points, params).groupBy("key", bin_.alias("bin")).agg(*_moments(x))
-            params = staged(binned.groupBy("key").applyInPandas(_concentrate, _PARAMS), "mcd_step")
-        best = params if best is None else best.unionByName(params)
-    least = best.groupBy("key").agg(F.min_by(F.struct("mean", "prec", "logdet"), F.struct("logdet", "mean")).alias("b"))
-    return staged(least.select("key", "b.mean", "b.prec", "b.logdet"), "mcd")
+def _key(level: str, *cols: str) -> Column:
+    """A text for a group; null and empty differ."""
+    return F.concat_ws("|", F.lit(level), *[F.coalesce(F.concat(F.lit("="), F.length(F.col(c)).cast("string"), F.lit(":"), F.col(c)), F.lit("!")) for c in cols])
+
+
+def _moments() -> list[Column]:
+    x = [f"sum({a}) AS s{i}" for i, a in enumerate(X)]
+    return _exprs("count(*) AS n", *x, *[f"sum({X[i]} * {X[j]}) AS s{i}_{j}" for i, j in PAIRS], *[f"sum({v}) AS t{i}" for i, v in enumerate(V)])
+
+
+def _exprs(*texts: str) -> list[Column]:
+    """Aliased SQL expressions as columns."""
+    return [F.expr(t) for t in texts]
+
+
+def _eliminate(df: DataFrame, rest: list[str]) -> DataFrame:
+    """df (r0.. residuals, a0_0.. matrix) to rest with d2 (r' inverse(a) r) and logdet, by symmetric elimination."""
+    df = df.selectExpr(*rest, *[f"r{i}" for i in range(P)], *[f"a{i}_{j}" for i, j in PAIRS], "0D AS d2", "0D AS logdet")
+    for k in range(P):
+        pivot = f"greatest(a{k}_{k}, 1e-12)"
+        later = [i for i in range(k + 1, P)]
+        df = df.selectExpr(
+            *rest,
+            f"d2 + r{k} * r{k} / {pivot} AS d2",
+            f"logdet + ln({pivot}) AS logdet",
+            *[f"r{i} - a{k}_{i} / {pivot} * r{k} AS r{i}" for i in later],
+            *[f"a{i}_{j} - a{k}_{i} / {pivot} * a{k}_{j} AS a{i}_{j}" for i in later for j in later if i <= j],
+        )
+    return df
+
+
+def _with_distance(df: DataFrame, rest: list[str]) -> DataFrame:
+    """df (x0.., v0.., and FIELDS of its estimate) to rest with d2: the scatter plus the document's sampling variances."""
+    r = [f"x{i} - m{i} AS r{i}" for i in range(P)]
+    a = [f"c{i}_{j}" + (f" + v{i}" if i == j else "") + f" AS a{i}_{j}" for i, j in PAIRS]
+    return _eliminate(df.selectExpr(*rest, *r, *a), rest)
+
+
+def _estimate(sums: DataFrame, tree: DataFrame, factor: float) -> DataFrame:
+    """sums (key, start, SUMS) to a staged table: key, start and FIELDS, each level drawn towards the one above.
+
+    tree: key, parent and depth of every group.
+    """
+    sums = staged(sums, "mcd_sums")  # read once for each level
+    own = [*[f"s{i} / n AS m{i}" for i in range(P)], *[f"(s{i}_{j} / n - s{i} / n * s{j} / n) * {factor}D AS c{i}_{j}" for i, j in PAIRS], *[f"t{i} / n AS u{i}" for i in range(P)]]
+    raw = sums.join(tree, "key").selectExpr("key", "start", "parent", "depth", "n", *own)
+    level = raw.filter("depth = 0").select("key", "start", *FIELDS)
+    out = level
+    for depth in (1, 2):
+        up = level.selectExpr("key AS parent", "start", *[f"{f} AS up_{f}" for f in FIELDS])
+        drawn = [f"(n * {f} + {PRIOR} * up_{f}) / (n + {PRIOR}) AS {f}" for f in FIELDS]
+        level = raw.filter(f"depth = {depth}").join(up, ["parent", "start"]).selectExpr("key", "start", *drawn)
+        out = out.unionByName(level)
+    out = staged(out, "mcd_step")
+    dropped(sums)
+    return out
+
+
+def _matched(points: DataFrame, params: DataFrame) -> DataFrame:
+    """points (key, x0.., v0..) by each start with its estimate."""
+    return points.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1)))).join(small(params), ["key", "start"])
+
+
+def estimates(points: DataFrame, tree: DataFrame) -> DataFrame:
+    """points (key, x0.., v0..) and tree (key, parent, depth) to a staged table: key and FIELDS of its better start."""
+    classical = _estimate(points.groupBy("key").agg(*_moments()).withColumn("start", F.lit(0)), tree, 1.0)
+    sd = [f"sqrt(greatest(c{i}_{i} + u{i}, 1e-12))" for i in range(P)]
+    squashed = points.join(small(classical), "key").selectExpr("key", *V, *[f"m{i} + {sd[i]} * tanh((x{i} - m{i}) / {sd[i]}) AS x{i}" for i in range(P)])
+    second = _estimate(squashed.groupBy("key").agg(*_moments()).withColumn("start", F.lit(1)), tree, 1.0)
+    params = staged(classical.unionByName(second), "mcd_starts")
+    dropped(classical, second)
+    for _ in range(STEPS):
+        near = _with_distance(_matched(points, params), ["key", "start", *X, *V])
+        bin_ = F.expr(f"int(greatest(0, least({BINS - 1}, floor(log2(greatest(d2, power(2D, -10))) * 32 + 320))))")
+        binned = near.groupBy("key", "start", bin_.alias("bin")).agg(*_moments())
+        group = Window.partitionBy("key", "start")
+        before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        kept = binned.withColumn("_before", before).withColumn("_all", F.sum("n").over(group)).filter(f"_before < {KEEP} * _all")
+        last, params = params, _estimate(kept.groupBy("key", "start").agg(*_exprs(*[f"sum({s}) AS {s}" for s in SUMS])), tree, CONSISTENCY)
+        dropped(last)
+    square = params.selectExpr("key", "start", *FIELDS, *[f"0D AS r{i}" for i in range(P)], *[f"c{i}_{j}" + (f" + u{i}" if i == j else "") + f" AS a{i}_{j}" for i, j in PAIRS])
+    least = _eliminate(square, ["key", "start", *FIELDS]).groupBy("key").agg(F.min_by(F.struct(*FIELDS), F.struct(F.round("logdet", 9), "start")).alias("b"))
+    out = staged(least.select("key", "b.*"), "mcd")
+    dropped(params)
+    return out
 
 
 def score(docs: DataFrame, text: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
@@ -200,23 +221,18 @@ def score(docs: DataFrame, text: str = "text", keep_columns: list[str] | None =
     source = F.col("source") if "source" in docs.columns else F.lit(None)
     rows = docs.select(whole(docs, keep_columns), counts_column(text).alias("_q"), lang.cast("string").alias("_lang"), source.cast("string").alias("_source"))
     rows = staged(rows, "quality_counts")
-    keys = rows.select("*", base_failed().alias("_base_failed"), _key("own", "_lang", "_source").alias("_own"), _key("lang", "_lang").alias("_by_lang"), F.lit("all").alias("_all"))
-    x = [c.alias(n) for c, n in zip(vector(), _names(), strict=True)]
+    keys = rows.select("_doc", "_q", base_failed().alias("_base_failed"), _key("own", "_lang", "_source").alias("_own"), _key("lang", "_lang").alias("_by_lang"), *vector())
     good = keys.filter(~F.col("_base_failed"))
-    sizes = staged(good.groupBy("_own", "_by_lang").agg(F.count("*").alias("n")), "quality_groups")
-    in_lang, in_all = Window.partitionBy("_by_lang"), Window.partitionBy()
-    levels = sizes.select("*", F.sum("n").over(in_lang).alias("n_lang"), F.sum("n").over(in_all).alias("n_all"))
-    chosen = F.when(F.col("n") >= LEAST, F.col("_own")).when(F.col("n_lang") >= LEAST, F.col("_by_lang")).when(F.col("n_all") >= LEAST, F.lit("all"))
-    levels = staged(levels.select(F.col("_own").alias("l_own"), chosen.alias("key")).filter("key is not null"), "quality_levels")
-    used = small(levels.select(F.col("key").alias("u_key")).distinct())
-    points = good.select(F.explode(F.array("_own", "_by_lang", "_all")).alias("key"), *x)
-    points = staged(points.join(used, points["key"] == used["u_key"], "left_semi"), "quality_points")
-    best = estimates(points)
-    own = small(levels)
-    judged = keys.join(own, keys["_own"] == own["l_own"], "left").drop("l_own")
-    judged = _with(judged, best, "left").withColumn("_distance", _distance(vector()))
+    groups = staged(good.select("_own", "_by_lang").distinct(), "quality_groups")
+    of_all, of_lang = F.struct(F.lit("all").alias("key"), F.lit("").alias("parent"), F.lit(0).alias("depth")), F.struct(F.col("_by_lang").alias("key"), F.lit("all").alias("parent"), F.lit(1).alias("depth"))
+    own = F.struct(F.col("_own").alias("key"), F.col("_by_lang").alias("parent"), F.lit(2).alias("depth"))
+    tree = small(staged(groups.select(F.explode(F.array(of_all, of_lang, own)).alias("g")).select("g.*").distinct(), "quality_tree"))
+    points = good.select(F.explode(F.array("_own", "_by_lang", F.lit("all"))).alias("key"), *X, *V)
+    best = small(estimates(points, tree))
+    judged = keys.join(best, keys["_own"] == best["key"], "left")
+    judged = _with_distance(judged, ["_doc", "_q", "_base_failed"]).withColumnRenamed("d2", "_distance")
     kept = ~F.col("_base_failed") & (F.coalesce(F.col("_distance"), F.lit(0.0)) <= CUT)
-    return judged.withColumn("_kept", kept).select("_doc", "_q", "_base_failed", "_distance", "_kept")
+    return judged.select("_doc", "_q", "_base_failed", "_distance", kept.alias("_kept"))
 
 
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -226,4 +242,5 @@ def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return score(docs, keep_columns=["doc_id"]).select("_doc.doc_id", "_q.*", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_distance").alias("distance"))
+    named = [F.col(f"_q.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return score(docs, keep_columns=["doc_id"]).select("_doc.doc_id", *named, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_distance").alias("distance"))
