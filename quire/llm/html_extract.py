@@ -2,14 +2,17 @@
 
 A page is read as text nodes in order, each with its root-to-leaf path of block tags (with their class and id; inline
 tags are no part of a path). Nodes of one path are aggregated: mean text length per node, and punctuation marks per
-node. Both ratios are smoothed along the page with a Gaussian window over the nodes and fused (geometric mean), and
-paths over a share of the page's spread are content paths. The content region is an article, else a main element, if
-one holds all of the content paths' text; else it is the deepest element that holds nearly all of it, with every article
-that has some, and with each element beside it (or beside what it is in) that has some. From it every block is taken in
-page order, short ones too, except in menus, headers, footers, sidebars, notices, adverts, forms, comments. Those are
-told by tags and by words of class, id and role. The path ratios overrule words and forms: an element that holds most of
-the content paths' text is no furniture (for comments, nearly all; and, beside an article or main element with content,
-only forms and names like has-sidebar), and body, main and article elements never are by name.
+node. Both ratios are smoothed along the page with a Gaussian window over the nodes and fused (geometric mean) with what
+tags and names say of the path: furniture (menus, headers, footers, sidebars, notices, adverts, forms) has a small
+factor, readers' comments none. The threshold is a share of the spread of the ratios over the page's nodes without
+such evidence, and a small share of their mean at least. Paths that reach it are content paths, whatever their names.
+
+The content region is an article, else a main element, if one holds all of the content paths' text; else it is the
+deepest element that holds nearly all of it, with every article that has some, and with each element beside it (or
+beside what it is in) that has some. Blocks of content paths are taken wherever they are; other blocks of the region
+(headings, short items) are taken too, but for furniture. Names count for less on a leaf (p, li, headings), where the
+ratio decides, and not at all for an element that holds most of the content paths' text (for comments, nearly all; and,
+beside an article or main element with content, only forms and names like has-sidebar), nor for body, main and article.
 
 Nulls and pages without text give an empty text; a null page_id is reported as null; repeated rows repeatedly; very
 long pages are read whole. Markup that breaks off is closed at its end. Further columns are not read.
@@ -32,7 +35,8 @@ from quire.llm.common import table
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-FURNITURE = frozenset("nav header footer aside form button select option template noscript svg math canvas object iframe textarea title head script style dialog menu".split())
+HIDDEN = frozenset("button select option template noscript svg math canvas object iframe textarea title head script style".split())
+FURNITURE = frozenset("nav header footer aside menu dialog".split())
 NAMES = frozenset(
     "ad ads advert advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal newsletter subscribe signup login nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside widget related recommended share sharing social comment comments commentlist disqus reply replies respond footer header masthead topbar toolbar pagination pager tags search form skip".split()
 )
@@ -47,10 +51,14 @@ PUNCTUATION = re.compile(r"[.,;:!?。、，！？；：]")
 SPACE = re.compile(r"\s+")
 #: Elements that no name makes furniture, names of readers' replies, and words by which a name tells of something inside.
 CONTAINERS = frozenset("html body main article".split())
+ADVERTS = frozenset("ad ads advert advertisement advertising adbox sponsor sponsored promo promotion cookie cookies consent newsletter subscribe login".split())
 REPLIES = frozenset("comment comments commentlist disqus reply replies respond".split())
 MODIFIERS = frozenset("with without has have no open opened closed enabled disabled".split())
 SIGMA = 1.0
 SHARE = 0.5
+LEAST = 0.1
+#: Factors of the ratio of furniture, and of a leaf with a name of furniture.
+EVIDENCE = {"": 1.0, "leaf": 0.25, "tag": 0.002, "name": 0.002, "hint": 0.002, "replies": 0.0}
 REGION = 0.9
 #: The share of the content paths' text over which a named element is no furniture; replies often outweigh an article.
 MOST = 0.5
@@ -66,9 +74,9 @@ class _Block:
         self.path, self.parts, self.kinds = path, [], kinds
 
     @property
-    def furniture(self) -> bool:
-        """Whether it is furniture by tags, which nothing overrules."""
-        return "tag" in self.kinds
+    def hidden(self) -> bool:
+        """Whether it is no text of the page at all."""
+        return "hidden" in self.kinds
 
 
 def _names(attrs: str) -> list[list[str]]:
@@ -77,11 +85,13 @@ def _names(attrs: str) -> list[list[str]]:
 
 
 def _kind(tag: str, names: list[list[str]], within: tuple[str, ...]) -> str:
-    """What makes an element furniture: its tag, a name of replies, another name, a weak hint (form, has-sidebar), or nothing."""
+    """What makes an element furniture: its tag, a name of replies, another name (on a leaf, a weak one), a hint (form, has-sidebar), or nothing."""
     own = FURNITURE, NAMES
     if any(p.split(".")[0] in ("article", "main") for p in within):
         own = FURNITURE - {"header"}, NAMES - {"header"}  # an article's own heading
-    if tag in own[0] and tag != "form":
+    if tag in HIDDEN:
+        return "hidden"
+    if tag in own[0]:
         return "tag"
     if tag in CONTAINERS:
         return ""
@@ -89,6 +99,8 @@ def _kind(tag: str, names: list[list[str]], within: tuple[str, ...]) -> str:
     strong = [w for w in hits if MODIFIERS.isdisjoint(w)]
     if any(not REPLIES.isdisjoint(w) for w in strong):
         return "replies"
+    if strong and tag in LEAVES and all(ADVERTS.isdisjoint(w) for w in strong):
+        return "leaf"
     return "name" if strong else "hint" if hits or tag == "form" else ""
 
 
@@ -175,54 +187,64 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def fused_ratios(nodes: list[tuple[tuple[str, ...], str]]) -> dict[tuple[str, ...], float]:
-    """path to its fused, smoothed ratio of text length and punctuation per node."""
+Node = tuple[tuple[str, ...], str, float]  # path, text, factor of its evidence
+
+
+def fused_ratios(nodes: list[Node]) -> dict[tuple[str, ...], float]:
+    """path to its fused ratio: smoothed text length and punctuation per node, and the factor of its evidence.
+
+    Nodes are smoothed with their like, so that long text lifts no furniture beside it.
+    """
     chars: dict[tuple[str, ...], int] = defaultdict(int)
     marks: dict[tuple[str, ...], int] = defaultdict(int)
     count: dict[tuple[str, ...], int] = defaultdict(int)
-    for path, text in nodes:
+    for path, text, _ in nodes:
         chars[path] += len(text)
         marks[path] += len(PUNCTUATION.findall(text))
         count[path] += 1
-    by_length = _smooth([chars[p] / count[p] for p, _ in nodes])
-    by_marks = _smooth([(marks[p] + 0.5) / count[p] for p, _ in nodes])
     top: dict[tuple[str, ...], list[float]] = defaultdict(list)
-    for (path, _), a, b in zip(nodes, by_length, by_marks, strict=True):
-        top[path].append(math.sqrt(a * b))
+    for plain in (True, False):
+        own = [(p, f) for p, _, f in nodes if (f == 1.0) == plain]
+        by_length = _smooth([chars[p] / count[p] for p, _ in own])
+        by_marks = _smooth([(marks[p] + 0.5) / count[p] for p, _ in own])
+        for (path, factor), a, b in zip(own, by_length, by_marks, strict=True):
+            top[path].append(math.sqrt(a * b) * factor)
     return {p: sum(v) / len(v) for p, v in top.items()}
 
 
-def _content(nodes: list[tuple[tuple[str, ...], str]]) -> set[tuple[str, ...]]:
-    """The content paths: those over the cut.
+def _content(nodes: list[Node]) -> set[tuple[str, ...]]:
+    """The content paths: those whose ratio reaches the threshold.
 
     Smoothing also lifts short paths beside long ones, and on even pages the cut is low. So a path without punctuation
     counts only if it is a heading of what follows, or if its own ratio is over SHARE of the mean too.
     """
     ratios = fused_ratios(nodes)
-    values = [ratios[p] for p, _ in nodes]
+    values = [ratios[p] for p, _, f in nodes if f == 1.0]
+    if not values:
+        return set()
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    cut = min(SHARE * spread, max(values))
+    cut = max(min(SHARE * spread, max(values)), LEAST * mean)
     over = {p for p in ratios if ratios[p] >= cut}
     chars: dict[tuple[str, ...], int] = defaultdict(int)
     marks: dict[tuple[str, ...], int] = defaultdict(int)
     count: dict[tuple[str, ...], int] = defaultdict(int)
-    for path, text in nodes:
+    for path, text, _ in nodes:
         chars[path] += len(text)
         marks[path] += len(PUNCTUATION.findall(text))
         count[path] += 1
     out = {p for p in over if marks[p] or math.sqrt(chars[p] * 0.5) / count[p] >= max(cut, SHARE * mean)}
-    for (path, _), (after, _) in zip(nodes[-2::-1], nodes[::-1], strict=False):
+    for (path, _, _), (after, _, _) in zip(nodes[-2::-1], nodes[::-1], strict=False):
         if after in out and path in over and path and path[-1].split(".")[0] in HEADINGS:
             out.add(path)
     return out or over
 
 
-def _regions(nodes: list[tuple[tuple[str, ...], str]], content: set[tuple[str, ...]]) -> list[tuple[str, ...]]:
+def _regions(nodes: list[Node], content: set[tuple[str, ...]]) -> list[tuple[str, ...]]:
     """The paths of the elements that hold the content; all of content is in them."""
     weight: dict[tuple[str, ...], float] = defaultdict(float)
     total = 0.0
-    for path, text in nodes:
+    for path, text, _ in nodes:
         if path in content:
             total += len(text)
             for d in range(len(path) + 1):
@@ -243,17 +265,16 @@ def _regions(nodes: list[tuple[tuple[str, ...], str]], content: set[tuple[str, .
     return list(out)
 
 
-def _without_named(found: list[tuple[_Block, str]]) -> list[tuple[tuple[str, ...], str]]:
-    """Nodes that are in no furniture by name. Names do not count for an element that holds most of the content."""
-    nodes = [(b.path, t) for b, t in found]
+def _nodes(found: list[tuple[_Block, str]]) -> list[Node]:
+    """Nodes with the factor of their evidence. Names do not count for an element that holds most of the content."""
     if not any(any(b.kinds) for b, _ in found):
-        return nodes
-    content = _content(nodes)
+        return [(b.path, t, 1.0) for b, t in found]
+    content = _content([(b.path, t, 1.0) for b, t in found if "tag" not in b.kinds])
     held: dict[tuple[str, ...], int] = defaultdict(int)
     proper: dict[tuple[str, ...], int] = defaultdict(int)  # without replies
     marked: list[tuple[str, ...]] = []  # content of an article or main element that is in nothing named
     for b, t in found:
-        if b.path not in content:
+        if b.path not in content or "tag" in b.kinds:
             continue
         replies = "replies" in b.kinds
         for d in range(len(b.path) + 1):
@@ -263,20 +284,25 @@ def _without_named(found: list[tuple[_Block, str]]) -> list[tuple[tuple[str, ...
             marked.append(b.path)
 
     def spared(path: tuple[str, ...], kind: str) -> bool:
+        if kind == "tag":
+            return False
         if kind == "replies":
             return held[path] >= MOST_REPLIES * held[()]
         if proper[path] <= MOST * proper[()]:
             return False
         return kind == "hint" or not marked or any(p.split(".")[0] in ("article", "main") for p in path)
 
-    known: dict[tuple[str, ...], bool] = {}
+    known: dict[tuple[str, ...], float] = {}
     out = []
     for b, t in found:
+        factor = 1.0
         for d, kind in enumerate(b.kinds):
-            if kind and (p := b.path[: d + 1]) not in known:
-                known[p] = spared(p, kind)
-        if all(not kind or known[b.path[: d + 1]] for d, kind in enumerate(b.kinds)):
-            out.append((b.path, t))
+            if kind:
+                p = b.path[: d + 1]
+                if p not in known:
+                    known[p] = 1.0 if spared(p, kind) else EVIDENCE[kind]
+                factor = min(factor, known[p])
+        out.append((b.path, t, factor))
     return out
 
 
@@ -284,12 +310,12 @@ def main_text(page: str | None) -> str:
     """The main text of a page, blocks joined by a line feed."""
     if not page:
         return ""
-    nodes = _without_named([(b, t) for b in blocks(page) if not b.furniture and (t := _clean(b.parts))])
-    if not nodes:
-        return ""
+    nodes = _nodes([(b, t) for b in blocks(page) if not b.hidden and (t := _clean(b.parts))])
     content = _content(nodes)
-    regions = _regions(nodes, content)
-    return "\n".join(t for p, t in nodes if p in content or any(p[: len(r)] == r for r in regions))
+    if not content:
+        return ""
+    regions = _regions([n for n in nodes if n[2] == 1.0], content)
+    return "\n".join(t for p, t, f in nodes if p in content or f == 1.0 and any(p[: len(r)] == r for r in regions))
 
 
 def main_text_column(page: str = "html") -> Column:
