@@ -1,17 +1,24 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies.
 
-Words are lower-cased and lose outer punctuation; shingles have five words. Windows have 1, 8 or 64 shingles: a
-template uses the largest size that fits it. Document windows overlap (steps of 1, 4 and 32 shingles), template windows
-start at every shingle. A window's signature has BANDS bands of one row: the smallest shingle hash under BANDS
-orderings (hash xor mask). Two windows of similarity s share a band with probability 1 - (1 - s)^BANDS: 0.9999 at 0.8
-with six bands. Templates are a parameter of bounded size (MAX_BANDS band keys), so their keys are literals of the
-scan: a document's windows are looked up in the row, without a shuffle, and only rows with a hit are verified.
+Words are lower-cased and lose outer punctuation; shingles have five words. Windows have 64 or 8 shingles: a template
+uses the largest size that fits it; templates of fewer shingles are looked up by their single shingles.
+
+1. Positions of a document whose shingle is in any template are found with a bit table of hashed shingles (a false hit
+   costs time only). Windows hold the hits of size consecutive positions and begin at every STRIDES-th hit, template
+   windows at every shingle. Words that are in no template leave the window, which only makes it more like a template's.
+   A window with hits at under LEAST of its positions cannot have a similarity of LEAST to any template window.
+2. A window's signature has BANDS bands of ROWS rows: the smallest hashes under as many orderings (hash xor mask), in
+   one pass over its hits. Two windows of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS: over
+   0.9999 at 0.7, 0.99 at 0.5, 0.15 at 0.1. A template has many windows, of which one that meets is enough.
+3. Documents with such a window or hit are written with their band keys, and keys joined to the templates' keys
+   (broadcast if they are few, counted). Every document and template that meet are verified.
 
 A match is a template of which at least 0.8 of the shingles are in the document, compared as text. Templates shorter
-than five words have one shingle, of all their words.
+than five words have one shingle, of all their words; it is looked for among the document's shingles of that length.
 
 Nulls: a null or empty text has no windows and matches nothing; a null doc_id is reported as null. Repeated rows are
-reported repeatedly. Very long texts are scanned whole. Further columns are not read.
+reported repeatedly. Very long texts are scanned whole. Further columns are not read. Templates may be any number; their
+shingles are hashed on the driver, so a pack has to fit there.
 """
 
 from __future__ import annotations
@@ -22,17 +29,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, let, table, text_or_empty
+from quire.llm.common import SPACES, let, small, staged, table, text_or_empty
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS = 6
-MAX_BANDS = 20_000
-#: Window sizes in shingles, with the step between the windows of a document.
-WINDOWS = ((1, 1), (8, 4), (64, 32))
-CELL = 4
+BANDS, ROWS = 16, 2
+#: Window sizes in shingles, with the step between windows in hits.
+STRIDES = {64: 8, 8: 1}
+LEAST = 0.3
+#: Bits of the bit tables for each shingle, and log2 of their bits at least and at most.
+SPARSE = 128
+TABLE_BITS = (20, 26)
 #: Orderings of hashes: fixed odd constants (powers of the golden ratio's 64-bit multiplier).
-MASKS = [((0x9E3779B97F4A7C15 ** (k + 1)) % 2**64) - 2**63 for k in range(BANDS)]
+MASKS = [((0x9E3779B97F4A7C15 ** (k + 1)) % 2**64) - 2**63 for k in range(BANDS * ROWS)]
 
 #: Fixed texts: short statements and notices of common licences.
 NOTICES = (
@@ -151,28 +160,43 @@ def words_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(one, " +"), lambda w: F.btrim(w, F.lit(OUTER))), lambda w: w != "")
 
 
-def shingles_of(words: Column) -> Column:
+def shingles_of(words: Column, length: Column | int = SHINGLE) -> Column:
+    """Shingles of a length as text; none if there are fewer words."""
+    k = F.lit(length) if isinstance(length, int) else length
     n = F.size(words)
-    whole = F.when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    return F.when(n < SHINGLE, whole).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
+    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _hashes(words: Column) -> Column:
-    """xxhash64 of each shingle's words."""
-    n = F.size(words)
-    whole = F.when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(n < SHINGLE, whole).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, SHINGLE))))
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def shingle_hashes(hashes: Column, length: int) -> Column:
+    """A hash of each shingle, from the hashes of its words."""
+    n = F.size(hashes)
+    at = lambda i: F.xxhash64(F.lit(length), *[F.get(hashes, i + k) for k in range(length)])
+    return F.when(n >= length, F.transform(F.sequence(F.lit(0), F.greatest(n - length, F.lit(0))), at)).otherwise(F.array().cast("array<bigint>"))
+
+
+class _BitTable:
+    """A set of hashes as bits: members are in it, others seldom."""
 
+    def __init__(self, members: np.ndarray) -> None:
+        low, high = TABLE_BITS
+        self.bits = int(min(high, max(low, np.ceil(np.log2(max(1, len(members)) * SPARSE)))))
+        words = np.zeros(1 << (self.bits - 6), np.uint64)
+        at = members.view(np.uint64) >> np.uint64(64 - self.bits)
+        np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        # One string literal, which the optimizer turns into an array once.
+        self.words = F.split(F.lit(",".join(map(str, words.view(np.int64).tolist()))), ",").cast("array<bigint>")
 
-def _key(low: Column, size: int, band: int) -> Column:
-    return F.xxhash64(low, F.lit(size), F.lit(band))
+    def has(self, h: Column) -> Column:
+        word = F.get(self.words, F.shiftrightunsigned(h, 70 - self.bits).cast("int"))
+        return F.getbit(word, F.shiftrightunsigned(h, 64 - self.bits).bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def _window_keys(cells: Column, band: int, size: int, step: int) -> Column:
-    """Keys of one band of a document's windows of size shingles: minima over cells, then over windows of cells."""
-    per, hop = size // CELL, step // CELL
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(cells) - per) / F.lit(float(hop))).cast("int"), F.lit(0)))
-    return F.transform(starts, lambda j: _key(F.array_min(F.slice(cells, j * hop + 1, per)), size, band))
+def band_keys(lows: list[Column], size: int) -> list[Column]:
+    return [F.xxhash64(F.lit(size), F.lit(b), *lows[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)]
 
 
 def _lowest(hashes: Column, mask: int) -> Column:
@@ -180,72 +204,90 @@ def _lowest(hashes: Column, mask: int) -> Column:
     return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask))))
 
 
-def _cells(h: Column, mask: int) -> Column:
-    """Minima of runs of CELL hashes."""
-    starts = F.sequence(F.lit(0), F.floor((F.size(h) - 1) / CELL).cast("int"))
-    return F.transform(starts, lambda j: _lowest(F.slice(h, j * CELL + 1, CELL), mask))
+def _signature(hashes: Column, size: int) -> Column:
+    """Band keys of a window with these hashes."""
+    return F.array(*band_keys([_lowest(hashes, m) for m in MASKS], size))
 
 
-def _all_keys(h: Column) -> Column:
-    """Keys of all windows of all sizes of a document with shingle hashes h."""
+def _window_keys(hashes: Column, hits: Column, size: int) -> Column:
+    """Band keys of the windows of size positions that begin at a hit and have enough hits."""
+    enough, step = int(np.ceil(LEAST * size)), STRIDES[size]
+    none = F.array().cast("array<int>")
+    starts = F.when(F.size(hits) >= enough, F.sequence(F.lit(0), F.greatest(F.size(hits) - enough, F.lit(0)), F.lit(step))).otherwise(none)
+    dense = F.filter(starts, lambda k: F.get(hits, k + enough - 1) - F.get(hits, k) < size)
 
-    def of(band: int, mask: int) -> Column:
-        return let(_cells(h, mask), lambda c: F.concat(*[_window_keys(c, band, size, step) for size, step in WINDOWS if size > 1]))
+    def keys(k: Column) -> Column:
+        own = F.filter(F.slice(hits, k + 1, size), lambda p: p < F.get(hits, k) + size)
+        return let(F.transform(own, lambda p: F.get(hashes, p)), lambda x: _signature(x, size))
 
-    keys = F.concat(h, *[of(k, m) for k, m in enumerate(MASKS)])
-    return F.when(F.size(h) > 0, keys).otherwise(F.array().cast("array<bigint>"))
+    return F.flatten(F.transform(dense, keys))
 
 
-def _template_bands(templates: DataFrame) -> DataFrame:
-    """template_id and key of every band of every window of its size class.
+def _known(templates: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], np.ndarray]:
+    """Keys of all templates (template_id, key); hashes of shingles that are looked up alone, by their length; hashes of those in windows.
 
     Templates are few and bounded: the windows' minima are taken on the driver, from hashes that Spark made.
     """
     spark = templates.sparkSession
-    exact, lows = [], set()
-    for r in templates.select("template_id", let(words_of(text_or_empty("text")), _hashes).alias("h")).collect():
+    alone: dict[int, list[int]] = {}
+    exact, lows, windowed = [], [], []
+    n = F.size("words")
+    hashed = templates.select("template_id", words_of(text_or_empty("text")).alias("words")).filter("size(words) > 0")
+    by_length = F.coalesce(*[F.when(n == k, shingle_hashes(F.col("hashes"), k)) for k in range(1, SHINGLE)], shingle_hashes(F.col("hashes"), SHINGLE))
+    for r in hashed.withColumn("hashes", word_hashes(F.col("words"))).select("template_id", F.least(n, F.lit(SHINGLE)).alias("length"), by_length.alias("h")).collect():
         h = np.array(r["h"], np.int64)
-        size = max((size for size, _ in WINDOWS if size <= len(h)), default=0)
-        if size == 1:
-            exact += [(r["template_id"], int(x)) for x in set(r["h"])]
-        elif size:
-            for k, m in enumerate(MASKS):
-                low = np.lib.stride_tricks.sliding_window_view(h ^ np.int64(m), size).min(1)
-                lows |= {(r["template_id"], int(x), size, k) for x in np.unique(low)}
-    keys = spark.createDataFrame(sorted(lows), "template_id string, low bigint, size int, band int").select("template_id", F.xxhash64("low", "size", "band").alias("key"))
-    return keys.unionByName(spark.createDataFrame(sorted(exact), "template_id string, key bigint")).distinct()
+        size = max((size for size in STRIDES if size <= len(h)), default=0)
+        if not size:
+            exact += [(r["template_id"], int(x)) for x in np.unique(h)]
+            alone.setdefault(r["length"], []).extend(h.tolist())
+            continue
+        windowed.append(h)
+        low = np.stack([np.lib.stride_tricks.sliding_window_view(h ^ np.int64(m), size).min(1) for m in MASKS], 1)
+        for b in range(BANDS):
+            lows += [(r["template_id"], size, b, *x) for x in np.unique(low[:, b * ROWS : (b + 1) * ROWS], axis=0).tolist()]
+    names = [f"low{i}" for i in range(ROWS)]
+    keys = spark.createDataFrame(lows, "template_id string, size int, band int, " + ", ".join(f"{x} bigint" for x in names)).select("template_id", F.xxhash64("size", "band", *names).alias("key"))
+    keys = keys.unionByName(spark.createDataFrame(exact, "template_id string, key bigint")).distinct()
+    return keys, {k: np.unique(np.array(v, np.int64)) for k, v in alone.items()}, np.unique(np.concatenate(windowed)) if windowed else np.zeros(0, np.int64)
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, template_id, containment, n_shingles (of the template) of every match of docs (doc_id, text)."""
     spark = docs.sparkSession
-    t = templates if templates is not None else spark.createDataFrame(list(TEMPLATES), "template_id string, text string")
-    bands = _template_bands(t)
-    rows = bands.limit(MAX_BANDS + 1).collect()
-    if len(rows) > MAX_BANDS:
-        raise ValueError("more template bands than MAX_BANDS: scan with the templates in parts")
-    known = sorted({r["key"] for r in rows})
-    hit = lambda x: x.isin(known) if known else F.lit(False)
+    t = templates.select("template_id", "text") if templates is not None else spark.createDataFrame(list(TEMPLATES), "template_id string, text string")
+    keys, alone, windowed = _known(t)
     d = docs.select("doc_id", words_of(text_or_empty("text")).alias("words"))
-    found = let(_hashes(F.col("words")), lambda h: F.array_distinct(F.filter(_all_keys(h), hit)))
-    # The row number keeps the optimizer from computing found twice, once for the filter and once for its use.
-    d = d.select("doc_id", "words", found.alias("found"), F.monotonically_increasing_id().alias("_row"))
-    d = d.filter((F.size("found") > 0) & (F.col("_row") >= 0))
-    d = d.withColumn("_have", shingles_of(F.col("words"))).drop("words")
-    t = t.select("template_id", let(words_of(text_or_empty("text")), lambda w: F.array_distinct(shingles_of(w))).alias("_want"))
-    # Places of the templates, not ids: an id may hold any character. Foldable, so the map is made once.
-    place = {r["template_id"]: i for i, r in enumerate(t.select("template_id").distinct().orderBy("template_id").collect())}
-    by_key: dict[int, set[int]] = {}
-    for r in rows:
-        by_key.setdefault(r["key"], set()).add(place[r["template_id"]])
-    if not by_key:
-        return d.select("doc_id", F.lit("").alias("template_id"), F.lit(0.0).alias("containment"), F.lit(0).alias("n_shingles")).filter(F.lit(False))
-    places = F.map_from_arrays(F.split(F.lit(",".join(map(str, by_key))), ",").cast("array<bigint>"), F.split(F.lit(",".join(" ".join(map(str, sorted(p))) for p in by_key.values())), ","))
-    ids = F.array(*[F.lit(i) for i in place])
-    candidates = F.array_distinct(F.flatten(F.transform("found", lambda x: F.transform(F.split(F.element_at(places, x), " "), lambda p: F.element_at(ids, p.cast("int") + 1)))))
-    pairs = d.select("doc_id", "_have", F.explode(candidates).alias("template_id")).join(F.broadcast(t), "template_id")
-    share = F.size(F.array_intersect("_want", "_have")) / F.size("_want")
-    return pairs.select("doc_id", "template_id", share.alias("containment"), F.size("_want").alias("n_shingles")).filter(F.col("containment") >= containment)
+    none = F.array().cast("array<bigint>")
+    five = alone.get(SHINGLE, windowed[:0])
+    known, single = _BitTable(np.union1d(windowed, five)), _BitTable(five)
+
+    def of_hits(h: Column, hits: Column) -> Column:
+        """Keys of shingles that stand alone, and of windows, from the positions of hits among hashes h."""
+        own = let(F.transform(hits, lambda p: F.get(h, p)), lambda x: F.filter(x, single.has))
+        return F.concat(own, *[_window_keys(h, hits, size) for size in STRIDES if len(windowed)])
+
+    def of_shingles(h: Column) -> Column:
+        hits = F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0))), lambda i: known.has(F.get(h, i)))
+        return let(hits, lambda p: F.when(F.size(p) > 0, of_hits(h, p)).otherwise(none))
+
+    def found(w: Column) -> Column:
+        """Keys of a document with word hashes w."""
+        shorter = [F.filter(shingle_hashes(w, length), _BitTable(members).has) for length, members in sorted(alone.items()) if length < SHINGLE]
+        return F.concat(none, *shorter, let(shingle_hashes(w, SHINGLE), lambda h: F.when(F.size(h) > 0, of_shingles(h)).otherwise(none)))
+
+    d = d.withColumn("keys", F.array_distinct(let(word_hashes(F.col("words")), found))).filter(F.size("keys") > 0)
+    d = staged(d.withColumn("_row", F.monotonically_increasing_id()), "license_hits")
+    bands = small(staged(keys, "license_bands"))
+    met = d.select("_row", F.explode("keys").alias("key")).join(bands, "key").groupBy("_row").agg(F.collect_set("template_id").alias("ids"))
+    met = small(staged(met, "license_pairs"))
+    length = F.least(F.size("own"), F.lit(SHINGLE))
+    want = t.select("template_id", words_of(text_or_empty("text")).alias("own")).select("template_id", length.alias("length"), F.array_distinct(shingles_of(F.col("own"), length)).alias("want"))
+    want = small(staged(want, "license_templates"))
+    pairs = d.select("_row", "doc_id", "words").join(met, "_row").withColumn("have", shingles_of(F.col("words")))
+    pairs = pairs.select("doc_id", "words", "have", F.explode("ids").alias("template_id")).join(want, "template_id")
+    have = F.when(F.col("length") < SHINGLE, shingles_of(F.col("words"), F.col("length"))).otherwise(F.col("have"))
+    share = F.size(F.array_intersect("want", have)) / F.size("want")
+    return pairs.select("doc_id", "template_id", share.alias("containment"), F.size("want").alias("n_shingles")).filter(F.col("containment") >= containment)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,13 +122,14 @@ def test_ratios_by_brute_force():
 @pytest.mark.parametrize("ratio", [lambda p: 1.0, lambda p: random.Random(repr(p)).random()])
 def test_ratios_decide(spark, monkeypatch, ratio):
     """With constant or random ratios the texts are others, on the tables' pages and without an article."""
-    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").limit(60).collect()]
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    n = len(pages)
     pages += [x.replace("<article>", "<div>").replace("</article>", "</div>") for x in pages]
     right = [html_extract.main_text(x) for x in pages]
-    assert sum(a == b for a, b in zip(right[:60], right[60:], strict=True)) >= 58  # an advert can outweigh a page of one line
+    assert sum(a == b for a, b in zip(right[:n], right[n:], strict=True)) >= 0.95 * n  # an advert can outweigh a page of one line
     monkeypatch.setattr(html_extract, "fused_ratios", lambda nodes: {p: ratio(p) for p, _, _ in nodes})
     changed = [html_extract.main_text(x) != t for x, t in zip(pages, right, strict=True)]
-    assert sum(changed[:60]) > 20 and sum(changed[60:]) > 20
+    assert sum(changed[:n]) > n / 3 and sum(changed[n:]) > n / 3
 
 
 @pytest.mark.parametrize("name", ["right-sidebar", "has-header", "search-results", "with-comments", "single"])
@@ -301,12 +302,40 @@ def test_license_scan(spark):
     got = sorted((str(r.doc_id), r.template_id, round(r.containment, 6)) for r in licenses.scan(docs).collect())
     want = sorted((str(i), *m) for i, t in rows for m in brute_scan(t, licenses.TEMPLATES))
     assert got == want and len(want) > 100
-    own = spark.createDataFrame([("short", "all rights reserved")], "template_id string, text string")
-    assert [r.doc_id for r in licenses.scan(spark.createDataFrame([(1, "All rights reserved."), (2, "no")], "doc_id long, text string"), own).collect()] == [1]
+    own = spark.createDataFrame([("short", "all rights reserved"), ("word", "unlicense"), ("four", "see the license file"), ("none", "..."), ("null", None)], "template_id string, text string")
+    few = spark.createDataFrame([(1, "All rights reserved."), (2, "no"), (3, "x y z all rights reserved by us today, (UNLICENSE)"), (4, "rights reserved all"), (5, "Do see the license file.")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.template_id) for r in licenses.scan(few, own).collect()) == [(1, "short"), (3, "short"), (3, "word"), (5, "four")]
     assert licenses.scan(docs.limit(0)).count() == 0
     assert licenses.scan(docs, own.limit(0)).count() == 0
 
 
+def test_scattered_licenses(spark):
+    """Every notice and some full texts, cut into one to four passages with other words between, in order and not: no match is lost."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    texts = [(i, t) for i, t in licenses.TEMPLATES if i.endswith("-notice") or i in ("mit-text", "bsd-3-clause-text", "gpl-3.0-text", "zlib-text")]
+    rows = []
+    for _, text in texts:
+        for cuts in range(4):
+            for mixed in (False, True):
+                t = text.split()
+                at = sorted(rng.sample(range(1, len(t)), cuts)) if len(t) > 8 else []
+                parts = [t[i:j] for i, j in zip([0, *at], [*at, len(t)], strict=True)]
+                if mixed:
+                    rng.shuffle(parts)
+                rows.append((len(rows), " ".join(" ".join(rng.choice(words) for _ in range(150)) + " " + " ".join(p) for p in parts)))
+    rows.append((len(rows), " ".join(rng.choice(words) for _ in range(200_000)) + " " + dict(licenses.TEMPLATES)["isc-notice"]))
+    got = {(r.doc_id, r.template_id) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    def shingles(t):
+        w = [x for x in (y.strip(licenses.OUTER) for y in re.split(r"[\x20\x09-\x0D]+", t.lower())) if x]
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    have = [(i, shingles(t)) for i, t in rows]
+    own = [(k, shingles(t)) for k, t in licenses.TEMPLATES]
+    want = {(i, k) for k, s in own for i, h in have if len(s & h) / len(s) >= 0.8}
+    assert got == want and len(want) > 150
+
+
 def test_common_licenses_are_found(spark):
     texts = dict(licenses.TEMPLATES)
     assert len(texts) == len(licenses.TEMPLATES)
