@@ -1,13 +1,14 @@
 """Exact duplicates by deterministic block naming.
 
 Texts lose their ASCII white space and are cut into blocks of BLOCK code points. Blocks are sorted by (60-bit hash,
-content) and named with integers: the hash's bits, then the block's rank among the different blocks of that hash. Then
-adjacent names are paired and named in the same way, level by level, until each document has one name; a last round
-names (number of blocks, name). Equal names mean equal texts: the rank tells apart whatever shares a hash, so no
-collision can join different texts.
+content); a block's name is the integer of its hash, and, where different blocks share a hash, its rank among them after
+a point. Then adjacent names are paired and named in the same way, level by level, until each document has one name; a
+last round names (number of blocks, name). Equal names mean equal texts: the rank tells apart whatever shares a hash,
+however many, so no collision can join different texts.
 
-Finding the ranks takes one map-side combined aggregation per level. The number of blocks that share a hash with
-another block is about n^2 / 2^61 (some hundreds for 100 TB), so their table is a proven small literal.
+Each level first looks for hashes with different contents (least and greatest content of each hash, combined on the map
+side). Only members with such a hash are ranked, by a window over each hash, and joined back, broadcast if they are few
+(counted). In practice there are none (about n^2 / 2^61), and naming is a projection.
 
 Nulls: a null text counts as empty; a null doc_id is larger than any other. Repeated rows are one group; of rows equal
 in doc_id and length one, and only one, is kept. Further columns are not read. An empty table gives no rows.
@@ -15,10 +16,10 @@ in doc_id and length one, and only one, is kept. Further columns are not read. A
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, keep_rows, let, row_hash, staged, table, text_or_empty
+from quire.llm.common import SPACES, keep_rows, let, row_hash, small, staged, table, text_or_empty
 
 BLOCK = 4096
 HASH_BITS = 60
@@ -39,60 +40,61 @@ def _bucket(member: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(member), 64 - bits)
 
 
-def shared_buckets(members: DataFrame, bits: int) -> dict[int, list[str]]:
-    """Buckets of column member that hold different members, each with its members in sorted order."""
-    found = members.groupBy(_bucket(F.col("member"), bits).alias("bucket")).agg(F.collect_set("member").alias("all")).filter(F.size("all") > 1)
-    return {r["bucket"]: r["all"] for r in found.select("bucket", F.array_sort("all").alias("all")).collect()}
+def ranks(members: DataFrame, bits: int) -> DataFrame | None:
+    """bucket, member and rank (from 1) of the members that are not the least of their bucket; None if there are none."""
+    m = members.select(_bucket(F.col("member"), bits).alias("bucket"), "member")
+    shared = m.groupBy("bucket").agg(F.min("member").alias("low"), F.max("member").alias("high")).filter("low <> high")
+    shared = staged(shared.select(F.col("bucket").alias("s_bucket")), "shared_hashes")
+    if shared.isEmpty():
+        return None
+    found = m.join(small(shared), m["bucket"] == F.col("s_bucket"), "left_semi").distinct()
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("member")) - 1
+    return staged(found.withColumn("rank", rank).filter("rank > 0").select(F.col("bucket").alias("r_bucket"), F.col("member").alias("r_member"), "rank"), "name_ranks")
 
 
-def name_of(member: Column, shared: dict[int, list[str]], bits: int) -> Column:
-    """The integer name: bucket, then rank in the bucket."""
-    if any(len(v) > 1 << (64 - bits) for v in shared.values()):
-        raise ValueError("more members in a bucket than ranks: use fewer rank bits")
-    bucket = _bucket(member, bits)
-    name = F.shiftleft(bucket, 64 - bits)
-    if not shared:
-        return name
-    ranks = F.create_map(*[F.lit(x) for v in shared.values() for i, m in enumerate(v) if i for x in (m, i)])
-    rank = F.when(bucket.isin(*shared), F.coalesce(F.element_at(ranks, member), F.lit(0))).otherwise(0)
-    return name.bitwiseOR(rank.cast("long"))
+def _plain(member: Column, bits: int) -> Column:
+    return _bucket(member, bits).cast("string")
 
 
-def _namer(shared: dict[int, list[str]], bits: int):
-    return lambda member: name_of(member, shared, bits)
+def named(rows: DataFrame, members: Column, into: str, ranked: DataFrame | None, bits: int) -> DataFrame:
+    """rows (rid) with an array of the names of an array of members."""
+    if ranked is None:
+        return rows.withColumn(into, let(members, lambda all_: F.transform(all_, lambda m: _plain(m, bits))))
+    rows = staged(rows.withColumn("_members", members), "members")
+    each = rows.select(F.col("rid").alias("m_rid"), F.posexplode("_members").alias("pos", "member"))
+    found = each.join(small(ranked), (_bucket(each["member"], bits) == F.col("r_bucket")) & (each["member"] == F.col("r_member")), "left")
+    name = F.concat_ws(".", _plain(F.col("member"), bits), F.col("rank").cast("string"))
+    names = found.groupBy("m_rid").agg(F.array_sort(F.collect_list(F.struct("pos", name.alias("name")))).alias("_sorted"))
+    back = rows.join(names, rows["rid"] == names["m_rid"], "left")
+    return back.withColumn(into, F.coalesce(F.col("_sorted")["name"], F.array().cast("array<string>"))).drop("_members", "_sorted", "m_rid")
 
 
 def _pairs(names: Column) -> Column:
-    """Adjacent names as members; the last of an odd number stands alone."""
-    return F.transform(F.sequence(F.lit(0), ((F.size(names) - 1) / 2).cast("int")), lambda i: F.concat_ws(":", F.get(names, 2 * i).cast("string"), F.get(names, 2 * i + 1).cast("string")))
-
-
-def _pairs_or_none(names: Column) -> Column:
-    return F.when(F.size(names) > 1, _pairs(names)).otherwise(F.array().cast("array<string>"))
-
-
-def _next_level(shared: dict[int, list[str]], bits: int):
-    return lambda names: F.when(F.size(names) > 1, F.transform(_pairs(names), _namer(shared, bits))).otherwise(names)
+    """Adjacent names as members, the last of an odd number alone; none of a document that is down to one name."""
+    pairs = F.transform(F.sequence(F.lit(0), ((F.size(names) - 1) / 2).cast("int")), lambda i: F.concat_ws(":", F.get(names, 2 * i), F.get(names, 2 * i + 1)))
+    return F.when(F.size(names) > 1, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def identities(docs: DataFrame, text: str = "text", block: int = BLOCK, bits: int = HASH_BITS) -> DataFrame:
     """A staged table: doc_id, row_hash, rid (unique), n_chars, text_sha256 and identity of every row of docs."""
     source = docs.select(F.col("doc_id"), row_hash(docs).alias("row_hash"), F.length(text_or_empty(text)).cast("long").alias("n_chars"), normalised(text).alias("norm"))
     cut = blocks_of(F.col("norm"), block)
-    shared = shared_buckets(source.select(F.explode(cut).alias("member")), bits)
-    at = staged(
-        source.select("doc_id", "row_hash", "n_chars", F.sha2("norm", 256).alias("text_sha256"), F.transform(cut, _namer(shared, bits)).alias("names")).withColumn("rid", F.monotonically_increasing_id()),
-        "block_names",
-    ).withColumn("n_blocks", F.size("names"))
+    ranked = ranks(source.select(F.explode(cut).alias("member")), bits)
+    at = source.withColumn("rid", F.monotonically_increasing_id()).withColumn("text_sha256", F.sha2("norm", 256))
+    at = named(at, cut, "names", ranked, bits)
+    at = staged(at.select("doc_id", "row_hash", "rid", "n_chars", "text_sha256", "names"), "block_names").withColumn("n_blocks", F.size("names"))
     most = at.agg(F.max("n_blocks")).first()[0] or 1
     while most > 1:
         # Documents that are down to one name keep it. Each level refers to the one below once, so plans stay small.
-        shared = shared_buckets(at.select(F.explode(let(F.col("names"), _pairs_or_none)).alias("member")), bits)
-        at = at.withColumn("names", let(F.col("names"), _next_level(shared, bits)))
+        ranked = ranks(at.select(F.explode(let(F.col("names"), _pairs)).alias("member")), bits)
+        if ranked is None:
+            at = at.withColumn("names", let(F.col("names"), lambda n: F.when(F.size(n) > 1, F.transform(_pairs(n), lambda m: _plain(m, bits))).otherwise(n)))
+        else:
+            at = named(at, let(F.col("names"), _pairs), "next", ranked, bits).withColumn("names", F.when(F.size("next") > 0, F.col("next")).otherwise(F.col("names"))).drop("next")
         most = (most + 1) // 2
-    top = F.concat_ws(":", F.col("n_blocks").cast("string"), F.get(F.col("names"), F.lit(0)).cast("string"))
-    shared = shared_buckets(at.select(top.alias("member")), bits)
-    return staged(at.select("doc_id", "row_hash", "rid", "n_chars", "text_sha256", name_of(top, shared, bits).alias("identity")), "identities")
+    top = F.array(F.concat_ws(":", F.col("n_blocks").cast("string"), F.get(F.col("names"), F.lit(0))))
+    at = named(at, top, "identity", ranks(at.select(F.get(top, F.lit(0)).alias("member")), bits), bits)
+    return staged(at.select("doc_id", "row_hash", "rid", "n_chars", "text_sha256", F.get("identity", F.lit(0)).alias("identity")), "identities")
 
 
 def dedup_table(docs: DataFrame, text: str = "text", block: int = BLOCK, bits: int = HASH_BITS) -> DataFrame:
