@@ -6,16 +6,19 @@ through a dense tanh layer. Gated attention, learned from document labels, weigh
 scored by a logistic layer. Neither labels nor lang, source or doc_id are inputs of a score.
 
 Training uses TRAIN_DOCS labelled documents at most (those of least hash of doc_id among the rows that are not held
-out), with every passage of each; what the driver holds grows with their length only, 88 bytes a passage. Scoring reads
-every passage of every text: texts are encoded in pieces of PIECE bytes and attention sums run along, so memory is bounded.
+out; one text of each doc_id), with every passage of each; what the driver holds grows with their length only, 88 bytes a passage. Scoring reads
+every passage of every text: texts are encoded in pieces of about PIECE bytes that end with a passage, and attention sums
+run along. The words that repeat are found over the whole text first, from a hash per word, so that the pieces change no
+score and memory is some 40 bytes a word at most.
 
 Nulls: a null text is an empty one: one empty passage, scored like any other; a null doc_id counts as held out (its
 text is ''). Labels that are null do not count; a document with several labels has the least. Repeated rows get equal
-scores. Without labels all scores are 0.5. Further columns pass through scored(); an empty table gives no rows.
+scores. Without labels all scores are 0.5. Further columns pass through scored() in a struct, so that no name clashes; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import staged, table
+from quire.llm.common import bounded_batches, staged, table, whole
 
 PASSAGE = 64
 PIECE = 1 << 20
@@ -50,19 +53,21 @@ FEATURES = N_STATS + HASHED
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Byte classes, powers and inverse powers of an odd base mod 2^64, and the projection of hashed words."""
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Byte classes and the projection of hashed words."""
     of = np.full(256, len(CLASSES), np.int64)
     for i, c in enumerate(CLASSES):
         of[np.frombuffer(c, np.uint8)] = i
+    return of, np.random.default_rng(7).standard_normal((4096, HASHED)).astype(np.float32)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers and inverse powers of an odd base mod 2^64."""
     base = np.uint64(0x9E3779B97F4A7C15)
     inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    n = PIECE + (1 << 16)
     with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base)]))
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse)]))
-    projection = np.random.default_rng(7).standard_normal((4096, HASHED)).astype(np.float32)
-    return of, up, down, projection
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x)])) for x in (base, inverse))
 
 
 def _words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +77,42 @@ def _words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def encode_piece(data: bytes) -> np.ndarray:
-    """The passages' feature vectors of a piece of text."""
+def _hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, wherever it stands."""
+    up, down = _powers(max(PIECE, 1 << (len(b)).bit_length()))
+    with np.errstate(over="ignore"):
+        p = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
+        h = (p[ends] - p[starts]) * down[starts]
+        h ^= h >> np.uint64(29)
+        return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _repeated(h: np.ndarray) -> np.ndarray:
+    """Whether each word is in a three-word window that its text repeats."""
+    n = len(h)
+    twice = np.zeros(n, bool)
+    if n < 4:
+        return twice
+    with np.errstate(over="ignore"):
+        tri = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)
+    order = np.argsort(tri, kind="stable")
+    same = tri[order][1:] == tri[order][:-1]
+    hit = np.zeros(len(tri), bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    for k in range(3):
+        twice[k : n - 2 + k] |= hit
+    return twice
+
+
+def encode_piece(data: bytes, twice: np.ndarray | None = None) -> np.ndarray:
+    """The passages' feature vectors of a piece of text. twice: whether each word is repeated, if the piece is not the whole text."""
     b = np.frombuffer(data, np.uint8)
     starts, ends = _words(b)
     n = len(starts)
     if not n:
         return np.zeros((1, FEATURES), np.float32)
-    of, up, down, projection = _tables()
+    of, projection = _tables()
     first = np.arange(0, n, PASSAGE)
     last = np.minimum(first + PASSAGE, n) - 1
     words = (last - first + 1).astype(np.float64)
@@ -90,26 +123,14 @@ def encode_piece(data: bytes) -> np.ndarray:
     for i in range(len(CLASSES)):
         c = np.concatenate([[0], np.cumsum(kinds == i)])
         out[:, i] = (c[hi] - c[lo]) / length
-    with np.errstate(over="ignore"):
-        p = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
-        h = (p[ends] - p[starts]) * down[starts]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        tri = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7) if n > 2 else np.zeros(0, np.uint64)
+    h = _hashes(b, starts, ends)
+    if twice is None:
+        twice = _repeated(h)
     passage = np.arange(n) // PASSAGE
     order = np.lexsort((h, passage))
     new = np.ones(n, bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (passage[order][1:] != passage[order][:-1])
     distinct = np.bincount(passage[order], weights=new, minlength=len(first))
-    twice = np.zeros(n, bool)
-    if len(tri):
-        order = np.argsort(tri, kind="stable")
-        same = tri[order][1:] == tri[order][:-1]
-        hit = np.zeros(len(tri), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        for k in range(3):
-            twice[k : n - 2 + k] |= hit
     lens = (ends - starts).astype(np.float64)
     at = len(CLASSES)
     out[:, at] = distinct / words
@@ -124,18 +145,39 @@ def encode_piece(data: bytes) -> np.ndarray:
     return out
 
 
-def pieces(data: bytes):
-    """Pieces of PIECE bytes at most, cut at white space where there is any."""
-    at = 0
+def pieces(data: bytes) -> Iterator[bytes]:
+    """Pieces of about PIECE bytes that end with a whole passage; a longer one if a passage is longer."""
+    at, size = 0, PIECE
     while at < len(data) or at == 0:
-        to = min(len(data), at + PIECE)
-        if to < len(data):
-            cut = max(data.rfind(s, at, to) for s in (b" ", b"\n"))
-            to = cut if cut > at else to
-        yield data[at:to]
-        if to == at:
+        to = min(len(data), at + size)
+        if to == len(data):
+            piece = data[at:]
+            if at == 0 or piece.strip():
+                yield piece
             return
-        at = to
+        _, ends = _words(np.frombuffer(data, np.uint8, to - at, at))
+        whole = (len(ends) - 1) // PASSAGE * PASSAGE  # the last word may go on
+        if whole < 1:
+            size *= 2
+            continue
+        yield data[at : at + int(ends[whole - 1])]
+        at, size = at + int(ends[whole - 1]), PIECE
+
+
+def encode_text(text: str | None) -> Iterator[np.ndarray]:
+    """The feature vectors of all passages of a text, piece by piece."""
+    data = (text or "").encode()
+    if len(data) <= PIECE:
+        yield encode_piece(data)
+        return
+    found = []
+    for p in pieces(data):
+        b = np.frombuffer(p, np.uint8)
+        found.append(_hashes(b, *_words(b)))
+    twice, at = _repeated(np.concatenate(found)), 0
+    for p, h in zip(pieces(data), found, strict=True):
+        yield encode_piece(p, twice[at : at + len(h)])
+        at += len(h)
 
 
 class AttentionModel:
@@ -159,8 +201,8 @@ class AttentionModel:
 
     def score(self, text: str | None) -> float:
         top, bottom = np.zeros(HIDDEN), 0.0
-        for piece in pieces((text or "").encode()):
-            h, _, _, a = self._forward(encode_piece(piece))
+        for x in encode_text(text):
+            h, _, _, a = self._forward(x)
             e = np.exp(a)
             top += e @ h
             bottom += e.sum()
@@ -220,12 +262,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     def encode(text: pa.Array) -> pa.Array:
         out = []
         for t in text.to_pylist():
-            parts = np.concatenate([encode_piece(x) for x in pieces((t or "").encode())])
+            parts = np.concatenate(list(encode_text(t)))
             out.append(np.round(parts.ravel(), 6))
         return pa.array(out, pa.list_(pa.float32()))
 
     # most rows at most: broadcast.
-    found = docs.select("doc_id", "text").join(F.broadcast(staged(chosen, "mil_labels")), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(staged(chosen, "mil_labels")), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     bags = found.select("doc_id", "y", F.arrow_udf(encode, "array<float>")(F.col("text").cast("string")).alias("x")).toArrow().sort_by([("doc_id", "ascending")])
     if not bags.num_rows:
         return None
@@ -245,12 +287,13 @@ def score_column(model: AttentionModel | None, text: str = "text") -> Column:
 
 
 def scored(docs: DataFrame, model: AttentionModel | None, text: str = "text") -> DataFrame:
-    """docs with score."""
-    return docs.withColumn("score", score_column(model, text))
+    """_doc (docs' columns, whatever their names) and score."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(whole(docs), score_column(model, text).alias("score"))
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    rows = scored(docs, model).select("doc_id", held_out().alias("held_out"), "score")
+    rows = scored(docs, model).select("_doc.doc_id", "score").select("doc_id", held_out().alias("held_out"), "score")
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

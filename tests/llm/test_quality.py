@@ -198,21 +198,57 @@ def test_gradient():
 
 def test_pieces_do_not_change_a_score(monkeypatch):
     rng = random.Random(1)
-    text = prose(rng, 2000)
+    text = prose(rng, 2000) + " " + "again and again " * 800 + "y" * 9000 + " " * 9000 + prose(rng, 2000)
     m = M.AttentionModel.fresh(np.zeros(M.FEATURES), np.ones(M.FEATURES))
-    whole = m.score(text)
+    whole, features = m.score(text), np.concatenate(list(M.encode_text(text)))
     monkeypatch.setattr(M, "PIECE", 3000)
-    assert b"".join(M.pieces(text.encode())) == text.encode()
-    assert abs(m.score(text) - whole) < 0.1
+    cut = list(M.pieces(text.encode()))
+    assert b"".join(cut) == text.encode() and len(cut) > 10
+    assert np.array_equal(np.concatenate(list(M.encode_text(text))), features)
+    assert abs(m.score(text) - whole) < 1e-9
     assert 0 < m.score("") < 1 and 0 < m.score(None) < 1 and 0 < m.score("x" * 10000) < 1
 
 
+def test_score_by_plain_loops():
+    """One passage after another: the attention weights, the weighted sum and the logistic layer."""
+    import math
+
+    m = M.AttentionModel.fresh(np.zeros(M.FEATURES), np.ones(M.FEATURES))
+    text = prose(random.Random(2), 300)
+    top, bottom = [0.0] * M.HIDDEN, 0.0
+    for x in np.concatenate(list(M.encode_text(text))).astype(float):
+        h = [math.tanh(sum(x[i] * m.p["w1"][i][j] for i in range(M.FEATURES)) + m.p["b1"][j]) for j in range(M.HIDDEN)]
+        a = 0.0
+        for k in range(M.GATE):
+            t = math.tanh(sum(h[j] * m.p["v"][j][k] for j in range(M.HIDDEN)))
+            g = 1 / (1 + math.exp(-sum(h[j] * m.p["u"][j][k] for j in range(M.HIDDEN))))
+            a += t * g * m.p["w"][k]
+        bottom += math.exp(a)
+        top = [s + math.exp(a) * v for s, v in zip(top, h, strict=True)]
+    z = sum(s / bottom * c for s, c in zip(top, m.p["c"], strict=True)) + m.p["c0"][0]
+    assert abs(m.score(text) - 1 / (1 + math.exp(-z))) < 1e-6
+
+
+def test_features_by_plain_counts():
+    text = "One, two THREE 4 # one\n" + "ab ab ab ab " * 30 + "é x y z " * 20
+    words = text.split()
+    tri = Counter(zip(words, words[1:], words[2:], strict=False))
+    twice = {i + k for i in range(len(words) - 2) if tri[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    got = np.concatenate(list(M.encode_text(text)))
+    at = len(M.CLASSES)
+    for p, first in enumerate(range(0, len(words), M.PASSAGE)):
+        own = words[first : first + M.PASSAGE]
+        assert abs(got[p, at] - len(set(own)) / len(own)) < 1e-6
+        assert abs(got[p, at + 1] - sum(i in twice for i in range(first, first + len(own))) / len(own)) < 1e-6
+        assert abs(got[p, at + 2] - sum(len(w.encode()) for w in own) / len(own) / 10) < 1e-6
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     docs = table(spark, d, "documents")
     labels = table(spark, d, "labels")
     model = M.train(docs, labels)
-    rows = M.scored(docs.select("doc_id", "text"), model).select("doc_id", M.held_out().alias("held_out"), "score").join(labels.select("doc_id", "quality"), "doc_id").filter("held_out").collect()
+    rows = M.scored(docs.select("doc_id", "text"), model).select("_doc.doc_id", "score").select("doc_id", M.held_out().alias("held_out"), "score").join(labels.select("doc_id", "quality"), "doc_id").filter("held_out").collect()
     hits = sum((r.score >= M.THRESHOLD) == (r.quality == 1) for r in rows)
     assert hits / len(rows) >= 0.93, hits / len(rows)
 
@@ -234,4 +270,16 @@ def test_no_labels_and_null_rows(spark):
     assert next(r.h for r in flags if r.doc_id is None) is True
     some = M.train(docs, spark.createDataFrame([(1, 1), (1, 0), (2, None), (3, 1)], "doc_id long, quality int"))
     assert all(0 <= r.score <= 1 for r in M.scored(docs, some).collect())
-    assert F is not None
+    clash = docs.withColumn("score", F.lit("mine")).union(docs.withColumn("score", F.lit("mine")))
+    got = M.scored(clash, some).collect()
+    assert len(got) == 4 and all(r["_doc"].score == "mine" and 0 <= r.score <= 1 for r in got) and len({r.score for r in got}) == 2
+    assert M.scored(clash.limit(0), some).count() == 0
+    copies = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, "c")], "doc_id long, text string")
+    seen = []
+    own = M.AttentionModel.train
+    M.AttentionModel.train = lambda self, bags, labels: seen.append(len(bags))
+    try:
+        M.train(copies, copies.selectExpr("doc_id", "1 quality"))
+    finally:
+        M.AttentionModel.train = own
+    assert not seen or seen[0] <= 2  # one text of a doc_id
