@@ -159,10 +159,15 @@ def taken(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     return out.select("_doc", "_size", F.col("_p.source_size").alias("_source_size"), F.col("_p.target").alias("_target"), "_copies", "_shards")
 
 
-def deal(docs: DataFrame, shards: int = SHARDS, seed: int = 42, **how) -> DataFrame:
-    """The mix itself: docs' columns, a row for each copy, by output shard and shuffled inside it."""
+def deal(docs: DataFrame, shards: int = SHARDS, seed: int = 42, shard_column: str | None = None, **how) -> DataFrame:
+    """The mix itself: docs' columns, a row for each copy, by output shard and shuffled inside it.
+
+    With shard_column the output shard comes along, under that name; it must not be a name of docs.
+    """
+    if shard_column in docs.columns:
+        raise ValueError(f"{shard_column} is a column of the documents")
     out = taken(docs, shards=shards, seed=seed, **how).select("_doc", F.posexplode("_shards").alias("_copy", "_shard"))
-    return out.repartition(F.col("_shard"), F.pmod(F.xxhash64("_doc.doc_id", "_copy"), F.lit(64))).sortWithinPartitions("_shard", F.xxhash64("_doc.doc_id", "_copy", "_shard", F.lit(seed))).select("_doc.*")
+    return out.repartition(F.col("_shard"), F.pmod(F.xxhash64("_doc.doc_id", "_copy"), F.lit(64))).sortWithinPartitions("_shard", F.xxhash64("_doc.doc_id", "_copy", "_shard", F.lit(seed))).select("_doc.*", *([F.col("_shard").alias(shard_column)] if shard_column else []))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

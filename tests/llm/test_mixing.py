@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from math import comb
+
 import random
 from collections import defaultdict
 
@@ -75,6 +77,12 @@ def test_deal(spark):
     assert out.columns == docs.columns
     want = sum(r["_copies"] for r in X.taken(docs).collect())
     assert out.count() == want
+    kept = X.deal(docs, shard_column="out").collect()
+    per = [sum(r.out == k for r in kept) for k in range(X.SHARDS)]
+    want = [sum(list(r["_shards"]).count(k) for r in X.taken(docs).collect()) for k in range(X.SHARDS)]
+    assert per == want
+    with pytest.raises(ValueError, match="column"):
+        X.deal(docs, shard_column="doc_id")
 
 
 def test_splitting_tree(spark):
@@ -88,14 +96,18 @@ def test_splitting_tree(spark):
         assert max(totals) - min(totals) <= 1 and sum(totals) == sum(quotas.values())
 
 
-def test_draws_are_hypergeometric(spark):
-    """The mean and variance of one source's share of the left half over many seeds."""
-    q = spark.createDataFrame([(0, 30), (1, 70)], "ordinal int, quota long")
-    draws = [next(r.ends[0] for r in X.split_quotas(q, 2, seed=s).collect() if r.ordinal == 0) for s in range(12)]
+def test_shards_get_hypergeometric_counts(spark):
+    """The draw of one column of 3,000 urns, in one go, against mean and variance."""
+    urns = spark.range(3000).select(X._hypergeometric(F.lit(100).cast("long"), F.lit(30).cast("long"), F.lit(50).cast("long"), F.col("id"), F.lit(0).cast("long"), 7).alias("x"))
+    draws = [r.x for r in urns.collect()]
     mean = sum(draws) / len(draws)
     var = sum((d - mean) ** 2 for d in draws) / len(draws)
     exact = 50 * 0.3 * 0.7 * 50 / 99  # n p q (N - n) / (N - 1)
-    assert abs(mean - 15) < 3 and exact / 8 < var < exact * 5
+    assert abs(mean - 15) < 4 * (exact / 3000) ** 0.5 and abs(var / exact - 1) < 0.12
+    few = spark.range(3000).select(X._hypergeometric(F.lit(12).cast("long"), F.lit(5).cast("long"), F.lit(6).cast("long"), F.col("id"), F.lit(1).cast("long"), 7).alias("x"))
+    seen = [r.x for r in few.collect()]
+    law = [comb(5, k) * comb(7, 6 - k) / comb(12, 6) for k in range(6)]
+    assert sum((seen.count(k) - 3000 * p) ** 2 / (3000 * p) for k, p in enumerate(law)) < 25  # 0.9999 quantile of five degrees of freedom
 
 
 @pytest.mark.parametrize("data", [[], [(1, None, None, 1, 2, "z")]])
