@@ -17,6 +17,10 @@ SPACES = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
 
+#: Bytes and rows of a batch of texts for Python.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 2000
+
 _made: dict[str, str] = {}
 
 
@@ -79,9 +83,15 @@ def is_small(df: DataFrame) -> bool:
     return rows <= BROADCAST_ROWS and _bytes(df.sparkSession, df._staged_at) <= BROADCAST_BYTES
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A table marked for broadcast if it is small; otherwise as it is, to be shuffled."""
-    return F.broadcast(df) if is_small(df) else df
+def small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """A table marked for broadcast if it is small; otherwise as it is, to be shuffled. of: the staged table that df is a projection of."""
+    return F.broadcast(df) if is_small(df if of is None else of) else df
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in Arrow batches of a few MB, so that neither side holds many long texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def text_or_empty(col: str | Column) -> Column:

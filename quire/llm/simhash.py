@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import keep_rows, row_hash, small, staged, table
+from quire.llm.common import bounded_batches, dropped, is_small, keep_rows, row_hash, small, staged, table
 
 SHINGLE = 4
 RADIUS = 4
@@ -199,32 +199,36 @@ def components(edges: DataFrame) -> DataFrame:
         up = both.groupBy("node").agg(F.min(rank(F.col("to"))).alias("m"))
         up = staged(up.select("node", F.least("m", rank(F.col("node")))["id"].alias("up")), "parents")
         for _ in range(2):  # pointers lead to ever smaller priorities, so doubling ends at local least ones
-            s = small(up.select(F.col("node").alias("s_node"), F.col("up").alias("s_up")))
-            up = staged(up.join(s, up["up"] == s["s_node"]).select("node", F.col("s_up").alias("up")), "parents")
-        s = small(up.select(F.col("node").alias("s_node"), F.col("up").alias("s_up")))
-        label = staged(label.join(s, label["root"] == s["s_node"], "left").select("node", F.coalesce("s_up", "root").alias("root")), "labels")
+            s = small(up.select(F.col("node").alias("s_node"), F.col("up").alias("s_up")), up)
+            nearer = staged(up.join(s, up["up"] == s["s_node"]).select("node", F.col("s_up").alias("up")), "parents")
+            dropped(up)
+            up = nearer
+        s = small(up.select(F.col("node").alias("s_node"), F.col("up").alias("s_up")), up)
+        renamed = staged(label.join(s, label["root"] == s["s_node"], "left").select("node", F.coalesce("s_up", "root").alias("root")), "labels")
+        dropped(label)
+        label = renamed
         moved = edges.join(s, edges["u"] == s["s_node"]).select(F.col("s_up").alias("u"), "v")
-        moved = staged(moved, "edges") if not _is_small(s) else moved
-        moved = moved.join(s, moved["v"] == s["s_node"]).select("u", F.col("s_up").alias("v"))
-        edges = staged(moved.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+        moved = moved if is_small(up) else staged(moved, "moved")
+        left = moved.join(s, moved["v"] == s["s_node"]).select("u", F.col("s_up").alias("v"))
+        left = staged(left.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+        dropped(edges, moved, up)
+        edges = left
     return label
 
 
-def _is_small(df: DataFrame) -> bool:
-    return "ResolvedHint" in df._jdf.queryExecution().logical().toString()
-
-
 def grouped(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, row_hash, fp, component_id and kept (one row, of the smallest doc_id) of every row of docs."""
+    bounded_batches(docs.sparkSession)
     rows = staged(docs.select("doc_id", row_hash(docs).alias("row_hash"), fingerprint_column(text).alias("fp")), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_hash")).alias("first")
     points = staged(rows.groupBy("fp").agg(first), "points")
-    found = components(links(points.select("fp"), points.count()))
+    found = components(links(points.select("fp"), points._staged_rows or points.count()))
     near = small(found)
     rooted = points.join(near, points["fp"] == near["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "rooted")
     least = staged(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
     of = staged(rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("c_fp"), "least"), "components")
+    dropped(found, points, rooted, least)
     out = rows.join(of, rows["fp"] == of["c_fp"])
     kept = rows["doc_id"].eqNullSafe(F.col("least.doc_id")) & (F.col("row_hash") == F.col("least.row_hash"))
     return out.select("doc_id", "row_hash", "fp", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
