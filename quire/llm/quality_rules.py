@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, dropped, small, staged, table, whole
+from quire.llm.common import SPACES, bounded_batches, dropped, small, staged, table, whole
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -217,6 +217,7 @@ def estimates(points: DataFrame, tree: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, text: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
     """_doc (docs' columns, or keep_columns of them) with _q (counts), _base_failed, _distance (null: no estimate), _kept."""
+    bounded_batches(docs.sparkSession)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     source = F.col("source") if "source" in docs.columns else F.lit(None)
     rows = docs.select(whole(docs, keep_columns), counts_column(text).alias("_q"), lang.cast("string").alias("_lang"), source.cast("string").alias("_source"))
