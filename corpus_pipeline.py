@@ -34,7 +34,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, with the digests of ids and of the decoded text."""
-    return encoded(docs, ids=True).select("doc_id", "tokens.*")
+    return encoded(docs, ids=True).select("_doc.doc_id", "tokens.*")
 
 
 STAGES = [
