@@ -81,19 +81,20 @@ def _breaks(rows: Column, tolerance: float, least: float) -> Column:
 
 def assign_lines(words: DataFrame) -> DataFrame:
     """words with line_idx."""
-    order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "word_idx")
-    w = words.withColumn("_n", F.row_number().over(order))
-    pages = w.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), ((F.col("y0") + F.col("y1")) / 2.0).alias("mid"), F.col("size")))).alias("_rows"))
-    starts = pages.select(*PAGE, F.posexplode(_breaks(F.col("_rows"), LINE_OF_SIZE, LINE_LEAST)).alias("_line", "_n"))
-    marked = w.join(starts, [*PAGE, "_n"], "left")
-    return marked.withColumn("line_idx", F.last("_line", ignorenulls=True).over(Window.partitionBy(*PAGE).orderBy("_n")).cast("int")).drop("_line", "_n")
+    own = [c for c in words.columns if c not in PAGE]
+    row = F.struct("y0", "x0", "word_idx", ((F.col("y0") + F.col("y1")) / 2.0).alias("mid"), F.col("size").alias("size"), F.struct(*own).alias("w"))
+    pages = words.groupBy(*PAGE).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    numbered = F.transform("_rows", lambda r, i: F.struct(i.alias("n"), r["mid"].alias("mid"), r["size"].alias("size")))
+    # The words come out of the page's own array with their line: no join, and words are built once.
+    lines = pages.select(*PAGE, "_rows", _breaks(numbered, LINE_OF_SIZE, LINE_LEAST).alias("_at"))
+    each = lines.select(*PAGE, "_at", F.posexplode("_rows").alias("_n", "_row"))
+    return each.select(*PAGE, "_row.w.*", (F.size(F.filter("_at", lambda x: x <= F.col("_n"))) - 1).alias("line_idx"))
 
 
 def build_lines(words: DataFrame) -> DataFrame:
     """Words of a line from left to right, joined by a space."""
     w = assign_lines(words)
-    across = Window.partitionBy(*PAGE, "line_idx").orderBy("x0", "y0", "word_idx")
-    return _merged(w.withColumn("_pos", F.row_number().over(across)), [*PAGE, "line_idx"], "_pos", " ")
+    return _merged(w.withColumn("_pos", F.struct("x0", "y0", "word_idx")), [*PAGE, "line_idx"], "_pos", " ")
 
 
 def assign_blocks(lines: DataFrame) -> DataFrame:

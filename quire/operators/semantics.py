@@ -76,7 +76,12 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         best, best_at = 0.0, -1
         if b.text:
             for at, t in enumerate(free):
-                score = SequenceMatcher(None, b.text[:FUZZY_CHARS], t.text[:FUZZY_CHARS]).ratio()
+                m = SequenceMatcher(None, b.text[:FUZZY_CHARS], t.text[:FUZZY_CHARS])
+                # Upper bounds first: a tag that cannot be the best, or good enough, needs no ratio.
+                need = max(best, FUZZY_LEAST)
+                if m.real_quick_ratio() <= need or m.quick_ratio() <= need:
+                    continue
+                score = m.ratio()
                 if score > best:
                     best, best_at = score, at
         if best > FUZZY_LEAST:
@@ -146,9 +151,3 @@ def heuristic_tagger(pdf: pd.DataFrame) -> pd.DataFrame:
     """The built-in tagger: types by size only."""
     kinds = ["heading" if s >= 14 else "paragraph" for s in pdf["size"]]
     return pd.DataFrame({"doc_id": pdf["doc_id"], "page_number": pdf["page_number"], "tag_pos": pdf["index"], "block_index": pdf["index"], "block_type": kinds, "role": ["section_title" if k == "heading" else k for k in kinds], "reading_order": pdf["index"], "text": None, "rhetoric": None, "rhetoric_features": None})
-
-
-def rows_by_batch(it: Iterator[pd.DataFrame], call: Tagger) -> Iterator[pd.DataFrame]:
-    """For mapInPandas: a remote model called once per Arrow batch."""
-    for pdf in it:
-        yield call(pdf)

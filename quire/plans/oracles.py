@@ -296,6 +296,11 @@ ORACLES: dict[str, str] = {
     "strip_html": f"WITH {TREE} SELECT doc_id, {PATH}, '{{\"id\":' || to_json(id) || ',\"block_type\":' || to_json(block_type) || ',\"content\":' || to_json(content) || ',\"list_type\":' || coalesce(to_json(list_type)::VARCHAR, 'null') || '}}' AS json FROM tree",
     "empty_template": f"WITH {TREE} SELECT doc_id, {PATH}, id, '' AS content, html FROM tree",
     "export_html": _export(),
+    "doc_title": r"""
+SELECT page_id, array_to_string(list_transform(regexp_extract_all(
+  lower(translate(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1'), '_-', '  ')),
+  '\p{L}+|\P{L}+'), lambda r: upper(r[1]) || r[2:]), '') AS title
+FROM pages""",
     "format_dispatch": f"""WITH a AS (SELECT page_id, '/in/file_' || page_id || {_pick('page_id', '.PDF', '.docx', '.doc', '.html', '.png', '.pptx', '')} AS path FROM pages), b AS (SELECT *, lower(regexp_extract(path, '\\.[^./]+$')) AS ext FROM a)
  SELECT page_id, path, ext, CASE WHEN ext = '.pdf' THEN 'pdf' WHEN ext IN ('.docx', '.doc') THEN 'docx' WHEN ext IN ('.html', '.htm') THEN 'html' WHEN ext IN ('.png', '.jpg', '.jpeg', '.gif') THEN 'image' ELSE 'quarantine' END AS reader FROM b""",
     "blocks_summary": f"WITH {PARA_BLOCKS} SELECT doc_id, page_number, (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY block_idx) - 1)::INT AS \"index\", CASE WHEN length(text) > 120 THEN left(text, 120) || '...' ELSE text END AS text, 'Arial' AS font, 11.0::DOUBLE AS size FROM pb",

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from quire.functions.layout import title_from_name
 from quire.functions.pages import clipped_pages
 from quire.operators import assemble, docx_layout, geometry, semantics, tree
-from quire.sources import docx
+from quire.sources import docx, html, marker
 
 # What the formats' extensions stand for.
-READERS = {"pdf": (".pdf",), "docx": (".docx", ".doc"), "html": (".html", ".htm"), "image": (".png", ".jpg", ".jpeg", ".gif"), "other": (".pptx", ".xlsx", ".epub")}
+READERS = {"pdf": (".pdf",), "docx": (".docx", ".doc"), "html": (".html", ".htm"), "image": (".png", ".jpg", ".jpeg", ".gif"), "json": (".json",), "other": (".pptx", ".xlsx", ".epub")}
 
 
 def extension(path: Column) -> Column:
@@ -66,13 +66,14 @@ def _assembled(blocks: DataFrame, pages: DataFrame, tables: DataFrame | None, so
 
 
 def docx_document(elements: DataFrame, pretty: bool = False) -> DataFrame:
-    """DOCX body elements, as sources.docx reads them, to document JSON. Page size is that of the default page."""
+    """DOCX body elements, as sources.docx reads them, to document JSON. Page size is that of the document's section."""
     laid = docx_layout.lay_out(elements)
     rows = docx_layout.paginate(docx_layout.classified(laid))
     place = Window.partitionBy("doc_id", "page_number").orderBy("elem_idx")
     blocks = rows.withColumn("block_idx", (F.row_number().over(place) - 1).cast("int")).withColumn("size", F.col("font_size"))
     tables = docx_layout.paginate(laid.filter("kind = 'tbl'")).withColumn("table_idx", F.col("elem_idx")).withColumn("id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit("table"), F.col("elem_idx").cast("string")), 256))
-    pages = docx_layout.pages_of(laid, elements).select("*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    sizes = elements.groupBy("doc_id").agg(F.first("page_w", True).alias("width"), F.first("page_h", True).alias("height"))
+    pages = docx_layout.pages_of(laid, elements).join(sizes, "doc_id").withColumns({"width": F.coalesce("width", F.lit(612.0)), "height": F.coalesce("height", F.lit(792.0))})
     return _assembled(blocks, pages, tables, "docx", pretty)
 
 
@@ -96,11 +97,31 @@ def docx_blocks(elements: DataFrame) -> DataFrame:
     return top.unionByName(below).unionByName(cells)
 
 
+def html_document(rows: DataFrame, pretty: bool = False) -> DataFrame:
+    """Block rows of HTML files, as sources.html reads them (doc_id for page_id), to documents: doc_id, json."""
+    kept = ("id", "block_type", "content", "html", "heading_level", "list_type", "row_count", "column_count", "blockquote", "color", "bg_color", "font_family", "font_size")
+    blocks = F.transform(F.sort_array(F.collect_list(F.struct("path", F.struct("path", *kept).alias("b")))), lambda x: x["b"])
+    head = F.struct(F.col("doc_id").cast("string").alias("document_id"), F.lit("html").alias("source"))
+    docs = rows.groupBy("doc_id").agg(blocks.alias("blocks"))
+    return docs.select("doc_id", F.to_json(F.struct(head.alias("document"), "blocks"), {"pretty": "true"} if pretty else {}).alias("json"))
+
+
 def convert(spark: SparkSession, path: str, pretty: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, json) of the DOCX files under a path, and the files without a reader here (path, reader)."""
+    """Documents (doc_id, json) of the DOCX, HTML and converter JSON files under a path, and the rest: path, reader, error.
+
+    The rest are files without a reader here and broken ones, with what is wrong with them.
+    """
     f = files(spark, path)
-    done = docx_document(docx.read_paragraphs(f.filter("reader = 'docx'")).filter("kind <> 'error'"), pretty)
-    return done, f.filter("reader <> 'docx'").select("path", "reader")
+    elements = docx.read_paragraphs(f.filter("reader = 'docx'"))
+    pages = f.filter("reader = 'html'").select(F.col("doc_id").alias("page_id"), F.decode("content", "UTF-8").alias("html"))
+    web = html.baseline_blocks(pages, body_only=True).withColumnRenamed("page_id", "doc_id")
+    trees = marker.blocks(f.filter("reader = 'json'").select("doc_id", F.decode("content", "UTF-8").alias("json")))
+    tree_json = trees.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "path", F.struct("page_number", "path", "id", "block_type", "content", "html", "bbox").alias("b")))), lambda x: x["b"]).alias("blocks"))
+    done = docx_document(elements.filter("kind <> 'error'"), pretty).unionByName(html_document(web, pretty))
+    done = done.unionByName(tree_json.select("doc_id", F.to_json(F.struct(F.struct(F.col("doc_id").cast("string").alias("document_id"), F.lit("marker").alias("source")).alias("document"), "blocks"), {"pretty": "true"} if pretty else {}).alias("json")))
+    broken = elements.filter("kind = 'error'").select("doc_id", F.col("text").alias("error"))
+    bad = f.select("doc_id", "path", "reader").join(broken, "doc_id").select("path", "reader", "error")
+    return done, f.filter(~F.col("reader").isin("docx", "html", "json")).select("path", "reader", F.lit(None).cast("string").alias("error")).unionByName(bad)
 
 
 def titles(f: DataFrame) -> DataFrame:

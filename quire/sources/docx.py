@@ -103,12 +103,14 @@ def read_paragraphs(files: DataFrame) -> DataFrame:
 
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
+            found = []
             for doc_id, content in zip(pdf["doc_id"], pdf["content"], strict=True):
                 try:
-                    found = [e | {"doc_id": doc_id} for e in elements(bytes(content))]
+                    found += [e | {"doc_id": doc_id} for e in list(elements(bytes(content)))]
                 except Exception as e:  # noqa: BLE001  any damage of the file
-                    found = [dict.fromkeys(names) | {"doc_id": doc_id, "kind": "error", "text": str(e)}]
-                yield pd.DataFrame(found, columns=names)
+                    found.append(dict.fromkeys(names) | {"doc_id": doc_id, "kind": "error", "text": str(e)})
+            out = pd.DataFrame(found, columns=names)
+            yield out.astype({"elem_idx": "Int64", "n_rows": "Int64", "n_cols": "Int64", "bold": "boolean", "italic": "boolean"})
 
     return files.select("doc_id", "content").mapInPandas(rows, ELEMENTS)
 
@@ -177,8 +179,3 @@ def export(blocks: DataFrame) -> DataFrame:
 
     cols = ("doc_id", "page_number", "path", "block_type", "content", "list_type", "heading_level", "blockquote")
     return blocks.select(*cols).groupBy("doc_id").applyInPandas(one, "doc_id long, content binary")
-
-
-def points(emu) -> F.Column:
-    """EMU column to points."""
-    return emu / EMU_PER_POINT

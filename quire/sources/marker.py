@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 3
-
-
 def as_marker_json(blocks: DataFrame) -> DataFrame:
-    """tree rows as converter JSON, two levels of children: doc_id, json."""
-    cell = F.struct("id", "block_type", "html", "bbox")
-    kids = blocks.filter(F.size("path") == 2).groupBy("doc_id", "page_number", F.slice("path", 1, 1).alias("root")).agg(F.transform(F.sort_array(F.collect_list(F.struct("path", cell.alias("b")))), lambda x: x["b"]).alias("children"))
-    top = blocks.filter(F.size("path") == 1).withColumn("root", F.col("path")).join(kids, ["doc_id", "page_number", "root"], "left")
-    page = top.groupBy("doc_id", "page_number").agg(F.transform(F.sort_array(F.collect_list(F.struct("path", F.struct("id", "block_type", "html", "bbox", "children").alias("b")))), lambda x: x["b"]).alias("children"))
-    pages = page.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", F.struct(F.array(F.lit(0), F.lit(0), F.lit(612), F.lit(792)).alias("bbox"), "children").alias("p")))).alias("pages"))
-    return pages.select("doc_id", F.to_json(F.struct(F.transform("pages", lambda p: p["p"]).alias("children"))).alias("json"))
+    """tree rows as converter JSON, all levels: doc_id, json. One aggregation per level, from the deepest up."""
+    depth = blocks.agg(F.max(F.size("path"))).first()[0] or 0
+    keys = ["doc_id", "page_number"]
+    rows = blocks.select(*keys, "path", F.to_json(F.struct("id", "block_type", "html", "bbox")).alias("json"))
+    kids = None
+    for d in range(depth, 0, -1):
+        level = rows.filter(F.size("path") == d)
+        if kids is not None:
+            level = level.join(kids, [*keys, "path"], "left")
+            with_kids = F.concat(F.expr("left(json, length(json) - 1)"), F.lit(',"children":['), "kids", F.lit("]}"))
+            level = level.select(*keys, "path", F.when(F.col("kids").isNull(), F.col("json")).otherwise(with_kids).alias("json"))
+        ordered = F.sort_array(F.collect_list(F.struct(F.element_at("path", -1).alias("at"), "json")))
+        kids = level.groupBy(*keys, F.slice("path", 1, d - 1).alias("path")).agg(F.array_join(F.transform(ordered, lambda x: x["json"]), ",").alias("kids"))
+    if kids is None:
+        return rows.select("doc_id", "json").limit(0)
+    page = F.concat(F.lit('{"bbox":[0,0,612,792],"children":['), "kids", F.lit("]}"))
+    pages = F.sort_array(F.collect_list(F.struct("page_number", page.alias("json"))))
+    docs = kids.groupBy("doc_id").agg(F.array_join(F.transform(pages, lambda x: x["json"]), ",").alias("pages"))
+    return docs.select("doc_id", F.concat(F.lit('{"children":['), "pages", F.lit("]}")).alias("json"))
 
 
 def properties(block_type: Column, html: Column) -> Column:
@@ -43,16 +52,17 @@ def text_of(html: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def blocks(files: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """files (doc_id, json) to block rows with a path; one explode per level."""
+def blocks(files: DataFrame) -> DataFrame:
+    """files (doc_id, json) to block rows with a path, of all levels; one explode per level, until a level is empty."""
     v = files.select("doc_id", F.try_parse_json("json").alias("v")).filter("v is not null")
     level = v.select("doc_id", F.try_variant_get("v", "$.children", "array<variant>").alias("kids")).select("doc_id", F.posexplode("kids").alias("page_idx", "v"))
     level = level.select("doc_id", "page_idx", F.array().cast("array<int>").alias("path"), "v")
     out = None
-    for _ in range(depth):
+    while out is None or not level.isEmpty():
+        out = level if out is None else out.unionByName(level)
         kids = F.try_variant_get("v", "$.children", "array<variant>")
         level = level.select("doc_id", "page_idx", "path", F.posexplode(kids).alias("pos", "v")).select("doc_id", "page_idx", F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), "v")
-        out = level if out is None else out.unionByName(level)
+    out = out.filter(F.size("path") > 0)
     get = lambda p, t: F.try_variant_get("v", p, t)
     kind = F.coalesce(get("$.block_type", "string"), F.lit("Unknown"))
     html = F.coalesce(get("$.html", "string"), F.lit(""))

@@ -40,15 +40,23 @@ def test_docx(spark, tmp_path):
     (tmp_path / "in" / "a_b.docx").write_bytes(docx.pack(body))
     (tmp_path / "in" / "x.pdf").write_bytes(b"%PDF")
     (tmp_path / "in" / "y.zzz").write_bytes(b"?")
+    (tmp_path / "in" / "bad.docx").write_bytes(b"no archive")
+    (tmp_path / "in" / "p.html").write_text("<html><body><div><h2>Head</h2><p style='COLOR: red; background-color:blue'>Text</p></div></body></html>")
+    (tmp_path / "in" / "m.json").write_text(json.dumps({"children": [{"children": [{"id": "a", "block_type": "Text", "html": "<p>one</p>", "children": [{"id": "b", "children": [{"id": "c", "children": [{"id": "d", "html": "deep"}]}]}]}]}]}))
     done, rest = pipelines.convert(spark, str(tmp_path / "in"))
-    got = json.loads(done.first().json)
+    by_source = {x["document"]["source"]: x for x in (json.loads(r.json) for r in done.collect())}
+    assert sorted(by_source) == ["docx", "html", "marker"]
+    assert [(b["block_type"], b["content"], b.get("color"), b.get("bg_color")) for b in by_source["html"]["blocks"]] == [("SectionHeader", "Head", None, None), ("Text", "Text", "red", "blue")]
+    assert [(b["id"], b["path"]) for b in by_source["marker"]["blocks"]] == [("a", [0]), ("b", [0, 0]), ("c", [0, 0, 0]), ("d", [0, 0, 0, 0])]
+    got = by_source["docx"]
     assert got["document"]["source"] == "docx" and [(b["type"], b["role"]) for b in got["blocks"]] == [("heading", "section_title"), ("paragraph", "paragraph")]
     assert len(got["reading_graph"]) == 2
-    assert sorted(r.reader for r in rest.collect()) == ["pdf", "quarantine"]
-    f = pipelines.files(spark, str(tmp_path / "in")).filter("reader = 'docx'")
+    assert sorted((r.reader, bool(r.error)) for r in rest.collect()) == [("docx", True), ("pdf", False), ("quarantine", False)]
+    f = pipelines.files(spark, str(tmp_path / "in")).filter("reader = 'docx' AND path LIKE '%a_b%'")
     assert pipelines.titles(f).first().title == "A B"
     tree = pipelines.docx_blocks(docx.read_paragraphs(f)).orderBy("path").collect()
     assert [r.block_type for r in tree if len(r.path) == 1] == ["SectionHeader", "Text", "Table"] and [r.content for r in tree if len(r.path) == 3] == ["a", "b", "c", "d"]
     assert tree[0].heading_level == 1 and tree[0].id == "page_0/SectionHeader/0"
     cli.main([str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--indent", "2"])
     assert spark.read.text(str(tmp_path / "out")).filter(F.col("value").contains("schema_version")).count() == 1
+    assert spark.read.json(str(tmp_path / "out-rest")).count() == 3
