@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.layout import html_of, html_tag, normalized_box, style_id, style_of
+from quire.functions.layout import cell_box, html_of, html_tag, normalized_box, strip, style_id, style_of
+from quire.operators.semantics import parsed_features, parsed_rhetoric
 from quire.schema import SCHEMA_VERSION
 
+# Fixed value: the text of a table's block.
+TABLE_TEXT = "[TABLE]"
+
 
 def with_style(blocks: DataFrame) -> DataFrame:
     s = style_of(F.col("fontname"), F.col("size"), F.col("color"))
@@ -63,20 +67,53 @@ def rendered(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("html", html_of(F.col("block_type"), F.col("text"))).withColumn("html_template", F.concat(F.lit("<"), t, F.lit(">{{text}}</"), t, F.lit(">")))
 
 
-def document_json(pages: DataFrame, blocks: DataFrame, edges: DataFrame, source: str, pretty: bool = False) -> DataFrame:
-    """doc_id and the document as JSON: pages, blocks, styles, spans, reading graph; empty parts are left out."""
+def table_blocks(tables: DataFrame, pages: DataFrame) -> DataFrame:
+    """tables (doc_id, page_number, table_idx, id, box, and cells: rows of texts, if known) as blocks, with the table itself.
+
+    Cells share the table's box evenly; columns are those of the longest row.
+    """
+    t = boxed(tables if "cells" in tables.columns else tables.withColumn("cells", F.lit(None).cast("array<array<string>>")), pages)
+    n_rows = F.when(F.col("cells").isNull(), 0).otherwise(F.size("cells"))
+    n_cols = F.coalesce(F.array_max(F.transform("cells", F.size)), F.lit(0))
+    box = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1"))
+
+    def cell(r, text, c):
+        own = cell_box(box, n_rows, n_cols, r, c)
+        share = normalized_box(tuple(F.get(own, F.lit(i)) for i in range(4)), F.col("width"), F.col("height"))
+        return F.struct(r.alias("row"), c.alias("col"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), strip(F.coalesce(text, F.lit(""))).alias("text"), own.alias("bbox"), share.alias("bbox_norm"))
+
+    cells = F.flatten(F.transform("cells", lambda row, r: F.transform(row, lambda text, c: cell(r, text, c))))
+    whole = F.struct("id", F.col("page_number").alias("page"), n_rows.alias("rows"), n_cols.alias("cols"), "bbox", F.coalesce(cells, F.array()).alias("cells"))
+    return t.select("doc_id", "page_number", "id", F.lit(1).alias("is_table"), F.lit(0).alias("reading_order"), F.col("table_idx").alias("block_idx"), F.lit("table").alias("block_type"), F.lit("table").alias("role"), F.lit(TABLE_TEXT).alias("text"), "bbox", "bbox_norm", whole.alias("table"))
+
+
+def document_json(pages: DataFrame, blocks: DataFrame, edges: DataFrame, source: str, pretty: bool = False, tables: DataFrame | None = None) -> DataFrame:
+    """doc_id and the document as JSON: pages, blocks, styles, spans, tables, reading graph; empty parts are left out.
+
+    Tables (see table_blocks) are blocks too, after the text of their page; their reading order is their place.
+    """
+    rows = blocks.withColumn("is_table", F.lit(0))
+    if tables is not None:
+        rows = rows.unionByName(table_blocks(tables, pages), allowMissingColumns=True)
+    is_text = F.col("is_table") == 0
+    optional = [F.when(F.col(c).isNotNull(), read(F.col(c))).alias(c) for c, read in (("rhetoric", parsed_rhetoric), ("rhetoric_features", parsed_features)) if c in blocks.columns]
     p = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "width", "height", F.lit(0).alias("rotation"), F.lit("pt").alias("unit")))).alias("pages"))
-    fields = F.struct("page_number", "reading_order", "block_idx", F.struct("id", F.col("block_type").alias("type"), "role", F.col("page_number").alias("page"), "bbox", "bbox_norm", "reading_order", F.lit(0).alias("z_index"), "text", "style_id", "html", "html_template").alias("b"), F.struct(F.concat(F.lit("s-"), "id").alias("id"), F.col("id").alias("block_id"), "text", "bbox", "bbox_norm", "style_id").alias("s"), F.struct("style_id", "_style").alias("y"))
-    b = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(fields)).alias("rows"))
+    block = F.struct("id", F.col("block_type").alias("type"), "role", F.col("page_number").alias("page"), "bbox", "bbox_norm", F.col("reading_order").cast("int").alias("reading_order"), F.lit(0).alias("z_index"), "text", "style_id", "html", "html_template", *optional)
+    span = F.struct(F.concat(F.lit("s-"), "id").alias("id"), F.col("id").alias("block_id"), "text", "bbox", "bbox_norm", "style_id")
+    kept = ["page_number", "is_table", F.coalesce("reading_order", F.lit(0)).alias("order"), "block_idx", block.alias("b"), F.when(is_text, span).alias("s"), F.when(is_text, F.struct("style_id", "_style")).alias("y")]
+    b = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*kept, *(["table"] if tables is not None else [])))).alias("rows"))
     e = edges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("from", "to", "relation"))).alias("reading_graph"))
     j = p.join(b, "doc_id", "left").join(e, "doc_id", "left")
-    part = lambda f: F.transform("rows", lambda r: r[f])
+    part = lambda f: F.filter(F.transform("rows", lambda r: r[f]), lambda x: x.isNotNull())
+    some = lambda a: F.when(F.size(a) > 0, a)
+    placed = F.transform("rows", lambda r, i: F.when(r["is_table"] == 1, r["b"].withField("reading_order", i)).otherwise(r["b"]))
     doc = F.struct(
         F.struct(F.col("doc_id").cast("string").alias("document_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(source).alias("source"), F.size("pages").alias("page_count")).alias("document"),
         F.col("pages"),
-        F.coalesce(part("b"), F.array()).alias("blocks"),
-        part("s").alias("spans"),
-        F.map_from_entries(F.array_distinct(part("y"))).alias("styles"),
+        F.coalesce(placed, F.array()).alias("blocks"),
+        some(part("s")).alias("spans"),
+        *([some(part("table")).alias("tables")] if tables is not None else []),
+        F.map_from_entries(F.array_distinct(some(part("y")))).alias("styles"),
         F.col("reading_graph"),
     )
     options = {"pretty": "true"} if pretty else {}

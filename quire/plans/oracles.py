@@ -257,6 +257,16 @@ ORACLES: dict[str, str] = {
  SELECT table_id, row, col, 1 AS row_span, 1 AS col_span, trim(text) AS text, n_rows, n_cols, round_even(72.0::DOUBLE + col * (468.0::DOUBLE / n_cols), 2) AS x0, round_even(72.0::DOUBLE + row * (200.0::DOUBLE / n_rows), 2) AS y0, round_even(72.0::DOUBLE + (col + 1) * (468.0::DOUBLE / n_cols), 2) AS x1, round_even(72.0::DOUBLE + (row + 1) * (200.0::DOUBLE / n_rows), 2) AS y1 FROM z""",
     "blocks_not_in_tables": f"WITH {PARA_BLOCKS}, {TABLES}, bb AS (SELECT *, 72.0::DOUBLE + 30 * block_idx AS y0 FROM pb) SELECT doc_id, page_number, block_idx, y0 FROM bb WHERE NOT EXISTS (SELECT 1 FROM tb WHERE tb.doc_id = bb.doc_id AND tb.page_number = bb.page_number AND greatest(least(540.0, tb.x1) - greatest(72.0, tb.x0), 0) * greatest(least(bb.y0 + 20, tb.y1) - greatest(bb.y0, tb.y0), 0) / greatest(468.0 * 20, 0.01) > 0.5)",
     "tag_index_join": f"WITH {MATCHED} SELECT doc_id, page_number, block_idx, block_type, role, reading_order::INT AS reading_order, matched FROM m",
+    "fallback_cases": f"""WITH {CLASSIFIED}, g AS (SELECT doc_id, elem_idx, block_type AS t, role AS r, reading_order::INT AS reading_order, {_guess('text', 'font_size', 'fontname')} AS block_type FROM cl)
+ SELECT 'no_vision' AS "case", doc_id, elem_idx, block_type, {ROLE} AS role, reading_order FROM g UNION ALL SELECT 'vision_error', doc_id, elem_idx, block_type, 'paragraph', reading_order FROM g
+ UNION ALL SELECT 'no_tags', doc_id, elem_idx, 'paragraph', 'paragraph', reading_order FROM g UNION ALL SELECT 'docx', doc_id, elem_idx, t, r, reading_order FROM g""",
+    "doc_assemble_tables": f"""WITH {EMITTED}, w AS (SELECT doc_id, page_number, block_index AS block_idx, list(CASE WHEN tone <> 'angry' AND voice <> 'loud' THEN tone END ORDER BY tag_pos DESC)[1] AS tone FROM tags GROUP BY ALL)
+ SELECT em.doc_id, emit_idx::INT AS place, em.id, CASE WHEN is_table = 1 THEN 'table' ELSE m.block_type END AS type, CASE WHEN is_table = 1 THEN 'table' ELSE m.role END AS role, em.page_number AS page, CASE WHEN is_table = 1 THEN emit_idx ELSE em.reading_order END::INT AS reading_order, CASE WHEN is_table = 1 THEN '[TABLE]' ELSE pb.text END AS text, CASE WHEN is_table = 0 THEN w.tone END AS tone
+ FROM em LEFT JOIN m ON em.doc_id = m.doc_id AND em.id = m.id LEFT JOIN pb ON em.doc_id = pb.doc_id AND em.id = pb.id LEFT JOIN w ON em.doc_id = w.doc_id AND em.page_number = w.page_number AND em.pos = w.block_idx""",
+    "marker_json_blocks": f"""WITH {TREE}, a AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) AS words, len(regexp_extract_all(html, '<tr\\b')) AS trs FROM tree)
+ SELECT doc_id, page_number, array_to_string(list_concat([path[1] % 35], path[2:]), '.') AS path, id, block_type, words AS content, html, CASE WHEN block_type = 'SectionHeader' THEN try_cast(regexp_extract(html, '<h(\\d)', 1) AS INT) END AS heading_level, CASE WHEN block_type = 'Table' THEN trs END::INT AS row_count, CASE WHEN block_type = 'Table' AND trs > 0 THEN len(regexp_extract_all(regexp_extract(html, '(?s)<tr\\b(.*?)(</tr>|<tr\\b|$)', 1), '<t[dh]\\b')) END::INT AS column_count,
+ CASE WHEN block_type = 'ListItem' THEN CASE WHEN contains(html, '<ol') THEN 'ordered' ELSE 'unordered' END END AS list_type, CASE WHEN block_type = 'Code' THEN nullif(regexp_extract(html, 'class="language-(\\w+)"', 1), '') END AS language, CASE WHEN contains(lower(html), 'blockquote') THEN true END AS blockquote,
+ CASE WHEN by0 IS NOT NULL THEN 72.0::DOUBLE END AS x0, by0 AS y0, CASE WHEN by0 IS NOT NULL THEN 540.0::DOUBLE END AS x1, by0 + 12 AS y1 FROM a""",
     "docx_batch_tags": f"""WITH {CLASSIFIED}, g AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY elem_idx) - 1)::INT AS gi FROM cl)
  SELECT doc_id, elem_idx, gi // 50 AS batch, gi % 50 AS batch_idx, CASE WHEN gi % 3 = 0 AND gi % 2 = 0 THEN 'caption' ELSE block_type END AS block_type, CASE WHEN gi % 3 = 0 THEN 'caption' ELSE role END AS role, CASE WHEN gi % 3 = 0 AND gi % 5 = 0 THEN 7 ELSE reading_order END::INT AS reading_order, CASE WHEN gi % 3 = 0 THEN '{{"tone":"legal"}}' END AS rhetoric FROM g""",
     "rhetoric_validate": f"""WITH {TAGS}, v AS (SELECT *, tone <> 'angry' AND voice <> 'loud' AS ok, density <> 'x' AS fok FROM tags)

@@ -44,7 +44,8 @@ def selected_pages(pages: DataFrame, page_range: str | None) -> DataFrame:
 def layout_document(chars: DataFrame, pages: DataFrame, tables: DataFrame | None = None, tags: DataFrame | None = None, page_range: str | None = None, pretty: bool = False) -> DataFrame:
     """Characters to document JSON: doc_id, json.
 
-    tables (doc_id, page_number, table_idx, id, x0, y0, x1, y1) drop the blocks they cover and follow their page's text.
+    tables (doc_id, page_number, table_idx, id, x0, y0, x1, y1, and cells: rows of texts, if known) drop the blocks they
+    cover and follow their page's text, as blocks and with their cells.
     Without tags, types come from the heuristics; with tags, by index.
     """
     chosen = selected_pages(pages, page_range)
@@ -54,15 +55,14 @@ def layout_document(chars: DataFrame, pages: DataFrame, tables: DataFrame | None
         blocks = geometry.blocks_outside_tables(blocks, tables)
         place = Window.partitionBy("doc_id", "page_number").orderBy("block_idx")
         blocks = blocks.withColumn("block_idx", (F.row_number().over(place) - 1).cast("int"))
-    blocks = semantics.heuristic(blocks) if tags is None else semantics.match_by_index(blocks, tags).drop("matched", "rhetoric", "rhetoric_features")
+    blocks = semantics.heuristic(blocks) if tags is None else semantics.match_by_index(blocks, tags).drop("matched")
     return _assembled(blocks, chosen, tables, "pdf", pretty)
 
 
 def _assembled(blocks: DataFrame, pages: DataFrame, tables: DataFrame | None, source: str, pretty: bool) -> DataFrame:
-    if tables is None:
-        tables = blocks.select("doc_id", "page_number", F.lit(0).alias("table_idx"), "id").limit(0)
-    edges = assemble.reading_graph(assemble.emitted(blocks, tables))
-    return assemble.document_json(pages, assemble.rendered(assemble.boxed(assemble.with_style(blocks), pages)), edges, source, pretty)
+    none = blocks.select("doc_id", "page_number", F.lit(0).alias("table_idx"), "id").limit(0)
+    edges = assemble.reading_graph(assemble.emitted(blocks, none if tables is None else tables))
+    return assemble.document_json(pages, assemble.rendered(assemble.boxed(assemble.with_style(blocks), pages)), edges, source, pretty, tables)
 
 
 def docx_document(elements: DataFrame, pretty: bool = False) -> DataFrame:

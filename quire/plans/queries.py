@@ -126,12 +126,12 @@ def tag_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fallback_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Types and roles by fallback case, counted."""
+    """Type, role and order of every paragraph in each fallback case."""
     p = docx_layout.classified(docx_layout.lay_out(A.doc_paras(spark, d)))
     b = p.withColumn("block_idx", F.col("elem_idx")).withColumn("size", F.col("font_size")).withColumn("page_number", F.lit(1))
     out = None
     for case in ("no_vision", "vision_error", "no_tags", "docx"):
-        one = semantics.fallback(b, case).groupBy("block_type", "role").agg(F.count("*").alias("n"), F.sum("reading_order").alias("sum_order")).withColumn("case", F.lit(case))
+        one = semantics.fallback(b, case).select(F.lit(case).alias("case"), "doc_id", "elem_idx", "block_type", "role", "reading_order")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -227,6 +227,17 @@ def doc_assemble(spark: SparkSession, d: str) -> DataFrame:
     return _document(spark, d)
 
 
+def doc_assemble_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks, tables among them, of the JSON assembled from tagged blocks and two tables a page, in the document's order."""
+    b = _boxed_blocks(spark, d).select("*", F.lit("Arial").alias("fontname"), F.lit(11.0).alias("size"), F.lit("#000000").alias("color"))
+    m, pages, tables = semantics.match_by_index(b, A.tags(spark, d)), _pages(b), _page_tables(spark, d)
+    full = assemble.rendered(assemble.boxed(assemble.with_style(m), pages))
+    docs = assemble.document_json(pages, full, assemble.reading_graph(assemble.emitted(m, tables)), "pdf", tables=tables)
+    block = "struct<id string, type string, role string, page int, reading_order int, text string, rhetoric struct<tone string>>"
+    rows = docs.select("doc_id", F.posexplode(F.from_json("json", f"blocks array<{block}>")["blocks"]).alias("place", "b"))
+    return rows.select("doc_id", "place", "b.id", "b.type", "b.role", "b.page", "b.reading_order", "b.text", "b.rhetoric.tone")
+
+
 def doc_assemble_counts(spark: SparkSession, d: str) -> DataFrame:
     """Pages, blocks, edges and styles, counted in the assembled JSON."""
     j = F.from_json("json", "document struct<page_count int>, blocks array<struct<id string>>, reading_graph array<struct<`from` string>>, styles map<string, struct<size double>>, spans array<struct<id string>>")
@@ -340,7 +351,9 @@ def docx_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def marker_json_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return marker.blocks(marker.as_marker_json(A.tree_blocks(spark, d)))
+    b = marker.blocks(marker.as_marker_json(A.tree_blocks(spark, d)))
+    box = [F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+    return b.select("doc_id", "page_number", _text_path().alias("path"), "id", "block_type", "content", "html", "heading_level", "row_count", "column_count", "list_type", "language", "blockquote", *box)
 
 
 def doc_title(spark: SparkSession, d: str) -> DataFrame:
@@ -411,7 +424,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         chars_filtered, color_hex, words_gap_cluster, lines_anchor_cluster, blocks_merge, dominant_font, blocks_heuristic, block_type_heuristic, para_classify, style_distinct, table_cell_grid, blocks_not_in_tables, tag_index_join, tag_fuzzy_match, fallback_cases,
-        docx_batch_tags, rhetoric_validate, rhetoric_features, docx_layout_cursor, docx_word_wrap, docx_paginate, docx_pages, bbox_normalize, tokens_explode, reading_graph, table_reading_order, doc_assemble, doc_assemble_counts, page_range_a, page_range_b,
+        docx_batch_tags, rhetoric_validate, rhetoric_features, docx_layout_cursor, docx_word_wrap, docx_paginate, docx_pages, bbox_normalize, tokens_explode, reading_graph, table_reading_order, doc_assemble, doc_assemble_tables, doc_assemble_counts, page_range_a, page_range_b,
         html_clean_text, html_blocks, html_headings, html_chunks, html_chunk_fold, block_pages_35, type_counts, doc_metrics, flatten_tree, apply_edits, first_match_edit, title_edits, strip_html, empty_template, export_html, export_docx, docx_scan, marker_json_blocks,
         doc_title, format_dispatch, blocks_summary, pdf_overlay_plan, display_helpers, quarantine_pages, page_counts, conversation_graph, event_props, stream_documents,
     )

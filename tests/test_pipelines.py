@@ -27,9 +27,19 @@ def test_layout_document(spark):
     got = json.loads(pipelines.layout_document(chars(spark), pages(spark), page_range="1,3-9").first().json)
     assert got["document"]["page_count"] == 2 and [b["text"] for b in got["blocks"]] == ["Title", "body", "more"] * 2
     assert [b["type"] for b in got["blocks"]][:2] == ["heading", "paragraph"] and len(got["reading_graph"]) == 5 and len(got["styles"]) == 2
-    t = spark.createDataFrame([(1, 1, 0, "t", 0.0, 120.0, 612.0, 160.0)], "doc_id long, page_number int, table_idx int, id string, x0 double, y0 double, x1 double, y1 double")
-    got = json.loads(pipelines.layout_document(chars(spark), pages(spark), tables=t).first().json)
-    assert len(got["blocks"]) == 8 and any(e["to"] == "t" for e in got["reading_graph"])
+    t = spark.createDataFrame([(1, 1, 0, "t", 0.0, 120.0, 612.0, 160.0, [["a", " b "], ["c"]])], "doc_id long, page_number int, table_idx int, id string, x0 double, y0 double, x1 double, y1 double, cells array<array<string>>")
+    for tables, n in ((t, 3), (t.drop("cells"), 0)):
+        got = json.loads(pipelines.layout_document(chars(spark), pages(spark), tables=tables).first().json)
+        assert len(got["blocks"]) == 9 and len(got["spans"]) == 8
+        ids = [b["id"] for b in got["blocks"]]
+        at = got["blocks"][ids.index("t")]
+        assert (ids.index("t"), at["reading_order"], at["type"], at["text"]) == (2, 2, "table", "[TABLE]")
+        assert sorted((e["from"], e["to"]) for e in got["reading_graph"]) == sorted(zip(ids, ids[1:]))
+        assert len(got["tables"]) == 1 and len(got["tables"][0]["cells"]) == n
+        if n:
+            x = got["tables"][0]
+            assert (x["rows"], x["cols"], x["page"]) == (2, 2, 1)
+            assert [(c["row"], c["col"], c["text"], c["bbox"]) for c in x["cells"]] == [(0, 0, "a", [0.0, 120.0, 306.0, 140.0]), (0, 1, "b", [306.0, 120.0, 612.0, 140.0]), (1, 0, "c", [0.0, 140.0, 306.0, 160.0])]
     none = pipelines.layout_document(chars(spark).limit(0), pages(spark).limit(0))
     assert none.count() == 0
 
@@ -49,7 +59,8 @@ def test_docx(spark, tmp_path):
     assert [(b["block_type"], b["content"], b.get("color"), b.get("bg_color")) for b in by_source["html"]["blocks"]] == [("SectionHeader", "Head", None, None), ("Text", "Text", "red", "blue")]
     assert [(b["id"], b["path"]) for b in by_source["marker"]["blocks"]] == [("a", [0]), ("b", [0, 0]), ("c", [0, 0, 0]), ("d", [0, 0, 0, 0])]
     got = by_source["docx"]
-    assert got["document"]["source"] == "docx" and [(b["type"], b["role"]) for b in got["blocks"]] == [("heading", "section_title"), ("paragraph", "paragraph")]
+    assert got["document"]["source"] == "docx" and [(b["type"], b["role"]) for b in got["blocks"]] == [("heading", "section_title"), ("paragraph", "paragraph"), ("table", "table")]
+    assert [c["text"] for c in got["tables"][0]["cells"]] == ["a", "b", "c", "d"]
     assert len(got["reading_graph"]) == 2
     assert sorted((r.reader, bool(r.error)) for r in rest.collect()) == [("docx", True), ("pdf", False), ("quarantine", False)]
     f = pipelines.files(spark, str(tmp_path / "in")).filter("reader = 'docx' AND path LIKE '%a_b%'")
