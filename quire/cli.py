@@ -12,11 +12,11 @@ from quire.plans import pipelines
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="quire", description="Documents to structured JSON")
-    p.add_argument("input", help="folder of DOCX files, or with --chars a parquet table of characters")
+    p.add_argument("input", help="folder of PDF, DOCX, HTML and JSON files, or with --chars a parquet table of characters")
     p.add_argument("-o", "--output", help="folder for the JSON; files that are broken or have no reader are listed beside it; without it the documents are printed")
     p.add_argument("--chars", action="store_true", help="the input is a table of positioned characters")
     p.add_argument("--no-vision", action="store_true", help="types by heuristics (the default without a tagger)")
-    p.add_argument("--pages", help="pages such as 1,3-5 (characters only)")
+    p.add_argument("--pages", help="pages such as 1,3-5 (PDF files and characters)")
     p.add_argument("--indent", type=int, default=0, help="indent the JSON if not 0")
     p.add_argument("-v", "--verbose", action="store_true")
     a = p.parse_args(argv)
@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> None:
         pages = chars.select("doc_id", "page_number").distinct().select("*", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
         docs = pipelines.layout_document(chars, pages, page_range=a.pages, pretty=bool(a.indent))
     else:
-        docs, rest = pipelines.convert(spark, a.input, pretty=bool(a.indent))
+        docs, rest = pipelines.convert(spark, a.input, pretty=bool(a.indent), page_range=a.pages)
         if a.output:
             rest.write.mode("overwrite").json(f"{a.output.rstrip('/')}-rest")
     if a.output:

@@ -1,4 +1,7 @@
-"""Page ranges as expressions: two dialects over '1,3-5' and a page count."""
+"""Page ranges as expressions: two dialects over '1,3-5' and a page count.
+
+A third one counts from 0 ('0,2-5,10') and belongs to the foreign converter, which gets the text as it is.
+"""
 
 from __future__ import annotations
 

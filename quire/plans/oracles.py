@@ -312,7 +312,7 @@ SELECT page_id, array_to_string(list_transform(regexp_extract_all(
   '\p{L}+|\P{L}+'), lambda r: upper(r[1]) || r[2:]), '') AS title
 FROM pages""",
     "format_dispatch": f"""WITH a AS (SELECT page_id, '/in/file_' || page_id || {_pick('page_id', '.PDF', '.docx', '.doc', '.html', '.png', '.pptx', '')} AS path FROM pages), b AS (SELECT *, lower(regexp_extract(path, '\\.[^./]+$')) AS ext FROM a)
- SELECT page_id, path, ext, CASE WHEN ext = '.pdf' THEN 'pdf' WHEN ext IN ('.docx', '.doc') THEN 'docx' WHEN ext IN ('.html', '.htm') THEN 'html' WHEN ext IN ('.png', '.jpg', '.jpeg', '.gif') THEN 'image' ELSE 'quarantine' END AS reader FROM b""",
+ SELECT page_id, path, ext, CASE WHEN ext = '.pdf' THEN 'pdf' WHEN ext IN ('.docx', '.doc') THEN 'docx' WHEN ext IN ('.html', '.htm') THEN 'html' WHEN ext IN ('.png', '.jpg', '.jpeg', '.gif') THEN 'image' WHEN ext = '.json' THEN 'json' WHEN ext IN ('.pptx', '.xlsx', '.epub') THEN 'other' ELSE 'quarantine' END AS reader FROM b""",
     "blocks_summary": f"WITH {PARA_BLOCKS} SELECT doc_id, page_number, (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY block_idx) - 1)::INT AS \"index\", CASE WHEN length(text) > 120 THEN left(text, 120) || '...' ELSE text END AS text, 'Arial' AS font, 11.0::DOUBLE AS size FROM pb",
     "pdf_overlay_plan": f"WITH {TREE} SELECT doc_id, page_number - 1 AS page_index, {PATH}, by0 AS y0, content AS text, 'Helvetica' AS font, 11 AS font_size FROM tree WHERE by0 IS NOT NULL AND content <> ''",
     "display_helpers": _display(),
@@ -325,3 +325,30 @@ FROM pages""",
 
 #: DuckDB has no HTML unescape: this query's pages hold &amp; and &quot; only.
 ORACLES["html_headings"] = "SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS heading FROM pages WHERE regexp_matches(html, '<h1>')"
+
+#: Characters that XML cannot hold are not in DOCX files.
+SCANNED = PARAS + """,
+sc AS (SELECT * REPLACE (regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{FFFE}\\x{FFFF}]', '', 'g') AS text), (row_number() OVER (PARTITION BY doc_id ORDER BY elem_idx) - 1)::INT AS no FROM paras)"""
+
+ORACLES["docx_scan"] = f"""WITH {SCANNED} SELECT doc_id, no AS elem_idx, kind, CASE WHEN kind = 'p' THEN style_name ELSE '' END AS style_name, text, CASE WHEN kind = 'p' THEN font_name ELSE 'Calibri' END AS font_name,
+ CASE WHEN kind = 'p' THEN font_size ELSE 11.0::DOUBLE END AS font_size, kind = 'p' AND bold AS bold, kind = 'p' AND italic AS italic, '#000000' AS color, n_rows, (kind = 'tbl')::INT AS n_cols, 612.0::DOUBLE AS page_w, 792.0::DOUBLE AS page_h FROM sc"""
+
+ORACLES["docx_html"] = f"""WITH {SCANNED}, h1 AS (SELECT *, lower(style_name) AS st, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM sc WHERE kind = 'tbl' OR trim(text) <> ''),
+h2 AS (SELECT *, CASE WHEN kind = 'tbl' THEN 'table' WHEN regexp_matches(st, 'heading\\s*[1-6]') THEN 'h' || regexp_extract(st, 'heading\\s*([1-6])', 1) WHEN contains(st, 'title') THEN 'h1' WHEN contains(st, 'list') THEN 'li' ELSE 'p' END AS tag, CASE WHEN italic THEN '<em>' || t || '</em>' ELSE t END AS i FROM h1),
+h3 AS (SELECT *, CASE WHEN bold THEN '<strong>' || i || '</strong>' ELSE i END AS b, lag(tag) OVER w AS before, lead(tag) OVER w AS after FROM h2 WINDOW w AS (PARTITION BY doc_id ORDER BY no))
+SELECT doc_id, string_agg(CASE WHEN tag = 'table' THEN '<table>' || repeat('<tr><td><p></p></td></tr>', n_rows) || '</table>' ELSE CASE WHEN tag = 'li' AND before IS DISTINCT FROM 'li' THEN '<ul>' ELSE '' END || '<' || tag || '>' || b || '</' || tag || '>' || CASE WHEN tag = 'li' AND after IS DISTINCT FROM 'li' THEN '</ul>' ELSE '' END END, '' ORDER BY no) AS html FROM h3 GROUP BY doc_id"""
+
+ORACLES["pdf_scan"] = f"""WITH {LINES}, p1 AS (SELECT doc_id, line_no, regexp_replace(line, '[^ -~]', '?', 'g') AS line FROM lines), p2 AS (SELECT doc_id, line_no, line, unnest(range(greatest(ceil(length(line) / 90.0)::INT, 1))) AS part FROM p1),
+p3 AS (SELECT doc_id, substr(line, part::INT * 90 + 1, 90) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part) - 1 AS r FROM p2),
+p4 AS (SELECT *, 792 - (r % 50 * 14 + 50) AS base FROM p3)
+SELECT doc_id, (r // 50 + 1)::INT AS page_number, sum(length(text))::INT AS n_chars, md5(string_agg(text, '' ORDER BY r)) AS text_md5, round_even(max(CASE WHEN text <> '' THEN 36 + 6.0::DOUBLE * length(text) END), 2) AS x1,
+ round_even(min(CASE WHEN text <> '' THEN 792 - (base - 1.57::DOUBLE + 10) END), 2) AS y0, round_even(max(CASE WHEN text <> '' THEN 792 - (base - 1.57::DOUBLE) END), 2) AS y1 FROM p4 GROUP BY doc_id, r // 50"""
+
+ORACLES["image_text"] = "SELECT page_id AS doc_id, 1 AS page_number, to_base64(encode(html)) AS payload FROM pages"
+
+ORACLES["page_calls"] = """WITH a AS (SELECT page_id AS doc_id, (page_id % 10 + 1)::INT AS page_number, html FROM pages)
+SELECT doc_id, page_number, i::INT AS pos, 'page_' || (page_number - 1) || '/Text/' || i AS id, 'Text' AS block_type, (length(html) + i)::VARCHAR AS content FROM (SELECT *, unnest(range(page_number % 3)) AS i FROM a WHERE page_number % 7 <> 0)
+UNION ALL SELECT doc_id, page_number, 0, 'page_' || (page_number - 1) || '/Error/0', 'Error', 'API Extraction failed for this page: no answer' FROM a WHERE page_number % 7 = 0"""
+
+ORACLES["edit_gate"] = """SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN '{"title":"New","pages":[{"page_number":1,"blocks":[{"id":"a","block_type":"Text","content":"' || length(text) || '","children":[{"id":"b","block_type":"Text"}]}]}]}' ELSE '{"title":"Old","pages":[]}' END AS json,
+ [NULL, 'json', 'block', 'page', 'block', 'block,page'][doc_id % 6 + 1] AS reasons FROM documents"""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quire.functions.layout import title_from_name
 from quire.functions.pages import clipped_pages
 from quire.operators import assemble, docx_layout, geometry, semantics, tree
-from quire.sources import docx, html, marker
+from quire.sources import docx, html, marker, scans
+from quire.staging import written
 
 # What the formats' extensions stand for.
 READERS = {"pdf": (".pdf",), "docx": (".docx", ".doc"), "html": (".html", ".htm"), "image": (".png", ".jpg", ".jpeg", ".gif"), "json": (".json",), "other": (".pptx", ".xlsx", ".epub")}
@@ -97,31 +98,59 @@ def docx_blocks(elements: DataFrame) -> DataFrame:
     return top.unionByName(below).unionByName(cells)
 
 
-def html_document(rows: DataFrame, pretty: bool = False) -> DataFrame:
-    """Block rows of HTML files, as sources.html reads them (doc_id for page_id), to documents: doc_id, json."""
-    kept = ("id", "block_type", "content", "html", "heading_level", "list_type", "row_count", "column_count", "blockquote", "color", "bg_color", "font_family", "font_size")
-    blocks = F.transform(F.sort_array(F.collect_list(F.struct("path", F.struct("path", *kept).alias("b")))), lambda x: x["b"])
-    head = F.struct(F.col("doc_id").cast("string").alias("document_id"), F.lit("html").alias("source"))
+HTML_BLOCK = ("path", "id", "block_type", "content", "html", "heading_level", "list_type", "row_count", "column_count", "blockquote", "color", "bg_color", "font_family", "font_size")
+
+
+def block_document(rows: DataFrame, source: str, order: list[str], kept: tuple[str, ...], pretty: bool = False) -> DataFrame:
+    """Block rows to documents (doc_id, json) that list them in order."""
+    blocks = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.struct(*kept).alias("b")))), lambda x: x["b"])
+    head = F.struct(F.col("doc_id").cast("string").alias("document_id"), F.lit(source).alias("source"))
     docs = rows.groupBy("doc_id").agg(blocks.alias("blocks"))
     return docs.select("doc_id", F.to_json(F.struct(head.alias("document"), "blocks"), {"pretty": "true"} if pretty else {}).alias("json"))
 
 
-def convert(spark: SparkSession, path: str, pretty: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, json) of the DOCX, HTML and converter JSON files under a path, and the rest: path, reader, error.
+def html_document(rows: DataFrame, pretty: bool = False) -> DataFrame:
+    """Block rows of HTML files, as sources.html reads them (doc_id for page_id), to documents."""
+    return block_document(rows, "html", ["path"], HTML_BLOCK, pretty)
+
+
+def called_blocks(f: DataFrame, extractor: scans.Extractor) -> DataFrame:
+    """Block rows of image, HTML and DOCX files (doc_id, reader, content) by structured calls.
+
+    An image is one page; HTML goes in chunks, which are the pages; DOCX goes as HTML.
+    """
+    images = f.filter("reader = 'image'").select("doc_id", F.lit(1).alias("page_number"), "reader", "content")
+    shown = scans.page_images(images).select("doc_id", "page_number", scans.image_text(F.col("image")).alias("payload"))
+    from_docx = docx.as_html(docx.read_paragraphs(f.filter("reader = 'docx'")).filter("kind <> 'error'"))
+    texts = f.filter("reader = 'html'").select("doc_id", F.decode("content", "UTF-8").alias("html")).unionByName(from_docx)
+    chunks = html.chunks(texts.withColumnRenamed("doc_id", "page_id"))
+    pieces = chunks.select(F.col("page_id").alias("doc_id"), (F.col("chunk") + 1).cast("int").alias("page_number"), F.col("html").alias("payload"))
+    return scans.extract(shown, extractor).unionByName(scans.extract(pieces, extractor, "html"))
+
+
+def convert(spark: SparkSession, path: str, pretty: bool = False, parser: scans.Parser = scans.pdf.pages, extractor: scans.Extractor | None = None, page_range: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, json) of the PDF, DOCX, HTML and converter JSON files under a path, and the rest: path, reader, error.
 
-    The rest are files without a reader here and broken ones, with what is wrong with them.
+    With an extractor, images are converted too. The rest are files without a reader here and broken ones, with what is
+    wrong with them; a PDF file that breaks off gives its pages before, and its error.
     """
     f = files(spark, path)
+    read = written(scans.read_pages(f.filter("reader = 'pdf'"), parser), "pages")
     elements = docx.read_paragraphs(f.filter("reader = 'docx'"))
     pages = f.filter("reader = 'html'").select(F.col("doc_id").alias("page_id"), F.decode("content", "UTF-8").alias("html"))
     web = html.baseline_blocks(pages, body_only=True).withColumnRenamed("page_id", "doc_id")
     trees = marker.blocks(f.filter("reader = 'json'").select("doc_id", F.decode("content", "UTF-8").alias("json")))
-    tree_json = trees.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "path", F.struct("page_number", "path", "id", "block_type", "content", "html", "bbox").alias("b")))), lambda x: x["b"]).alias("blocks"))
-    done = docx_document(elements.filter("kind <> 'error'"), pretty).unionByName(html_document(web, pretty))
-    done = done.unionByName(tree_json.select("doc_id", F.to_json(F.struct(F.struct(F.col("doc_id").cast("string").alias("document_id"), F.lit("marker").alias("source")).alias("document"), "blocks"), {"pretty": "true"} if pretty else {}).alias("json")))
-    broken = elements.filter("kind = 'error'").select("doc_id", F.col("text").alias("error"))
+    done = layout_document(scans.chars_of(read), scans.pages_of(read), scans.tables_of(read), page_range=page_range, pretty=pretty)
+    done = done.unionByName(docx_document(elements.filter("kind <> 'error'"), pretty)).unionByName(html_document(web, pretty))
+    done = done.unionByName(block_document(trees, "marker", ["page_number", "path"], ("page_number", "path", "id", "block_type", "content", "html", "bbox"), pretty))
+    known = ["pdf", "docx", "html", "json"]
+    if extractor is not None:
+        known.append("image")
+        called = called_blocks(f.filter("reader = 'image'"), extractor)
+        done = done.unionByName(block_document(called, "image", ["page_number", "pos"], ("page_number", "id", "block_type", "content"), pretty))
+    broken = elements.filter("kind = 'error'").select("doc_id", F.col("text").alias("error")).unionByName(scans.errors_of(read))
     bad = f.select("doc_id", "path", "reader").join(broken, "doc_id").select("path", "reader", "error")
-    return done, f.filter(~F.col("reader").isin("docx", "html", "json")).select("path", "reader", F.lit(None).cast("string").alias("error")).unionByName(bad)
+    return done, f.filter(~F.col("reader").isin(*known)).select("path", "reader", F.lit(None).cast("string").alias("error")).unionByName(bad)
 
 
 def titles(f: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quire.functions import layout as L
 from quire.functions.pages import clipped_pages, whole_range_pages
-from quire.operators import assemble, docx_layout, geometry, semantics, tree
+from quire.operators import assemble, docx_layout, gate, geometry, semantics, tree
+from quire.plans import pipelines
 from quire.sources import adapters as A
-from quire.sources import docx, html, marker
+from quire.sources import docx, html, marker, scans
 from quire.streaming import arrivals
 
 PAGE_BOX = (0.0, 0.0, A.PAGE_W, A.PAGE_H)
@@ -344,10 +345,66 @@ def export_docx(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("doc_id").agg(F.count_if(F.col("kind") == "p").alias("n_paragraphs"), F.count_if(F.col("kind") == "tbl").alias("n_tables"), F.sum(F.length("text")).alias("n_chars"))
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    return docx.read_paragraphs(docx.write_paragraphs(A.doc_paras(spark, d)))
+
+
 def docx_scan(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs written as DOCX and scanned again: text, style, font and size."""
-    files = docx.write_paragraphs(A.doc_paras(spark, d))
-    return docx.read_paragraphs(files)
+    return _scanned(spark, d).select("doc_id", "elem_idx", "kind", "style_name", "text", "font_name", "font_size", "bold", "italic", "color", "n_rows", "n_cols", "page_w", "page_h")
+
+
+def docx_html(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned DOCX files as HTML."""
+    return docx.as_html(_scanned(spark, d))
+
+
+def pdf_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as PDF, 90 characters a row and 50 rows a page, and scanned again: characters and extent of each page."""
+    lines = A.doc_lines(spark, d).select("doc_id", "line_no", F.regexp_replace("line", r"[^ -~]", "?").alias("line"))
+    rows = lines.select("doc_id", "line_no", F.posexplode(F.when(F.col("line") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("line", F.lit(".{1,90}"), F.lit(0)))).alias("part", "text"))
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "part")) - 1
+    laid = rows.withColumn("r", at).select("doc_id", (F.floor(F.col("r") / 50) + 1).cast("int").alias("page_number"), F.lit(36.0).alias("x"), (F.pmod("r", F.lit(50)) * 14 + 50).cast("double").alias("y"), "text", F.lit(10.0).alias("size"))
+    read = scans.read_pages(scans.write_pages(laid))
+    of = lambda field: F.transform("chars", lambda c: c[field])
+    return read.select("doc_id", "page_number", F.size("chars").alias("n_chars"), F.md5(F.array_join(of("text"), "")).alias("text_md5"), F.bround(F.array_max(of("x1")), 2).alias("x1"), F.bround(F.array_min(of("y0")), 2).alias("y0"), F.bround(F.array_max(of("y1")), 2).alias("y1"))
+
+
+def image_text(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are their own page image, as text for a model."""
+    p = A.read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_number"), F.lit("image").alias("reader"), F.encode("html", "UTF-8").alias("content"))
+    return scans.page_images(p).select("doc_id", "page_number", scans.image_text(F.col("image")).alias("payload"))
+
+
+def _measured(payload: str, page: int) -> list[dict]:
+    """A stand-in for a model: the page's length, and nothing on every seventh page."""
+    if page % 7 == 0:
+        raise ValueError("no answer")
+    return [{"id": f"page_{page - 1}/Text/{i}", "block_type": "Text", "content": str(len(payload) + i)} for i in range(page % 3)]
+
+
+def page_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of pages by structured calls, with error blocks for calls that fail."""
+    p = A.read(spark, d, "pages")
+    return scans.extract(p.select(F.col("page_id").alias("doc_id"), (F.pmod("page_id", F.lit(10)) + 1).cast("int").alias("page_number"), F.col("html").alias("payload")), _measured)
+
+
+def edit_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Edited document JSON, five of six with a fault of their own, against the state before."""
+    docs = A.read(spark, d, "documents").select("doc_id", F.length("text").cast("string").alias("n"))
+    page = lambda number, block: F.concat(F.lit('{"title":"New","pages":[{' + number + '"blocks":[{' + block + ',"content":"'), "n", F.lit('","children":['))
+    good, child = page('"page_number":1,', '"id":"a","block_type":"Text"'), '{"id":"b","block_type":"Text"}'
+    cases = [
+        F.concat(good, F.lit(child + "]}]}]}")),
+        F.concat(good, F.lit(child + "]}]}")),
+        F.concat(page('"page_number":1,', '"id":7,"block_type":"Text"'), F.lit(child + "]}]}]}")),
+        F.concat(page("", '"id":"a","block_type":"Text"'), F.lit(child + "]}]}]}")),
+        F.concat(good, F.lit('{"id":"b"}]}]}]}')),
+        F.concat(page('"page_number":1.5,', '"id":"a"'), F.lit(child + "]}]}]}")),
+    ]
+    edits = docs.select("doc_id", F.get(F.array(*cases), F.pmod("doc_id", F.lit(6)).cast("int")).alias("json"))
+    out = gate.gated(docs.select("doc_id", F.lit('{"title":"Old","pages":[]}').alias("json")), edits)
+    return out.select("doc_id", "json", F.array_join("reasons", ",").alias("reasons"))
 
 
 def marker_json_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -364,9 +421,7 @@ def doc_title(spark: SparkSession, d: str) -> DataFrame:
 def format_dispatch(spark: SparkSession, d: str) -> DataFrame:
     """Formats by extension and their reader, of made-up file names."""
     p = A.read(spark, d, "pages").select("page_id", F.concat(F.lit("/in/file_"), F.col("page_id").cast("string"), A.pick(F.col("page_id"), ".PDF", ".docx", ".doc", ".html", ".png", ".pptx", "")).alias("path"))
-    ext = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
-    reader = F.when(ext == ".pdf", "pdf").when(ext.isin(".docx", ".doc"), "docx").when(ext.isin(".html", ".htm"), "html").when(ext.isin(".png", ".jpg", ".jpeg", ".gif"), "image")
-    return p.select("page_id", "path", ext.alias("ext"), F.coalesce(reader, F.lit("quarantine")).alias("reader"))
+    return p.select("page_id", "path", pipelines.extension(F.col("path")).alias("ext"), pipelines.reader_of(F.col("path")).alias("reader"))
 
 
 def blocks_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -416,8 +471,8 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that arrive as a stream, each laid out when it comes."""
-    return arrivals.replay(spark, d)
+    """Documents that arrive as a stream: lines and sentence lengths of each, written batch by batch."""
+    return arrivals.replay(spark, f"{d}/documents.parquet")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -425,7 +480,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         chars_filtered, color_hex, words_gap_cluster, lines_anchor_cluster, blocks_merge, dominant_font, blocks_heuristic, block_type_heuristic, para_classify, style_distinct, table_cell_grid, blocks_not_in_tables, tag_index_join, tag_fuzzy_match, fallback_cases,
         docx_batch_tags, rhetoric_validate, rhetoric_features, docx_layout_cursor, docx_word_wrap, docx_paginate, docx_pages, bbox_normalize, tokens_explode, reading_graph, table_reading_order, doc_assemble, doc_assemble_tables, doc_assemble_counts, page_range_a, page_range_b,
-        html_clean_text, html_blocks, html_headings, html_chunks, html_chunk_fold, block_pages_35, type_counts, doc_metrics, flatten_tree, apply_edits, first_match_edit, title_edits, strip_html, empty_template, export_html, export_docx, docx_scan, marker_json_blocks,
-        doc_title, format_dispatch, blocks_summary, pdf_overlay_plan, display_helpers, quarantine_pages, page_counts, conversation_graph, event_props, stream_documents,
+        html_clean_text, html_blocks, html_headings, html_chunks, html_chunk_fold, block_pages_35, type_counts, doc_metrics, flatten_tree, apply_edits, first_match_edit, title_edits, strip_html, empty_template, export_html, export_docx, docx_scan, docx_html, pdf_scan, marker_json_blocks,
+        doc_title, format_dispatch, blocks_summary, pdf_overlay_plan, display_helpers, quarantine_pages, page_counts, conversation_graph, event_props, stream_documents, image_text, page_calls, edit_gate,
     )
 }

@@ -9,7 +9,7 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -21,7 +21,7 @@ _RELS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships x
 
 def _xml(text: str) -> str:
     """Escaped, without characters that XML cannot hold."""
-    return escape("".join(c for c in text if c in "\t\n\r" or ord(c) >= 32))
+    return escape("".join(c for c in text if c in "\t\n\r" or ord(c) >= 32 and c not in "\ufffe\uffff"), {"\r": "&#13;"})
 
 
 def paragraph(text: str, style: str = "", font: str = "", size: float | None = None, bold: bool = False, italic: bool = False, color: str = "", center: bool = False) -> str:
@@ -115,6 +115,26 @@ def read_paragraphs(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "content").mapInPandas(rows, ELEMENTS)
 
 
+def as_html(elements: DataFrame) -> DataFrame:
+    """Body elements to one HTML text per document: doc_id, html. Headings by style, runs of list paragraphs as lists."""
+    order = Window.partitionBy("doc_id").orderBy("elem_idx")
+    style = F.lower(F.coalesce("style_name", F.lit("")))
+    level = F.regexp_extract(style, r"heading\s*([1-6])", 1)
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    row = lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td><p>"), safe(c), F.lit("</p></td>"))), ""), F.lit("</tr>"))
+    grid = F.concat(F.lit("<table>"), F.array_join(F.transform("cells", row), ""), F.lit("</table>"))
+    inner = safe(F.col("text"))
+    inner = F.when(F.col("italic"), F.concat(F.lit("<em>"), inner, F.lit("</em>"))).otherwise(inner)
+    inner = F.when(F.col("bold"), F.concat(F.lit("<strong>"), inner, F.lit("</strong>"))).otherwise(inner)
+    tag = F.when(level != "", F.concat(F.lit("h"), level)).when(F.contains(style, F.lit("title")), "h1").when(F.contains(style, F.lit("list")), "li").otherwise("p")
+    e = elements.filter((F.col("kind") == "tbl") | (F.trim("text") != "")).withColumn("_tag", F.when(F.col("kind") == "tbl", "table").otherwise(tag))
+    e = e.withColumns({"_before": F.lag("_tag").over(order), "_after": F.lead("_tag").over(order)})
+    at_edge = lambda c, mark: F.when((F.col("_tag") == "li") & ~c.eqNullSafe("li"), mark).otherwise("")
+    one = F.when(F.col("_tag") == "table", grid).otherwise(F.concat(at_edge(F.col("_before"), "<ul>"), F.lit("<"), "_tag", F.lit(">"), inner, F.lit("</"), "_tag", F.lit(">"), at_edge(F.col("_after"), "</ul>")))
+    parts = F.sort_array(F.collect_list(F.struct("elem_idx", one.alias("html"))))
+    return e.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["html"]), "").alias("html"))
+
+
 def write_paragraphs(paras: DataFrame) -> DataFrame:
     """paras, as read_paragraphs gives them, to files (doc_id, content)."""
 

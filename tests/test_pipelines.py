@@ -62,7 +62,7 @@ def test_docx(spark, tmp_path):
     assert got["document"]["source"] == "docx" and [(b["type"], b["role"]) for b in got["blocks"]] == [("heading", "section_title"), ("paragraph", "paragraph"), ("table", "table")]
     assert [c["text"] for c in got["tables"][0]["cells"]] == ["a", "b", "c", "d"]
     assert len(got["reading_graph"]) == 2
-    assert sorted((r.reader, bool(r.error)) for r in rest.collect()) == [("docx", True), ("pdf", False), ("quarantine", False)]
+    assert sorted((r.reader, bool(r.error)) for r in rest.collect()) == [("docx", True), ("pdf", True), ("quarantine", False)]
     f = pipelines.files(spark, str(tmp_path / "in")).filter("reader = 'docx' AND path LIKE '%a_b%'")
     assert pipelines.titles(f).first().title == "A B"
     tree = pipelines.docx_blocks(docx.read_paragraphs(f)).orderBy("path").collect()
