@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quire.staging import forget, scratch_path
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -21,29 +19,6 @@ BROADCAST_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2000
 
-_made: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode only, a temporary one."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if "local" not in _made:
-        _made["local"] = tempfile.mkdtemp(prefix="quire-")
-    return f"file://{_made['local']}"
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may be gone; the folder is only scratch space
-        pass
-
 
 def _bytes(spark: SparkSession, path: str) -> int:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,10 +27,9 @@ def _bytes(spark: SparkSession, path: str) -> int:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: cuts lineage, survives lost executors, has known sizes."""
-    path = f"{shared_dir(df.sparkSession)}/quire/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    atexit.register(_forget, df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at, out._staged_rows = path, seen.get.get("rows")
     return out
@@ -65,14 +39,7 @@ def dropped(*tables: DataFrame) -> None:
     """Removes staged tables that later ones have taken the place of."""
     for t in tables:
         if path := getattr(t, "_staged_at", None):
-            _forget(t.sparkSession, path)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
+            forget(t.sparkSession, path)
 
 
 def is_small(df: DataFrame) -> bool:
