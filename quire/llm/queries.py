@@ -9,6 +9,7 @@ from quire.llm.mixing import op9_mixing
 from quire.llm.pieces import op6_sentencepiece
 from quire.llm.quality_model import op3_quality_model
 from quire.llm.quality_rules import op2_quality_rules
+from quire.llm.rolling_median import OP12_SQL, op12_rolling_median
 from quire.llm.sharding import op1_sharding
 from quire.llm.simhash import op4_simhash
 from quire.llm.warc import OP8_SQL, op8_warc
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
+    "op12_rolling_median": op12_rolling_median,
 }
 
 ORACLES = {
     "op7_exact_dedup": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op12_rolling_median": OP12_SQL,
 }
