@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quire.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from quire.llm.html_extract import op5_html_extract
+from quire.llm.lexical_search import OP11_SQL, op11_lexical_search
 from quire.llm.licenses import op10_license_scan
 from quire.llm.mixing import op9_mixing
 from quire.llm.pieces import op6_sentencepiece
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
+    "op11_lexical_search": op11_lexical_search,
     "op12_rolling_median": op12_rolling_median,
 }
 
 ORACLES = {
     "op7_exact_dedup": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op11_lexical_search": OP11_SQL,
     "op12_rolling_median": OP12_SQL,
 }
