@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quire.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from quire.llm.html_extract import op5_html_extract
+from quire.llm.language_id import op13_language_id
 from quire.llm.lexical_search import OP11_SQL, op11_lexical_search
 from quire.llm.licenses import op10_license_scan
 from quire.llm.mixing import op9_mixing
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_lexical_search": op11_lexical_search,
     "op12_rolling_median": op12_rolling_median,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES = {
