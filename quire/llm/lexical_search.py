@@ -40,8 +40,8 @@ K = 20
 #: Terms of the queries that are searched together.
 BLOCK_TERMS = 100_000
 #: A run ends with either.
-SHARD = 1 << 15
-POSTINGS = 3_000_000
+SHARD = 1 << 14
+POSTINGS = 750_000
 #: Ranges split together at first and at most.
 FIRST, MOST = 16, 512
 
