@@ -2,9 +2,9 @@
 
 A chunk is a run of white space markers with what follows up to the next marker. No piece of the model has a marker
 after another character (checked when the model is loaded), so no merge crosses the start of a chunk, and a text's ids
-are its chunks' ids in order. Each distinct chunk is segmented once per table, with the library, and texts are joined
-back from the table by position. Decoding joins the chunks' decoded forms in the same way; if the model does not give a
-chunk back as it was, the whole ids go through the library's decode.
+are its chunks' ids in order. A table holds each distinct chunk once: its ids, and what the library's decode makes of
+these ids behind other text. Texts are joined back from the table by position, ids and decoded bytes alike; of a whole
+text decode drops the first space. Byte pieces never cross a chunk, as a chunk starts with a piece that has a marker.
 
 A table belongs to a Python worker, is filled from the batches it sees and is dropped at TABLE entries, so memory is
 bounded and no result depends on it.
@@ -46,6 +46,13 @@ class PieceCoder:
         #: Whether chunks are apart: else whole texts go through the library.
         self.apart = not any(MARK in p.lstrip(MARK) for p in pieces) and self._plain()
         self.mark = self.sp.piece_to_id(MARK)
+        #: Ids of a text that stands before a chunk when it is decoded, and its length.
+        self.lead = self.sp.encode("a")
+        self.lead_chars = len(self.sp.decode(self.lead))
+        #: What the library decodes each id to behind other text; ids whose text depends on their neighbours (bytes) have none.
+        self.joins = np.array([not (self.sp.is_byte(i) or self.sp.is_unknown(i) or self.sp.is_control(i)) for i in range(len(pieces))])
+        self.surface = [self._behind([i]) if j else b"" for i, j in enumerate(self.joins)]
+        self.surface_bytes = np.array([len(x) for x in self.surface], np.int64)
         self.marked = np.array([p.startswith(MARK) for p in pieces])
         self._empty()
 
@@ -60,7 +67,7 @@ class PieceCoder:
         self.used = 0
         self.starts = np.zeros(self.limit, np.int64)
         self.lens = np.zeros(self.limit, np.int64)
-        self.odd: set[int] = set()
+        self.decoded: list[bytes] = []
 
     def _segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks, one after another, and how many each has."""
@@ -86,10 +93,23 @@ class PieceCoder:
         self.starts[k : k + n] = self.used + ends - lens
         self.lens[k : k + n] = lens
         self.used += total
-        # Pieces and byte pieces spell a chunk out; only an unknown piece does not.
-        self.odd.update((k + np.searchsorted(ends, np.flatnonzero(flat == self.sp.unk_id()), side="right")).tolist())
+        self.decoded += self._decode_chunks(flat, lens)
         self.at.update(zip(chunks, range(k, k + n), strict=True))
 
+    def _behind(self, ids: list[int]) -> bytes:
+        """The library's decode of ids behind other text, in UTF-8."""
+        return self.sp.decode(self.lead + ids)[self.lead_chars :].encode()
+
+    def _decode_chunks(self, flat: np.ndarray, lens: np.ndarray) -> list[bytes]:
+        """What each chunk's ids decode to behind other text. Chunks with byte pieces go through the library whole."""
+        all_ = b"".join(map(self.surface.__getitem__, flat.tolist()))
+        stops = np.cumsum(lens)
+        ends = np.concatenate([[0], np.cumsum(self.surface_bytes[flat])])[np.concatenate([[0], stops])].tolist()
+        out = [all_[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        for k in np.unique(np.searchsorted(stops, np.flatnonzero(~self.joins[flat]), side="right")).tolist():
+            out[k] = self._behind(flat[stops[k] - lens[k] : stops[k]].tolist())
+        return out
+
     @staticmethod
     def chunks(text: str) -> list[str]:
         """Library inputs of a text's chunks: the marker in front of each is left out; further ones are spaces."""
@@ -106,8 +126,8 @@ class PieceCoder:
         out.append(" " * spaces + parts[-1])
         return out
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str | None]]:
-        """All ids of each text, and the decoded text if the table gives it. Texts go in portions of PORTION characters."""
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bytes]]:
+        """All ids of each text, and what they decode to, in UTF-8. Texts go in portions of PORTION characters."""
         at = 0
         while at < len(texts):
             to, chars = at, 0
@@ -117,11 +137,12 @@ class PieceCoder:
             yield from self._portion(texts[at:to])
             at = to
 
-    def _portion(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str | None]]:
+    def _portion(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bytes]]:
         ends = self.sp.bos_id(), self.sp.eos_id()
         if not self.apart:
             for t in texts:
-                yield np.array([ends[0], *self.sp.encode(t or ""), ends[1]], "<u4"), None
+                ids = np.array([ends[0], *self.sp.encode(t or ""), ends[1]], "<u4")
+                yield ids, self.decode(ids).encode()
             return
         spelled = [(t or "").replace(MARK, " ") for t in texts]
         split = [self.chunks(t) if t else [] for t in spelled]
@@ -131,17 +152,18 @@ class PieceCoder:
                 self._empty()
                 new = set().union(*split)
             self._add(list(new))
-        for t, chunks in zip(spelled, split, strict=True):
-            idx = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        for chunks in split:
+            rows = list(map(self.at.__getitem__, chunks))
+            idx = np.array(rows, np.int64)
             lens = self.lens[idx]
             stop = np.cumsum(lens)
             pos = np.repeat(self.starts[idx] - (stop - lens), lens) + np.arange(stop[-1] if len(stop) else 0)
             ids = np.empty(len(pos) + 2, "<u4")
             ids[0], ids[-1] = ends
             ids[1:-1] = self.flat[pos]
-            yield ids, t if not self.odd or self.odd.isdisjoint(idx.tolist()) else None
+            yield ids, b"".join(map(self.decoded.__getitem__, rows)).removeprefix(b" ")
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, str | None]:
+    def encode(self, text: str | None) -> tuple[np.ndarray, bytes]:
         return next(self.encode_all([text]))
 
     def decode(self, ids: np.ndarray) -> str:
@@ -181,7 +203,7 @@ def digests_column(text: str = "text", model: str | None = None, ids: bool = Fal
             for own, decoded in c.encode_all(texts):
                 n.append(len(own))
                 ids_sha.append(hashlib.sha256(own.tobytes()).hexdigest())
-                decoded_sha.append(hashlib.sha256((c.decode(own) if decoded is None else decoded).encode()).hexdigest())
+                decoded_sha.append(hashlib.sha256(decoded).hexdigest())
                 if ids:
                     found.append(own.view(np.int32))
             if ids:

@@ -162,7 +162,25 @@ def test_pieces_equal_the_library(limit):
     for t, (ids, decoded) in zip(texts(), c.encode_all(texts()), strict=True):
         want = [1, *c.sp.encode(t or ""), 2]
         assert ids.tolist() == want, t
-        assert (c.decode(ids) if decoded is None else decoded) == c.sp.decode(want), t
+        assert decoded.decode() == c.sp.decode(want), t
+
+
+def test_decoding_follows_the_ids(monkeypatch):
+    """One wrong id in the table changes what its texts decode to, as it would in the library."""
+    c = PieceCoder(default_model())
+    own = c._segment
+
+    def spoiled(chunks):
+        flat, lens = own(chunks)
+        k = chunks.index("word")
+        flat[lens[:k].sum()] = c.sp.piece_to_id("▁the")
+        return flat, lens
+
+    monkeypatch.setattr(c, "_segment", spoiled)
+    found = list(c.encode_all(["a word here", "no such", "word", "漢 word"]))
+    for ids, decoded in found:
+        assert decoded.decode() == c.sp.decode(ids.tolist())
+    assert [d.decode() for _, d in found] == ["a the here", "no such", "the", "漢 the"]
 
 
 def test_pieces_columns(spark):
