@@ -1,7 +1,7 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-1. Every document has a place in its source's permutation, from a hash of its doc_id; the permutation is cut into
-   BLOCKS blocks. Words per (source, block) are aggregated once.
+1. Every document has a place in its source's permutation, from a hash of its doc_id and of its number among rows that
+   equal it in every column; the permutation is cut into BLOCKS blocks. Words per (source, block) are aggregated once.
 2. Sources share EPOCHS of all words by weight; a target stops at CAP times the source's words and the excess goes to
    the others by weight (water filling, in closed form by window functions over one row per source).
 3. A source gives target // words whole passes and then its permutation up to the document that is nearest the rest of
@@ -14,9 +14,10 @@ Only documents of the block where a quota ends are ordered by a window; all else
 reruns agree, and lost tasks redo the same draws.
 
 Nulls: a null text has no words; a null source is a source of its own, last in order; a null doc_id has a place like
-any other. Documents without words are taken with their place (0 words). Rows equal in every column share a place and
-are taken together. An empty table gives no rows. Further columns are kept by
-deal() and read only to tell rows apart.
+any other. Documents without words are taken with their place (0 words). Rows equal in every column are numbered (by
+salted runs, however many there are) and have places of their own, so some may be taken once more than others. Very long
+texts count with all their words. An empty table gives no rows. Further columns are kept by deal() and read only to tell
+rows apart.
 """
 
 from __future__ import annotations
@@ -34,15 +35,41 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
 SHARDS = 8
+#: Runs in which equal rows are numbered.
+SALTS = 64
 
 
 def n_words(col: str | Column) -> Column:
     return F.regexp_count(text_or_empty(col), F.lit(WORD)).cast("long")
 
 
-def place(seed: int) -> Column:
+def place(seed: int, occurrence: Column, doc_id: str = "doc_id") -> Column:
     """63 bits: the place in the source's permutation."""
-    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed), F.lit("mix")), 1)
+    return F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.lit(seed), F.lit("mix"), occurrence), 1)
+
+
+def repeated(keys: DataFrame) -> DataFrame | None:
+    """Hashes of the rows (_rh) that are there more than once; None if there are none."""
+    found = staged(keys.groupBy("_rh").count().filter("count > 1").select(F.col("_rh").alias("_t")), "mix_repeated")
+    return None if found.isEmpty() else found
+
+
+def numbered(rows: DataFrame, many: DataFrame | None) -> DataFrame:
+    """rows (_rh, ...) with _occ, their number among equal rows from 0. Any numbering is as good: such rows are equal.
+
+    Only repeated rows move. They are numbered in SALTS runs each, which start where the runs before them end.
+    """
+    if many is None:
+        return rows.withColumn("_occ", F.lit(0).cast("long"))
+    t = small(many)
+    one = rows.join(t, rows["_rh"] == t["_t"], "left_anti").withColumn("_occ", F.lit(0).cast("long"))
+    salted = staged(rows.join(t, rows["_rh"] == t["_t"], "left_semi").withColumn("_run", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "mix_runs")
+    before = F.sum("count").over(Window.partitionBy("_rh").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+    starts = salted.groupBy("_rh", "_run").count().select(F.col("_rh").alias("s_rh"), F.col("_run").alias("s_run"), F.coalesce(before, F.lit(0)).alias("_start"))
+    at = F.row_number().over(Window.partitionBy("_rh", "_run").orderBy(F.lit(0))) - 1
+    inside = salted.withColumn("_at", at)
+    put = inside.join(starts, (inside["_rh"] == starts["s_rh"]) & (inside["_run"] == starts["s_run"]))
+    return one.unionByName(put.select(*rows.columns, (F.col("_start") + F.col("_at")).cast("long").alias("_occ")))
 
 
 def block_of(u: Column) -> Column:
@@ -144,9 +171,14 @@ def plan(items: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
 def taken(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int = SHARDS, seed: int = 42) -> DataFrame:
     """_doc (docs' columns) with _size, _source_size, _target, _copies and _shards (the output shard of each copy)."""
-    u = place(seed)
-    keyed = docs.select(whole(docs), F.col("source").alias("_source"), u.alias("_u"), row_hash(docs).alias("_rh"), block_of(u).alias("_block"), n_words("text").alias("_size"))
-    items = staged(keyed.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_u").alias("u"), F.col("_rh").alias("row_hash")), "mix_items")
+    size, rh = n_words("text").alias("_size"), row_hash(docs).alias("_rh")
+    keys = staged(docs.select("doc_id", F.col("source").alias("_source"), size, rh), "mix_keys")
+    many = repeated(keys)
+    items = numbered(keys, many).select(F.col("_source").alias("source"), F.col("_size").alias("size"), place(seed, F.col("_occ")).alias("u"), F.col("_rh").alias("row_hash"))
+    items = staged(items, "mix_items")
+    keyed = numbered(docs.select(whole(docs), F.col("source").alias("_source"), rh, size), many)
+    u = place(seed, F.col("_occ"), "_doc.doc_id")
+    keyed = keyed.withColumn("_u", u).withColumn("_block", block_of(F.col("_u")))
     per, blocks = plan(items, weights, share, cap, shards, seed)
     p = small(per.select(F.col("source").alias("p_source"), F.struct("source_size", "target", "passes", "n_blocks", "cut", "ends").alias("_p")))
     b = small(blocks.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), F.col("rank").alias("_rank")))

@@ -3,7 +3,7 @@ from __future__ import annotations
 from math import comb
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +71,53 @@ def test_contract(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def brute_taken(spark, docs, seed):
+    """Copies of each document, source by source, in order of place; equal rows have the copies of their numbers in any order."""
+    seen, keyed = Counter(), []
+    hashed = docs.select("doc_id", "source", "text", X.row_hash(docs).alias("h")).collect()
+    for r in hashed:
+        keyed.append((r.doc_id, seen[r.h], r.source, len((r.text or "").split()), r.h))
+        seen[r.h] += 1
+    places = spark.createDataFrame(keyed, "doc_id long, occ long, source string, size int, h long").withColumn("u", X.place(seed, F.col("occ"))).collect()
+    sizes = Counter()
+    for r in places:
+        sizes[r.source] += r["size"]
+    out = defaultdict(list)
+    for s, target in brute_targets(sizes).items():
+        own = sorted((r.u, r.h, r["size"], r.doc_id) for r in places if r.source == s)
+        passes = int(target // sizes[s]) if sizes[s] else 0
+        rest, cum, stop = target - passes * sizes[s], 0, 0
+        for i, (_, _, n, _) in enumerate(own):
+            cum += n
+            if rest > 0 and cum - n / 2 <= rest:
+                stop = i + 1
+        for i, (_, h, n, d) in enumerate(own):
+            out[(d, s, n)].append(passes + (i < stop))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("seed", [0, 1, 5])
+def test_taken_by_brute_force_with_one_row_in_a_third_of_a_source(spark, seed):
+    rng = random.Random(seed)
+    data = [(7, "a", "w " * 10, 1, 2, "z")] * 400 + [(1000 + i, "a", "w " * rng.randrange(1, 20), 1, 2, "z") for i in range(600)] + [(5000 + i, "b", "w " * rng.randrange(0, 30), 1, 2, "z") for i in range(300)] + [(None, None, None, 1, 2, "z")] * 5
+    docs = spark.createDataFrame(data, DOCS)
+    got, words = defaultdict(list), Counter()
+    rows = X.taken(docs.repartition(1 + seed % 3), seed=seed).collect()
+    for r in rows:
+        n = len((r["_doc"].text or "").split())
+        got[(r["_doc"].doc_id, r["_doc"].source, n)].append(r["_copies"])
+        words[r["_doc"].source] += n * r["_copies"]
+    assert {k: sorted(v) for k, v in got.items()} == brute_taken(spark, docs, seed)
+    target = {r["_doc"].source: r["_target"] for r in rows}
+    assert all(abs(words[s] - target[s]) <= 15 for s in target)  # half of the longest document
+
+
+def test_long_text(spark):
+    data = [(1, "a", "w " * 300_000, 1, 2, "z"), *[(i, "a", "w", 1, 2, "z") for i in range(2, 50)], (99, "b", "w " * 10, 1, 2, "z")]
+    got = {r["_doc"].doc_id: r for r in X.taken(spark.createDataFrame(data, DOCS)).collect()}
+    assert got[1]["_size"] == 300_000 and got[1]["_copies"] == 1 and len(got) == len(data)
+
+
 def test_deal(spark):
     docs = spark.createDataFrame(rows(), DOCS)
     out = X.deal(docs)
