@@ -1,15 +1,18 @@
 """Quality rules: base counts, then robust multivariate outliers per language and source.
 
-A text's counts become a vector (STATS) of rates. Each has a sampling variance that follows from its count alone (a
-mean over n words, a Poisson count's root, the logarithm of a count), so short texts are given more room; no scale is set
-by hand. Location and scatter of every group of language and source come from minimum-covariance-determinant
+A text's counts become a vector (STATS) of rates, none of which depends on the length. Each has a sampling variance that
+follows from the text's own counts (a mean over n words; the logarithm of the rate of equal pairs of words; the root of
+symbols per word and the arcsine root of repeated lines per line, whose variance is a quarter over the words or lines),
+so short texts are given more room and no scale is set by hand. Location and scatter of every group of language and source come from minimum-covariance-determinant
 concentration steps: the moments of the KEEP share of documents that are nearest, again and again, from two
 deterministic starts (classical and tanh-squashed moments), of which the one with the lesser determinant counts.
 
 The estimate is the regularised one: a group's moments are drawn towards its language's with the weight of PRIOR
 documents, and a language's towards those of all documents. That is continuous in the group's size, so every group has
-its own estimate, small ones too. A document goes if its squared Mahalanobis distance, under the group's scatter plus
-its own sampling variances, exceeds CUT, the 0.9999 quantile of chi-square.
+its own estimate, small ones too. The observed scatter holds the group's mean sampling variance, which is taken from it
+(to 0 at least, covariances in proportion); what is left is between documents. A document goes if its squared Mahalanobis
+distance, under the scatter between documents plus its own sampling variances, exceeds CUT, the quantile of chi-square
+that one clean document in a million exceeds.
 
 A concentration step of all three levels and both starts is one map-side combined aggregation: moments per (group,
 start, distance bin), of which a group has at most BINS. The cut at the KEEP share and the matrix work see only those
@@ -32,11 +35,12 @@ from quire.llm.common import SPACES, bounded_batches, dropped, small, staged, ta
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-#: The vector: mean word length, log of distinct words by log of words, root of symbols per word, root of repeated lines.
-STATS = ("word_length", "variety", "symbols", "dup_lines")
+#: The vector: mean word length, log of the share of equal pairs among all pairs of words, root of symbols per word,
+#: arcsine of the root of repeated lines per line.
+STATS = ("word_length", "equal_pairs", "symbols", "dup_lines")
 KEEP = 0.75
-#: 0.9999 quantile of chi-square with 4 degrees of freedom, and the consistency factor of KEEP = 0.75 there.
-CUT = 23.513
+#: The 1 - 1e-6 quantile of chi-square with 4 degrees of freedom, and the consistency factor of KEEP = 0.75 there.
+CUT = 33.377
 CONSISTENCY = 1.4864
 #: Documents whose weight the estimate of the level above has.
 PRIOR = 10
@@ -45,27 +49,31 @@ STARTS = 2
 #: Distance bins: 32 per doubling, from 2^-10 to 2^30.
 BINS = 1280
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sq_chars", "n_distinct")
-_TYPE = "struct<" + ",".join(f"{n}:bigint" for n in COUNTS) + ">"
+#: The last two can be too large for a long: ordered pairs and triples of places with equal words.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sq_chars", "n_lines", "n_pairs", "n_triples")
+_REAL = ("n_pairs", "n_triples")
+_TYPE = "struct<" + ",".join(f"{n}:{'double' if n in _REAL else 'bigint'}" for n in COUNTS) + ">"
 
 
-def _repeats(words: list[bytes]) -> tuple[int, int]:
-    """Words in 3-word windows that are found twice or more; distinct words."""
+def _repeats(words: list[bytes]) -> tuple[int, float, float]:
+    """Words in 3-word windows that are found twice or more; pairs and triples of equal words."""
     n = len(words)
     ids: dict[bytes, int] = {}
     a = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, n)
     v = len(ids)
+    f = np.bincount(a).astype(np.float64) if n else np.zeros(0)
+    pairs, triples = float((f * (f - 1)).sum()), float((f * (f - 1) * (f - 2)).sum())
     if n < 4:
-        return 0, v
-    pairs = a[:-1] * v + a[1:]
+        return 0, pairs, triples
+    packed = a[:-1] * v + a[1:]
     if v > 2_000_000:  # else v^3 would not fit
-        pairs = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
-    _, at, counts = np.unique(pairs[:-1] * v + a[2:], return_inverse=True, return_counts=True)
+        packed = np.unique(packed, return_inverse=True)[1].astype(np.int64)
+    _, at, counts = np.unique(packed[:-1] * v + a[2:], return_inverse=True, return_counts=True)
     twice = counts[at] > 1
     inside = np.zeros(n, bool)
     for k in range(3):
         inside[k : n - 2 + k] |= twice
-    return int(inside.sum()), v
+    return int(inside.sum()), pairs, triples
 
 
 def _squares(data: bytes) -> int:
@@ -80,26 +88,20 @@ def _squares(data: bytes) -> int:
 def counts_of(text: str | None) -> tuple[int, ...]:
     """COUNTS of a text."""
     if not text:
-        return (0,) * len(COUNTS)
+        return (0,) * (len(COUNTS) - len(_REAL)) + (0.0,) * len(_REAL)
     data = text.encode()
     words = data.split()  # bytes split at ASCII white space only
     chars = len(text) - sum(map(text.count, SPACES))
     symbols = sum(map(text.count, SYMBOLS))
-    seen: set[str] = set()
-    dup = 0
-    for line in text.split("\n"):
-        if line in seen:
-            dup += bool(line.strip(SPACES))
-        else:
-            seen.add(line)
-    repeated, distinct = _repeats(words)
-    return len(words), chars, symbols, dup, repeated, _squares(data), distinct
+    lines = [x for x in text.split("\n") if x.strip(SPACES)]
+    return len(words), chars, symbols, len(lines) - len(set(lines)), (repeats := _repeats(words))[0], _squares(data), len(lines), *repeats[1:]
 
 
 def counts_column(text: str = "text") -> Column:
     def counts(text: pa.Array) -> pa.Array:
         found = [counts_of(t.as_py()) for t in text]
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)] or [pa.array([], pa.int64())] * len(COUNTS), list(COUNTS))
+        columns = list(zip(*found, strict=True)) or [()] * len(COUNTS)
+        return pa.StructArray.from_arrays([pa.array(c, pa.float64() if n in _REAL else pa.int64()) for n, c in zip(COUNTS, columns, strict=True)], list(COUNTS))
 
     return F.arrow_udf(counts, _TYPE)(F.col(text).cast("string"))
 
@@ -115,19 +117,30 @@ X, V = [f"x{i}" for i in range(P)], [f"v{i}" for i in range(P)]
 SUMS = ["n", *[f"s{i}" for i in range(P)], *[f"s{i}_{j}" for i, j in PAIRS], *[f"t{i}" for i in range(P)]]
 #: An estimate: mean, covariance (upper triangle) and mean sampling variances.
 FIELDS = [*[f"m{i}" for i in range(P)], *[f"c{i}_{j}" for i, j in PAIRS], *[f"u{i}" for i in range(P)]]
+#: What distances need of it: mean and scatter between documents.
+READY = [*[f"m{i}" for i in range(P)], *[f"b{i}_{j}" for i, j in PAIRS]]
 
 
 def vector(c: str = "_q") -> list[Column]:
     """The statistics and their sampling variances."""
     q = {k: F.col(f"{c}.{k}").cast("double") for k in COUNTS}
-    n, distinct = F.greatest(q["n_words"], F.lit(2.0)), F.greatest(q["n_distinct"], F.lit(1.0))
+    n, lines = F.greatest(q["n_words"], F.lit(3.0)), F.greatest(q["n_lines"], F.lit(1.0))
     mean = q["word_chars"] / n
-    x = [mean, F.log(distinct) / F.log(n), F.sqrt(q["n_symbols"] / n), F.sqrt(q["n_dup_lines"] + 0.375)]
-    # Of a mean (lengths are whole numbers: 1/12), of a logarithm, and of the root of a Poisson count.
-    v = [(F.greatest(q["sq_chars"] / n - mean * mean, F.lit(0.0)) + 1 / 12) / n, 1 / (distinct * F.log(n) * F.log(n)), 0.25 / n, F.lit(0.25)]
+    # Shares of equal pairs and triples; half a pair more, so that its logarithm is defined.
+    equal, triple = (q["n_pairs"] + 1) / (n * (n - 1)), q["n_triples"] / (n * (n - 1) * (n - 2))
+    x = [mean, F.log(equal), F.sqrt(q["n_symbols"] / n), F.asin(F.sqrt(F.least(q["n_dup_lines"] / lines, F.lit(1.0))))]
+    # Of a mean (lengths are whole numbers: 1/12), of the logarithm of a share of pairs, of a Poisson count's root and of a share's arcsine root.
+    v = [(F.greatest(q["sq_chars"] / n - mean * mean, F.lit(0.0)) + 1 / 12) / n, 4 * F.greatest(triple - equal * equal, F.lit(0.0)) / (n * equal * equal) + 2 / (n * (n - 1) * equal), 0.25 / n, 0.25 / lines]
     return [*[e.alias(k) for e, k in zip(x, X, strict=True)], *[e.alias(k) for e, k in zip(v, V, strict=True)]]
 
 
+def _between(params: DataFrame, *keys: str) -> DataFrame:
+    """keys and READY of estimates: the scatter without the mean sampling variances, covariances in proportion."""
+    left = [f"greatest(c{i}_{i} - u{i}, 0D)" for i in range(P)]
+    share = lambda i: f"sqrt({left[i]} / greatest(c{i}_{i}, 1e-12D))"
+    return params.selectExpr(*keys, *[f"m{i}" for i in range(P)], *[(left[i] if i == j else f"c{i}_{j} * {share(i)} * {share(j)}") + f" AS b{i}_{j}" for i, j in PAIRS])
+
+
 def _key(level: str, *cols: str) -> Column:
     """A text for a group; null and empty differ."""
     return F.concat_ws("|", F.lit(level), *[F.coalesce(F.concat(F.lit("="), F.length(F.col(c)).cast("string"), F.lit(":"), F.col(c)), F.lit("!")) for c in cols])
@@ -160,9 +173,9 @@ def _eliminate(df: DataFrame, rest: list[str]) -> DataFrame:
 
 
 def _with_distance(df: DataFrame, rest: list[str]) -> DataFrame:
-    """df (x0.., v0.., and FIELDS of its estimate) to rest with d2: the scatter plus the document's sampling variances."""
+    """df (x0.., v0.., and READY of its estimate) to rest with d2: the scatter plus the document's sampling variances."""
     r = [f"x{i} - m{i} AS r{i}" for i in range(P)]
-    a = [f"c{i}_{j}" + (f" + v{i}" if i == j else "") + f" AS a{i}_{j}" for i, j in PAIRS]
+    a = [f"b{i}_{j}" + (f" + v{i}" if i == j else "") + f" AS a{i}_{j}" for i, j in PAIRS]
     return _eliminate(df.selectExpr(*rest, *r, *a), rest)
 
 
@@ -188,13 +201,13 @@ def _estimate(sums: DataFrame, tree: DataFrame, factor: float) -> DataFrame:
 
 def _matched(points: DataFrame, params: DataFrame) -> DataFrame:
     """points (key, x0.., v0..) by each start with its estimate."""
-    return points.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1)))).join(small(params), ["key", "start"])
+    return points.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1)))).join(small(_between(params, "key", "start"), params), ["key", "start"])
 
 
 def estimates(points: DataFrame, tree: DataFrame) -> DataFrame:
-    """points (key, x0.., v0..) and tree (key, parent, depth) to a staged table: key and FIELDS of its better start."""
+    """points (key, x0.., v0..) and tree (key, parent, depth) to a staged table: key and READY of its better start."""
     classical = _estimate(points.groupBy("key").agg(*_moments()).withColumn("start", F.lit(0)), tree, 1.0)
-    sd = [f"sqrt(greatest(c{i}_{i} + u{i}, 1e-12))" for i in range(P)]
+    sd = [f"sqrt(greatest(c{i}_{i}, u{i}, 1e-12))" for i in range(P)]
     squashed = points.join(small(classical), "key").selectExpr("key", *V, *[f"m{i} + {sd[i]} * tanh((x{i} - m{i}) / {sd[i]}) AS x{i}" for i in range(P)])
     second = _estimate(squashed.groupBy("key").agg(*_moments()).withColumn("start", F.lit(1)), tree, 1.0)
     params = staged(classical.unionByName(second), "mcd_starts")
@@ -208,8 +221,9 @@ def estimates(points: DataFrame, tree: DataFrame) -> DataFrame:
         kept = binned.withColumn("_before", before).withColumn("_all", F.sum("n").over(group)).filter(f"_before < {KEEP} * _all")
         last, params = params, _estimate(kept.groupBy("key", "start").agg(*_exprs(*[f"sum({s}) AS {s}" for s in SUMS])), tree, CONSISTENCY)
         dropped(last)
-    square = params.selectExpr("key", "start", *FIELDS, *[f"0D AS r{i}" for i in range(P)], *[f"c{i}_{j}" + (f" + u{i}" if i == j else "") + f" AS a{i}_{j}" for i, j in PAIRS])
-    least = _eliminate(square, ["key", "start", *FIELDS]).groupBy("key").agg(F.min_by(F.struct(*FIELDS), F.struct(F.round("logdet", 9), "start")).alias("b"))
+    between = _between(params, "key", "start", *[f"u{i}" for i in range(P)])
+    square = between.selectExpr("key", "start", *READY, *[f"0D AS r{i}" for i in range(P)], *[f"b{i}_{j}" + (f" + u{i}" if i == j else "") + f" AS a{i}_{j}" for i, j in PAIRS])
+    least = _eliminate(square, ["key", "start", *READY]).groupBy("key").agg(F.min_by(F.struct(*READY), F.struct(F.round("logdet", 9), "start")).alias("b"))
     out = staged(least.select("key", "b.*"), "mcd")
     dropped(params)
     return out

@@ -21,7 +21,8 @@ def brute_counts(text):
     inside = {i + k for i in range(len(words) - 2) if tri[tuple(words[i : i + 3])] > 1 for k in range(3)}
     lines = (text or "").split("\n")
     dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines))
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(inside), sum(len(w) ** 2 for w in words), len(set(words))
+    f = Counter(words).values()
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(inside), sum(len(w) ** 2 for w in words), sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in lines), sum(k * (k - 1) for k in f), sum(k * (k - 1) * (k - 2) for k in f)
 
 
 @pytest.mark.parametrize("text", [None, "", " \n ", "a b c", "a b c a b c", "a a a a", "x\n\nx\n \n \nx", "é😀 # $$\x85y z", "a b c d a b c e a b c", "l1\nl2\nl1\nl1 "])
@@ -70,10 +71,11 @@ def test_rules(spark):
 def brute_verdicts(rows):
     """Regularised minimum-covariance-determinant distances by plain arrays, exact sorting and a solver."""
     c = np.array([brute_counts(r[1]) for r in rows], float)
-    n, distinct = np.maximum(c[:, 0], 2), np.maximum(c[:, 6], 1)
+    n, lines = np.maximum(c[:, 0], 3), np.maximum(c[:, 6], 1)
     mean = c[:, 1] / n
-    x = np.stack([mean, np.log(distinct) / np.log(n), np.sqrt(c[:, 2] / n), np.sqrt(c[:, 3] + 0.375)], 1)
-    v = np.stack([(np.maximum(c[:, 5] / n - mean**2, 0) + 1 / 12) / n, 1 / (distinct * np.log(n) ** 2), 0.25 / n, np.full(len(n), 0.25)], 1)
+    pair, triple = (c[:, 7] + 1) / (n * (n - 1)), c[:, 8] / (n * (n - 1) * (n - 2))
+    x = np.stack([mean, np.log(pair), np.sqrt(c[:, 2] / n), np.arcsin(np.sqrt(np.minimum(c[:, 3] / lines, 1)))], 1)
+    v = np.stack([(np.maximum(c[:, 5] / n - mean**2, 0) + 1 / 12) / n, 4 * np.maximum(triple - pair**2, 0) / (n * pair**2) + 2 / (n * (n - 1) * pair), 0.25 / n, 0.25 / lines], 1)
     good = (c[:, 0] >= 50) & (100 * c[:, 4] <= 50 * c[:, 0])
     langs, own = [r[2] for r in rows], [(r[2], r[3]) for r in rows]
     groups = {("all",): (good, None)}
@@ -83,43 +85,46 @@ def brute_verdicts(rows):
         groups[("own", *g)] = (good & np.array([t == g for t in own]), ("lang", g[0]))
     groups = {k: (m, up) for k, (m, up) in groups.items() if m.any()}
 
+    def between(est):
+        c = np.diag(est[1])
+        share = np.sqrt(np.maximum(c - est[2], 0) / np.maximum(c, 1e-12))
+        return est[1] * np.outer(share, share)
+
     def d2(k, est):
         m = groups[k][0]
         r = x[m] - est[0]
-        return np.einsum("ni,ni->n", r, np.linalg.solve(est[1] + v[m][:, :, None] * np.eye(4), r[:, :, None])[:, :, 0])
+        a = between(est) + v[m][:, :, None] * np.eye(4)
+        return np.einsum("ni,ni->n", r, np.linalg.solve(a, r[:, :, None])[:, :, 0])
 
     def drawn(parts, factor):
         out = {}
         for k, (m, up) in groups.items():
-            y = parts[k]
-            mu, cov = y.mean(0), np.cov(y.T, bias=True).reshape(4, 4) * factor
+            y, w = parts[k]
+            est = y.mean(0), np.cov(y.T, bias=True).reshape(4, 4) * factor, w.mean(0)
             if up:
-                mu, cov = ((len(y) * a + R.PRIOR * b) / (len(y) + R.PRIOR) for a, b in zip((mu, cov), out[up], strict=True))
-            out[k] = (mu, cov)
+                est = tuple((len(y) * a + R.PRIOR * b) / (len(y) + R.PRIOR) for a, b in zip(est, out[up], strict=True))
+            out[k] = est
         return out
 
     best = {}
-    classical = drawn({k: x[m] for k, (m, _) in groups.items()}, 1.0)
+    classical = drawn({k: (x[m], v[m]) for k, (m, _) in groups.items()}, 1.0)
     for start in range(2):
         est = classical
         if start:
             parts = {}
-            for k, (m, up) in groups.items():
-                u = v[m].mean(0)  # drawn towards the level above, like all of an estimate
-                while up:
-                    u = (m.sum() * u + R.PRIOR * spread_of(groups, v, up)) / (m.sum() + R.PRIOR)
-                    break
-                sd = np.sqrt(np.diag(classical[k][1]) + u)
-                parts[k] = classical[k][0] + sd * np.tanh((x[m] - classical[k][0]) / sd)
+            for k, (m, _) in groups.items():
+                mu, cov, u = classical[k]
+                sd = np.sqrt(np.maximum(np.maximum(np.diag(cov), u), 1e-12))
+                parts[k] = mu + sd * np.tanh((x[m] - mu) / sd), v[m]
             est = drawn(parts, 1.0)
         for _ in range(R.STEPS):
             parts = {}
             for k, (m, _) in groups.items():
                 near = np.argsort(d2(k, est[k]), kind="stable")[: int(np.ceil(R.KEEP * m.sum()))]
-                parts[k] = x[m][near]
+                parts[k] = x[m][near], v[m][near]
             est = drawn(parts, R.CONSISTENCY)
         for k, (m, _) in groups.items():
-            det = np.linalg.slogdet(est[k][1] + np.diag(v[m].mean(0)))[1]
+            det = np.linalg.slogdet(between(est[k]) + np.diag(est[k][2]))[1]
             if k not in best or det < best[k][0] - 1e-9:
                 best[k] = (det, est[k])
     out = np.full(len(rows), np.nan)
@@ -129,10 +134,45 @@ def brute_verdicts(rows):
     return good, out
 
 
-def spread_of(groups, v, k):
-    m, up = groups[k]
-    u = v[m].mean(0)
-    return u if up is None else (m.sum() * u + R.PRIOR * spread_of(groups, v, up)) / (m.sum() + R.PRIOR)
+def distances(spark, x, v):
+    """Distances of points of one group, from their own estimate."""
+    points = spark.createDataFrame([("g", i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(x, v, strict=True))], "key string, i long, " + ", ".join(f"{c} double" for c in [*R.X, *R.V]))
+    tree = spark.createDataFrame([("g", "", 0)], "key string, parent string, depth int")
+    best = R.estimates(points.drop("i"), tree)
+    got = R._with_distance(points.join(best, "key"), ["i"]).orderBy("i").collect()
+    return np.array([r.d2 for r in got])
+
+
+def test_distances_of_model_data_follow_chi_square(spark):
+    """Documents drawn from the model, long and short ones, and outliers planted near the cut."""
+    rng = np.random.default_rng(4)
+    n = 6000
+    scatter = np.array([[1.0, 0.3, 0, 0], [0.3, 0.5, 0.1, 0], [0, 0.1, 0.2, 0], [0, 0, 0, 0.05]])
+    v = np.array([0.8, 0.4, 0.3, 0.02]) * rng.uniform(0.2, 3, (n, 1))
+    x = np.array([5, -3, 0.2, 0.1]) + rng.multivariate_normal(np.zeros(4), scatter, n) + rng.standard_normal((n, 4)) * np.sqrt(v)
+    far = {}
+    for k, times in enumerate([0.5] * 20 + [1.5] * 20 + [3.0] * 20):
+        a = np.linalg.cholesky(scatter + np.diag(v[k]))
+        u = rng.standard_normal(4)
+        x[k] = np.array([5, -3, 0.2, 0.1]) + a @ (u / np.linalg.norm(u)) * np.sqrt(times * R.CUT)
+        far[k] = times
+    d = distances(spark, x, v)
+    clean = d[len(far) :]
+    for q, want in ((0.25, 1.923), (0.5, 3.357), (0.75, 5.385), (0.9, 7.779), (0.95, 9.488), (0.99, 13.277)):  # fixed values: quantiles of chi-square, 4 degrees
+        assert abs(np.quantile(clean, q) / want - 1) < 0.1, (q, np.quantile(clean, q))
+    assert (clean > R.CUT).sum() == 0
+    assert all((d[k] > R.CUT) == (t > 1) for k, t in far.items())
+
+
+def test_a_statistic_without_spread(spark):
+    """Where nearly all documents have none of something, only its sampling variance counts."""
+    rng = np.random.default_rng(5)
+    x, v = rng.standard_normal((900, 4)), np.full((900, 4), 0.01)
+    x[:, 2:] = 0
+    x[:30, 2] = 0.3
+    x[30:60, 2] = 0.7
+    d = distances(spark, x, v)
+    assert (d[:30] < R.CUT).all() and (d[30:60] > R.CUT).all() and (d[60:] < R.CUT).mean() > 0.99
 
 
 def test_verdicts_equal_brute_force(spark):
