@@ -87,6 +87,44 @@ def test_main_text_of_named_containers(page):
     assert "Comment" not in html_extract.main_text(f"<body><div class='story'>{sentences(6)}</div><div id='comments'>{rest}</div></body>")
 
 
+LONG = "A sentence of the text, which goes on. And a second one, too. " * 4
+
+
+def test_unseen_elements():
+    page = f"<article><p hidden>secret</p><p style='color:red; display: none'>x1</p><p aria-hidden=true>x2</p><p title='hidden'>{LONG}</p><p class=hidden>seen</p><div hidden=''><p>{LONG}</p></div><p style=\"visibility:hidden\">x3</p><p title=\"style='display:none'\">seen too</p></article>"
+    assert html_extract.main_text(page).split("\n") == [LONG.strip(), "seen", "seen too"]
+
+
+def test_inline_elements_end_no_block():
+    page = "<article><p>alpha <button>x</button> beta <svg viewBox='0 0'><g><text>q</text></g><path/></svg> gamma <span hidden>no<b>o</b></span>delta <select><option>1<option>2</select>end <math><mi>x</mi></math>.</p><p>next <canvas>c</canvas></p></article>"
+    assert html_extract.main_text(page) == "alpha beta gamma delta end .\nnext"
+    assert html_extract.main_text(f"<article><p>{LONG}</p><div><button>open<p>in it</p></div><p>{LONG}</p></article>").count("\n") == 1
+
+
+def test_leads():
+    body = f"<div class=b><p>{LONG}</p><p>{LONG}</p></div>"
+    assert html_extract.main_text(f"<body><div class=lead><p>Lead text without marks</p></div>{body}</body>").startswith("Lead text without marks\nA sentence")
+    assert html_extract.main_text(f"<body><div class=top><p><a href=1>Home page here</a> <a>About</a></p></div>{body}</body>").startswith("A sentence")
+    assert html_extract.main_text(f"<body><span>Loose words before it</span><ul><li>One two three</li></ul>{body}</body>").startswith("A sentence")
+
+
+def test_replies_by_structure():
+    story = f"<div class=post><p>{LONG}</p><p>{LONG}</p></div>"
+    reply = lambda who, inner="": f"<div class=c><p class=m>{who}</p><p>{LONG * 3}</p>{inner}</div>"
+    alone = html_extract.main_text(f"<body>{story}</body>")
+    many = reply("Ann on 3 May 2024") + reply("Bob at 10:30") + reply("Eve, 2 days ago")
+    assert html_extract.main_text(f"<body>{story}<section id=xyz>{many}</section></body>") == alone
+    assert html_extract.main_text(f"<body>{story}<section id=xyz>{reply('Ann, 3 May', reply('Bob, 4 May'))}</section></body>").startswith(alone)
+    assert html_extract.main_text(f"<body>{story}<section id=discussion>{reply('Ann, 3 May')}</section></body>") == alone
+    assert html_extract.main_text(f"<body>{story}<section id=discussion>{reply('Ann')}{reply('Bob')}</section></body>") == alone
+    paper = html_extract.main_text(f"<article><h1>T</h1><p>{LONG}</p><section id=discussion><h2>Discussion</h2><p>{LONG}</p><p>{LONG}</p></section></article>")
+    assert "Discussion" in paper and paper.count("A sentence") == 12
+    parts = "".join(f"<section class=s><h2>Part {i}</h2><p>{LONG}</p></section>" for i in range(4))
+    assert html_extract.main_text(f"<article><h1>T</h1>{parts}</article>").count("Part ") == 4
+    asked = "".join(f"<div class=qa><p class=q>What is question {i}?</p><p>{LONG}</p></div>" for i in range(4))
+    assert html_extract.main_text(f"<article><p>{LONG}</p>{asked}</article>").count("question") == 4
+
+
 def test_main_text_of_pages(spark):
     """The tables' pages have one article of h1 and p: brute force by pattern."""
     import html as h
