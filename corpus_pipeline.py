@@ -1,4 +1,16 @@
-"""A training-data pipeline over documents: rules, exact and near duplicates, mixing, tokens."""
+"""A training-data pipeline over documents: rules, exact and near duplicates, mixing, tokens.
+
+Every stage works on all that its predecessor kept and returns the columns of documents, whatever they are called; the
+last returns doc_id, the ids and their digests. Each result is written to the shared folder and read again, so a lost
+executor costs one stage's tasks at most.
+
+Nulls: a null or empty text has no words and goes with the quality rules; null lang and source are groups, and sources,
+of their own; a null doc_id is an id like any other, last in order. Rows equal in every column are one exact duplicate
+group, of which one row stays, so none reaches the later stages twice; the mix then gives a row for each copy it takes.
+Very long texts are read whole. Ties of length keep the smallest doc_id. An empty table, or one of which the rules keep
+nothing, gives no rows in any stage. The output shard of the mix is the order of its rows in the written table; as a stage returns
+the columns of documents only, its number is given by quire.llm.mixing.deal(shard_column=...).
+"""
 
 from __future__ import annotations
 
