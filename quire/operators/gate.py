@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.nested import nodes
+
 
 def _kind(path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get("v", path, "variant"))
@@ -20,31 +22,25 @@ def _list(name: str) -> Column:
     return F.coalesce(F.startswith(_kind(f"$.{name}"), F.lit("ARRAY")), F.lit(True))
 
 
-def _items(v: DataFrame, path: str) -> DataFrame:
-    return v.select("doc_id", F.explode(F.try_variant_get("v", path, "array<variant>")).alias("v"))
-
-
 def invalid(edits: DataFrame) -> DataFrame:
     """doc_id of the edits (doc_id, json) that are no documents, with a reason for each fault found. Blocks of all levels are checked.
 
     Checked: the texts of the document; an integral page_number of each page; id and block_type of each block, its
     texts, its box of numbers, its properties; that lists are lists.
     """
-    read = edits.select("doc_id", F.try_parse_json("json").alias("v"))
-    fail = lambda df, ok, why: df.filter(~F.coalesce(ok, F.lit(False))).select("doc_id", F.lit(why).alias("reason"))
+    found = nodes(edits, ("pages", "blocks", "children")).select("doc_id", F.size("path").alias("level"), F.try_parse_json("node").alias("v"))
     is_object = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
-    found = fail(read, is_object, "json").unionByName(fail(read.filter(is_object), _text("title") & _text("filename") & _text("schema_version") & _list("pages"), "document"))
-    pages = _items(read, "$.pages")
+    document = _text("title") & _text("filename") & _text("schema_version") & _list("pages")
     number = F.try_variant_get("v", "$.page_number", "double")
-    found = found.unionByName(fail(pages, is_object & (number == F.floor(number)) & (_kind("$.page_number") != "BOOLEAN") & _list("blocks"), "page"))
-    level = _items(pages, "$.blocks")
+    page = is_object & (number == F.floor(number)) & (_kind("$.page_number") != "BOOLEAN") & _list("blocks")
     box = F.coalesce(F.size(F.filter(F.try_variant_get("v", "$.bbox", "array<variant>"), lambda x: F.try_variant_get(x, "$", "double").isNull())) == 0, F.lit(True))
     properties = F.coalesce(F.startswith(_kind("$.properties"), F.lit("OBJECT")) | (_kind("$.properties") == "VOID"), F.lit(True))
-    while not level.isEmpty():
-        ok = is_object & _text("id", True) & _text("block_type", True) & _text("content") & _text("html") & _list("bbox") & box & properties & _list("children")
-        found = found.unionByName(fail(level, ok, "block"))
-        level = _items(level, "$.children")
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    block = is_object & _text("id", True) & _text("block_type", True) & _text("content") & _text("html") & _list("bbox") & box & properties & _list("children")
+    bad = lambda ok: ~F.coalesce(ok, F.lit(False))
+    level = F.col("level")
+    reason = F.when(level == 0, F.when(bad(is_object), "json").when(bad(document), "document")).when(level == 1, F.when(bad(page), "page")).otherwise(F.when(bad(block), "block"))
+    faults = found.select("doc_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    return faults.groupBy("doc_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
 def gated(old: DataFrame, edits: DataFrame) -> DataFrame:

@@ -27,10 +27,25 @@ def reader_of(path: Column) -> Column:
     return out
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, content, reader and doc_id (a hash of the path) of every file under a path."""
+def _any_case(text: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in text)
+
+
+def glob_of(reader: str) -> str:
+    """The file names of a reader, in any case."""
+    return "*{" + ",".join(_any_case(x) for x in READERS[reader]) + "}"
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """path, reader and doc_id (a hash of the path) of every file under a path. No file is opened: the content is no column of the scan. Spark leaves out files of no bytes."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return f.select("path", "content", reader_of(F.col("path")).alias("reader"), F.xxhash64("path").alias("doc_id"))
+    return f.select("path", reader_of(F.col("path")).alias("reader"), F.xxhash64("path").alias("doc_id"))
+
+
+def files(spark: SparkSession, path: str, reader: str) -> DataFrame:
+    """path, content, reader and doc_id of one reader's files. Others are left out by name when the files are listed, and never opened."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob_of(reader)).load(path)
+    return f.select("path", "content", F.lit(reader).alias("reader"), F.xxhash64("path").alias("doc_id"))
 
 
 def selected_pages(pages: DataFrame, page_range: str | None) -> DataFrame:
@@ -134,23 +149,24 @@ def convert(spark: SparkSession, path: str, pretty: bool = False, parser: scans.
     With an extractor, images are converted too. The rest are files without a reader here and broken ones, with what is
     wrong with them; a PDF file that breaks off gives its pages before, and its error.
     """
-    f = files(spark, path)
-    read = written(scans.read_pages(f.filter("reader = 'pdf'"), parser), "pages")
-    elements = docx.read_paragraphs(f.filter("reader = 'docx'"))
-    pages = f.filter("reader = 'html'").select(F.col("doc_id").alias("page_id"), F.decode("content", "UTF-8").alias("html"))
+    every = listed(spark, path)
+    # Each format is read once, into a table that all that needs it reads.
+    read = written(scans.read_pages(files(spark, path, "pdf"), parser), "pages")
+    elements = written(docx.read_paragraphs(files(spark, path, "docx")), "elements")
+    pages = files(spark, path, "html").select(F.col("doc_id").alias("page_id"), F.decode("content", "UTF-8").alias("html"))
     web = html.baseline_blocks(pages, body_only=True).withColumnRenamed("page_id", "doc_id")
-    trees = marker.blocks(f.filter("reader = 'json'").select("doc_id", F.decode("content", "UTF-8").alias("json")))
+    trees = marker.blocks(files(spark, path, "json").select("doc_id", F.decode("content", "UTF-8").alias("json")))
     done = layout_document(scans.chars_of(read), scans.pages_of(read), scans.tables_of(read), page_range=page_range, pretty=pretty)
     done = done.unionByName(docx_document(elements.filter("kind <> 'error'"), pretty)).unionByName(html_document(web, pretty))
     done = done.unionByName(block_document(trees, "marker", ["page_number", "path"], ("page_number", "path", "id", "block_type", "content", "html", "bbox"), pretty))
     known = ["pdf", "docx", "html", "json"]
     if extractor is not None:
         known.append("image")
-        called = called_blocks(f.filter("reader = 'image'"), extractor)
+        called = called_blocks(files(spark, path, "image"), extractor)
         done = done.unionByName(block_document(called, "image", ["page_number", "pos"], ("page_number", "id", "block_type", "content"), pretty))
     broken = elements.filter("kind = 'error'").select("doc_id", F.col("text").alias("error")).unionByName(scans.errors_of(read))
-    bad = f.select("doc_id", "path", "reader").join(broken, "doc_id").select("path", "reader", "error")
-    return done, f.filter(~F.col("reader").isin(*known)).select("path", "reader", F.lit(None).cast("string").alias("error")).unionByName(bad)
+    bad = every.join(broken, "doc_id").select("path", "reader", "error")
+    return done, every.filter(~F.col("reader").isin(*known)).select("path", "reader", F.lit(None).cast("string").alias("error")).unionByName(bad)
 
 
 def titles(f: DataFrame) -> DataFrame:

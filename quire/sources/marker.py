@@ -1,10 +1,13 @@
-"""Block trees from converter JSON: pages with nested children, read level by level as VARIANT."""
+"""Block trees from converter JSON: pages with nested children, from one pass over each document."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.nested import nodes
+
+
 def as_marker_json(blocks: DataFrame) -> DataFrame:
     """tree rows as converter JSON, all levels: doc_id, json. One aggregation per level, from the deepest up."""
     depth = blocks.agg(F.max(F.size("path"))).first()[0] or 0
@@ -53,16 +56,9 @@ def text_of(html: Column) -> Column:
 
 
 def blocks(files: DataFrame) -> DataFrame:
-    """files (doc_id, json) to block rows with a path, of all levels; one explode per level, until a level is empty."""
-    v = files.select("doc_id", F.try_parse_json("json").alias("v")).filter("v is not null")
-    level = v.select("doc_id", F.try_variant_get("v", "$.children", "array<variant>").alias("kids")).select("doc_id", F.posexplode("kids").alias("page_idx", "v"))
-    level = level.select("doc_id", "page_idx", F.array().cast("array<int>").alias("path"), "v")
-    out = None
-    while out is None or not level.isEmpty():
-        out = level if out is None else out.unionByName(level)
-        kids = F.try_variant_get("v", "$.children", "array<variant>")
-        level = level.select("doc_id", "page_idx", "path", F.posexplode(kids).alias("pos", "v")).select("doc_id", "page_idx", F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), "v")
-    out = out.filter(F.size("path") > 0)
+    """files (doc_id, json) to block rows with a path, of all levels. Broken files give no rows."""
+    found = nodes(files, ("children",)).filter(F.size("path") > 1)
+    out = found.select("doc_id", F.get("path", F.lit(0)).alias("page_idx"), F.slice("path", 2, 1 << 30).alias("path"), F.try_parse_json("node").alias("v"))
     get = lambda p, t: F.try_variant_get("v", p, t)
     kind = F.coalesce(get("$.block_type", "string"), F.lit("Unknown"))
     html = F.coalesce(get("$.html", "string"), F.lit(""))
