@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.layout import cell_box, html_of, html_tag, normalized_box, strip, style_id, style_of
@@ -36,11 +36,24 @@ def spans(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", F.concat(F.lit("s-"), "id").alias("id"), F.col("id").alias("block_id"), "text", "bbox", "bbox_norm", "style_id")
 
 
-def tokens(words: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """words (doc_id, page_number, block_idx, box) as tokens of their block and span."""
-    own = blocks.select("doc_id", "page_number", "block_idx", F.col("id").alias("block_id"))
-    w = boxed(words, pages).join(own, ["doc_id", "page_number", "block_idx"])
-    return w.select("doc_id", "page_number", "text", "bbox", "bbox_norm", "block_id", F.concat(F.lit("s-"), "block_id").alias("span_id"))
+def with_tokens(blocks: DataFrame) -> DataFrame:
+    """blocks (boxed, with words) with tokens: their words with boxes and the keys of their block and span."""
+
+    def token(w: Column) -> Column:
+        box = tuple(w[c] for c in ("x0", "y0", "x1", "y1"))
+        return F.struct(w["text"].alias("text"), F.array(*box).alias("bbox"), normalized_box(box, F.col("width"), F.col("height")).alias("bbox_norm"), F.col("id").alias("block_id"), F.concat(F.lit("s-"), F.col("id")).alias("span_id"))
+
+    return blocks.withColumn("tokens", F.transform("words", token))
+
+
+def tokens(blocks: DataFrame) -> DataFrame:
+    """Rows of the tokens of blocks that have them."""
+    return blocks.select("doc_id", "page_number", F.posexplode("tokens").alias("pos", "t")).select("doc_id", "page_number", "pos", "t.*")
+
+
+def styled(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """blocks (doc_id, style_id) with the fields of their style, looked up in a table of styles (see styles, by doc_id)."""
+    return blocks.join(known, [c for c in ("doc_id", "style_id") if c in known.columns], "left")
 
 
 def emitted(blocks: DataFrame, tables: DataFrame) -> DataFrame:
@@ -88,7 +101,7 @@ def table_blocks(tables: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def document_json(pages: DataFrame, blocks: DataFrame, edges: DataFrame, source: str, pretty: bool = False, tables: DataFrame | None = None) -> DataFrame:
-    """doc_id and the document as JSON: pages, blocks, styles, spans, tables, reading graph; empty parts are left out.
+    """doc_id and the document as JSON: pages, blocks, styles, spans, tokens (if blocks have them), tables, reading graph; empty parts are left out.
 
     Tables (see table_blocks) are blocks too, after the text of their page; their reading order is their place.
     """
@@ -101,6 +114,9 @@ def document_json(pages: DataFrame, blocks: DataFrame, edges: DataFrame, source:
     block = F.struct("id", F.col("block_type").alias("type"), "role", F.col("page_number").alias("page"), "bbox", "bbox_norm", F.col("reading_order").cast("int").alias("reading_order"), F.lit(0).alias("z_index"), "text", "style_id", "html", "html_template", *optional)
     span = F.struct(F.concat(F.lit("s-"), "id").alias("id"), F.col("id").alias("block_id"), "text", "bbox", "bbox_norm", "style_id")
     kept = ["page_number", "is_table", F.coalesce("reading_order", F.lit(0)).alias("order"), "block_idx", block.alias("b"), F.when(is_text, span).alias("s"), F.when(is_text, F.struct("style_id", "_style")).alias("y")]
+    has_tokens = "tokens" in blocks.columns
+    if has_tokens:
+        kept.append(F.when(is_text, F.col("tokens")).alias("k"))
     b = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*kept, *(["table"] if tables is not None else [])))).alias("rows"))
     e = edges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("from", "to", "relation"))).alias("reading_graph"))
     j = p.join(b, "doc_id", "left").join(e, "doc_id", "left")
@@ -112,6 +128,7 @@ def document_json(pages: DataFrame, blocks: DataFrame, edges: DataFrame, source:
         F.col("pages"),
         F.coalesce(placed, F.array()).alias("blocks"),
         some(part("s")).alias("spans"),
+        *([some(F.flatten(part("k"))).alias("tokens")] if has_tokens else []),
         *([some(part("table")).alias("tables")] if tables is not None else []),
         F.map_from_entries(F.array_distinct(some(part("y")))).alias("styles"),
         F.col("reading_graph"),

@@ -17,13 +17,19 @@ LINE_OF_SIZE, LINE_LEAST = 0.6, 3.0
 BLOCK_OF_SIZE, BLOCK_LEAST, SHIFT = 1.5, 4.0, 40.0
 
 
-def _merged(groups: DataFrame, keys: list[str], pos: str, sep: str) -> DataFrame:
+#: A word as it is carried into the line and the block that it becomes a part of.
+WORD = ("text", "x0", "y0", "x1", "y1")
+
+
+def _merged(groups: DataFrame, keys: list[str], pos: str, sep: str, words: Column | None = None) -> DataFrame:
     """Box, ordered text, dominant font (first seen on a tie), mean size, first colour of each group of rows.
 
-    One aggregation; fonts are counted in the group's own array, of which most groups have one.
+    One aggregation; fonts are counted in the group's own array, of which most groups have one. words: the array of words
+    of a row; the group has them all, in its rows' order.
     """
+    carried = [] if words is None else [words.alias("w")]
     rows = groups.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("text").alias("t"), F.col("fontname").alias("f")))).alias("_rows"),
+        F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("text").alias("t"), F.col("fontname").alias("f"), *carried))).alias("_rows"),
         F.min("x0").alias("x0"),
         F.min("y0").alias("y0"),
         F.max("x1").alias("x1"),
@@ -36,7 +42,7 @@ def _merged(groups: DataFrame, keys: list[str], pos: str, sep: str) -> DataFrame
     kinds = F.array_distinct(fonts)
     counted = F.transform(kinds, lambda f, i: F.struct(F.size(F.filter(fonts, lambda g: g.eqNullSafe(f))).alias("n"), (-i).alias("i"), f.alias("f")))
     font = F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).otherwise(F.array_max(counted)["f"])
-    return rows.select(*keys, F.array_join(F.col("_rows")["t"], sep).alias("text"), "x0", "y0", "x1", "y1", font.alias("fontname"), rounded(F.col("_size") / F.size("_rows"), 2).alias("size"), F.col("_color")["c"].alias("color"))
+    return rows.select(*keys, F.array_join(F.col("_rows")["t"], sep).alias("text"), "x0", "y0", "x1", "y1", font.alias("fontname"), rounded(F.col("_size") / F.size("_rows"), 2).alias("size"), F.col("_color")["c"].alias("color"), *([] if words is None else [F.flatten(F.col("_rows")["w"]).alias("words")]))
 
 
 def filter_chars(chars: DataFrame) -> DataFrame:
@@ -91,10 +97,10 @@ def assign_lines(words: DataFrame) -> DataFrame:
     return each.select(*PAGE, "_row.w.*", (F.size(F.filter("_at", lambda x: x <= F.col("_n"))) - 1).alias("line_idx"))
 
 
-def build_lines(words: DataFrame) -> DataFrame:
-    """Words of a line from left to right, joined by a space."""
+def build_lines(words: DataFrame, with_words: bool = False) -> DataFrame:
+    """Words of a line from left to right, joined by a space; with_words keeps them, as words."""
     w = assign_lines(words)
-    return _merged(w.withColumn("_pos", F.struct("x0", "y0", "word_idx")), [*PAGE, "line_idx"], "_pos", " ")
+    return _merged(w.withColumn("_pos", F.struct("x0", "y0", "word_idx")), [*PAGE, "line_idx"], "_pos", " ", F.array(F.struct(*WORD)) if with_words else None)
 
 
 def assign_blocks(lines: DataFrame) -> DataFrame:
@@ -108,8 +114,8 @@ def assign_blocks(lines: DataFrame) -> DataFrame:
 
 
 def build_blocks(lines: DataFrame) -> DataFrame:
-    """Blocks with a stable id."""
-    blocks = _merged(assign_blocks(lines), [*PAGE, "block_idx"], "_pos", "\n")
+    """Blocks with a stable id, and with the words of their lines if lines have them."""
+    blocks = _merged(assign_blocks(lines), [*PAGE, "block_idx"], "_pos", "\n", F.col("words") if "words" in lines.columns else None)
     return blocks.withColumn("id", stable_id(F.col("doc_id"), F.col("page_number"), F.lit("block"), F.col("block_idx")))
 
 

@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.layout import guess_block_type, guess_role, rhetoric, rhetoric_features, safe_block_type, safe_role, truncated
 from quire.schema import RHETORIC, RHETORIC_FEATURES
+from quire.staging import written
 
 PAGE = ["doc_id", "page_number"]
 BATCH = 50
@@ -68,41 +70,96 @@ def parsed_features(col: Column) -> Column:
     return rhetoric_features(F.from_json(col, ", ".join(f"{k} string" for k in RHETORIC_FEATURES)))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One page: blocks in order take the most similar tag that is left, the earliest on a tie."""
-    free = [r for r in pdf[pdf["side"] == "tag"].sort_values("pos").itertuples() if r.text]
-    rows = []
-    for b in pdf[pdf["side"] == "block"].sort_values("pos").itertuples():
+def best_tags(blocks: list[str], tags: list[str]) -> list[tuple[int, float] | None]:
+    """For each block text in order the most similar tag text that is left (its place and ratio), the earliest on a tie; None below FUZZY_LEAST."""
+    free, out = [(i, t[:FUZZY_CHARS]) for i, t in enumerate(tags) if t], []
+    for text in blocks:
         best, best_at = 0.0, -1
-        if b.text:
-            for at, t in enumerate(free):
-                m = SequenceMatcher(None, b.text[:FUZZY_CHARS], t.text[:FUZZY_CHARS])
-                # Upper bounds first: a tag that cannot be the best, or good enough, needs no ratio.
-                need = max(best, FUZZY_LEAST)
-                if m.real_quick_ratio() <= need or m.quick_ratio() <= need:
-                    continue
-                score = m.ratio()
-                if score > best:
-                    best, best_at = score, at
-        if best > FUZZY_LEAST:
-            t = free.pop(best_at)
-            rows.append((b.doc_id, b.page_number, b.pos, t.pos, round(best, 6), t.block_type, t.role))
-        else:
-            rows.append((b.doc_id, b.page_number, b.pos, None, None, "paragraph", "paragraph"))
-    return pd.DataFrame(rows, columns=["doc_id", "page_number", "block_idx", "tag_pos", "ratio", "block_type", "role"]).astype({"tag_pos": "Int64"})
+        for at, (_, other) in enumerate(free if text else []):
+            m = SequenceMatcher(None, text[:FUZZY_CHARS], other)
+            # Upper bounds first: a tag that cannot be the best, or good enough, needs no ratio.
+            need = max(best, FUZZY_LEAST)
+            if m.real_quick_ratio() <= need or m.quick_ratio() <= need:
+                continue
+            score = m.ratio()
+            if score > best:
+                best, best_at = score, at
+        out.append((free.pop(best_at)[0], best) if best > FUZZY_LEAST else None)
+    return out
+
+
+def _by_text(page: Column) -> Column:
+    """page: blocks and tags, arrays of texts. For each block the place of its tag and their ratio, null without one."""
+
+    def match(page: pa.Array) -> pa.Array:
+        places, ratios, ends = [], [], [0]
+        for p in page.to_pylist():
+            for found in best_tags([x or "" for x in p["blocks"]], [x or "" for x in p["tags"]]):
+                places.append(None if found is None else found[0])
+                ratios.append(None if found is None else round(found[1], 6))
+            ends.append(len(places))
+        pairs = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(ratios, pa.float64())], ["at", "ratio"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+    return F.arrow_udf(match, "array<struct<at:int,ratio:double>>")(page)
+
+
+def tagged(blocks: DataFrame, tags: DataFrame) -> DataFrame:
+    """blocks with type, role, order, rhetoric and how they got them: by index, else by text, else by default.
+
+    One exchange: blocks and tags of a page meet in one group, each side in order, and the blocks' own columns go along.
+    The last tag of an index counts. Tags of no block's index, or without one, are matched by text, which is sequential
+    within a page, so that alone runs in Python, on texts cut to FUZZY_CHARS. A group is one page.
+    """
+    own = [c for c in blocks.columns if c not in PAGE]
+    b = blocks.select(*PAGE, F.struct("block_idx", F.struct(*own).alias("row")).alias("b"), F.lit(None).cast(f"struct<{_TAG}>").alias("t"))
+    fields = [F.col(f.split()[0]).cast(f.split()[1]).alias(f.split()[0]) for f in _TAG.split(", ")]
+    t = tags.select(*PAGE, F.lit(None).cast(b.schema["b"].dataType).alias("b"), F.struct(*fields).alias("t"))
+    pages = b.unionByName(t).groupBy(*PAGE).agg(F.sort_array(F.collect_list("b")).alias("_b"), F.sort_array(F.collect_list("t")).alias("_t")).filter(F.size("_b") > 0)
+    places = F.transform("_b", lambda x: x["block_idx"])
+    indexed = F.transform("_b", lambda x: F.try_element_at(F.filter("_t", lambda y: y["block_index"] == x["block_idx"]), F.lit(-1)))
+    pages = pages.withColumn("_free", F.filter("_t", lambda y: y["block_index"].isNull() | ~F.array_contains(places, y["block_index"]))).withColumn("_by_index", indexed)
+    cut = lambda c: F.left(c, F.lit(FUZZY_CHARS))
+    open_ = F.filter(F.transform("_b", lambda x, i: F.when(F.get("_by_index", i).isNull(), F.struct(i.alias("i"), cut(x["row"]["text"]).alias("text")))), lambda x: x.isNotNull())
+    pages = pages.withColumn("_open", F.when(F.exists("_free", lambda y: y["text"] != ""), open_).otherwise(F.slice(open_, 1, 0)))
+    pages = pages.withColumn("_found", _by_text(F.struct(F.col("_open")["text"].alias("blocks"), F.transform("_free", lambda y: cut(y["text"])).alias("tags"))))
+    near = F.map_from_arrays(F.col("_open")["i"], F.col("_found"))
+    pages = pages.withColumn("_near", near).select(*PAGE, "_b", "_by_index", "_free", F.posexplode(F.transform("_b", lambda x, i: F.try_element_at("_near", i))).alias("_i", "_m"))
+    one = pages.select(*PAGE, F.get("_b", F.col("_i")).alias("_b"), F.get("_by_index", F.col("_i")).alias("_x"), F.get("_free", F.col("_m.at")).alias("_y"), F.col("_m.ratio").alias("ratio"))
+    tag = lambda field: F.coalesce(F.col(f"_x.{field}"), F.col(f"_y.{field}"))
+    order = tag("reading_order")
+    return one.select(
+        *PAGE,
+        *[F.col("_b.row")[c].alias(c) for c in own if c not in ("block_type", "role", "reading_order", "rhetoric", "rhetoric_features")],
+        safe_block_type(F.coalesce(tag("block_type"), F.lit("paragraph"))).alias("block_type"),
+        safe_role(F.coalesce(tag("role"), F.lit("paragraph"))).alias("role"),
+        F.coalesce(F.when(order >= 0, order), F.col("_b.block_idx")).alias("reading_order"),
+        tag("rhetoric").alias("rhetoric"),
+        tag("rhetoric_features").alias("rhetoric_features"),
+        F.when(F.col("_x").isNotNull(), "index").when(F.col("_y").isNotNull(), "text").otherwise("default").alias("how"),
+        F.col("_y.tag_pos").alias("text_tag_pos"),
+        "ratio",
+    )
+
+
+_TAG = "tag_pos int, block_index int, block_type string, role string, reading_order int, text string, rhetoric string, rhetoric_features string"
 
 
 def match_by_text(blocks: DataFrame, tags: DataFrame) -> DataFrame:
-    """Blocks without a tag of their index against tags without a block: greedy, a tag once, per page.
+    """The blocks without a tag of their index, and the tag that each has by its text."""
+    found = tagged(blocks, tags).filter("how <> 'index'")
+    return found.select(*PAGE, "block_idx", F.col("text_tag_pos").cast("long").alias("tag_pos"), "ratio", "block_type", "role")
+
+
+def split_tags(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tags that can be used, and those set aside with their problems: a reading order that is null or negative.
 
-    A page's assignment is sequential, so it runs in a Python group; a group is one page.
+    Both come from one pass, written once; a tag that is set aside spoils neither its page nor its document.
     """
-    own = blocks.select(*PAGE, F.col("block_idx").alias("block_index"))
-    left_tags = tags.join(own, [*PAGE, "block_index"], "left_anti")
-    left_blocks = blocks.join(last_tags(tags).select(*PAGE, F.col("block_index").alias("block_idx")), [*PAGE, "block_idx"], "left_anti")
-    b = left_blocks.select(*PAGE, F.lit("block").alias("side"), F.col("block_idx").alias("pos"), "text", F.lit("").alias("block_type"), F.lit("").alias("role"))
-    t = left_tags.select(*PAGE, F.lit("tag").alias("side"), F.col("tag_pos").alias("pos"), "text", safe_block_type(F.col("block_type")).alias("block_type"), safe_role(F.col("role")).alias("role"))
-    return b.unionByName(t).groupBy(*PAGE).applyInPandas(_greedy, "doc_id long, page_number int, block_idx int, tag_pos long, ratio double, block_type string, role string")
+    order = F.col("reading_order")
+    problem = F.when(order.isNull(), "no order").when(order < 0, "negative order")
+    seen = written(tags.withColumn("problem", problem), "tags")
+    return seen.filter("problem IS NULL").drop("problem"), seen.filter("problem IS NOT NULL")
 
 
 def batches(blocks: DataFrame, order: list[str]) -> DataFrame:

@@ -180,6 +180,18 @@ SPECS = (
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
 
+_BLOCK_ID = _id("doc_id", "page_number", "'block'", "block_idx")
+_NORM = ", ".join(f"round_even({c} / {e}, 6) AS n{c}" for c, e in (("x0", 612), ("y0", 792), ("x1", 612), ("y1", 792)))
+
+JSON_BLOCKS = (
+    BLOCKS
+    + f""",
+jb1 AS (SELECT *, {_guess("text", "size", "fontname")} AS block_type, regexp_replace(fontname, '^[^+]*\\+', '') AS family, CASE WHEN contains(lower(fontname), 'bold') THEN 'bold' ELSE 'normal' END AS weight, contains(lower(fontname), 'italic') OR contains(lower(fontname), 'oblique') AS ital, {_BLOCK_ID} AS id FROM blocks),
+jb2 AS (SELECT *, {ROLE} AS role, left(sha256(concat_ws('|', family, round_even(size, 1)::VARCHAR, weight, CASE WHEN ital THEN 'True' ELSE 'False' END, color)), 12) AS style_id, CASE block_type WHEN 'heading' THEN 'h2' WHEN 'list_item' THEN 'li' WHEN 'page_number' THEN 'span' ELSE 'p' END AS tag FROM jb1),
+jb AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY page_number, block_idx) - 1)::INT AS place, (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY block_idx) - 1)::INT AS reading_order FROM jb2)"""
+)
+
+
 def _export() -> str:
     from quire.operators.tree import CHILDREN_OPEN, HEAD_STYLE, PAGE_BREAK
 
@@ -260,6 +272,18 @@ ORACLES: dict[str, str] = {
     "fallback_cases": f"""WITH {CLASSIFIED}, g AS (SELECT doc_id, elem_idx, block_type AS t, role AS r, reading_order::INT AS reading_order, {_guess('text', 'font_size', 'fontname')} AS block_type FROM cl)
  SELECT 'no_vision' AS "case", doc_id, elem_idx, block_type, {ROLE} AS role, reading_order FROM g UNION ALL SELECT 'vision_error', doc_id, elem_idx, block_type, 'paragraph', reading_order FROM g
  UNION ALL SELECT 'no_tags', doc_id, elem_idx, 'paragraph', 'paragraph', reading_order FROM g UNION ALL SELECT 'docx', doc_id, elem_idx, t, r, reading_order FROM g""",
+    "tag_one_step": f"WITH {MATCHED} SELECT doc_id, page_number, block_idx, id, block_type, role, reading_order::INT AS reading_order, CASE WHEN matched THEN 'index' ELSE 'default' END AS how FROM m",
+    "quarantined_tags": f"""WITH {TAGS}, o AS (SELECT doc_id, page_number, tag_pos, CASE WHEN tag_pos % 7 = 0 THEN -reading_order ELSE reading_order END::INT AS reading_order FROM tags)
+ SELECT doc_id, page_number, tag_pos, reading_order, CASE WHEN reading_order IS NULL THEN 'no order' WHEN reading_order < 0 THEN 'negative order' END AS problem FROM o""",
+    "doc_tokens": f"""WITH {BLOCKS}, k AS (SELECT n5.doc_id, n5.page_number, block_idx, n5.text, n5.x0, n5.y0, n5.x1, n5.y1, b3.pos AS line_pos, n5.pos AS word_pos FROM n5 JOIN b3 USING (doc_id, page_number, line_idx))
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page_number, block_idx, line_pos, word_pos) - 1)::INT AS place, text, {_BLOCK_ID} AS block_id, 's-' || {_BLOCK_ID} AS span_id, x0, y0, x1, y1, {_NORM} FROM k""",
+    "doc_json_blocks": f"WITH {JSON_BLOCKS} SELECT doc_id, place, id, block_type AS type, role, page_number AS page, reading_order, 0 AS z_index, text, style_id, '<' || tag || '>' || text || '</' || tag || '>' AS html, '<' || tag || '>{{{{text}}}}</' || tag || '>' AS html_template, x0, y0, x1, y1, {_NORM} FROM jb",
+    "doc_json_parts": f"""WITH {JSON_BLOCKS}, g AS (SELECT doc_id, lag(id) OVER (PARTITION BY doc_id ORDER BY place) AS f, id FROM jb)
+ SELECT doc_id, 'document' AS part, doc_id::VARCHAR AS key, '3.0|pdf|' || count(DISTINCT page_number)::VARCHAR AS value FROM jb GROUP BY doc_id
+ UNION ALL SELECT DISTINCT doc_id, 'page', page_number::VARCHAR, '612.0|792.0|0|pt' FROM jb
+ UNION ALL SELECT doc_id, 'span', 's-' || id, id || '|' || style_id || '|' || text FROM jb
+ UNION ALL SELECT DISTINCT doc_id, 'style', style_id, concat_ws('|', family, round_even(size, 1)::VARCHAR, weight, ital::VARCHAR, 'false', color, 'left') FROM jb
+ UNION ALL SELECT doc_id, 'edge', f, id || '|next' FROM g WHERE f IS NOT NULL""",
     "doc_assemble_tables": f"""WITH {EMITTED}, w AS (SELECT doc_id, page_number, block_index AS block_idx, list(CASE WHEN tone <> 'angry' AND voice <> 'loud' THEN tone END ORDER BY tag_pos DESC)[1] AS tone FROM tags GROUP BY ALL)
  SELECT em.doc_id, emit_idx::INT AS place, em.id, CASE WHEN is_table = 1 THEN 'table' ELSE m.block_type END AS type, CASE WHEN is_table = 1 THEN 'table' ELSE m.role END AS role, em.page_number AS page, CASE WHEN is_table = 1 THEN emit_idx ELSE em.reading_order END::INT AS reading_order, CASE WHEN is_table = 1 THEN '[TABLE]' ELSE pb.text END AS text, CASE WHEN is_table = 0 THEN w.tone END AS tone
  FROM em LEFT JOIN m ON em.doc_id = m.doc_id AND em.id = m.id LEFT JOIN pb ON em.doc_id = pb.doc_id AND em.id = pb.id LEFT JOIN w ON em.doc_id = w.doc_id AND em.page_number = w.page_number AND em.pos = w.block_idx""",

@@ -62,23 +62,24 @@ def layout_document(chars: DataFrame, pages: DataFrame, tables: DataFrame | None
 
     tables (doc_id, page_number, table_idx, id, x0, y0, x1, y1, and cells: rows of texts, if known) drop the blocks they
     cover and follow their page's text, as blocks and with their cells.
-    Without tags, types come from the heuristics; with tags, by index.
+    Without tags, types come from the heuristics; with tags, by index, then by text, then as paragraphs.
     """
     chosen = selected_pages(pages, page_range)
     kept = chars.join(chosen.select("doc_id", "page_number"), ["doc_id", "page_number"], "left_semi")
-    blocks = geometry.build_blocks(geometry.build_lines(geometry.build_words(geometry.filter_chars(kept))))
+    blocks = geometry.build_blocks(geometry.build_lines(geometry.build_words(geometry.filter_chars(kept)), with_words=True))
     if tables is not None:
         blocks = geometry.blocks_outside_tables(blocks, tables)
         place = Window.partitionBy("doc_id", "page_number").orderBy("block_idx")
         blocks = blocks.withColumn("block_idx", (F.row_number().over(place) - 1).cast("int"))
-    blocks = semantics.heuristic(blocks) if tags is None else semantics.match_by_index(blocks, tags).drop("matched")
+    blocks = semantics.heuristic(blocks) if tags is None else semantics.tagged(blocks, tags).drop("how")
     return _assembled(blocks, chosen, tables, "pdf", pretty)
 
 
 def _assembled(blocks: DataFrame, pages: DataFrame, tables: DataFrame | None, source: str, pretty: bool) -> DataFrame:
     none = blocks.select("doc_id", "page_number", F.lit(0).alias("table_idx"), "id").limit(0)
     edges = assemble.reading_graph(assemble.emitted(blocks, none if tables is None else tables))
-    return assemble.document_json(pages, assemble.rendered(assemble.boxed(assemble.with_style(blocks), pages)), edges, source, pretty, tables)
+    full = assemble.rendered(assemble.boxed(assemble.with_style(blocks), pages))
+    return assemble.document_json(pages, assemble.with_tokens(full) if "words" in full.columns else full, edges, source, pretty, tables)
 
 
 def docx_document(elements: DataFrame, pretty: bool = False) -> DataFrame:

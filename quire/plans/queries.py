@@ -122,6 +122,26 @@ def tag_index_join(spark: SparkSession, d: str) -> DataFrame:
     return m.select("doc_id", "page_number", "block_idx", "block_type", "role", "reading_order", "matched")
 
 
+def tag_one_step(spark: SparkSession, d: str) -> DataFrame:
+    """Tags by index, else by text, else by default; these tags have no texts, so what has no index gets the default."""
+    m = semantics.tagged(A.para_blocks(spark, d), A.tags(spark, d).withColumn("text", F.lit(None).cast("string")))
+    return m.select("doc_id", "page_number", "block_idx", "id", "block_type", "role", "reading_order", "how")
+
+
+def tag_all_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Tags by index, by text and by default, in one step."""
+    m = semantics.tagged(A.para_blocks(spark, d), A.tags(spark, d))
+    return m.select("doc_id", "page_number", "block_idx", "id", "block_type", "role", "reading_order", "how", "text_tag_pos", "ratio")
+
+
+def quarantined_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags that are set aside, beside those used, for a reading order that is null or negative."""
+    t = A.tags(spark, d).withColumn("reading_order", F.when(F.pmod("tag_pos", F.lit(7)) == 0, -F.col("reading_order")).otherwise(F.col("reading_order")))
+    used, aside = semantics.split_tags(t)
+    both = used.withColumn("problem", F.lit(None).cast("string")).unionByName(aside)
+    return both.select("doc_id", "page_number", "tag_pos", "reading_order", "problem")
+
+
 def tag_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     return semantics.match_by_text(A.para_blocks(spark, d), A.tags(spark, d))
 
@@ -215,9 +235,9 @@ def table_reading_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _document(spark: SparkSession, d: str) -> DataFrame:
-    b = semantics.heuristic(_blocks(spark, d))
+    b = semantics.heuristic(geometry.build_blocks(geometry.build_lines(_words(spark, d), with_words=True)))
     pages = _pages(b)
-    full = assemble.rendered(assemble.boxed(assemble.with_style(b), pages))
+    full = assemble.with_tokens(assemble.rendered(assemble.boxed(assemble.with_style(b), pages)))
     none = b.select("doc_id", "page_number", F.lit(0).alias("table_idx"), "id").limit(0)
     edges = assemble.reading_graph(assemble.emitted(b, none))
     return assemble.document_json(pages, full, edges, "pdf")
@@ -228,6 +248,49 @@ def doc_assemble(spark: SparkSession, d: str) -> DataFrame:
     return _document(spark, d)
 
 
+def _listed(spark: SparkSession, d: str, part: str, fields: str) -> DataFrame:
+    """Rows of a list of the assembled JSON, as doc_id, place and x."""
+    read = _document(spark, d).select("doc_id", F.from_json("json", f"{part} array<struct<{fields}>>")[part].alias("x"))
+    return read.select("doc_id", F.posexplode("x").alias("place", "x"))
+
+
+def _four(c: str, *names: str) -> list:
+    return [F.get(c, F.lit(i)).alias(n) for i, n in enumerate(names)]
+
+
+def doc_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Every token of the assembled JSON: its text and boxes, and the keys of its block and span."""
+    t = _listed(spark, d, "tokens", "text string, bbox array<double>, bbox_norm array<double>, block_id string, span_id string")
+    return t.select("doc_id", "place", "x.text", "x.block_id", "x.span_id", *_four("x.bbox", "x0", "y0", "x1", "y1"), *_four("x.bbox_norm", "nx0", "ny0", "nx1", "ny1"))
+
+
+def doc_json_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of every block of the assembled JSON."""
+    b = _listed(spark, d, "blocks", "id string, type string, role string, page int, bbox array<double>, bbox_norm array<double>, reading_order int, z_index int, text string, style_id string, html string, html_template string")
+    plain = [f"x.{c}" for c in ("id", "type", "role", "page", "reading_order", "z_index", "text", "style_id", "html", "html_template")]
+    return b.select("doc_id", "place", *plain, *_four("x.bbox", "x0", "y0", "x1", "y1"), *_four("x.bbox_norm", "nx0", "ny0", "nx1", "ny1"))
+
+
+def doc_json_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The head, pages, spans, styles and edges of the assembled JSON, one row each: part, key and the other fields."""
+    head = "document struct<document_id string, schema_version string, source string, page_count int>"
+    pages = "pages array<struct<page_number int, width double, height double, rotation int, unit string>>"
+    spans = "spans array<struct<id string, block_id string, text string, style_id string>>"
+    styles = "styles map<string, struct<font_family string, size double, weight string, italic boolean, underline boolean, color string, align string>>"
+    j = _document(spark, d).select("doc_id", F.from_json("json", f"{head}, {pages}, {spans}, {styles}, reading_graph array<struct<`from` string, `to` string, relation string>>").alias("j"))
+    text = lambda *c: F.concat_ws("|", *[x.cast("string") for x in c])
+    row = lambda part, key, value: F.struct(F.lit(part).alias("part"), key.cast("string").alias("key"), value.alias("value"))
+    h = F.col("j.document")
+    parts = [
+        F.array(row("document", h["document_id"], text(h["schema_version"], h["source"], h["page_count"]))),
+        F.transform("j.pages", lambda p: row("page", p["page_number"], text(p["width"], p["height"], p["rotation"], p["unit"]))),
+        F.transform("j.spans", lambda x: row("span", x["id"], text(x["block_id"], x["style_id"], x["text"]))),
+        F.transform(F.map_entries("j.styles"), lambda e: row("style", e["key"], text(*[e["value"][c] for c in ("font_family", "size", "weight", "italic", "underline", "color", "align")]))),
+        F.coalesce(F.transform("j.reading_graph", lambda e: row("edge", e["from"], text(e["to"], e["relation"]))), F.array()),
+    ]
+    return j.select("doc_id", F.explode(F.concat(*parts)).alias("r")).select("doc_id", "r.*")
+
+
 def doc_assemble_tables(spark: SparkSession, d: str) -> DataFrame:
     """Blocks, tables among them, of the JSON assembled from tagged blocks and two tables a page, in the document's order."""
     b = _boxed_blocks(spark, d).select("*", F.lit("Arial").alias("fontname"), F.lit(11.0).alias("size"), F.lit("#000000").alias("color"))
@@ -478,8 +541,8 @@ def stream_documents(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        chars_filtered, color_hex, words_gap_cluster, lines_anchor_cluster, blocks_merge, dominant_font, blocks_heuristic, block_type_heuristic, para_classify, style_distinct, table_cell_grid, blocks_not_in_tables, tag_index_join, tag_fuzzy_match, fallback_cases,
-        docx_batch_tags, rhetoric_validate, rhetoric_features, docx_layout_cursor, docx_word_wrap, docx_paginate, docx_pages, bbox_normalize, tokens_explode, reading_graph, table_reading_order, doc_assemble, doc_assemble_tables, doc_assemble_counts, page_range_a, page_range_b,
+        chars_filtered, color_hex, words_gap_cluster, lines_anchor_cluster, blocks_merge, dominant_font, blocks_heuristic, block_type_heuristic, para_classify, style_distinct, table_cell_grid, blocks_not_in_tables, tag_index_join, tag_one_step, tag_all_ways, quarantined_tags, tag_fuzzy_match, fallback_cases,
+        docx_batch_tags, rhetoric_validate, rhetoric_features, docx_layout_cursor, docx_word_wrap, docx_paginate, docx_pages, bbox_normalize, tokens_explode, reading_graph, table_reading_order, doc_assemble, doc_tokens, doc_json_blocks, doc_json_parts, doc_assemble_tables, doc_assemble_counts, page_range_a, page_range_b,
         html_clean_text, html_blocks, html_headings, html_chunks, html_chunk_fold, block_pages_35, type_counts, doc_metrics, flatten_tree, apply_edits, first_match_edit, title_edits, strip_html, empty_template, export_html, export_docx, docx_scan, docx_html, pdf_scan, marker_json_blocks,
         doc_title, format_dispatch, blocks_summary, pdf_overlay_plan, display_helpers, quarantine_pages, page_counts, conversation_graph, event_props, stream_documents, image_text, page_calls, edit_gate,
     )
