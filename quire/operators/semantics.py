@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -181,6 +182,54 @@ def apply_batch_tags(blocks: DataFrame, tags: DataFrame) -> DataFrame:
     return out.select(*[c for c in blocks.columns if c not in ("block_type", "role", "reading_order", "rhetoric")], *replaced)
 
 
+BatchTagger = Callable[[list[dict]], list[dict]]
+_BATCH_TAG = "block_index int, block_type string, role string, reading_order int, rhetoric string, rhetoric_features string"
+BATCH_TAGS = f"doc_id long, batch int, {_BATCH_TAG}, error string"
+#: Calls that a worker has open at a time.
+BATCH_CALLS = 8
+
+
+def batch_summaries(blocks: DataFrame) -> DataFrame:
+    """What a batch tagger sees: for each (doc_id, batch) the blocks' index, first BATCH_CHARS characters, font and size."""
+    row = F.struct(F.col("batch_idx").cast("int").alias("index"), F.left(F.coalesce("text", F.lit("")), F.lit(BATCH_CHARS)).alias("text"), F.coalesce("fontname", F.lit("")).alias("font"), F.coalesce(F.col("size").cast("double"), F.lit(0.0)).alias("size"))
+    return blocks.groupBy("doc_id", "batch").agg(F.sort_array(F.collect_list(row)).alias("blocks"))
+
+
+def tag_batches(summaries: DataFrame, tagger: BatchTagger) -> DataFrame:
+    """Runs a tagger, a function of one batch's summary, on every batch, some at a time in a worker, to BATCH_TAGS.
+
+    A call that fails gives one row with the error and no tag, so its blocks keep their types; a retried task calls again.
+    """
+    names = [f.split()[0] for f in _BATCH_TAG.split(", ")]
+
+    def call(unit: tuple) -> list[tuple]:
+        doc_id, batch, blocks = unit
+        try:
+            return [(doc_id, batch, *[t.get(n) for n in names], None) for t in tagger(blocks)]
+        except Exception as e:  # noqa: BLE001  a tagger is foreign code
+            return [(doc_id, batch, *[None] * len(names), str(e))]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        with ThreadPoolExecutor(BATCH_CALLS) as pool:
+            for b in batches:
+                found = [r for rs in pool.map(call, zip(*[b.column(c).to_pylist() for c in range(3)], strict=True)) for r in rs]
+                columns = zip(*found, strict=True) if found else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "batch", *names, "error"])
+
+    return summaries.select("doc_id", "batch", "blocks").mapInArrow(rows, BATCH_TAGS)
+
+
+def refine_in_batches(blocks: DataFrame, tagger: BatchTagger, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """blocks (typed) after a tagger's calls, by batch and place, and the batches that failed: doc_id, batch, error.
+
+    The calls are made once and their tags written, whatever reads the two results.
+    """
+    b = batches(blocks, order)
+    tags = written(tag_batches(batch_summaries(b), tagger), "batch_tags")
+    return apply_batch_tags(b, tags.filter("error IS NULL")), tags.filter("error IS NOT NULL").select("doc_id", "batch", "error")
+
+
 def blocks_summary(blocks: DataFrame) -> DataFrame:
     """What a tagger sees of a page: index, shortened text, font, size."""
     at = F.row_number().over(Window.partitionBy(*PAGE).orderBy("block_idx")) - 1

@@ -180,6 +180,21 @@ SPECS = (
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
 
+ELEMENTS = (
+    PARAS
+    + """,
+el1 AS (SELECT * REPLACE (regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text), doc_id + elem_idx // 3 AS k FROM paras),
+el2 AS (SELECT doc_id, elem_idx, kind, text, n_rows, k, lower("""
+    + _pick("k // 3", "Normal", "List Bullet", "List Number", "Heading 2", "Normal", "Source Code", "List Bullet", "Title")
+    + """) AS st, CASE WHEN kind = 'tbl' THEN list_transform(range(n_rows), lambda r: list_transform(range((k + r) % 3 + 1), lambda c: 'c' || (k + r)::VARCHAR || ' .' || c::VARCHAR)) END AS cells FROM el1),
+el3 AS (SELECT *, CASE WHEN kind = 'p' AND NOT contains(st, 'heading') AND contains(st, 'list') THEN CASE WHEN contains(st, 'number') THEN 'ordered' ELSE 'unordered' END END AS lt FROM el2 WHERE kind = 'tbl' OR text <> ''),
+el4 AS (SELECT *, CASE WHEN lt = lag(lt) OVER (PARTITION BY doc_id ORDER BY elem_idx) THEN 0 ELSE 1 END AS s FROM el3),
+el5 AS (SELECT *, (sum(s) OVER (PARTITION BY doc_id ORDER BY elem_idx) - 1)::INT AS o FROM el4),
+el AS (SELECT *, o // 35 AS p, (row_number() OVER (PARTITION BY doc_id, o ORDER BY elem_idx) - 1)::INT AS pos, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean, CASE WHEN kind = 'tbl' THEN 'Table' WHEN contains(st, 'heading') THEN 'SectionHeader' WHEN lt IS NOT NULL THEN 'ListGroup' WHEN contains(st, 'code') THEN 'Code' ELSE 'Text' END AS bt FROM el5),
+er AS (SELECT doc_id, p, o, unnest(cells) AS row, unnest(range(len(cells))) AS r FROM el WHERE kind = 'tbl'),
+ec AS (SELECT doc_id, p, o, r, unnest(row) AS cell, unnest(range(len(row))) AS c FROM er)"""
+)
+
 _BLOCK_ID = _id("doc_id", "page_number", "'block'", "block_idx")
 _NORM = ", ".join(f"round_even({c} / {e}, 6) AS n{c}" for c, e in (("x0", 612), ("y0", 792), ("x1", 612), ("y1", 792)))
 
@@ -293,6 +308,13 @@ ORACLES: dict[str, str] = {
  CASE WHEN by0 IS NOT NULL THEN 72.0::DOUBLE END AS x0, by0 AS y0, CASE WHEN by0 IS NOT NULL THEN 540.0::DOUBLE END AS x1, by0 + 12 AS y1 FROM a""",
     "docx_batch_tags": f"""WITH {CLASSIFIED}, g AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY elem_idx) - 1)::INT AS gi FROM cl)
  SELECT doc_id, elem_idx, gi // 50 AS batch, gi % 50 AS batch_idx, CASE WHEN gi % 3 = 0 AND gi % 2 = 0 THEN 'caption' ELSE block_type END AS block_type, CASE WHEN gi % 3 = 0 THEN 'caption' ELSE role END AS role, CASE WHEN gi % 3 = 0 AND gi % 5 = 0 THEN 7 ELSE reading_order END::INT AS reading_order, CASE WHEN gi % 3 = 0 THEN '{{"tone":"legal"}}' END AS rhetoric FROM g""",
+    "docx_batch_calls": f"""WITH {CLASSIFIED}, g AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY elem_idx) - 1)::INT AS gi FROM cl), b AS (SELECT *, gi // 50 AS batch, gi % 50 AS bi FROM g), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, batch) % 7 = 3 AS fails FROM b), h AS (SELECT *, NOT fails AND bi % 3 = 0 AS hit FROM n)
+ SELECT doc_id, elem_idx, batch::INT AS batch, bi::INT AS batch_idx, CASE WHEN hit AND length(text) >= 80 THEN 'caption' ELSE block_type END AS block_type, CASE WHEN hit THEN 'caption' ELSE role END AS role, (CASE WHEN hit AND bi % 5 = 0 THEN 7 ELSE reading_order END)::INT AS reading_order, CASE WHEN hit THEN '{{"tone":"legal"}}' END AS rhetoric, CASE WHEN fails THEN 'no answer' END AS error FROM h""",
+    "docx_tree": f"""WITH {ELEMENTS}
+ SELECT doc_id, (p + 1)::INT AS page_number, o::VARCHAR AS path, 'page_' || p || '/' || bt || '/' || o AS id, bt AS block_type, CASE WHEN kind = 'tbl' THEN array_to_string(flatten(cells), ' ') WHEN lt IS NOT NULL THEN '' ELSE clean END AS content, CASE WHEN bt = 'SectionHeader' THEN 2 END AS heading_level, lt AS list_type, CASE WHEN kind = 'tbl' THEN len(cells)::INT END AS row_count, CASE WHEN kind = 'tbl' THEN len(cells[1])::INT END AS column_count FROM el WHERE pos = 0
+ UNION ALL SELECT doc_id, p + 1, o || '.' || pos, 'page_' || p || '/ListItem/' || o || '_' || pos, 'ListItem', clean, NULL, NULL, NULL, NULL FROM el WHERE lt IS NOT NULL
+ UNION ALL SELECT doc_id, p + 1, o || '.' || r, 'page_' || p || '/TableRow/' || o || '_r' || r, 'Text', '', NULL, NULL, NULL, NULL FROM er
+ UNION ALL SELECT doc_id, p + 1, o || '.' || r || '.' || c, 'page_0/TableCell/' || o || '_r' || r || '_c' || c, 'Text', cell, NULL, NULL, NULL, NULL FROM ec""",
     "rhetoric_validate": f"""WITH {TAGS}, v AS (SELECT *, tone <> 'angry' AND voice <> 'loud' AS ok, density <> 'x' AS fok FROM tags)
  SELECT doc_id, page_number, tag_pos, ok AS rhetoric_ok, CASE WHEN ok THEN tone END AS tone, CASE WHEN ok THEN voice END AS voice, fok AS features_ok, CASE WHEN fok THEN density::DOUBLE END AS modal_density, CASE WHEN fok THEN sentence::DOUBLE END AS avg_sentence_length FROM v""",
     "rhetoric_features": _features(),

@@ -95,23 +95,40 @@ def docx_document(elements: DataFrame, pretty: bool = False) -> DataFrame:
 
 
 def docx_blocks(elements: DataFrame) -> DataFrame:
-    """DOCX body elements to top-level tree rows in pages of 35, with rows and cells below tables."""
-    e = elements.filter((F.col("kind") == "tbl") | (F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "") != ""))
-    no = (F.row_number().over(Window.partitionBy("doc_id").orderBy("elem_idx")) - 1).cast("int")
+    """DOCX body elements to tree rows in pages of 35 top-level blocks: list paragraphs under a group, rows and cells under tables.
+
+    Neighbouring list paragraphs of one kind (numbered or not) are one group; empty paragraphs are left out before that.
+    Ids name the page of their top-level block; those of cells always name the first.
+    """
+    in_order = Window.partitionBy("doc_id").orderBy("elem_idx")
+    spaced = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     style = F.lower(F.coalesce("style_name", F.lit("")))
     level = F.regexp_extract(style, r"heading\s*(\d)", 1).try_cast("int")
-    kind = F.when(F.col("kind") == "tbl", "Table").when(level.isNotNull(), "SectionHeader").when(F.contains(style, F.lit("list")), "ListItem").when(F.contains(style, F.lit("code")), "Code").otherwise("Text")
-    e = e.withColumn("ordinal", no).withColumn("block_type", kind).withColumn("heading_level", level).withColumn("page_number", F.floor(F.col("ordinal") / tree.PER_PAGE).cast("int") + 1)
-    ident = F.concat(F.lit("page_"), (F.col("page_number") - 1).cast("string"), F.lit("/"), "block_type", F.lit("/"), F.col("ordinal").cast("string"))
-    top = e.select("doc_id", "page_number", F.array("ordinal").alias("path"), ident.alias("id"), "block_type", F.when(F.col("kind") == "tbl", "").otherwise(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("content"), "heading_level")
-    rows = e.filter("kind = 'tbl'").select("doc_id", "page_number", "ordinal", F.posexplode("cells").alias("r", "row"))
-    row_id = F.concat(F.lit("page_0/TableRow/"), F.col("ordinal").cast("string"), F.lit("_r"), F.col("r").cast("string"))
-    none = F.lit(None).cast("int").alias("heading_level")
-    below = rows.select("doc_id", "page_number", F.array("ordinal", "r").alias("path"), row_id.alias("id"), F.lit("Text").alias("block_type"), F.lit("").alias("content"), none)
+    listed_as = F.when((F.col("kind") == "p") & level.isNull() & F.contains(style, F.lit("list")), F.when(F.contains(style, F.lit("number")), "ordered").otherwise("unordered"))
+    kind = F.when(F.col("kind") == "tbl", "Table").when(level.isNotNull(), "SectionHeader").when(F.col("list_type").isNotNull(), "ListGroup").when(F.contains(style, F.lit("code")), "Code").otherwise("Text")
+    e = elements.filter((F.col("kind") == "tbl") | (F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "") != "")).withColumn("list_type", listed_as)
+    e = e.withColumn("_goes_on", F.coalesce(F.col("list_type") == F.lag("list_type").over(in_order), F.lit(False)))
+    e = e.withColumn("ordinal", (F.sum(F.when(F.col("_goes_on"), 0).otherwise(1)).over(in_order) - 1).cast("int"))
+    e = e.withColumns({"block_type": kind, "heading_level": level, "page_number": F.floor(F.col("ordinal") / tree.PER_PAGE).cast("int") + 1, "pos": (F.row_number().over(Window.partitionBy("doc_id", "ordinal").orderBy("elem_idx")) - 1).cast("int")})
+    number = lambda c: F.col(c).cast("string")
+    ident = lambda of, *parts: F.concat(F.lit("page_"), (F.col("page_number") - 1).cast("string"), F.lit(f"/{of}/") if isinstance(of, str) else F.concat(F.lit("/"), of, F.lit("/")), *parts)
+    none = F.lit(None)
+    columns = lambda path, own, block_type, content, heading=none, list_type=none, n_rows=none, n_cols=none: [
+        "doc_id", "page_number", path.alias("path"), own.alias("id"), block_type.alias("block_type"), content.alias("content"),
+        heading.cast("int").alias("heading_level"), list_type.cast("string").alias("list_type"), n_rows.cast("int").alias("row_count"), n_cols.cast("int").alias("column_count"),
+    ]
+    is_table = F.col("kind") == "tbl"
+    all_cells = spaced(F.array_join(F.flatten("cells"), " "))
+    content = F.when(is_table, all_cells).when(F.col("list_type").isNotNull(), "").otherwise(spaced(F.col("text")))
+    first_row = F.coalesce(F.size(F.get("cells", F.lit(0))), F.lit(0))
+    top = e.filter("pos = 0").select(*columns(F.array("ordinal"), ident(F.col("block_type"), number("ordinal")), F.col("block_type"), content, F.col("heading_level"), F.col("list_type"), F.when(is_table, F.size("cells")), F.when(is_table, first_row)))
+    items = e.filter("list_type IS NOT NULL").select(*columns(F.array("ordinal", "pos"), ident("ListItem", number("ordinal"), F.lit("_"), number("pos")), F.lit("ListItem"), spaced(F.col("text"))))
+    rows = e.filter(is_table).select("doc_id", "page_number", "ordinal", F.posexplode("cells").alias("r", "row"))
+    below = rows.select(*columns(F.array("ordinal", "r"), ident("TableRow", number("ordinal"), F.lit("_r"), number("r")), F.lit("Text"), F.lit("")))
     cells = rows.select("doc_id", "page_number", "ordinal", "r", F.posexplode("row").alias("c", "cell"))
-    cell_id = F.concat(F.lit("page_0/TableCell/"), F.col("ordinal").cast("string"), F.lit("_r"), F.col("r").cast("string"), F.lit("_c"), F.col("c").cast("string"))
-    cells = cells.select("doc_id", "page_number", F.array("ordinal", "r", "c").alias("path"), cell_id.alias("id"), F.lit("Text").alias("block_type"), F.col("cell").alias("content"), none)
-    return top.unionByName(below).unionByName(cells)
+    cell_id = F.concat(F.lit("page_0/TableCell/"), number("ordinal"), F.lit("_r"), number("r"), F.lit("_c"), number("c"))
+    cells = cells.select(*columns(F.array("ordinal", "r", "c"), cell_id, F.lit("Text"), spaced(F.col("cell"))))
+    return top.unionByName(items).unionByName(below).unionByName(cells)
 
 
 HTML_BLOCK = ("path", "id", "block_type", "content", "html", "heading_level", "list_type", "row_count", "column_count", "blockquote", "color", "bg_color", "font_family", "font_size")

@@ -173,6 +173,36 @@ def docx_batch_tags(spark: SparkSession, d: str) -> DataFrame:
     return m.select("doc_id", "elem_idx", "batch", "batch_idx", "block_type", "role", "reading_order", "rhetoric")
 
 
+def _stand_in(batch: list[dict]) -> list[dict]:
+    """A stand-in for a batch tagger: every third block, and no answer for batches of some sizes."""
+    if len(batch) % 7 == 3:
+        raise ValueError("no answer")
+    return [{"block_index": b["index"], "block_type": "caption" if len(b["text"]) == semantics.BATCH_CHARS else None, "role": "caption", "rhetoric": '{"tone":"legal"}'} | ({"reading_order": 7} if b["index"] % 5 == 0 else {}) for b in batch if b["index"] % 3 == 0]
+
+
+def docx_batch_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of DOCX paragraphs after a batch tagger that fails on some batches, which keep their types."""
+    p = docx_layout.classified(docx_layout.lay_out(A.doc_paras(spark, d))).withColumn("size", F.col("font_size"))
+    done, failed = semantics.refine_in_batches(p, _stand_in, ["elem_idx"])
+    m = done.join(failed, ["doc_id", "batch"], "left")
+    return m.select("doc_id", "elem_idx", "batch", "batch_idx", "block_type", "role", "reading_order", "rhetoric", "error")
+
+
+def docx_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of DOCX files: lists with items, tables with rows and cells, 35 top-level blocks a page."""
+    t = pipelines.docx_blocks(docx.read_paragraphs(docx.write_paragraphs(A.doc_elements(spark, d))))
+    return t.select("doc_id", "page_number", _text_path().alias("path"), "id", "block_type", "content", "heading_level", "list_type", "row_count", "column_count")
+
+
+def docx_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of DOCX tables in the document JSON, with their boxes on the page's grid."""
+    j = pipelines.docx_document(docx.read_paragraphs(docx.write_paragraphs(A.doc_elements(spark, d))))
+    tables = "tables array<struct<page int, rows int, cols int, bbox array<double>, cells array<struct<row int, col int, text string, bbox array<double>>>>>"
+    t = j.select("doc_id", F.posexplode(F.from_json("json", tables)["tables"]).alias("table_no", "t"))
+    c = t.select("doc_id", "table_no", "t.page", "t.rows", "t.cols", F.explode("t.cells").alias("c"))
+    return c.select("doc_id", "table_no", "page", "rows", "cols", "c.row", "c.col", "c.text", *_four("c.bbox", "x0", "y0", "x1", "y1"))
+
+
 def rhetoric_validate(spark: SparkSession, d: str) -> DataFrame:
     t = A.tags(spark, d).select("doc_id", "page_number", "tag_pos", semantics.parsed_rhetoric(F.col("rhetoric")).alias("r"), semantics.parsed_features(F.col("rhetoric_features")).alias("f"))
     return t.select("doc_id", "page_number", "tag_pos", F.col("r").isNotNull().alias("rhetoric_ok"), "r.tone", "r.voice", F.col("f").isNotNull().alias("features_ok"), "f.modal_density", "f.avg_sentence_length")
@@ -542,7 +572,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         chars_filtered, color_hex, words_gap_cluster, lines_anchor_cluster, blocks_merge, dominant_font, blocks_heuristic, block_type_heuristic, para_classify, style_distinct, table_cell_grid, blocks_not_in_tables, tag_index_join, tag_one_step, tag_all_ways, quarantined_tags, tag_fuzzy_match, fallback_cases,
-        docx_batch_tags, rhetoric_validate, rhetoric_features, docx_layout_cursor, docx_word_wrap, docx_paginate, docx_pages, bbox_normalize, tokens_explode, reading_graph, table_reading_order, doc_assemble, doc_tokens, doc_json_blocks, doc_json_parts, doc_assemble_tables, doc_assemble_counts, page_range_a, page_range_b,
+        docx_batch_tags, docx_batch_calls, docx_tree, docx_cells, rhetoric_validate, rhetoric_features, docx_layout_cursor, docx_word_wrap, docx_paginate, docx_pages, bbox_normalize, tokens_explode, reading_graph, table_reading_order, doc_assemble, doc_tokens, doc_json_blocks, doc_json_parts, doc_assemble_tables, doc_assemble_counts, page_range_a, page_range_b,
         html_clean_text, html_blocks, html_headings, html_chunks, html_chunk_fold, block_pages_35, type_counts, doc_metrics, flatten_tree, apply_edits, first_match_edit, title_edits, strip_html, empty_template, export_html, export_docx, docx_scan, docx_html, pdf_scan, marker_json_blocks,
         doc_title, format_dispatch, blocks_summary, pdf_overlay_plan, display_helpers, quarantine_pages, page_counts, conversation_graph, event_props, stream_documents, image_text, page_calls, edit_gate,
     )

@@ -91,6 +91,15 @@ def doc_paras(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def doc_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_paras with styles that change every third line, so that lists have items, and with cells: rows of one to three."""
+    p = doc_paras(spark, sf_dir).withColumn("k", F.col("doc_id") + F.floor(F.col("elem_idx") / 3))
+    style = pick(F.floor(F.col("k") / 3), "Normal", "List Bullet", "List Number", "Heading 2", "Normal", "Source Code", "List Bullet", "Title")
+    cell = lambda r, c: F.concat(F.lit("c"), (F.col("k") + r).cast("string"), F.lit(" ."), c.cast("string"))
+    row = lambda r: F.transform(F.sequence(F.lit(0), F.pmod(F.col("k") + r, F.lit(3)).cast("int")), lambda c: cell(r, c))
+    return p.withColumns({"style_name": style, "cells": F.when(F.col("kind") == "tbl", F.transform(F.sequence(F.lit(0), F.greatest("n_rows", F.lit(1)) - 1), row))}).drop("k")
+
+
 def para_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain blocks: 20 lines a page, one block a line."""
     lines = doc_lines(spark, sf_dir)

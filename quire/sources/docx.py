@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-EMU_PER_POINT = 12700.0
 
 _TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
 _RELS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
@@ -136,15 +135,17 @@ def as_html(elements: DataFrame) -> DataFrame:
 
 
 def write_paragraphs(paras: DataFrame) -> DataFrame:
-    """paras, as read_paragraphs gives them, to files (doc_id, content)."""
+    """paras, as read_paragraphs gives them, to files (doc_id, content). Tables without cells have rows of one empty cell."""
+    if "cells" not in paras.columns:
+        paras = paras.withColumn("cells", F.lit(None).cast("array<array<string>>"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for r in pdf.sort_values("elem_idx").itertuples():
-            parts.append(table([[""]] * int(r.n_rows)) if r.kind == "tbl" else paragraph(r.text or "", r.style_name or "", r.font_name or "", r.font_size, bool(r.bold), bool(r.italic)))
+            parts.append(table([[""]] * int(r.n_rows) if r.cells is None else r.cells) if r.kind == "tbl" else paragraph(r.text or "", r.style_name or "", r.font_name or "", r.font_size, bool(r.bold), bool(r.italic)))
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "content": [pack("".join(parts))]})
 
-    return paras.select("doc_id", "elem_idx", "kind", "style_name", "text", "font_name", "font_size", "bold", "italic", "n_rows").groupBy("doc_id").applyInPandas(one, "doc_id long, content binary")
+    return paras.select("doc_id", "elem_idx", "kind", "style_name", "text", "font_name", "font_size", "bold", "italic", "n_rows", "cells").groupBy("doc_id").applyInPandas(one, "doc_id long, content binary")
 
 
 def _tree_body(pdf: pd.DataFrame) -> str:
