@@ -47,8 +47,8 @@ def wrap_words(laid: DataFrame) -> DataFrame:
     """A row per word with its x span: a word starts at the left again after one that ended beyond the right.
 
     The place of a word depends on all before it since the last wrap: an ordered fold finds the wraps, whose number is
-    the number of text lines, and running sums place the words between them. Tenths of a point are counted as
-    integers of 1/1000, so the sums are exact.
+    the number of text lines, and a fold over each text line places its words. Nothing is moved or sorted. Points are
+    counted as integers of 1/1000, so the sums are exact.
     """
     words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
     paras = laid.filter("kind = 'p'").withColumn("_size", F.coalesce("font_size", F.lit(11.0))).withColumn("_words", words)
@@ -67,12 +67,13 @@ def wrap_words(laid: DataFrame) -> DataFrame:
     ends = F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_words")))
     rows = p.withColumn("_row", F.explode(F.arrays_zip(F.col("_at").alias("s"), ends.alias("e"))))
     rows = rows.withColumn("_part", F.slice("_words", F.col("_row")["s"] + 1, F.col("_row")["e"] - F.col("_row")["s"])).filter(F.size("_part") > 0)
-    out = rows.select("doc_id", "elem_idx", "_size", "x0", "x1", "y0", "y1", F.col("_row")["s"].alias("_s"), F.posexplode("_part").alias("_k", "text"))
-    before = Window.partitionBy("doc_id", "elem_idx", "_s").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    x = F.coalesce(F.sum(step_of(F.col("text"), F.col("_size"))).over(before), F.lit(0))
-    out = out.withColumn("_x", x).withColumn("_w", F.length("text") * unit(F.col("_size") * WORD))
-    left = F.col("x0") + F.col("_x") / 1000.0
-    return out.select("doc_id", "elem_idx", (F.col("_s") + F.col("_k")).alias("word_idx"), "text", F.round(left, 2).alias("wx0"), F.round(F.least(F.col("x0") + (F.col("_x") + F.col("_w")) / 1000.0, F.col("x1")), 2).alias("wx1"), F.col("y0").alias("wy0"), F.col("y1").alias("wy1"))
+    first = F.struct(F.lit(0).cast("bigint").alias("x"), F.array().cast("array<bigint>").alias("all"))
+    along = F.aggregate("_part", first, lambda a, w: F.struct((a["x"] + step_of(w, F.col("_size"))).alias("x"), F.concat(a["all"], F.array(a["x"])).alias("all")))["all"]
+    placed = F.arrays_zip(F.col("_part").alias("text"), along.alias("x"))
+    out = rows.select("doc_id", "elem_idx", "_size", "x0", "x1", "y0", "y1", F.col("_row")["s"].alias("_s"), F.posexplode(placed).alias("_k", "_w"))
+    wide = F.length("_w.text") * unit(F.col("_size") * WORD)
+    left, right = F.col("x0") + F.col("_w.x") / 1000.0, F.col("x0") + (F.col("_w.x") + wide) / 1000.0
+    return out.select("doc_id", "elem_idx", (F.col("_s") + F.col("_k")).alias("word_idx"), "_w.text", F.round(left, 2).alias("wx0"), F.round(F.least(right, F.col("x1")), 2).alias("wx1"), F.col("y0").alias("wy0"), F.col("y1").alias("wy1"))
 
 
 def paginate(rows: DataFrame, page_h: float = 792.0) -> DataFrame:

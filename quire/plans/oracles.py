@@ -315,6 +315,11 @@ ORACLES: dict[str, str] = {
  UNION ALL SELECT doc_id, p + 1, o || '.' || pos, 'page_' || p || '/ListItem/' || o || '_' || pos, 'ListItem', clean, NULL, NULL, NULL, NULL FROM el WHERE lt IS NOT NULL
  UNION ALL SELECT doc_id, p + 1, o || '.' || r, 'page_' || p || '/TableRow/' || o || '_r' || r, 'Text', '', NULL, NULL, NULL, NULL FROM er
  UNION ALL SELECT doc_id, p + 1, o || '.' || r || '.' || c, 'page_0/TableCell/' || o || '_r' || r || '_c' || c, 'Text', cell, NULL, NULL, NULL, NULL FROM ec""",
+    "docx_cells": f"""WITH {LAID}, p AS (SELECT doc_id, elem_idx, n_rows, doc_id + elem_idx // 3 AS k, floor(y0 / 792.0)::INT AS pg, y0, y1 FROM laid WHERE kind = 'tbl'),
+ t AS (SELECT doc_id, elem_idx, n_rows, pg + 1 AS page, (y0::DECIMAL(18, 2) - (pg * 792)::DECIMAL(18, 2))::DOUBLE AS y0, (y1::DECIMAL(18, 2) - (pg * 792)::DECIMAL(18, 2))::DOUBLE AS y1, list_transform(range(n_rows), lambda r: list_transform(range((k + r) % 3 + 1), lambda c: 'c' || (k + r)::VARCHAR || ' .' || c::VARCHAR)) AS cells FROM p),
+ u AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY page, elem_idx) - 1)::INT AS table_no, list_max(list_transform(cells, lambda x: len(x))) AS n_cols FROM t),
+ r AS (SELECT *, unnest(cells) AS rw, unnest(range(n_rows)) AS ri FROM u), c AS (SELECT *, unnest(rw) AS text, unnest(range(len(rw))) AS ci FROM r)
+ SELECT doc_id, table_no, page::INT AS page, n_rows::INT AS rows, n_cols::INT AS cols, ri::INT AS row, ci::INT AS col, text, round_even(72.0::DOUBLE + ci * (468.0::DOUBLE / n_cols), 2) AS x0, round_even(y0 + ri * ((y1 - y0) / n_rows), 2) AS y0, round_even(72.0::DOUBLE + (ci + 1) * (468.0::DOUBLE / n_cols), 2) AS x1, round_even(y0 + (ri + 1) * ((y1 - y0) / n_rows), 2) AS y1 FROM c""",
     "rhetoric_validate": f"""WITH {TAGS}, v AS (SELECT *, tone <> 'angry' AND voice <> 'loud' AS ok, density <> 'x' AS fok FROM tags)
  SELECT doc_id, page_number, tag_pos, ok AS rhetoric_ok, CASE WHEN ok THEN tone END AS tone, CASE WHEN ok THEN voice END AS voice, fok AS features_ok, CASE WHEN fok THEN density::DOUBLE END AS modal_density, CASE WHEN fok THEN sentence::DOUBLE END AS avg_sentence_length FROM v""",
     "rhetoric_features": _features(),
