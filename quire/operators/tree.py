@@ -114,11 +114,14 @@ def html_pieces(blocks: DataFrame) -> DataFrame:
     """doc_id, page_number, key, piece: the pieces of the exported body; order by page and key gives the page.
 
     A block opens at its path and closes after all paths below it. Lists and tables render their children themselves.
+    Windows over a page in the order of its paths tell a block's root and whether the next block is its child, so the
+    blocks are read once and dealt once. A page that shows nothing keeps a row without piece.
     """
-    kids = blocks.filter(F.size("path") > 1).select("doc_id", "page_number", F.slice("path", 1, F.size("path") - 1).alias("path")).distinct().withColumn("_kids", F.lit(True))
-    tops = blocks.select("doc_id", "page_number", F.slice("path", 1, 1).alias("_root"), F.when(F.size("path") == 1, F.col("block_type")).alias("_t")).filter("_t is not null").withColumnRenamed("_t", "_root_type")
-    b = blocks.join(kids, ["doc_id", "page_number", "path"], "left").withColumn("_kids", F.coalesce("_kids", F.lit(False))).withColumn("_root", F.slice("path", 1, 1))
-    b = b.join(tops, ["doc_id", "page_number", "_root"])
+    page = ["doc_id", "page_number"]
+    root = F.max(F.when(F.size("path") == 1, F.col("block_type"))).over(Window.partitionBy(*page, F.get("path", F.lit(0))))
+    after = F.lead("path").over(Window.partitionBy(*page).orderBy("path"))
+    b = blocks.withColumn("_after", after).withColumn("_root_type", root).filter("_root_type IS NOT NULL")
+    b = b.withColumn("_kids", F.coalesce(F.slice("_after", 1, F.size("path")) == F.col("path"), F.lit(False)))
     text = escaped(F.coalesce("content", F.lit("")))
     depth = F.size("path")
     level = F.greatest(F.lit(1), F.least(F.lit(6), F.when(F.coalesce("heading_level", F.lit(0)) != 0, F.col("heading_level")).otherwise(2))).cast("string")
@@ -148,14 +151,14 @@ def html_pieces(blocks: DataFrame) -> DataFrame:
     )
     closing = F.when(in_list | in_table_cell | below, F.lit(None)).when(in_table_row, F.lit("</tr>")).when(~shown, F.lit(None)).when(kind == "List", F.concat(F.lit("</"), list_tag, F.lit(">"))).when((kind == "Table") & F.col("_kids"), F.lit("</table>")).when(nest, F.lit("</div>"))
     events = F.array(F.struct(F.col("path").alias("key"), opening.alias("piece")), F.struct(F.concat("path", F.array(F.lit(LAST))).alias("key"), closing.alias("piece")))
-    return b.select("doc_id", "page_number", F.explode(events).alias("e")).select("doc_id", "page_number", "e.*").filter("piece is not null")
+    made = F.filter(events, lambda e: e["piece"].isNotNull())
+    return b.select("doc_id", "page_number", F.explode_outer(made).alias("e")).select("doc_id", "page_number", "e.*")
 
 
 def export_html(blocks: DataFrame, titles: DataFrame) -> DataFrame:
     """doc_id and the whole page as one text; titles (doc_id, title)."""
-    pieces = html_pieces(blocks)
-    pages = blocks.select("doc_id", "page_number").distinct()
-    body = pages.join(pieces, ["doc_id", "page_number"], "left").groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("key", "piece")))), lambda x: x["piece"]), "\n").alias("inner"))
+    piece = F.when(F.col("piece").isNotNull(), F.struct("key", "piece"))
+    body = html_pieces(blocks).groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["piece"]), "\n").alias("inner"))
     inner = F.when(F.col("inner") == "", F.lit("")).otherwise(F.concat(F.col("inner"), F.lit("\n")))
     page = F.concat(F.lit("<div class='page' id='page-"), F.col("page_number").cast("string"), F.lit("'>\n"), inner, F.lit("</div>"))
     docs = body.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", page.alias("h")))), lambda x: x["h"]), "\n" + PAGE_BREAK + "\n").alias("pages"))
