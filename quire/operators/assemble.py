@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.layout import cell_box, html_of, html_tag, normalized_box, strip, style_id, style_of
+from quire.functions.layout import cell_box, html_of, html_tag, normalized_box, safe_align, safe_weight, strip, style_id, style_of
 from quire.operators.semantics import parsed_features, parsed_rhetoric
 from quire.schema import SCHEMA_VERSION
 
@@ -113,7 +113,8 @@ def document_json(pages: DataFrame, blocks: DataFrame, edges: DataFrame, source:
     p = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "width", "height", F.lit(0).alias("rotation"), F.lit("pt").alias("unit")))).alias("pages"))
     block = F.struct("id", F.col("block_type").alias("type"), "role", F.col("page_number").alias("page"), "bbox", "bbox_norm", F.col("reading_order").cast("int").alias("reading_order"), F.lit(0).alias("z_index"), "text", "style_id", "html", "html_template", *optional)
     span = F.struct(F.concat(F.lit("s-"), "id").alias("id"), F.col("id").alias("block_id"), "text", "bbox", "bbox_norm", "style_id")
-    kept = ["page_number", "is_table", F.coalesce("reading_order", F.lit(0)).alias("order"), "block_idx", block.alias("b"), F.when(is_text, span).alias("s"), F.when(is_text, F.struct("style_id", "_style")).alias("y")]
+    legal = F.col("_style").withField("weight", safe_weight(F.col("_style.weight"))).withField("align", safe_align(F.col("_style.align")))
+    kept = ["page_number", "is_table", F.coalesce("reading_order", F.lit(0)).alias("order"), "block_idx", block.alias("b"), F.when(is_text, span).alias("s"), F.when(is_text, F.struct("style_id", legal.alias("_style"))).alias("y")]
     has_tokens = "tokens" in blocks.columns
     if has_tokens:
         kept.append(F.when(is_text, F.col("tokens")).alias("k"))

@@ -58,10 +58,6 @@ def type_counts(blocks: DataFrame) -> DataFrame:
     return blocks.filter(F.size("path") == 1).groupBy("doc_id", "block_type").agg(F.count("*").alias("n"))
 
 
-def type_count_maps(blocks: DataFrame) -> DataFrame:
-    return type_counts(blocks).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("block_type", "n")))).alias("block_type_counts"))
-
-
 def metrics(blocks: DataFrame) -> DataFrame:
     """Pages, top-level blocks, editable fields and block types of each document."""
     top = F.size("path") == 1

@@ -370,7 +370,10 @@ FROM pages""",
     "quarantine_pages": "WITH a AS (SELECT o_orderkey, concat_ws(',', CASE WHEN o_custkey % 7 - 1 < 1 THEN 'page_number' END, CASE WHEN NOT coalesce(o_totalprice - 1000 > 0, false) THEN 'width' END, CASE WHEN o_orderkey % 3 = 0 THEN 'height' END) AS problems FROM orders) SELECT * FROM a WHERE problems <> ''",
     "page_counts": f"WITH {CHARS}, n AS (SELECT doc_id, count(DISTINCT page_number) AS n FROM chars GROUP BY ALL) SELECT doc_id, greatest(coalesce(n, 0), 1) AS n_pages FROM documents LEFT JOIN n USING (doc_id)",
     "conversation_graph": "SELECT conv_id, f AS from_turn, turn AS to_turn, 'next' AS relation FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS f FROM conversations) WHERE f IS NOT NULL",
-    "event_props": "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events",
+    "event_props": """WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events), v AS (SELECT event_id, k, json_extract_string(props, '$."' || k || '"') AS v FROM k),
+ g AS (SELECT event_id, string_agg(k, ',' ORDER BY k) AS keys, string_agg(k || '=' || v, ',' ORDER BY k) AS entries, '{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}' AS json FROM v GROUP BY event_id)
+ SELECT event_id, keys, entries, json FROM events LEFT JOIN g USING (event_id)""",
+    "stream_pages": "SELECT doc_id, ceil(len(string_split(text, chr(10))) / 20)::INT AS n_pages, md5(text) AS text_md5 FROM documents",
     "stream_documents": f"WITH f AS ({_features()}) SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_lines, avg_sentence_length FROM documents JOIN f USING (doc_id)",
 }
 

@@ -13,7 +13,8 @@ from quire.operators import assemble, docx_layout, gate, geometry, semantics, tr
 from quire.plans import pipelines
 from quire.sources import adapters as A
 from quire.sources import docx, html, marker, scans
-from quire.streaming import arrivals
+from quire.staging import scratch_path
+from quire.streaming import arrivals, pages
 
 PAGE_BOX = (0.0, 0.0, A.PAGE_W, A.PAGE_H)
 
@@ -557,10 +558,11 @@ def conversation_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_props(spark: SparkSession, d: str) -> DataFrame:
-    """JSON properties of events, decoded and encoded again; broken ones give no keys."""
-    e = A.read(spark, d, "events")
-    m = F.from_json("props", "map<string,string>")
-    return e.select("event_id", F.array_join(F.array_sort(F.map_keys(m)), ",").alias("keys"))
+    """JSON properties of events, decoded, and encoded again with their keys in order; broken ones give no keys."""
+    e = A.read(spark, d, "events").withColumn("_m", F.from_json("props", "map<string,string>"))
+    entries = F.array_sort(F.map_entries("_m"))
+    joined = F.array_join(F.transform(entries, lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return e.select("event_id", F.array_join(F.array_sort(F.map_keys("_m")), ",").alias("keys"), joined.alias("entries"), F.to_json(F.map_from_entries(entries)).alias("json"))
 
 
 def stream_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -568,12 +570,26 @@ def stream_documents(spark: SparkSession, d: str) -> DataFrame:
     return arrivals.replay(spark, f"{d}/documents.parquet")
 
 
+def stream_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of 20 lines that arrive in mixed order as a stream, put together to documents."""
+    lines = A.doc_lines(spark, d).withColumn("page_number", (F.floor(F.col("line_no") / 20) + 1).cast("int"))
+    page = lines.groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    total = A.read(spark, d, "documents").select("doc_id", F.ceil(F.size(F.split("text", "\n")) / 20).cast("int").alias("total"))
+    out = scratch_path(spark, "pages")
+    mixed = page.join(total, "doc_id").withColumn("arrived_at", F.timestamp_seconds(1704067200 + F.pmod(F.xxhash64("doc_id", "page_number"), F.lit(600))))
+    mixed.select("doc_id", "page_number", "total", "content", "arrived_at").repartition(8, "page_number", "doc_id").write.parquet(f"{out}/in")
+    stream = spark.readStream.schema(pages.ARRIVAL).option("maxFilesPerTrigger", 3).parquet(f"{out}/in")
+    pages.collect_pages(stream, out, f"{out}/checkpoint").awaitTermination()
+    done = pages.read_gathered(spark, out)
+    return done.select("doc_id", "n_pages", F.md5(F.array_join("pages", "\n")).alias("text_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         chars_filtered, color_hex, words_gap_cluster, lines_anchor_cluster, blocks_merge, dominant_font, blocks_heuristic, block_type_heuristic, para_classify, style_distinct, table_cell_grid, blocks_not_in_tables, tag_index_join, tag_one_step, tag_all_ways, quarantined_tags, tag_fuzzy_match, fallback_cases,
         docx_batch_tags, docx_batch_calls, docx_tree, docx_cells, rhetoric_validate, rhetoric_features, docx_layout_cursor, docx_word_wrap, docx_paginate, docx_pages, bbox_normalize, tokens_explode, reading_graph, table_reading_order, doc_assemble, doc_tokens, doc_json_blocks, doc_json_parts, doc_assemble_tables, doc_assemble_counts, page_range_a, page_range_b,
         html_clean_text, html_blocks, html_headings, html_chunks, html_chunk_fold, block_pages_35, type_counts, doc_metrics, flatten_tree, apply_edits, first_match_edit, title_edits, strip_html, empty_template, export_html, export_docx, docx_scan, docx_html, pdf_scan, marker_json_blocks,
-        doc_title, format_dispatch, blocks_summary, pdf_overlay_plan, display_helpers, quarantine_pages, page_counts, conversation_graph, event_props, stream_documents, image_text, page_calls, edit_gate,
+        doc_title, format_dispatch, blocks_summary, pdf_overlay_plan, display_helpers, quarantine_pages, page_counts, conversation_graph, event_props, stream_documents, stream_pages, image_text, page_calls, edit_gate,
     )
 }

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.layout import color_hex, stable_id
 from quire.sources import pdf
+from quire.streaming.progress import Progress
 
 BOX = "x0 double, y0 double, x1 double, y1 double"
 PAGES = f"doc_id long, page_number int, width double, height double, chars array<struct<text string, {BOX}, fontname string, size double, color array<double>>>, tables array<struct<{BOX}, cells array<array<string>>>>, error string"
@@ -105,21 +106,21 @@ def page_images(units: DataFrame, render: Renderer | None = None, dpi: int = 200
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for unit in it:
             found = []
-            for doc_id, page, reader, content in zip(unit["doc_id"], unit["page_number"], unit["reader"], unit["content"]):
+            for doc_id, page, content in zip(unit["doc_id"], unit["page_number"], unit["content"]):
                 image, error = None, None
                 try:
-                    if reader == "image":
-                        image = bytes(content)
-                    elif render is None:
+                    if render is None:
                         raise ValueError("no renderer")
-                    else:
-                        image = render(bytes(content), int(page), dpi)
+                    image = render(bytes(content), int(page), dpi)
                 except Exception as e:  # noqa: BLE001  foreign code
                     error = str(e)
                 found.append((doc_id, page, image, error))
             yield pd.DataFrame(found, columns=["doc_id", "page_number", "image", "error"])
 
-    return units.select("doc_id", "page_number", "reader", "content").mapInPandas(rows, "doc_id long, page_number int, image binary, error string")
+    is_image = F.coalesce(F.col("reader") == "image", F.lit(False))
+    own = units.filter(is_image).select("doc_id", "page_number", F.col("content").alias("image"), F.lit(None).cast("string").alias("error"))
+    others = units.filter(~is_image).select("doc_id", "page_number", "content")
+    return own.unionByName(others.mapInPandas(rows, "doc_id long, page_number int, image binary, error string"))
 
 
 def image_text(image: Column) -> Column:
@@ -141,12 +142,13 @@ def engine(*choices: tuple[str, Extractor | None]) -> tuple[str, Extractor]:
     raise ValueError("none of " + ", ".join(n for n, _ in choices) + " is set up")
 
 
-def extract(units: DataFrame, extractor: Extractor, kind: str = "page") -> DataFrame:
+def extract(units: DataFrame, extractor: Extractor, kind: str = "page", progress: Progress | None = None) -> DataFrame:
     """units (doc_id, page_number, payload) to block rows by one call each, CALLS at a time in a worker.
 
     The extractor gets payload and page number and gives blocks (id, block_type, content); the page number stays the
-    unit's. A failed call gives one block of type Error with the message.
+    unit's. A failed call gives one block of type Error with the message. progress counts pages done and failed.
     """
+    done, failed = (progress.done, progress.failed) if progress else (None, None)
 
     def call(unit: tuple) -> list[tuple]:
         doc_id, page, payload = unit
@@ -158,8 +160,11 @@ def extract(units: DataFrame, extractor: Extractor, kind: str = "page") -> DataF
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(CALLS) as pool:
             for pdf_ in it:
-                done = pool.map(call, zip(pdf_["doc_id"], pdf_["page_number"], pdf_["payload"]))
-                yield pd.DataFrame([r for rs in done for r in rs], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+                found = list(pool.map(call, zip(pdf_["doc_id"], pdf_["page_number"], pdf_["payload"])))
+                if done is not None:
+                    done.add(len(found))
+                    failed.add(sum(len(rs) == 1 and rs[0][4] == "Error" for rs in found))
+                yield pd.DataFrame([r for rs in found for r in rs], columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
     return units.select("doc_id", "page_number", "payload").mapInPandas(rows, BLOCKS)
 

@@ -31,11 +31,6 @@ def each_batch(stream: DataFrame, pipeline: Callable[[DataFrame], DataFrame], si
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: sink(pipeline(df), n)).start()
 
 
-def event_windows(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Counts per event type and window; rows later than the watermark are dropped, so state stays bounded."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-
-
 def per_document(docs: DataFrame) -> DataFrame:
     """The streaming job's row of a document; the same expression serves batch and stream."""
     return docs.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"), measured_features(F.col("text"))["avg_sentence_length"].alias("avg_sentence_length"))
