@@ -310,6 +310,18 @@ ORACLES: dict[str, str] = {
  SELECT doc_id, elem_idx, gi // 50 AS batch, gi % 50 AS batch_idx, CASE WHEN gi % 3 = 0 AND gi % 2 = 0 THEN 'caption' ELSE block_type END AS block_type, CASE WHEN gi % 3 = 0 THEN 'caption' ELSE role END AS role, CASE WHEN gi % 3 = 0 AND gi % 5 = 0 THEN 7 ELSE reading_order END::INT AS reading_order, CASE WHEN gi % 3 = 0 THEN '{{"tone":"legal"}}' END AS rhetoric FROM g""",
     "docx_batch_calls": f"""WITH {CLASSIFIED}, g AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY elem_idx) - 1)::INT AS gi FROM cl), b AS (SELECT *, gi // 50 AS batch, gi % 50 AS bi FROM g), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, batch) % 7 = 3 AS fails FROM b), h AS (SELECT *, NOT fails AND bi % 3 = 0 AS hit FROM n)
  SELECT doc_id, elem_idx, batch::INT AS batch, bi::INT AS batch_idx, CASE WHEN hit AND length(text) >= 80 THEN 'caption' ELSE block_type END AS block_type, CASE WHEN hit THEN 'caption' ELSE role END AS role, (CASE WHEN hit AND bi % 5 = 0 THEN 7 ELSE reading_order END)::INT AS reading_order, CASE WHEN hit THEN '{{"tone":"legal"}}' END AS rhetoric, CASE WHEN fails THEN 'no answer' END AS error FROM h""",
+    "export_docx": f"""WITH {TREE}, x AS (SELECT tree.*, r0.bt AS root, max(tree.page_number) OVER (PARTITION BY tree.doc_id) AS pages FROM tree JOIN r0 ON tree.doc_id = r0.doc_id AND tree.path[1] = r0.line_no),
+ cells AS (SELECT doc_id, path[1] AS a, path[2] AS b, list(trim(content) ORDER BY path[3]) AS row, count(*) AS n FROM x WHERE len(path) = 3 GROUP BY ALL),
+ cut AS (SELECT c.doc_id, c.a, c.b, f.n AS cols, list_slice(c.row, 1, f.n) AS have FROM cells c JOIN cells f ON c.doc_id = f.doc_id AND c.a = f.a AND f.b = 0),
+ grid AS (SELECT doc_id, a, max(cols) AS n_cols, count(*) AS n_rows, string_agg(array_to_string(have, chr(31)) || repeat(chr(31), (cols - len(have))::INT), chr(30) ORDER BY b) AS cells FROM cut GROUP BY ALL),
+ e AS (
+  SELECT doc_id, page_number, path AS key, 'p' AS kind, CASE WHEN len(path) = 2 AND root = 'List' THEN (SELECT CASE WHEN t.list_type = 'ordered' THEN 'ListNumber' ELSE 'ListBullet' END FROM x t WHERE t.doc_id = x.doc_id AND t.path = [x.path[1]])
+   WHEN block_type = 'SectionHeader' THEN 'Heading' || CASE WHEN heading_level = 0 THEN 1 ELSE heading_level END WHEN block_type = 'Code' THEN 'MacroText' WHEN block_type = 'Text' AND blockquote THEN 'Quote' ELSE '' END AS style_name,
+   CASE WHEN block_type = 'Equation' THEN '[Equation] ' ELSE '' END || content AS text, 0 AS n_rows, 0 AS n_cols, '' AS cells
+  FROM x WHERE block_type IN ('SectionHeader', 'ListItem') OR (block_type IN ('Text', 'Code', 'Equation') AND root <> 'Table' AND content <> '')
+  UNION ALL SELECT x.doc_id, page_number, path, 'tbl', '', '', n_rows, n_cols, grid.cells FROM x JOIN grid ON x.doc_id = grid.doc_id AND path[1] = a WHERE block_type = 'Table'
+  UNION ALL SELECT DISTINCT doc_id, page_number, [2147483647], 'p', '', '', 0, 0, '' FROM x WHERE page_number < pages)
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page_number, key) - 1)::INT AS elem_idx, kind, style_name, text, n_rows::INT AS n_rows, n_cols::INT AS n_cols, cells FROM e""",
     "docx_tree": f"""WITH {ELEMENTS}
  SELECT doc_id, (p + 1)::INT AS page_number, o::VARCHAR AS path, 'page_' || p || '/' || bt || '/' || o AS id, bt AS block_type, CASE WHEN kind = 'tbl' THEN array_to_string(flatten(cells), ' ') WHEN lt IS NOT NULL THEN '' ELSE clean END AS content, CASE WHEN bt = 'SectionHeader' THEN 2 END AS heading_level, lt AS list_type, CASE WHEN kind = 'tbl' THEN len(cells)::INT END AS row_count, CASE WHEN kind = 'tbl' THEN len(cells[1])::INT END AS column_count FROM el WHERE pos = 0
  UNION ALL SELECT doc_id, p + 1, o || '.' || pos, 'page_' || p || '/ListItem/' || o || '_' || pos, 'ListItem', clean, NULL, NULL, NULL, NULL FROM el WHERE lt IS NOT NULL
@@ -392,7 +404,7 @@ h2 AS (SELECT *, CASE WHEN kind = 'tbl' THEN 'table' WHEN regexp_matches(st, 'he
 h3 AS (SELECT *, CASE WHEN bold THEN '<strong>' || i || '</strong>' ELSE i END AS b, lag(tag) OVER w AS before, lead(tag) OVER w AS after FROM h2 WINDOW w AS (PARTITION BY doc_id ORDER BY no))
 SELECT doc_id, string_agg(CASE WHEN tag = 'table' THEN '<table>' || repeat('<tr><td><p></p></td></tr>', n_rows) || '</table>' ELSE CASE WHEN tag = 'li' AND before IS DISTINCT FROM 'li' THEN '<ul>' ELSE '' END || '<' || tag || '>' || b || '</' || tag || '>' || CASE WHEN tag = 'li' AND after IS DISTINCT FROM 'li' THEN '</ul>' ELSE '' END END, '' ORDER BY no) AS html FROM h3 GROUP BY doc_id"""
 
-ORACLES["pdf_scan"] = f"""WITH {LINES}, p1 AS (SELECT doc_id, line_no, regexp_replace(line, '[^ -~]', '?', 'g') AS line FROM lines), p2 AS (SELECT doc_id, line_no, line, unnest(range(greatest(ceil(length(line) / 90.0)::INT, 1))) AS part FROM p1),
+ORACLES["pdf_scan"] = f"""WITH {LINES}, p1 AS (SELECT doc_id, line_no, regexp_replace(line, '[^ -~¡-ÿ]', '?', 'g') AS line FROM lines), p2 AS (SELECT doc_id, line_no, line, unnest(range(greatest(ceil(length(line) / 90.0)::INT, 1))) AS part FROM p1),
 p3 AS (SELECT doc_id, substr(line, part::INT * 90 + 1, 90) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part) - 1 AS r FROM p2),
 p4 AS (SELECT *, 792 - (r % 50 * 14 + 50) AS base FROM p3)
 SELECT doc_id, (r // 50 + 1)::INT AS page_number, sum(length(text))::INT AS n_chars, md5(string_agg(text, '' ORDER BY r)) AS text_md5, round_even(max(CASE WHEN text <> '' THEN 36 + 6.0::DOUBLE * length(text) END), 2) AS x1,

@@ -433,10 +433,10 @@ def export_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def export_docx(spark: SparkSession, d: str) -> DataFrame:
-    """Each tree as a DOCX file, read back: paragraphs, tables and characters."""
-    files = docx.export(A.tree_blocks(spark, d))
-    back = docx.read_paragraphs(files.select(F.col("doc_id"), F.col("content")))
-    return back.groupBy("doc_id").agg(F.count_if(F.col("kind") == "p").alias("n_paragraphs"), F.count_if(F.col("kind") == "tbl").alias("n_tables"), F.sum(F.length("text")).alias("n_chars"))
+    """Each tree as a DOCX file, read back: every paragraph and table with its style, text and cells."""
+    back = docx.read_paragraphs(docx.export(A.tree_blocks(spark, d)))
+    rows = F.transform("cells", lambda r: F.array_join(r, "\x1f"))
+    return back.select("doc_id", "elem_idx", "kind", "style_name", "text", "n_rows", "n_cols", F.array_join(rows, "\x1e").alias("cells"))
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
@@ -454,8 +454,11 @@ def docx_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pdf_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written as PDF, 90 characters a row and 50 rows a page, and scanned again: characters and extent of each page."""
-    lines = A.doc_lines(spark, d).select("doc_id", "line_no", F.regexp_replace("line", r"[^ -~]", "?").alias("line"))
+    """Documents written as PDF, 90 characters a row and 50 rows a page, and scanned again: characters and extent of each page.
+
+    What the writer's one-byte encoding lacks is a question mark; letters with accents are kept.
+    """
+    lines = A.doc_lines(spark, d).select("doc_id", "line_no", F.regexp_replace("line", r"[^ -~¡-ÿ]", "?").alias("line"))
     rows = lines.select("doc_id", "line_no", F.posexplode(F.when(F.col("line") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("line", F.lit(".{1,90}"), F.lit(0)))).alias("part", "text"))
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "part")) - 1
     laid = rows.withColumn("r", at).select("doc_id", (F.floor(F.col("r") / 50) + 1).cast("int").alias("page_number"), F.lit(36.0).alias("x"), (F.pmod("r", F.lit(50)) * 14 + 50).cast("double").alias("y"), "text", F.lit(10.0).alias("size"))
