@@ -5,6 +5,8 @@ The path is the ordinals from the root to a block; ordering by path is depth-fir
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,9 +170,23 @@ def overlay_plan(blocks: DataFrame) -> DataFrame:
     return blocks.filter((F.size("bbox") == 4) & (F.coalesce("content", F.lit("")) != "")).select("doc_id", (F.col("page_number") - 1).alias("page_index"), "path", F.col("bbox").alias("rect"), F.col("content").alias("text"), F.lit("Helvetica").alias("font"), F.lit(11).alias("font_size"))
 
 
+# Markup of the editor's parts, and what stands between the levels of a hierarchy.
+BADGE = '<span class="block-badge" style="background: {colour}15; color: {colour}; border: 1px solid {colour}30;"><span class="block-badge-dot" style="background: {colour};"></span>{name}</span>'
+CHIP = '<span class="property-chip">🏷 {key}: {value}</span>'
+CARD = '<div class="metric-card"><div class="metric-value" style="color: {colour};">{value}</div><div class="metric-label">{label}</div></div>'
+LEVELS = " → "
+#: Characters of a block's preview beside a page image, and in a list without images.
+PREVIEW, LONG_PREVIEW = 50, 120
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with columns in place of its {names}."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+
+
 def badge(block_type: Column) -> Column:
-    c = lookup(block_type, COLORS, DEFAULT_COLOR)
-    return F.concat(F.lit('<span class="block-badge" style="background: '), c, F.lit("15; color: "), c, F.lit("; border: 1px solid "), c, F.lit('30;"><span class="block-badge-dot" style="background: '), c, F.lit(';"></span>'), block_type, F.lit("</span>"))
+    return filled(BADGE, colour=lookup(block_type, COLORS, DEFAULT_COLOR), name=block_type)
 
 
 def icon(block_type: Column) -> Column:
@@ -180,11 +196,21 @@ def icon(block_type: Column) -> Column:
 def property_chips(properties: Column) -> Column:
     """properties: map of strings; image keys are hidden."""
     shown = F.map_filter(properties, lambda k, v: ~k.isin("has_images", "image_keys"))
-    return F.array_join(F.transform(F.array_sort(F.map_entries(shown)), lambda e: F.concat(F.lit('<span class="property-chip">🏷 '), e["key"], F.lit(": "), e["value"], F.lit("</span>"))), " ")
+    return F.array_join(F.transform(F.array_sort(F.map_entries(shown)), lambda e: filled(CHIP, key=e["key"], value=e["value"])), " ")
 
 
 def metric_card(value: Column, label: str, color: str = "#A29BFE") -> Column:
-    return F.concat(F.lit(f'<div class="metric-card"><div class="metric-value" style="color: {color};">'), value.cast("string"), F.lit(f'</div><div class="metric-label">{label}</div></div>'))
+    return filled(CARD, colour=F.lit(color), value=value.cast("string"), label=F.lit(label))
+
+
+def hierarchy(levels: Column) -> Column:
+    """The section hierarchy, a map of levels to titles, as one line; null without one."""
+    return F.when(F.size(levels) > 0, F.array_join(F.map_values(levels), LEVELS))
+
+
+def box_text(bbox: Column) -> Column:
+    """The four sides of a box to one decimal; null without a box."""
+    return F.when(F.size(bbox) > 0, F.array_join(F.transform(F.slice(bbox, 1, 4), lambda v: F.bround(v, 1).cast("string")), ", "))
 
 
 def field_height(content: Column) -> Column:

@@ -379,6 +379,10 @@ FROM pages""",
     "blocks_summary": f"WITH {PARA_BLOCKS} SELECT doc_id, page_number, (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY block_idx) - 1)::INT AS \"index\", CASE WHEN length(text) > 120 THEN left(text, 120) || '...' ELSE text END AS text, 'Arial' AS font, 11.0::DOUBLE AS size FROM pb",
     "pdf_overlay_plan": f"WITH {TREE} SELECT doc_id, page_number - 1 AS page_index, {PATH}, by0 AS y0, content AS text, 'Helvetica' AS font, 11 AS font_size FROM tree WHERE by0 IS NOT NULL AND content <> ''",
     "display_helpers": _display(),
+    "editor_view": f"""WITH {TREE}, a AS (SELECT * FROM tree WHERE len(path) = 1)
+ SELECT doc_id, id, CASE WHEN length(content) > 50 THEN left(content, 50) || '...' ELSE content END AS preview, CASE WHEN length(content) > 120 THEN left(content, 120) || '...' ELSE content END AS long_preview,
+ CASE WHEN by0 IS NOT NULL THEN '72.0, ' || round_even(by0, 1)::VARCHAR || ', 540.0, ' || round_even(by0 + 12, 1)::VARCHAR END AS box, block_type || CASE WHEN heading_level > 4 THEN ' → ' || id ELSE '' END AS hierarchy,
+ '<div class="metric-card"><div class="metric-value" style="color: #A29BFE;">' || length(content)::VARCHAR || '</div><div class="metric-label">Characters</div></div>' AS card FROM a""",
     "quarantine_pages": "WITH a AS (SELECT o_orderkey, concat_ws(',', CASE WHEN o_custkey % 7 - 1 < 1 THEN 'page_number' END, CASE WHEN NOT coalesce(o_totalprice - 1000 > 0, false) THEN 'width' END, CASE WHEN o_orderkey % 3 = 0 THEN 'height' END) AS problems FROM orders) SELECT * FROM a WHERE problems <> ''",
     "page_counts": f"WITH {CHARS}, n AS (SELECT doc_id, count(DISTINCT page_number) AS n FROM chars GROUP BY ALL) SELECT doc_id, greatest(coalesce(n, 0), 1) AS n_pages FROM documents LEFT JOIN n USING (doc_id)",
     "conversation_graph": "SELECT conv_id, f AS from_turn, turn AS to_turn, 'next' AS relation FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS f FROM conversations) WHERE f IS NOT NULL",

@@ -538,6 +538,21 @@ def display_helpers(spark: SparkSession, d: str) -> DataFrame:
     return b.select("doc_id", "id", tree.badge(F.col("block_type")).alias("badge"), tree.icon(F.col("block_type")).alias("icon"), tree.property_chips(props).alias("chips"), tree.field_height(F.col("content")).alias("height"))
 
 
+def editor_view(spark: SparkSession, d: str) -> DataFrame:
+    """Previews, boxes, section hierarchy and a metric of the top-level blocks, as an editor shows them."""
+    b = A.tree_blocks(spark, d).filter(F.size("path") == 1)
+    levels = F.map_filter(F.create_map(F.lit("1"), F.col("block_type"), F.lit("2"), F.when(F.col("heading_level") > 4, F.col("id"))), lambda k, v: v.isNotNull())
+    return b.select(
+        "doc_id",
+        "id",
+        L.truncated(F.col("content"), tree.PREVIEW).alias("preview"),
+        L.truncated(F.col("content"), tree.LONG_PREVIEW).alias("long_preview"),
+        tree.box_text(F.col("bbox")).alias("box"),
+        tree.hierarchy(levels).alias("hierarchy"),
+        tree.metric_card(F.length("content"), "Characters").alias("card"),
+    )
+
+
 def quarantine_pages(spark: SparkSession, d: str) -> DataFrame:
     """Page rows made from orders that fail the page checks, with the failed checks."""
     from quire.schema import page_problems, quarantine
@@ -593,6 +608,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chars_filtered, color_hex, words_gap_cluster, lines_anchor_cluster, blocks_merge, dominant_font, blocks_heuristic, block_type_heuristic, para_classify, style_distinct, table_cell_grid, blocks_not_in_tables, tag_index_join, tag_one_step, tag_all_ways, quarantined_tags, tag_fuzzy_match, fallback_cases,
         docx_batch_tags, docx_batch_calls, docx_tree, docx_cells, rhetoric_validate, rhetoric_features, docx_layout_cursor, docx_word_wrap, docx_paginate, docx_pages, bbox_normalize, tokens_explode, reading_graph, table_reading_order, doc_assemble, doc_tokens, doc_json_blocks, doc_json_parts, doc_assemble_tables, doc_assemble_counts, page_range_a, page_range_b,
         html_clean_text, html_blocks, html_headings, html_chunks, html_chunk_fold, block_pages_35, type_counts, doc_metrics, flatten_tree, apply_edits, first_match_edit, title_edits, strip_html, empty_template, export_html, export_docx, docx_scan, docx_html, pdf_scan, marker_json_blocks,
-        doc_title, format_dispatch, blocks_summary, pdf_overlay_plan, display_helpers, quarantine_pages, page_counts, conversation_graph, event_props, stream_documents, stream_pages, image_text, page_calls, edit_gate,
+        doc_title, format_dispatch, blocks_summary, pdf_overlay_plan, display_helpers, editor_view, quarantine_pages, page_counts, conversation_graph, event_props, stream_documents, stream_pages, image_text, page_calls, edit_gate,
     )
 }
