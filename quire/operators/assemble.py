@@ -36,14 +36,17 @@ def spans(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", F.concat(F.lit("s-"), "id").alias("id"), F.col("id").alias("block_id"), "text", "bbox", "bbox_norm", "style_id")
 
 
-def with_tokens(blocks: DataFrame) -> DataFrame:
-    """blocks (boxed, with words) with tokens: their words with boxes and the keys of their block and span."""
-
+def _tokens_of(words: Column, block_id: Column, width: Column, height: Column) -> Column:
     def token(w: Column) -> Column:
         box = tuple(w[c] for c in ("x0", "y0", "x1", "y1"))
-        return F.struct(w["text"].alias("text"), F.array(*box).alias("bbox"), normalized_box(box, F.col("width"), F.col("height")).alias("bbox_norm"), F.col("id").alias("block_id"), F.concat(F.lit("s-"), F.col("id")).alias("span_id"))
+        return F.struct(w["text"].alias("text"), F.array(*box).alias("bbox"), normalized_box(box, width, height).alias("bbox_norm"), block_id.alias("block_id"), F.concat(F.lit("s-"), block_id).alias("span_id"))
+
+    return F.transform(words, token)
 
-    return blocks.withColumn("tokens", F.transform("words", token))
+
+def with_tokens(blocks: DataFrame) -> DataFrame:
+    """blocks (boxed, with words) with tokens: their words with boxes and the keys of their block and span."""
+    return blocks.withColumn("tokens", _tokens_of(F.col("words"), F.col("id"), F.col("width"), F.col("height")))
 
 
 def tokens(blocks: DataFrame) -> DataFrame:
@@ -101,7 +104,7 @@ def table_blocks(tables: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def document_json(pages: DataFrame, blocks: DataFrame, edges: DataFrame, source: str, pretty: bool = False, tables: DataFrame | None = None) -> DataFrame:
-    """doc_id and the document as JSON: pages, blocks, styles, spans, tokens (if blocks have them), tables, reading graph; empty parts are left out.
+    """doc_id and the document as JSON: pages, blocks, styles, spans, tokens (if blocks have them, or words to make them of), tables, reading graph; empty parts are left out.
 
     Tables (see table_blocks) are blocks too, after the text of their page; their reading order is their place.
     """
@@ -116,8 +119,11 @@ def document_json(pages: DataFrame, blocks: DataFrame, edges: DataFrame, source:
     legal = F.col("_style").withField("weight", safe_weight(F.col("_style.weight"))).withField("align", safe_align(F.col("_style.align")))
     kept = ["page_number", "is_table", F.coalesce("reading_order", F.lit(0)).alias("order"), "block_idx", block.alias("b"), F.when(is_text, span).alias("s"), F.when(is_text, F.struct("style_id", legal.alias("_style"))).alias("y")]
     has_tokens = "tokens" in blocks.columns
+    has_words = "words" in blocks.columns and not has_tokens
     if has_tokens:
         kept.append(F.when(is_text, F.col("tokens")).alias("k"))
+    elif has_words:  # a token is several times its word: words are moved, and tokens made where the document is
+        kept.append(F.when(is_text, F.struct("words", "width", "height")).alias("w"))
     b = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*kept, *(["table"] if tables is not None else [])))).alias("rows"))
     e = edges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("from", "to", "relation"))).alias("reading_graph"))
     j = p.join(b, "doc_id", "left").join(e, "doc_id", "left")
@@ -130,6 +136,7 @@ def document_json(pages: DataFrame, blocks: DataFrame, edges: DataFrame, source:
         F.coalesce(placed, F.array()).alias("blocks"),
         some(part("s")).alias("spans"),
         *([some(F.flatten(part("k"))).alias("tokens")] if has_tokens else []),
+        *([some(F.flatten(F.filter(F.transform("rows", lambda r: _tokens_of(r["w"]["words"], r["b"]["id"], r["w"]["width"], r["w"]["height"])), lambda x: x.isNotNull()))).alias("tokens")] if has_words else []),
         *([some(part("table")).alias("tables")] if tables is not None else []),
         F.map_from_entries(F.array_distinct(some(part("y")))).alias("styles"),
         F.col("reading_graph"),

@@ -79,7 +79,7 @@ def _assembled(blocks: DataFrame, pages: DataFrame, tables: DataFrame | None, so
     none = blocks.select("doc_id", "page_number", F.lit(0).alias("table_idx"), "id").limit(0)
     edges = assemble.reading_graph(assemble.emitted(blocks, none if tables is None else tables))
     full = assemble.rendered(assemble.boxed(assemble.with_style(blocks), pages))
-    return assemble.document_json(pages, assemble.with_tokens(full) if "words" in full.columns else full, edges, source, pretty, tables)
+    return assemble.document_json(pages, full, edges, source, pretty, tables)
 
 
 def docx_document(elements: DataFrame, pretty: bool = False) -> DataFrame:
@@ -94,6 +94,9 @@ def docx_document(elements: DataFrame, pretty: bool = False) -> DataFrame:
     return _assembled(blocks, pages, tables, "docx", pretty)
 
 
+_TREE_ROWS = "array<struct<path:array<int>,id:string,block_type:string,content:string,heading_level:int,list_type:string,row_count:int,column_count:int>>"
+
+
 def docx_blocks(elements: DataFrame) -> DataFrame:
     """DOCX body elements to tree rows in pages of 35 top-level blocks: list paragraphs under a group, rows and cells under tables.
 
@@ -113,22 +116,24 @@ def docx_blocks(elements: DataFrame) -> DataFrame:
     number = lambda c: F.col(c).cast("string")
     ident = lambda of, *parts: F.concat(F.lit("page_"), (F.col("page_number") - 1).cast("string"), F.lit(f"/{of}/") if isinstance(of, str) else F.concat(F.lit("/"), of, F.lit("/")), *parts)
     none = F.lit(None)
-    columns = lambda path, own, block_type, content, heading=none, list_type=none, n_rows=none, n_cols=none: [
-        "doc_id", "page_number", path.alias("path"), own.alias("id"), block_type.alias("block_type"), content.alias("content"),
+    row = lambda path, own, block_type, content, heading=none, list_type=none, n_rows=none, n_cols=none: F.struct(
+        path.cast("array<int>").alias("path"), own.alias("id"), block_type.alias("block_type"), content.alias("content"),
         heading.cast("int").alias("heading_level"), list_type.cast("string").alias("list_type"), n_rows.cast("int").alias("row_count"), n_cols.cast("int").alias("column_count"),
-    ]
+    )
     is_table = F.col("kind") == "tbl"
     all_cells = spaced(F.array_join(F.flatten("cells"), " "))
     content = F.when(is_table, all_cells).when(F.col("list_type").isNotNull(), "").otherwise(spaced(F.col("text")))
     first_row = F.coalesce(F.size(F.get("cells", F.lit(0))), F.lit(0))
-    top = e.filter("pos = 0").select(*columns(F.array("ordinal"), ident(F.col("block_type"), number("ordinal")), F.col("block_type"), content, F.col("heading_level"), F.col("list_type"), F.when(is_table, F.size("cells")), F.when(is_table, first_row)))
-    items = e.filter("list_type IS NOT NULL").select(*columns(F.array("ordinal", "pos"), ident("ListItem", number("ordinal"), F.lit("_"), number("pos")), F.lit("ListItem"), spaced(F.col("text"))))
-    rows = e.filter(is_table).select("doc_id", "page_number", "ordinal", F.posexplode("cells").alias("r", "row"))
-    below = rows.select(*columns(F.array("ordinal", "r"), ident("TableRow", number("ordinal"), F.lit("_r"), number("r")), F.lit("Text"), F.lit("")))
-    cells = rows.select("doc_id", "page_number", "ordinal", "r", F.posexplode("row").alias("c", "cell"))
-    cell_id = F.concat(F.lit("page_0/TableCell/"), number("ordinal"), F.lit("_r"), number("r"), F.lit("_c"), number("c"))
-    cells = cells.select(*columns(F.array("ordinal", "r", "c"), cell_id, F.lit("Text"), spaced(F.col("cell"))))
-    return top.unionByName(items).unionByName(below).unionByName(cells)
+    top = row(F.array("ordinal"), ident(F.col("block_type"), number("ordinal")), F.col("block_type"), content, F.col("heading_level"), F.col("list_type"), F.when(is_table, F.size("cells")), F.when(is_table, first_row))
+    item = row(F.array("ordinal", "pos"), ident("ListItem", number("ordinal"), F.lit("_"), number("pos")), F.lit("ListItem"), spaced(F.col("text")))
+    text_row = lambda r: row(F.array(F.col("ordinal"), r), ident("TableRow", number("ordinal"), F.lit("_r"), r.cast("string")), F.lit("Text"), F.lit(""))
+    cell_id = lambda r, c: F.concat(F.lit("page_0/TableCell/"), number("ordinal"), F.lit("_r"), r.cast("string"), F.lit("_c"), c.cast("string"))
+    cell = lambda r, c, text: row(F.array(F.col("ordinal"), r, c), cell_id(r, c), F.lit("Text"), spaced(text))
+    grid = F.flatten(F.transform("cells", lambda cells, r: F.concat(F.array(text_row(r)), F.transform(cells, lambda text, c: cell(r, c, text)))))
+    # An element gives all its rows at once: elements, which may come from files, are read and ordered once.
+    at_top = F.when(F.col("pos") == 0, F.array(top)).otherwise(F.array().cast(_TREE_ROWS))
+    below = F.when(is_table, F.coalesce(grid, F.array().cast(_TREE_ROWS))).when(F.col("list_type").isNotNull(), F.array(item)).otherwise(F.array().cast(_TREE_ROWS))
+    return e.select("doc_id", "page_number", F.inline(F.concat(at_top, below)))
 
 
 HTML_BLOCK = ("path", "id", "block_type", "content", "html", "heading_level", "list_type", "row_count", "column_count", "blockquote", "color", "bg_color", "font_family", "font_size")
