@@ -5,13 +5,16 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from typing import NamedTuple
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.staging import bounded_batches
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 _TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
@@ -94,24 +97,33 @@ def elements(content: bytes) -> Iterator[dict]:
 
 
 ELEMENTS = "doc_id long, elem_idx int, kind string, style_name string, text string, font_name string, font_size double, bold boolean, italic boolean, color string, n_rows int, n_cols int, cells array<array<string>>, page_w double, page_h double"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<array<string>>": pa.list_(pa.list_(pa.string()))}
+_ELEMENTS = pa.schema([(n, _ARROW[t]) for n, t in (c.split() for c in ELEMENTS.split(", "))])
+#: Elements, and bytes of files, that go to Spark together.
+ROWS = 4096
+CONTENT_BYTES = 4 << 20
 
 
 def read_paragraphs(files: DataFrame) -> DataFrame:
     """files (doc_id, content) to body elements; a file that is no DOCX gives one row of kind error."""
-    names = [c.split()[0] for c in ELEMENTS.split(", ")]
+    bounded_batches(files.sparkSession)
 
-    def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            found = []
-            for doc_id, content in zip(pdf["doc_id"], pdf["content"], strict=True):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[dict] = []
+            for doc_id, content in zip(*(batch.column(n) for n in ("doc_id", "content"))):
+                of = {"doc_id": doc_id.as_py()}
                 try:
-                    found += [e | {"doc_id": doc_id} for e in list(elements(bytes(content)))]
+                    found += [e | of for e in list(elements(content.as_py()))]
                 except Exception as e:  # noqa: BLE001  any damage of the file
-                    found.append(dict.fromkeys(names) | {"doc_id": doc_id, "kind": "error", "text": str(e)})
-            out = pd.DataFrame(found, columns=names)
-            yield out.astype({"elem_idx": "Int64", "n_rows": "Int64", "n_cols": "Int64", "bold": "boolean", "italic": "boolean"})
+                    found.append(of | {"kind": "error", "text": str(e)})
+                if len(found) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(found, _ELEMENTS)
+                    found = []
+            if found:
+                yield pa.RecordBatch.from_pylist(found, _ELEMENTS)
 
-    return files.select("doc_id", "content").mapInPandas(rows, ELEMENTS)
+    return files.select("doc_id", "content").mapInArrow(rows, ELEMENTS)
 
 
 def as_html(elements: DataFrame) -> DataFrame:
@@ -134,23 +146,75 @@ def as_html(elements: DataFrame) -> DataFrame:
     return e.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["html"]), "").alias("html"))
 
 
+def _packed(bodies: DataFrame) -> DataFrame:
+    """doc_id and body to files (doc_id, content). One file of each row; what is written is bounded by CONTENT_BYTES."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for doc_id, body in zip(*(batch.column(n) for n in ("doc_id", "body"))):
+                held.append((doc_id.as_py(), pack(body.as_py() or "")))
+                size += len(held[-1][1])
+                if size > CONTENT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.binary()))], ["doc_id", "content"])
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.binary()))], ["doc_id", "content"])
+
+    return bodies.select("doc_id", "body").mapInArrow(rows, "doc_id long, content binary")
+
+
+def _xml_column(text: Column) -> Column:
+    """_xml of a column."""
+    c = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ufffe\\uffff]", "")
+    for raw, safe in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;"), ("\r", "&#13;")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
+
+
+def _paragraph_column(text: Column, style: Column, font: Column, size: Column, bold: Column, italic: Column) -> Column:
+    """paragraph of columns; nulls are as absent."""
+    some = lambda c, before, after: F.when(F.length(c) > 0, F.concat(F.lit(before), _xml_column(c), F.lit(after))).otherwise("")
+    on = lambda c, mark: F.when(c, mark).otherwise("")
+    points = F.when(F.coalesce(size, F.lit(0.0)) != 0, F.concat(F.lit('<w:sz w:val="'), (size * 2).cast("long").cast("string"), F.lit('"/>'))).otherwise("")
+    return F.concat(F.lit("<w:p><w:pPr>"), some(style, '<w:pStyle w:val="', '"/>'), F.lit("</w:pPr><w:r><w:rPr>"), some(font, '<w:rFonts w:ascii="', '"/>'), on(bold, "<w:b/>"), on(italic, "<w:i/>"), points, F.lit('</w:rPr><w:t xml:space="preserve">'), _xml_column(text), F.lit("</w:t></w:r></w:p>"))
+
+
+def _table_column(cells: Column) -> Column:
+    """table of a column of rows of texts."""
+    bare = paragraph("")
+    start, end = (f"<w:tc>{bare}</w:tc>".split("</w:t></w:r>")[0], "</w:t></w:r></w:p></w:tc>")
+    row = lambda r: F.concat(F.lit("<w:tr>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit(start), _xml_column(c), F.lit(end))), ""), F.lit("</w:tr>"))
+    return F.concat(F.lit("<w:tbl>"), F.array_join(F.transform(cells, row), ""), F.lit("</w:tbl>"))
+
+
 def write_paragraphs(paras: DataFrame) -> DataFrame:
-    """paras, as read_paragraphs gives them, to files (doc_id, content). Tables without cells have rows of one empty cell."""
+    """paras, as read_paragraphs gives them, to files (doc_id, content). Tables without cells have rows of one empty cell.
+
+    The XML of each element is an expression; a document's elements are put together by Spark, and Python only packs them.
+    """
     if "cells" not in paras.columns:
         paras = paras.withColumn("cells", F.lit(None).cast("array<array<string>>"))
+    empty = F.array_repeat(F.array(F.lit("")), F.coalesce(F.col("n_rows"), F.lit(0)).cast("int"))
+    one = F.when(F.col("kind") == "tbl", _table_column(F.coalesce("cells", empty))).otherwise(_paragraph_column(*[F.col(c) for c in ("text", "style_name", "font_name", "font_size", "bold", "italic")]))
+    parts = F.sort_array(F.collect_list(F.struct("elem_idx", one.alias("xml"))))
+    return _packed(paras.groupBy("doc_id").agg(F.array_join(parts["xml"], "").alias("body")))
+
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for r in pdf.sort_values("elem_idx").itertuples():
-            parts.append(table([[""]] * int(r.n_rows) if r.cells is None else r.cells) if r.kind == "tbl" else paragraph(r.text or "", r.style_name or "", r.font_name or "", r.font_size, bool(r.bold), bool(r.italic)))
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "content": [pack("".join(parts))]})
+class _Block(NamedTuple):
+    """A block row as it is written."""
 
-    return paras.select("doc_id", "elem_idx", "kind", "style_name", "text", "font_name", "font_size", "bold", "italic", "n_rows", "cells").groupBy("doc_id").applyInPandas(one, "doc_id long, content binary")
+    page_number: int
+    path: list[int]
+    block_type: str | None
+    content: str | None
+    list_type: str | None
+    heading_level: int | None
+    blockquote: bool | None
 
 
-def _tree_body(pdf: pd.DataFrame) -> str:
+def _tree_body(rows: list[_Block]) -> str:
     """A document's block rows in depth-first order as a body. Lists and tables write their children themselves."""
-    rows = sorted(pdf.itertuples(), key=lambda r: (r.page_number, list(r.path)))
     kids: dict[tuple, list] = {}
     for r in rows:
         kids.setdefault((r.page_number, *r.path[:-1]), []).append(r)
@@ -172,7 +236,7 @@ def _tree_body(pdf: pd.DataFrame) -> str:
             out.append(table([(g + [""] * cols)[:cols] for g in grid]))
             return
         if kind == "SectionHeader":
-            given = int(r.heading_level) if r.heading_level == r.heading_level and r.heading_level else 1
+            given = r.heading_level or 1
             out.append(paragraph(text, f"Heading{min(9, max(1, given))}"))
         elif kind == "Equation":
             out.append(paragraph(f"[Equation] {text}", center=True))
@@ -193,10 +257,14 @@ def _tree_body(pdf: pd.DataFrame) -> str:
 
 
 def export(blocks: DataFrame) -> DataFrame:
-    """Block trees to files (doc_id, content)."""
+    """Block trees to files (doc_id, content). Spark gathers and orders a document's rows; Python writes them."""
+    bounded_batches(blocks.sparkSession)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "content": [pack(_tree_body(pdf))]})
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, rows in zip(*(batch.column(n) for n in ("doc_id", "rows"))):
+                content = pack(_tree_body([_Block(**r) for r in rows.as_py()]))
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([content], pa.binary())], ["doc_id", "content"])
 
-    cols = ("doc_id", "page_number", "path", "block_type", "content", "list_type", "heading_level", "blockquote")
-    return blocks.select(*cols).groupBy("doc_id").applyInPandas(one, "doc_id long, content binary")
+    rows = F.sort_array(F.collect_list(F.struct(*_Block._fields))).alias("rows")
+    return blocks.groupBy("doc_id").agg(rows).mapInArrow(bodies, "doc_id long, content binary")

@@ -10,6 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
 
+#: Bytes and rows of a batch of texts or files for Python.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in Arrow batches of a few MB, so that neither side holds many long texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode only, a temporary one."""
