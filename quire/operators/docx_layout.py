@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ def classified(laid: DataFrame) -> DataFrame:
     return paras.withColumn("_c", c).select(*paras.columns, F.col("_c.block_type").alias("block_type"), F.col("_c.role").alias("role"), font.alias("fontname"), order.alias("reading_order"), stable_id(F.col("doc_id"), F.lit("para"), F.col("elem_idx")).alias("id"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once a row wherever use has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def wrap_words(laid: DataFrame) -> DataFrame:
     """A row per word with its x span: a word starts at the left again after one that ended beyond the right.
 
@@ -51,29 +58,35 @@ def wrap_words(laid: DataFrame) -> DataFrame:
     counted as integers of 1/1000, so the sums are exact.
     """
     words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
-    paras = laid.filter("kind = 'p'").withColumn("_size", F.coalesce("font_size", F.lit(11.0))).withColumn("_words", words)
     unit = lambda c: F.round(c * 1000).cast("bigint")
-    step_of = lambda w, size: F.length(w) * unit(size * WORD) + unit(size * GAP)
-    most = unit(F.col("x1") - F.col("x0"))
-    start = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("at"))
-
-    def step(a: Column, w: Column) -> Column:
-        x = a["x"] + step_of(w, F.col("_size"))
-        over = x > most
-        return F.struct(F.when(over, F.lit(0).cast("bigint")).otherwise(x).alias("x"), (a["i"] + 1).alias("i"), F.when(over, F.concat(a["at"], F.array(a["i"] + 1))).otherwise(a["at"]).alias("at"))
-
-    p = paras.withColumn("_at", F.aggregate("_words", start, step)["at"])
-    # The words of each text line, by the wraps.
-    ends = F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_words")))
-    rows = p.withColumn("_row", F.explode(F.arrays_zip(F.col("_at").alias("s"), ends.alias("e"))))
-    rows = rows.withColumn("_part", F.slice("_words", F.col("_row")["s"] + 1, F.col("_row")["e"] - F.col("_row")["s"])).filter(F.size("_part") > 0)
-    first = F.struct(F.lit(0).cast("bigint").alias("x"), F.array().cast("array<bigint>").alias("all"))
-    along = F.aggregate("_part", first, lambda a, w: F.struct((a["x"] + step_of(w, F.col("_size"))).alias("x"), F.concat(a["all"], F.array(a["x"])).alias("all")))["all"]
-    placed = F.arrays_zip(F.col("_part").alias("text"), along.alias("x"))
-    out = rows.select("doc_id", "elem_idx", "_size", "x0", "x1", "y0", "y1", F.col("_row")["s"].alias("_s"), F.posexplode(placed).alias("_k", "_w"))
-    wide = F.length("_w.text") * unit(F.col("_size") * WORD)
+    size = F.coalesce("font_size", F.lit(11.0))
+    zero = F.lit(0).cast("bigint")
+
+    def wraps(steps: Column, most: Column) -> Column:
+        def step(a: Column, w: Column) -> Column:
+            x, i = a["x"] + w, a["i"] + 1
+            return F.when(x > most, F.struct(zero.alias("x"), i.alias("i"), F.concat(a["at"], F.array(i)).alias("at"))).otherwise(F.struct(x.alias("x"), i.alias("i"), a["at"].alias("at")))
+
+        return F.aggregate(steps, F.struct(zero.alias("x"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("at")), step)["at"]
+
+    # What does not depend on the word is reckoned once a paragraph: rounding costs far more than the fold.
+    fixed = F.struct(unit(size * WORD).alias("char"), unit(size * GAP).alias("gap"), unit(F.col("x1") - F.col("x0")).alias("most"))
+    steps = lambda u: F.transform("_words", lambda w: F.length(w) * u["char"] + u["gap"])
+    folded = _once(fixed, lambda u: _once(steps(u), lambda s: F.struct(u["char"].alias("char"), s.alias("steps"), wraps(s, u["most"]).alias("at"))))
+    p = laid.filter("kind = 'p'").withColumn("_words", words).withColumn("_f", folded)
+    # The words of each text line are cut out before lines become rows, so no row holds the whole paragraph.
+    first = F.struct(zero.alias("x"), F.array().cast("array<bigint>").alias("all"))
+    along = lambda steps: F.aggregate(steps, first, lambda a, w: F.struct((a["x"] + w).alias("x"), F.concat(a["all"], F.array(a["x"])).alias("all")))["all"]
+
+    def line(s: Column, i: Column) -> Column:
+        n = F.coalesce(F.get("_f.at", i + 1), F.size("_words")) - s
+        return F.struct(s.alias("s"), F.slice("_words", s + 1, n).alias("text"), along(F.slice("_f.steps", s + 1, n)).alias("x"))
+
+    rows = p.select("doc_id", "elem_idx", "x0", "x1", "y0", "y1", F.col("_f.char").alias("_char"), F.inline(F.transform("_f.at", line)))
+    out = rows.select("doc_id", "elem_idx", "_char", "x0", "x1", "y0", "y1", "s", F.posexplode(F.arrays_zip("text", "x")).alias("_k", "_w"))
+    wide = F.length("_w.text") * F.col("_char")
     left, right = F.col("x0") + F.col("_w.x") / 1000.0, F.col("x0") + (F.col("_w.x") + wide) / 1000.0
-    return out.select("doc_id", "elem_idx", (F.col("_s") + F.col("_k")).alias("word_idx"), "_w.text", F.round(left, 2).alias("wx0"), F.round(F.least(right, F.col("x1")), 2).alias("wx1"), F.col("y0").alias("wy0"), F.col("y1").alias("wy1"))
+    return out.select("doc_id", "elem_idx", (F.col("s") + F.col("_k")).alias("word_idx"), "_w.text", F.round(left, 2).alias("wx0"), F.round(F.least(right, F.col("x1")), 2).alias("wx1"), F.col("y0").alias("wy0"), F.col("y1").alias("wy1"))
 
 
 def paginate(rows: DataFrame, page_h: float = 792.0) -> DataFrame:
