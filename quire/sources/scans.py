@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.layout import color_hex, stable_id
 from quire.sources import pdf
+from quire.staging import bounded_batches
 from quire.streaming.progress import Progress
 
 BOX = "x0 double, y0 double, x1 double, y1 double"
@@ -39,25 +42,46 @@ def made(make: Callable, *options):
     return make(*options)
 
 
+def _chars(found: Iterable[dict] | pdf.Chars) -> pa.StructArray:
+    """Characters of a page as Arrow has them; those of the own parser go over column by column."""
+    if not isinstance(found, pdf.Chars):
+        return pa.array(list(found), _CHAR)
+    run = np.repeat(np.arange(len(found.runs)), found.lengths())
+    _, y0, y1, names, sizes, colors = zip(*found.runs) if found.runs else [()] * 6
+    shared = lambda values, of: pa.array(values, of).take(pa.array(run))
+    columns = [pa.array(found.texts, pa.string()), pa.array(found.x0, pa.float64()), shared(y0, pa.float64()), pa.array(found.x1, pa.float64()), shared(y1, pa.float64()), shared(names, pa.string()), shared(sizes, pa.float64()), shared(colors, pa.list_(pa.float64()))]
+    return pa.StructArray.from_arrays(columns, fields=list(_CHAR))
+
+
+def _page_batch(held: list[dict]) -> pa.RecordBatch:
+    """Pages, with chars as Arrow arrays; those with an error have none."""
+    chars = [p.get("chars") for p in held]
+    ends = np.cumsum([0, *(0 if c is None else len(c) for c in chars)]).astype(np.int32)
+    values = pa.concat_arrays([pa.array([], _CHAR), *(c for c in chars if c is not None)])
+    lists = pa.ListArray.from_arrays(pa.array(ends), values, type=pa.list_(_CHAR), mask=pa.array([c is None for c in chars]))
+    return pa.RecordBatch.from_arrays([lists if f.name == "chars" else pa.array([p.get(f.name) for p in held], f.type) for f in _PAGES], schema=_PAGES)
+
+
 def read_pages(files: DataFrame, parser: Parser = pdf.pages) -> DataFrame:
     """files (doc_id, content) to a row per page. A file that breaks keeps the pages before, and adds a row with the error."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             for doc_id, content in zip(*(batch.column(n) for n in ("doc_id", "content"))):
-                held, size = [], 0
                 try:
                     for page in parser(content.as_py() or b""):
-                        held.append(page | {"doc_id": doc_id.as_py()})
+                        held.append(page | {"doc_id": doc_id.as_py(), "chars": _chars(page["chars"])})
                         size += len(page["chars"])
                         if size > CHARS:
-                            yield pa.RecordBatch.from_pylist(held, _PAGES)
+                            yield _page_batch(held)
                             held, size = [], 0
                 except Exception as e:  # noqa: BLE001  any damage of the file
                     held.append({"doc_id": doc_id.as_py(), "error": f"{type(e).__name__}: {e}"})
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, _PAGES)
+            if held:
+                yield _page_batch(held)
 
+    bounded_batches(files.sparkSession)
     return files.select("doc_id", "content").mapInArrow(rows, PAGES)
 
 
@@ -87,11 +111,17 @@ def write_pages(rows: DataFrame, font: str = "Courier") -> DataFrame:
     One group is one document; pages without rows are left out.
     """
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        sheets = [list(zip(p["x"], p["y"], p["text"], p["size"])) for _, p in group.sort_values(["page_number", "y", "x"]).groupby("page_number")]
-        return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]], "content": [pdf.pack(sheets, font)]})
-
-    return rows.select("doc_id", "page_number", "x", "y", "text", "size").groupBy("doc_id").applyInPandas(one, "doc_id long, content binary")
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = []
+            for rows in batch.column("rows"):
+                sheets = [[(r["x"], r["y"], r["text"], r["size"]) for r in page] for _, page in groupby(rows.as_py(), lambda r: r["page_number"])]
+                files.append(pdf.pack(sheets, font))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(files, pa.binary())], ["doc_id", "content"])
+
+    bounded_batches(rows.sparkSession)
+    docs = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "y", "x", "text", "size"))).alias("rows"))
+    return docs.mapInArrow(packed, "doc_id long, content binary")
 
 
 Renderer = Callable[[bytes, int, int], bytes]
