@@ -24,9 +24,9 @@ def styles(blocks: DataFrame, by: list[str] | None = None) -> DataFrame:
     return with_style(blocks).groupBy(*keys).agg(F.first("_style").alias("s")).select(*keys, "s.*")
 
 
-def boxed(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """blocks with bbox and bbox_norm; pages (doc_id, page_number, width, height)."""
-    b = blocks.join(pages, ["doc_id", "page_number"])
+def boxed(blocks: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """blocks with bbox and bbox_norm; pages (doc_id, page_number, width, height), none if blocks have width and height."""
+    b = blocks if pages is None else blocks.join(pages, ["doc_id", "page_number"])
     box = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1"))
     return b.withColumn("bbox", F.array(*box)).withColumn("bbox_norm", normalized_box(box, F.col("width"), F.col("height")))
 
@@ -83,7 +83,7 @@ def rendered(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("html", html_of(F.col("block_type"), F.col("text"))).withColumn("html_template", F.concat(F.lit("<"), t, F.lit(">{{text}}</"), t, F.lit(">")))
 
 
-def table_blocks(tables: DataFrame, pages: DataFrame) -> DataFrame:
+def table_blocks(tables: DataFrame, pages: DataFrame | None) -> DataFrame:
     """tables (doc_id, page_number, table_idx, id, box, and cells: rows of texts, if known) as blocks, with the table itself.
 
     Cells share the table's box evenly; columns are those of the longest row.
@@ -100,45 +100,86 @@ def table_blocks(tables: DataFrame, pages: DataFrame) -> DataFrame:
 
     cells = F.flatten(F.transform("cells", lambda row, r: F.transform(row, lambda text, c: cell(r, text, c))))
     whole = F.struct("id", F.col("page_number").alias("page"), n_rows.alias("rows"), n_cols.alias("cols"), "bbox", F.coalesce(cells, F.array()).alias("cells"))
-    return t.select("doc_id", "page_number", "id", F.lit(1).alias("is_table"), F.lit(0).alias("reading_order"), F.col("table_idx").alias("block_idx"), F.lit("table").alias("block_type"), F.lit("table").alias("role"), F.lit(TABLE_TEXT).alias("text"), "bbox", "bbox_norm", whole.alias("table"))
+    return t.select("doc_id", "page_number", "id", F.lit(1).alias("is_table"), F.lit(0).alias("reading_order"), F.col("table_idx").alias("block_idx"), F.lit("table").alias("block_type"), F.lit("table").alias("role"), F.lit(TABLE_TEXT).alias("text"), "width", "height", "bbox", "bbox_norm", whole.alias("table"))
 
 
-def document_json(pages: DataFrame, blocks: DataFrame, edges: DataFrame, source: str, pretty: bool = False, tables: DataFrame | None = None) -> DataFrame:
+#: What a document's rows are made of, as far as blocks have it, and what only stands in where a later form is missing.
+_MOVED = ("id", "block_type", "role", "reading_order", "text", "bbox", "bbox_norm", "style_id", "_style", "html", "html_template", "rhetoric", "rhetoric_features", "words", "tokens", "table")
+_INSTEAD = {"bbox": ("x0", "y0", "x1", "y1"), "style_id": ("fontname", "size", "color")}
+
+
+def document_json(pages: DataFrame | None, blocks: DataFrame, edges: DataFrame | None, source: str, pretty: bool = False, tables: DataFrame | None = None) -> DataFrame:
     """doc_id and the document as JSON: pages, blocks, styles, spans, tokens (if blocks have them, or words to make them of), tables, reading graph; empty parts are left out.
 
     Tables (see table_blocks) are blocks too, after the text of their page; their reading order is their place.
+    Without pages, those of the blocks and tables count, which then have width and height. Without edges, neighbours of
+    the document order are joined. Blocks need no boxes (see boxed), styles (with_style) and markup (rendered): what they
+    lack is made where the document is, so that it is not moved; with neither pages nor edges that is one exchange at
+    most, and none if blocks are dealt by document already.
     """
     rows = blocks.withColumn("is_table", F.lit(0))
     if tables is not None:
         rows = rows.unionByName(table_blocks(tables, pages), allowMissingColumns=True)
-    is_text = F.col("is_table") == 0
-    optional = [F.when(F.col(c).isNotNull(), read(F.col(c))).alias(c) for c, read in (("rhetoric", parsed_rhetoric), ("rhetoric_features", parsed_features)) if c in blocks.columns]
-    p = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "width", "height", F.lit(0).alias("rotation"), F.lit("pt").alias("unit")))).alias("pages"))
-    block = F.struct("id", F.col("block_type").alias("type"), "role", F.col("page_number").alias("page"), "bbox", "bbox_norm", F.col("reading_order").cast("int").alias("reading_order"), F.lit(0).alias("z_index"), "text", "style_id", "html", "html_template", *optional)
-    span = F.struct(F.concat(F.lit("s-"), "id").alias("id"), F.col("id").alias("block_id"), "text", "bbox", "bbox_norm", "style_id")
-    legal = F.col("_style").withField("weight", safe_weight(F.col("_style.weight"))).withField("align", safe_align(F.col("_style.align")))
-    kept = ["page_number", "is_table", F.coalesce("reading_order", F.lit(0)).alias("order"), "block_idx", block.alias("b"), F.when(is_text, span).alias("s"), F.when(is_text, F.struct("style_id", legal.alias("_style"))).alias("y")]
-    has_tokens = "tokens" in blocks.columns
-    has_words = "words" in blocks.columns and not has_tokens
-    if has_tokens:
-        kept.append(F.when(is_text, F.col("tokens")).alias("k"))
-    elif has_words:  # a token is several times its word: words are moved, and tokens made where the document is
-        kept.append(F.when(is_text, F.struct("words", "width", "height")).alias("w"))
-    b = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*kept, *(["table"] if tables is not None else [])))).alias("rows"))
-    e = edges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("from", "to", "relation"))).alias("reading_graph"))
-    j = p.join(b, "doc_id", "left").join(e, "doc_id", "left")
-    part = lambda f: F.filter(F.transform("rows", lambda r: r[f]), lambda x: x.isNotNull())
+    has = set(blocks.columns)
+    moved = [c for c in _MOVED if c in rows.columns] + [c for late, early in _INSTEAD.items() if late not in has for c in early]
+    if pages is None or "bbox_norm" not in has or "words" in has:
+        moved += ["width", "height"]
+    kept = F.struct("page_number", "is_table", F.coalesce("reading_order", F.lit(0)).alias("order"), "block_idx", *moved)
+    j = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(kept)).alias("rows"))
+
+    def made(r: Column) -> Column:
+        is_text, old = r["is_table"] == 0, lambda c: [r[c]] if c in moved else []
+        box = tuple(r[c] for c in _INSTEAD["bbox"]) if "bbox" not in has else ()
+        style = r["_style"] if "_style" in has else style_of(r["fontname"], r["size"], r["color"])
+        tag = html_tag(r["block_type"])
+        return F.struct(
+            is_text.alias("is_text"),
+            F.coalesce(*old("bbox"), *([F.array(*box)] if box else [])).alias("bbox"),
+            F.coalesce(*old("bbox_norm"), *([normalized_box(box, r["width"], r["height"])] if "bbox_norm" not in has else [])).alias("bbox_norm"),
+            F.when(is_text, r["style_id"] if "style_id" in has else style_id(style)).alias("style_id"),
+            F.when(is_text, style.withField("weight", safe_weight(style["weight"])).withField("align", safe_align(style["align"]))).alias("style"),
+            F.when(is_text, r["html"] if "html" in has else html_of(r["block_type"], r["text"])).alias("html"),
+            F.when(is_text, r["html_template"] if "html_template" in has else F.concat(F.lit("<"), tag, F.lit(">{{text}}</"), tag, F.lit(">"))).alias("html_template"),
+        )
+
+    j = j.withColumn("made", F.transform("rows", made))
+    page = lambda r: F.struct(r["page_number"].alias("page_number"), r["width"].alias("width"), r["height"].alias("height"), F.lit(0).alias("rotation"), F.lit("pt").alias("unit"))
+    present = lambda a: F.filter(a, lambda x: x.isNotNull())
     some = lambda a: F.when(F.size(a) > 0, a)
-    placed = F.transform("rows", lambda r, i: F.when(r["is_table"] == 1, r["b"].withField("reading_order", i)).otherwise(r["b"]))
+    of = lambda one: F.transform("rows", lambda r, i: one(r, F.get("made", i), i))
+    if edges is None:
+        edge = lambda r, m, i: F.when(i > 0, F.struct(F.get("rows", i - 1)["id"].alias("from"), r["id"].alias("to"), F.lit("next").alias("relation")))
+        j = j.withColumn("reading_graph", some(F.sort_array(present(of(edge)))))
+    else:
+        j = j.join(edges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("from", "to", "relation"))).alias("reading_graph")), "doc_id", "left")
+    if pages is None:
+        first = lambda r, m, i: F.when((i == 0) | (F.get("rows", i - 1)["page_number"] != r["page_number"]), page(r))
+        j = j.withColumn("pages", present(of(first)))
+    else:
+        p = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(page({c: F.col(c) for c in ("page_number", "width", "height")}))).alias("pages"))
+        j = p.join(j, "doc_id", "left")
+    parsed = [(c, read) for c, read in (("rhetoric", parsed_rhetoric), ("rhetoric_features", parsed_features)) if c in has]
+
+    def block(r: Column, m: Column, i: Column) -> Column:
+        optional = [F.when(r[c].isNotNull(), read(r[c])).alias(c) for c, read in parsed]
+        order = F.when(m["is_text"], r["reading_order"].cast("int")).otherwise(i)
+        return F.struct(r["id"].alias("id"), r["block_type"].alias("type"), r["role"].alias("role"), r["page_number"].alias("page"), m["bbox"].alias("bbox"), m["bbox_norm"].alias("bbox_norm"), order.alias("reading_order"), F.lit(0).alias("z_index"), r["text"].alias("text"), m["style_id"].alias("style_id"), m["html"].alias("html"), m["html_template"].alias("html_template"), *optional)
+
+    def span(r: Column, m: Column, i: Column) -> Column:
+        return F.when(m["is_text"], F.struct(F.concat(F.lit("s-"), r["id"]).alias("id"), r["id"].alias("block_id"), r["text"].alias("text"), m["bbox"].alias("bbox"), m["bbox_norm"].alias("bbox_norm"), m["style_id"].alias("style_id")))
+
+    def tokens_in(r: Column, m: Column, i: Column) -> Column:
+        return F.when(m["is_text"], r["tokens"] if "tokens" in has else _tokens_of(r["words"], r["id"], r["width"], r["height"]))
+
+    styles_in = lambda r, m, i: F.when(m["is_text"], F.struct(m["style_id"].alias("style_id"), m["style"].alias("_style")))
     doc = F.struct(
         F.struct(F.col("doc_id").cast("string").alias("document_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(source).alias("source"), F.size("pages").alias("page_count")).alias("document"),
         F.col("pages"),
-        F.coalesce(placed, F.array()).alias("blocks"),
-        some(part("s")).alias("spans"),
-        *([some(F.flatten(part("k"))).alias("tokens")] if has_tokens else []),
-        *([some(F.flatten(F.filter(F.transform("rows", lambda r: _tokens_of(r["w"]["words"], r["b"]["id"], r["w"]["width"], r["w"]["height"])), lambda x: x.isNotNull()))).alias("tokens")] if has_words else []),
-        *([some(part("table")).alias("tables")] if tables is not None else []),
-        F.map_from_entries(F.array_distinct(some(part("y")))).alias("styles"),
+        F.coalesce(of(block), F.array()).alias("blocks"),
+        some(present(of(span))).alias("spans"),
+        *([some(F.flatten(present(of(tokens_in)))).alias("tokens")] if has & {"tokens", "words"} else []),
+        *([some(present(of(lambda r, m, i: r["table"]))).alias("tables")] if tables is not None else []),
+        F.map_from_entries(F.array_distinct(some(present(of(styles_in))))).alias("styles"),
         F.col("reading_graph"),
     )
     options = {"pretty": "true"} if pretty else {}

@@ -82,7 +82,8 @@ def wrap_words(laid: DataFrame) -> DataFrame:
         n = F.coalesce(F.get("_f.at", i + 1), F.size("_words")) - s
         return F.struct(s.alias("s"), F.slice("_words", s + 1, n).alias("text"), along(F.slice("_f.steps", s + 1, n)).alias("x"))
 
-    rows = p.select("doc_id", "elem_idx", "x0", "x1", "y0", "y1", F.col("_f.char").alias("_char"), F.inline(F.transform("_f.at", line)))
+    # Every paragraph has a line. Of a plain inline Spark checks the array's size first, and folds again for that.
+    rows = p.select("doc_id", "elem_idx", "x0", "x1", "y0", "y1", F.col("_f.char").alias("_char"), F.inline_outer(F.transform("_f.at", line)))
     out = rows.select("doc_id", "elem_idx", "_char", "x0", "x1", "y0", "y1", "s", F.posexplode(F.arrays_zip("text", "x")).alias("_k", "_w"))
     wide = F.length("_w.text") * F.col("_char")
     left, right = F.col("x0") + F.col("_w.x") / 1000.0, F.col("x0") + (F.col("_w.x") + wide) / 1000.0

@@ -76,10 +76,7 @@ def layout_document(chars: DataFrame, pages: DataFrame, tables: DataFrame | None
 
 
 def _assembled(blocks: DataFrame, pages: DataFrame, tables: DataFrame | None, source: str, pretty: bool) -> DataFrame:
-    none = blocks.select("doc_id", "page_number", F.lit(0).alias("table_idx"), "id").limit(0)
-    edges = assemble.reading_graph(assemble.emitted(blocks, none if tables is None else tables))
-    full = assemble.rendered(assemble.boxed(assemble.with_style(blocks), pages))
-    return assemble.document_json(pages, full, edges, source, pretty, tables)
+    return assemble.document_json(pages, assemble.boxed(blocks, pages), None, source, pretty, tables)
 
 
 def docx_document(elements: DataFrame, pretty: bool = False) -> DataFrame:
