@@ -11,8 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -34,41 +33,56 @@ class PageCollector(StatefulProcessor):
         self.pages = handle.getMapState("pages", "page int", "content string")
         self.closed = handle.getValueState("closed", "closed boolean")
 
-    def _close(self, doc_id: int, kind: str, now: int) -> pd.DataFrame:
-        held = sorted((k[0], v[0]) for k, v in self.pages.iterator())
-        self.pages.clear()
+    def _close(self, doc_id: int, kind: str, now: int, held: dict[int, str]) -> Row:
         self.closed.update((True,))
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
         self.handle.registerTimer(now + int(FORGET.total_seconds() * 1000))
-        return self._row(doc_id, kind, None, len(held), [c for _, c in held])
+        return self._row(doc_id, kind, None, [held[k] for k in sorted(held)])
 
     @staticmethod
-    def _row(doc_id: int, kind: str, page: int | None, n: int, pages: list) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": [doc_id], "kind": [kind], "page_number": pd.array([page], "Int32"), "n_pages": pd.array([n], "Int32"), "pages": [pages]})
+    def _row(doc_id: int, kind: str, page: int | None, pages: list) -> Row:
+        return Row(doc_id=doc_id, kind=kind, page_number=page, n_pages=len(pages), pages=pages)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _held(self) -> dict[int, str]:
+        return {k[0]: v[0] for k, v in self.pages.iterator()}
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Each use of the state is a call to the executor. A document whose pages come together is held here, not there.
         doc_id, total, last = key[0], 0, 0
-        closed = self.closed.exists()
-        for batch in rows:
-            for r in batch.sort_values("page_number").itertuples():
-                if closed:
-                    yield self._row(doc_id, "late", r.page_number, 1, [r.content])
-                elif not self.pages.containsKey((r.page_number,)):
-                    self.pages.updateValue((r.page_number,), (r.content,))
-                    total, last = max(total, int(r.total)), max(last, int(r.arrived_at.timestamp() * 1000))
-        if closed or not total:
+        arrived = sorted(rows, key=lambda r: r.page_number)
+        if self.closed.exists():
+            for r in arrived:
+                yield self._row(doc_id, "late", r.page_number, [r.content])
+            return
+        before, fresh = {k[0] for k in self.pages.keys()}, {}
+        for r in arrived:
+            if r.page_number not in before and r.page_number not in fresh:
+                fresh[r.page_number] = r.content
+                total, last = max(total, r.total), max(last, int(r.arrived_at.timestamp() * 1000))
+        if not total:
             return
-        if sum(1 for _ in self.pages.keys()) >= total:
-            yield self._close(doc_id, "document", last)
-        elif not list(self.handle.listTimers()):
+        if len(before) + len(fresh) >= total:
+            if before:  # else nothing is held yet, and no timer is set
+                fresh |= self._held()
+                self._forget()
+            yield self._close(doc_id, "document", last, fresh)
+            return
+        for page, content in fresh.items():
+            self.pages.updateValue((page,), (content,))
+        if not before:
             self.handle.registerTimer(last + self.wait_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def _forget(self) -> None:
+        self.pages.clear()
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.closed.exists():
             self.closed.clear()
         else:
-            yield self._close(key[0], "incomplete", expiredTimerInfo.getExpiryTimeInMs())
+            held = self._held()
+            self._forget()
+            yield self._close(key[0], "incomplete", expiredTimerInfo.getExpiryTimeInMs(), held)
 
     def close(self) -> None:
         pass
@@ -82,7 +96,7 @@ def gathered(arrivals: DataFrame, wait: timedelta = timedelta(hours=1), late: st
     """
     arrivals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     pages = arrivals.withWatermark("arrived_at", late).groupBy("doc_id")
-    return pages.transformWithStateInPandas(PageCollector(int(wait.total_seconds() * 1000)), GATHERED, "append", "eventTime")
+    return pages.transformWithState(PageCollector(int(wait.total_seconds() * 1000)), GATHERED, "append", "eventTime")
 
 
 def collect_pages(arrivals: DataFrame, out: str, checkpoint: str, **how) -> StreamingQuery:
