@@ -184,16 +184,17 @@ def _estimate(sums: DataFrame, tree: DataFrame, factor: float) -> DataFrame:
 
     tree: key, parent and depth of every group.
     """
-    sums = staged(sums, "mcd_sums")  # read once for each level
+    sums = staged(sums, "mcd_sums")  # read for a group and both levels above
     own = [*[f"s{i} / n AS m{i}" for i in range(P)], *[f"(s{i}_{j} / n - s{i} / n * s{j} / n) * {factor}D AS c{i}_{j}" for i, j in PAIRS], *[f"t{i} / n AS u{i}" for i in range(P)]]
-    raw = sums.join(tree, "key").selectExpr("key", "start", "parent", "depth", "n", *own)
-    level = raw.filter("depth = 0").select("key", "start", *FIELDS)
-    out = level
-    for depth in (1, 2):
-        up = level.selectExpr("key AS parent", "start", *[f"{f} AS up_{f}" for f in FIELDS])
-        drawn = [f"(n * {f} + {PRIOR} * up_{f}) / (n + {PRIOR}) AS {f}" for f in FIELDS]
-        level = raw.filter(f"depth = {depth}").join(up, ["parent", "start"]).selectExpr("key", "start", *drawn)
-        out = out.unionByName(level)
+    raw = sums.selectExpr("key", "start", "n", *own)
+    # Both levels above are joined to a group at once, so the plan has four small joins, not one of every level again.
+    above = lambda of, p: small(raw.selectExpr(f"key AS {of}", "start", *[f"{f} AS {p}_{f}" for f in ("n", *FIELDS)]), sums)
+    tops = tree.selectExpr("key AS parent", "parent AS top")
+    rows = raw.join(tree, "key").join(tops, "parent", "left").join(above("parent", "up"), ["parent", "start"], "left").join(above("top", "top"), ["top", "start"], "left")
+    drawn = lambda n, f, up: f"({n} * {f} + {PRIOR} * {up}) / ({n} + {PRIOR})"
+    levels = [f"CASE depth WHEN 0 THEN {f} WHEN 1 THEN {drawn('n', f, f'up_{f}')} ELSE {drawn('n', f, drawn('up_n', f'up_{f}', f'top_{f}'))} END AS {f}" for f in FIELDS]
+    # As with inner joins, a group counts only if all levels above it do.
+    out = rows.filter("depth = 0 OR depth = 1 AND up_n IS NOT NULL OR depth = 2 AND up_n IS NOT NULL AND top_n IS NOT NULL").selectExpr("key", "start", *levels)
     out = staged(out, "mcd_step")
     dropped(sums)
     return out
