@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.sources.nested import nodes
 
 
-def as_marker_json(blocks: DataFrame) -> DataFrame:
-    """tree rows as converter JSON, all levels: doc_id, json. One aggregation per level, from the deepest up."""
-    depth = blocks.agg(F.max(F.size("path"))).first()[0] or 0
-    keys = ["doc_id", "page_number"]
-    rows = blocks.select(*keys, "path", F.to_json(F.struct("id", "block_type", "html", "bbox")).alias("json"))
-    kids = None
-    for d in range(depth, 0, -1):
-        level = rows.filter(F.size("path") == d)
-        if kids is not None:
-            level = level.join(kids, [*keys, "path"], "left")
-            with_kids = F.concat(F.expr("left(json, length(json) - 1)"), F.lit(',"children":['), "kids", F.lit("]}"))
-            level = level.select(*keys, "path", F.when(F.col("kids").isNull(), F.col("json")).otherwise(with_kids).alias("json"))
-        ordered = F.sort_array(F.collect_list(F.struct(F.element_at("path", -1).alias("at"), "json")))
-        kids = level.groupBy(*keys, F.slice("path", 1, d - 1).alias("path")).agg(F.array_join(F.transform(ordered, lambda x: x["json"]), ",").alias("kids"))
-    if kids is None:
-        return rows.select("doc_id", "json").limit(0)
-    page = F.concat(F.lit('{"bbox":[0,0,612,792],"children":['), "kids", F.lit("]}"))
-    pages = F.sort_array(F.collect_list(F.struct("page_number", page.alias("json"))))
-    docs = kids.groupBy("doc_id").agg(F.array_join(F.transform(pages, lambda x: x["json"]), ",").alias("pages"))
-    return docs.select("doc_id", F.concat(F.lit('{"children":['), "pages", F.lit("]}")).alias("json"))
-
-
 def properties(block_type: Column, html: Column) -> Column:
     """Properties by the words in the block type and its html."""
     has = lambda s: F.contains(block_type, F.lit(s))
@@ -48,20 +29,27 @@ def properties(block_type: Column, html: Column) -> Column:
 
 
 def text_of(html: Column) -> Column:
-    """Tags out, character references of the markup decoded, white space collapsed."""
+    """Tags out, character references of the markup decoded."""
     c = F.regexp_replace(html, r"<[^>]*>", " ")
     for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(safe), F.lit(raw))
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return c
+
+
+def single_spaced(text: Column) -> Column:
+    """White space collapsed. Plain searches find the few texts that need the pattern, which costs more than the rest."""
+    spaced = reduce(or_, [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\n", "\x0b", "\f", "\r")])
+    return F.trim(F.when(spaced, F.regexp_replace(text, r"\s+", " ")).otherwise(text))
 
 
 def blocks(files: DataFrame) -> DataFrame:
     """files (doc_id, json) to block rows with a path, of all levels. Broken files give no rows."""
-    found = nodes(files, ("children",)).filter(F.size("path") > 1)
-    out = found.select("doc_id", F.get("path", F.lit(0)).alias("page_idx"), F.slice("path", 2, 1 << 30).alias("path"), F.try_parse_json("node").alias("v"))
-    get = lambda p, t: F.try_variant_get("v", p, t)
-    kind = F.coalesce(get("$.block_type", "string"), F.lit("Unknown"))
-    html = F.coalesce(get("$.html", "string"), F.lit(""))
+    found = nodes(files, ("children",), texts=("id", "block_type", "html"), numbers=("bbox",)).filter(F.size("path") > 1)
+    out = found.select("*", F.get("path", F.lit(0)).alias("page_idx"), F.try_parse_json("node").alias("v"))
+    get = lambda name, t: F.coalesce(F.col(name), F.try_variant_get("v", f"$.{name}", t))
+    kind = F.coalesce(get("block_type", "string"), F.lit("Unknown"))
+    html = F.coalesce(get("html", "string"), F.lit(""))
     auto = F.concat(F.lit("page_"), F.col("page_idx").cast("string"), F.lit("/"), kind, F.lit("/auto"))
-    rows = out.select("doc_id", (F.col("page_idx") + 1).alias("page_number"), "path", F.coalesce(get("$.id", "string"), auto).alias("id"), kind.alias("block_type"), text_of(html).alias("content"), html.alias("html"), get("$.bbox", "array<double>").alias("bbox"))
+    rows = out.select("doc_id", (F.col("page_idx") + 1).alias("page_number"), F.slice("path", 2, 1 << 30).alias("path"), F.coalesce(get("id", "string"), auto).alias("id"), kind.alias("block_type"), text_of(html).alias("content"), html.alias("html"), get("bbox", "array<double>").alias("bbox"))
+    rows = rows.withColumn("content", single_spaced(F.col("content")))
     return rows.select("*", properties(F.col("block_type"), F.col("html")).alias("_p")).select("*", "_p.*").drop("_p")
