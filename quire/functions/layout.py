@@ -34,9 +34,10 @@ def strip(col: Column) -> Column:
 
 
 def rounded(c: Column, places: int) -> Column:
-    """Half-way values to even; values that have no further places are left alone, which is much cheaper."""
+    """Half-way values to even. Only values next to a half are rounded as decimals, which is much dearer."""
     scaled = c * float(10**places)
-    return F.when(scaled == F.floor(scaled), c).otherwise(F.bround(c, places))
+    clear = (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3) & (F.abs(scaled) < float(1 << 40))
+    return F.when(clear, F.rint(scaled) / float(10**places)).otherwise(F.bround(c, places))
 
 
 def visible_char(text: Column) -> Column:
@@ -72,7 +73,7 @@ def color_hex(c: Column) -> Column:
 def normalized_box(box: tuple[Column, Column, Column, Column], width: Column, height: Column) -> Column:
     """Shares of the page, to six places; zeros for a page without area."""
     x0, y0, x1, y1 = box
-    share = F.array(F.bround(x0 / width, 6), F.bround(y0 / height, 6), F.bround(x1 / width, 6), F.bround(y1 / height, 6))
+    share = F.array(rounded(x0 / width, 6), rounded(y0 / height, 6), rounded(x1 / width, 6), rounded(y1 / height, 6))
     return F.when((width <= 0) | (height <= 0), F.array(*[F.lit(0.0)] * 4)).otherwise(share)
 
 
@@ -83,14 +84,10 @@ def cell_box(box: tuple[Column, Column, Column, Column], n_rows: Column, n_cols:
     return F.array(F.bround(x0 + col * w, 2), F.bround(y0 + row * h, 2), F.bround(x0 + (col + 1) * w, 2), F.bround(y0 + (row + 1) * h, 2))
 
 
-def n_words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
-
-
 def guess_block_type(text: Column, size: Column, font: Column) -> Column:
     """Type from font size, weight and the text's start."""
     big = (size >= 14) | (F.contains(F.lower(font), F.lit("bold")) & (size >= 12))
-    number = (n_words(text) <= 3) & strip(text).rlike(r"^\p{Nd}+$")
+    number = text.rlike(r"(?U)^\s*\p{Nd}+\s*$")  # so it is one word
     bullet = text.rlike(rf"(?U)^\s*({'|'.join(BULLETS)})")
     numbered = (F.length(text) > 2) & text.rlike(r"^\p{Nd}[.)]")
     return F.when(big, "heading").when(number, "page_number").when(bullet | numbered, "list_item").otherwise("paragraph")

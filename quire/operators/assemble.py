@@ -126,14 +126,31 @@ def document_json(pages: DataFrame | None, blocks: DataFrame, edges: DataFrame |
         moved += ["width", "height"]
     kept = F.struct("page_number", "is_table", F.coalesce("reading_order", F.lit(0)).alias("order"), "block_idx", *moved)
     j = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(kept)).alias("rows"))
+    return as_json(_assembled(j, has, moved, pages, edges, source, tables is not None), pretty)
+
+
+def gathered(docs: DataFrame, source: str) -> DataFrame:
+    """document_json of docs (doc_id, rows) whose blocks, which have width and height, are an array in the document's order already: nothing is moved. As doc, which to_json makes text."""
+    fields = docs.schema["rows"].dataType.elementType.names
+    return _assembled(docs, set(fields), fields, None, None, source, False)
+
+
+def as_json(docs: DataFrame, pretty: bool = False) -> DataFrame:
+    return docs.select("doc_id", F.to_json("doc", {"pretty": "true"} if pretty else {}).alias("json"))
+
+
+def _assembled(j: DataFrame, has: set[str], moved: list[str], pages: DataFrame | None, edges: DataFrame | None, source: str, with_tables: bool) -> DataFrame:
+    """Documents (doc_id, rows) to doc. has: what blocks have; moved: what rows hold of blocks and tables."""
+
+    def text_in(r: Column) -> Column:
+        return (r["is_table"] == 0) if with_tables else F.lit(True)
 
     def made(r: Column) -> Column:
-        is_text, old = r["is_table"] == 0, lambda c: [r[c]] if c in moved else []
+        is_text, old = text_in(r), lambda c: [r[c]] if c in moved else []
         box = tuple(r[c] for c in _INSTEAD["bbox"]) if "bbox" not in has else ()
         style = r["_style"] if "_style" in has else style_of(r["fontname"], r["size"], r["color"])
         tag = html_tag(r["block_type"])
         return F.struct(
-            is_text.alias("is_text"),
             F.coalesce(*old("bbox"), *([F.array(*box)] if box else [])).alias("bbox"),
             F.coalesce(*old("bbox_norm"), *([normalized_box(box, r["width"], r["height"])] if "bbox_norm" not in has else [])).alias("bbox_norm"),
             F.when(is_text, r["style_id"] if "style_id" in has else style_id(style)).alias("style_id"),
@@ -145,7 +162,7 @@ def document_json(pages: DataFrame | None, blocks: DataFrame, edges: DataFrame |
     j = j.withColumn("made", F.transform("rows", made))
     page = lambda r: F.struct(r["page_number"].alias("page_number"), r["width"].alias("width"), r["height"].alias("height"), F.lit(0).alias("rotation"), F.lit("pt").alias("unit"))
     present = lambda a: F.filter(a, lambda x: x.isNotNull())
-    some = lambda a: F.when(F.size(a) > 0, a)
+    some = lambda a: F.get(F.filter(F.array(a), lambda x: F.size(x) > 0), F.lit(0))  # noqa: E731  a is made once, and not copied
     of = lambda one: F.transform("rows", lambda r, i: one(r, F.get("made", i), i))
     if edges is None:
         edge = lambda r, m, i: F.when(i > 0, F.struct(F.get("rows", i - 1)["id"].alias("from"), r["id"].alias("to"), F.lit("next").alias("relation")))
@@ -162,25 +179,24 @@ def document_json(pages: DataFrame | None, blocks: DataFrame, edges: DataFrame |
 
     def block(r: Column, m: Column, i: Column) -> Column:
         optional = [F.when(r[c].isNotNull(), read(r[c])).alias(c) for c, read in parsed]
-        order = F.when(m["is_text"], r["reading_order"].cast("int")).otherwise(i)
+        order = F.when(text_in(r), r["reading_order"].cast("int")).otherwise(i)
         return F.struct(r["id"].alias("id"), r["block_type"].alias("type"), r["role"].alias("role"), r["page_number"].alias("page"), m["bbox"].alias("bbox"), m["bbox_norm"].alias("bbox_norm"), order.alias("reading_order"), F.lit(0).alias("z_index"), r["text"].alias("text"), m["style_id"].alias("style_id"), m["html"].alias("html"), m["html_template"].alias("html_template"), *optional)
 
     def span(r: Column, m: Column, i: Column) -> Column:
-        return F.when(m["is_text"], F.struct(F.concat(F.lit("s-"), r["id"]).alias("id"), r["id"].alias("block_id"), r["text"].alias("text"), m["bbox"].alias("bbox"), m["bbox_norm"].alias("bbox_norm"), m["style_id"].alias("style_id")))
+        return F.when(text_in(r), F.struct(F.concat(F.lit("s-"), r["id"]).alias("id"), r["id"].alias("block_id"), r["text"].alias("text"), m["bbox"].alias("bbox"), m["bbox_norm"].alias("bbox_norm"), m["style_id"].alias("style_id")))
 
     def tokens_in(r: Column, m: Column, i: Column) -> Column:
-        return F.when(m["is_text"], r["tokens"] if "tokens" in has else _tokens_of(r["words"], r["id"], r["width"], r["height"]))
+        return F.when(text_in(r), r["tokens"] if "tokens" in has else _tokens_of(r["words"], r["id"], r["width"], r["height"]))
 
-    styles_in = lambda r, m, i: F.when(m["is_text"], F.struct(m["style_id"].alias("style_id"), m["style"].alias("_style")))
+    styles_in = lambda r, m, i: F.when(text_in(r), F.struct(m["style_id"].alias("style_id"), m["style"].alias("_style")))
     doc = F.struct(
         F.struct(F.col("doc_id").cast("string").alias("document_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(source).alias("source"), F.size("pages").alias("page_count")).alias("document"),
         F.col("pages"),
         F.coalesce(of(block), F.array()).alias("blocks"),
         some(present(of(span))).alias("spans"),
         *([some(F.flatten(present(of(tokens_in)))).alias("tokens")] if has & {"tokens", "words"} else []),
-        *([some(present(of(lambda r, m, i: r["table"]))).alias("tables")] if tables is not None else []),
+        *([some(present(of(lambda r, m, i: r["table"]))).alias("tables")] if with_tables else []),
         F.map_from_entries(F.array_distinct(some(present(of(styles_in))))).alias("styles"),
         F.col("reading_graph"),
     )
-    options = {"pretty": "true"} if pretty else {}
-    return j.select("doc_id", F.to_json(doc, options).alias("json"))
+    return j.select("doc_id", doc.alias("doc"))

@@ -28,6 +28,12 @@ def heuristic(blocks: DataFrame) -> DataFrame:
     return typed.withColumn("role", guess_role(F.col("block_type"))).withColumn("reading_order", F.row_number().over(order) - 1)
 
 
+def heuristic_fields(block: Column, place: Column) -> list[Column]:
+    """heuristic of one block (text, size, fontname) at a place of its page."""
+    kind = guess_block_type(block["text"], block["size"], block["fontname"])
+    return [kind.alias("block_type"), guess_role(kind).alias("role"), place.alias("reading_order")]
+
+
 def fallback(blocks: DataFrame, case: str) -> DataFrame:
     """What blocks get where tagging does not give it: no_vision, vision_error, no_tags, docx."""
     order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("block_idx")) - 1
