@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +24,12 @@ _TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="h
 _RELS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
 
 
+_UNFIT = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
+
 def _xml(text: str) -> str:
     """Escaped, without characters that XML cannot hold."""
-    return escape("".join(c for c in text if c in "\t\n\r" or ord(c) >= 32 and c not in "\ufffe\uffff"), {"\r": "&#13;"})
+    return escape(_UNFIT.sub("", text), {"\r": "&#13;"})
 
 
 def paragraph(text: str, style: str = "", font: str = "", size: float | None = None, bold: bool = False, italic: bool = False, color: str = "", center: bool = False) -> str:
@@ -146,20 +152,28 @@ def as_html(elements: DataFrame) -> DataFrame:
     return e.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["html"]), "").alias("html"))
 
 
+_FILES = pa.schema([("doc_id", pa.int64()), ("content", pa.binary())])
+
+
+def _files(bodies: Iterable[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+    """doc_id and body to files in batches bounded by CONTENT_BYTES."""
+    held, size = [], 0
+    for doc_id, body in bodies:
+        held.append((doc_id, pack(body)))
+        size += len(held[-1][1])
+        if size > CONTENT_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _FILES.types)], schema=_FILES)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _FILES.types)], schema=_FILES)
+
+
 def _packed(bodies: DataFrame) -> DataFrame:
     """doc_id and body to files (doc_id, content). One file of each row; what is written is bounded by CONTENT_BYTES."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
-            for doc_id, body in zip(*(batch.column(n) for n in ("doc_id", "body"))):
-                held.append((doc_id.as_py(), pack(body.as_py() or "")))
-                size += len(held[-1][1])
-                if size > CONTENT_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.binary()))], ["doc_id", "content"])
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.binary()))], ["doc_id", "content"])
+            yield from _files((doc_id.as_py(), body.as_py() or "") for doc_id, body in zip(*(batch.column(n) for n in ("doc_id", "body"))))
 
     return bodies.select("doc_id", "body").mapInArrow(rows, "doc_id long, content binary")
 
@@ -258,13 +272,24 @@ def _tree_body(rows: list[_Block]) -> str:
 
 def export(blocks: DataFrame) -> DataFrame:
     """Block trees to files (doc_id, content). Spark gathers and orders a document's rows; Python writes them."""
-    bounded_batches(blocks.sparkSession)
+    return export_gathered(blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*_Block._fields))).alias("rows")))
+
+
+def export_gathered(docs: DataFrame) -> DataFrame:
+    """export of docs (doc_id, rows) whose block rows are an array in depth-first order already."""
+    bounded_batches(docs.sparkSession)
+
+    def of(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
+        rows = batch.column("rows")
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy()).tolist()
+        flat = rows.flatten()
+        for doc_id, start, end in zip(batch.column("doc_id").to_pylist(), [0, *ends], ends):
+            # A document at a time, column by column.
+            own = flat.slice(start, end - start)
+            yield doc_id, _tree_body(list(map(_Block, *(own.field(n).to_pylist() for n in _Block._fields))))
 
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, rows in zip(*(batch.column(n) for n in ("doc_id", "rows"))):
-                content = pack(_tree_body([_Block(**r) for r in rows.as_py()]))
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([content], pa.binary())], ["doc_id", "content"])
+            yield from _files(of(batch))
 
-    rows = F.sort_array(F.collect_list(F.struct(*_Block._fields))).alias("rows")
-    return blocks.groupBy("doc_id").agg(rows).mapInArrow(bodies, "doc_id long, content binary")
+    return docs.select("doc_id", "rows").mapInArrow(files, "doc_id long, content binary")
