@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.layout import color_hex, stable_id
 from quire.sources import pdf
-from quire.staging import bounded_batches
+from quire.staging import BATCH_BYTES, bounded_batches
 from quire.streaming.progress import Progress
 
 BOX = "x0 double, y0 double, x1 double, y1 double"
@@ -85,6 +85,46 @@ def read_pages(files: DataFrame, parser: Parser = pdf.pages) -> DataFrame:
     return files.select("doc_id", "content").mapInArrow(rows, PAGES)
 
 
+EXTENTS = f"doc_id long, page_number int, width double, height double, n_chars int, text string, {BOX}, error string"
+_EXTENTS = pa.schema([("doc_id", pa.int64()), ("page_number", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("n_chars", pa.int32()), ("text", pa.string()), *_BOX, ("error", pa.string())])
+
+
+def _extent(found: Iterable[dict] | pdf.Chars) -> dict:
+    """Number, text in the order in which it is shown, and box of a page's characters; no box without any."""
+    if isinstance(found, pdf.Chars):
+        texts, x0, x1 = found.texts, found.x0, found.x1
+        y0, y1 = [r[1] for r in found.runs], [r[2] for r in found.runs]
+    else:
+        found = list(found)
+        texts, x0, y0, x1, y1 = ([c[n] for c in found] for n in ("text", "x0", "y0", "x1", "y1"))
+    box = {n: f(v) for n, f, v in (("x0", min, x0), ("y0", min, y0), ("x1", max, x1), ("y1", max, y1))} if texts else {}
+    return {"n_chars": len(texts), "text": "".join(texts)} | box
+
+
+def page_extents(files: DataFrame, parser: Parser = pdf.pages) -> DataFrame:
+    """read_pages with the number, text and box of each page's characters in place of a struct for each."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for doc_id, content in zip(*(batch.column(n) for n in ("doc_id", "content"))):
+                of = {"doc_id": doc_id.as_py()}
+                try:
+                    for page in parser(content.as_py() or b""):
+                        held.append({n: page[n] for n in ("page_number", "width", "height")} | of | _extent(page["chars"]))
+                        size += held[-1]["n_chars"]
+                        if size > BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(held, _EXTENTS)
+                            held, size = [], 0
+                except Exception as e:  # noqa: BLE001  any damage of the file
+                    held.append(of | {"error": f"{type(e).__name__}: {e}"})
+            if held:
+                yield pa.RecordBatch.from_pylist(held, _EXTENTS)
+
+    bounded_batches(files.sparkSession)
+    return files.select("doc_id", "content").mapInArrow(rows, EXTENTS)
+
+
 def pages_of(read: DataFrame) -> DataFrame:
     return read.filter("error IS NULL").select("doc_id", "page_number", "width", "height")
 
